@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .minhash import near_duplicates
 from .suffix_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(_documents(spark, sf_dir), depth=200, columns=["doc_id"])
     return cut.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_duplicates(_documents(spark, sf_dir), shingle=4, percent=80)
+    return groups.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
