@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .minhash import near_duplicates
+from .quality import quality
 from .suffix_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +34,9 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicates(_documents(spark, sf_dir), shingle=4, percent=80)
     return groups.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+@_query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality(_documents(spark, sf_dir), columns=["doc_id"])
+    return judged.select("doc.doc_id", *[c for c in judged.columns if c not in ("doc", "class_distance", "word_distance")], F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
