@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import encode_digests
 from .minhash import near_duplicates
 from .quality import quality
 from .suffix_dedup import remove_repeats
@@ -40,3 +41,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality(_documents(spark, sf_dir), columns=["doc_id"])
     return judged.select("doc.doc_id", *[c for c in judged.columns if c not in ("doc", "class_distance", "word_distance")], F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
+
+
+@_query
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(_documents(spark, sf_dir), columns=["doc_id"]).select("doc.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
