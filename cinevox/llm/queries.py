@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id
 from .byte_bpe import encode_digests
 from .minhash import near_duplicates
 from .quality import quality
@@ -46,3 +47,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_documents(spark, sf_dir), columns=["doc_id"]).select("doc.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@_query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    fold = language_id.fold(F.col("doc_id"))
+    model = language_id.train(docs.where(fold != 1))
+    found = language_id.predict(docs, model, columns=["doc_id"]).select("doc.doc_id", "lang_pred", "score", "ambiguous")
+    return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
