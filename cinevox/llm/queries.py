@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import language_id
 from .byte_bpe import encode_digests
 from .minhash import near_duplicates
+from .mixing import mix, taken_by_document
 from .quality import quality
 from .suffix_dedup import remove_repeats
 
@@ -56,3 +57,47 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.where(fold != 1))
     found = language_id.predict(docs, model, columns=["doc_id"]).select("doc.doc_id", "lang_pred", "score", "ambiguous")
     return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@_query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_by_document(mix(_documents(spark, sf_dir), columns=["doc_id"])).select("doc.doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op3_mixing"] = r"""
+WITH docs AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(concat_ws('|', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS rank
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS HUGEINT) AS n,
+         CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3] AS HUGEINT) AS w
+  FROM docs GROUP BY source),
+ratios AS (
+  SELECT *, sum(n) OVER () AS total, sum(w) OVER () AS ws,
+         coalesce(sum(n) OVER o, 0) AS before, coalesce(sum(w) OVER o, 0) AS w_before
+  FROM sources
+  WINDOW o AS (ORDER BY n / CAST(w AS DOUBLE), source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+marked AS (SELECT *, 200 * n * (ws - w_before) < (150 * total - 200 * before) * w AS is_full FROM ratios),
+shares AS (
+  SELECT source, CAST(n AS BIGINT) AS source_size,
+         CASE WHEN is_full THEN CAST(2 * n AS DOUBLE)
+              ELSE CAST(w * (150 * total - 200 * coalesce(sum(n) FILTER (is_full) OVER (), 0)) AS DOUBLE)
+                   / CAST(100 * sum(w) FILTER (NOT is_full) OVER () AS DOUBLE) END AS target
+  FROM marked),
+queued AS (
+  SELECT d.doc_id, d.rank, d.size, s.source_size, s.target,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.rank, d.size ROWS UNBOUNDED PRECEDING) AS ends
+  FROM docs d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source),
+entries AS (
+  SELECT doc_id, rank, size, source_size, target, round, ends + round * source_size AS ends,
+         greatest(0, least(size, size + CAST(round(target) AS BIGINT) - ends - round * source_size)) AS wanted
+  FROM queued, (VALUES (0), (1)) r(round)),
+placed AS (
+  SELECT *, sum(wanted) OVER (ORDER BY CASE WHEN wanted > 0 THEN least(ends, CAST(round(target) AS BIGINT)) / target END, rank, round
+                              ROWS UNBOUNDED PRECEDING) - wanted AS position
+  FROM entries)
+SELECT doc_id, size, source_size, target,
+       CAST(sum(greatest(0, least(wanted, (SELECT CAST(floor(sum(source_size) * 150 / 100) AS BIGINT) FROM shares) - position))) AS BIGINT) AS taken
+FROM placed GROUP BY doc_id, rank, size, source_size, target
+"""
