@@ -7,10 +7,13 @@ coordinates nominate pairs; a pair counts as a link only after its full shingle
 sets have been compared.
 
 Documents with the same set are one node.  In a bucket (documents that agree in
-a band) every node is first compared with one leader only.  What the leaders do
-not join is compared with every node of its buckets that is still in another
-component, so no link between different texts is lost to the buckets' size, and
-a large group of copies costs a number of comparisons in proportion to its size.
+a band) every node is first compared with one leader only, the node with most
+company, which joins most of a large group of copies in a number of comparisons
+in proportion to its size.  What is left is compared with the nodes of its
+buckets that are still in another component, so no link between different texts
+is lost to the size of a bucket, but for pairs that counts rule out: two nodes
+either share a rare shingle (these pairs are listed by shingle), or all they
+share is among their other shingles, of which both must have enough.
 
 With ``bands`` = 40 and ``rows`` = 4 a pair of similarity 0.8 escapes all bands
 with a probability of 7e-10.
@@ -24,11 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import connected_components
 from .scratch import Scratch
 from .textkit import Words, blocks, mix, utf8, words
 
+RARE = 16
+"""A shingle of fewer nodes is rare."""
+
 _U = np.uint64
 
 
@@ -126,15 +133,15 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 40, rows: int = 4, leader_rounds: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 40, rows: int = 4
 ) -> DataFrame:
     """Groups of documents linked, directly or over others, by shingle sets of similarity ``percent`` / 100 or more.
 
     Words are runs of bytes outside ``0x20 0x09-0x0D``, A-Z lower-cased; a set
     holds the distinct runs of ``shingle`` words, or the whole sequence of fewer
     words.  Returns one row per input row: ``id``, ``key`` (the text's hash),
-    ``n_shingles``, ``component_id`` (least id of the group) and ``kept``
-    (``id`` is ``component_id``).  A document without words or with a null text
+    ``n_shingles``, ``group`` (null without words), ``component_id`` (least id of
+    the group) and ``kept`` (``id`` is ``component_id``).  A document without words or with a null text
     is linked with nothing and kept.  Null ids take part; a group's id is null
     only if it has no other, and then all its rows are kept.  Equal rows get
     equal results.
@@ -147,7 +154,7 @@ def near_duplicates(
         "nodes",
     )
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("c"), F.min("node").alias("leader")).where("c > 1")
+    shared = banded.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
     members = scratch.save(banded.join(shared, "band"), "members")
 
     wanted = members.select("node").distinct().join(nodes.select("node", "at"), "node")
@@ -156,45 +163,57 @@ def near_duplicates(
     sets = scratch.save(texts.mapInArrow(_node_sets(shingle), "node binary, set array<bigint>").dropDuplicates(["node"]), "sets")
 
     near = lambda n, m: (100 * F.least(n, m) >= percent * F.greatest(n, m))
-    sizes = nodes.select(F.col("node").alias("leader"), F.col("n").alias("ln"))
-    edges = tested = None
-    now, comps = members, None
-    for turn in range(leader_rounds):
-        if turn:
-            leaders = now.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component"))["node"].alias("leader"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-            leaders = leaders.where("c0 <> c1").join(comps.select(F.col("node").alias("leader"), F.col("component").alias("lc")), "leader").select("band", "leader", "lc")
-            star = now.join(leaders, "band").where("component <> lc")
-        else:
-            star = now.where("node <> leader")
-        pairs = star.select("leader", "node", "n").distinct().join(sizes, "leader").where(near(F.col("n"), F.col("ln"))).select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs-{turn}")
-        tested = pairs if tested is None else tested.union(pairs)
-        more = _linked(pairs, sets, percent)
-        edges = scratch.save(more if edges is None else edges.union(more), f"edges-{turn}")
-        now, comps = _open(members, edges, scratch, f"open-{turn}")
-        if now.isEmpty():
-            break
-    else:
-        left, right = now.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), now.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        rest = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb"))).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        rest = scratch.save(rest, "rest")
-        edges = scratch.save(edges.union(_linked(rest, sets, percent)), "edges")
-        comps = connected_components(edges, scratch, "last")
+    company = members.groupBy("node").agg(F.sum("c").alias("company"))
+    leaders = scratch.save(members.join(company, "node").groupBy("band").agg(F.max(F.struct("company", "node", "n")).alias("leader")), "leaders")
+    star = members.join(leaders, "band").where((F.col("node") != F.col("leader.node")) & near(F.col("n"), F.col("leader.n"))).select("node", F.col("leader.node").alias("leader"))
+    tested = scratch.save(_pair("node", "leader", star), "star")
+    edges = scratch.save(_linked(tested, sets, percent), "edges")
+    comps = connected_components(edges, scratch, "joined")
+
+    now = scratch.save(_open(members.where("c > 2").select("band", "node", "n").join(comps, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))), "open")
+    if not now.isEmpty():
+        each = scratch.save(now.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component")).join(sets, "node").select("node", "n", "component", F.explode("set").alias("shingle")), "each")
+        few = scratch.save(each.groupBy("shingle").agg(F.count("*").alias("c")).where(F.col("c") < RARE).select("shingle"), "few")
+        rare = scratch.save(each.join(few, "shingle"), "rare")
+        sides = lambda rows, key, *names: (rows.select(key, *[F.col(c).alias(f"{side}_{c}") for c in names]) for side in "ab")
+        apart = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & near(F.col("a_n"), F.col("b_n"))
+
+        left, right = sides(rare, "shingle", "node", "n", "component")
+        by_rare = left.join(right, "shingle").where(apart).select("a_node", "b_node")
+        wide = now.join(rare.groupBy("node").agg(F.count("*").alias("rare")), "node", "left").withColumn("wide", F.col("n") - F.coalesce("rare", F.lit(0))).where(100 * F.col("wide") >= percent * F.col("n"))
+        left, right = sides(scratch.save(_open(wide.drop("rare")), "wide"), "band", "node", "n", "component", "wide")
+        # common / union >= p / 100 means common * (100 + p) >= p * (both sizes), and common is within both counts
+        enough = (100 + percent) * F.least("a_wide", "b_wide") >= percent * (F.col("a_n") + F.col("b_n"))
+        by_band = left.join(right, "band").where(apart & enough).select("a_node", "b_node")
+        rest = _pair("a_node", "b_node", by_rare.union(by_band)).join(tested, ["a", "b"], "left_anti")
+        edges = scratch.save(edges.union(_linked(scratch.save(rest, "rest"), sets, percent)), "all-edges")
+        comps = connected_components(edges, scratch, "all")
 
     groups = comps.join(nodes.select("node", "id"), "node")
-    named = groups.join(groups.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("node", "component_id")
-    labels = nodes.select("node", "id").join(named, "node", "left").select("node", F.coalesce("component_id", "id").alias("component_id"))
+    named = groups.join(groups.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("node", "component", "component_id")
+    labels = nodes.select("node", "id").join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "id").alias("component_id"))
     done = signed.select("id", "key", "n_shingles", "node").join(labels, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return done.select("id", "key", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return done.select("id", "key", "n_shingles", F.col("component").alias("group"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The input rows that have the least id of their group, one for each group, and all rows without words."""
+    groups = near_duplicates(docs, id_col, text_col, **options)
+    chosen = groups.where("kept and group is not null").groupBy("group").agg(F.min(F.struct("id", "key")).alias("at")).select("at.id", "at.key", F.lit(True).alias("single"))
+    empty = groups.where("group is null").select("id", "key", F.lit(False).alias("single")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"))
+    stay = chosen.unionByName(empty)
+    both = rows.alias("r").join(stay.alias("s"), F.col("r.id").eqNullSafe(F.col("s.id")) & (F.col("r.key") == F.col("s.key"))).select("doc", "r.id", "r.key", "single")
+    turn = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.lit(0)))
+    return both.where(~F.col("single")).select("doc.*").unionByName(both.where("single").withColumn("turn", turn).where("turn = 1").select("doc.*"))
+
+
+def _pair(one: str, other: str, rows: DataFrame) -> DataFrame:
+    return rows.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
 
 
-def _open(members: DataFrame, edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """Bucket rows of buckets of three and more that still span components, and the components of all members."""
-    linked = connected_components(edges, scratch, name)
-    comps = scratch.save(members.select("node").distinct().join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component")), f"{name}-all")
-    rows = members.where("c > 2").select("band", "node", "n").join(comps, "node")
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that span components."""
     mixed = rows.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band")
-    return scratch.save(rows.join(mixed, "band"), name), comps
+    return rows.join(mixed, "band", "left_semi")

@@ -263,6 +263,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     head = f"id {rows.schema['id'].dataType.simpleString()}, key bigint"
     filed = scratch.save(rows.mapInArrow(_file(depth), f"{head}, digit bigint, whole bigint, lo int, n int, anchor int"), "filed")
     twice = filed.groupBy("digit").agg(F.count("*").alias("c"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("c > 1").select("digit", (F.col("a") == F.col("b")).alias("alike"))
+    twice = scratch.save(twice, "twice")
     shared = scratch.save(filed.join(twice, "digit").select(*filed.columns, "alike"), "shared")
     scratch.drop("filed")
     span = lambda df: df.select("id", "key", "lo", (F.col("lo") + F.col("n") - 1 + depth).alias("hi"))
@@ -281,17 +282,26 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return found.groupBy("id", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 200, columns: Sequence[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 200, columns: Sequence[str] | None = None, as_text: bool = False) -> DataFrame:
     """Each document without the bytes under windows of ``depth`` bytes that start anywhere else too.
 
     Returns one row per input row: ``doc`` (a struct of ``columns``, by default
     all, so no name can clash), ``n_bytes``, ``n_removed``, ``n_spans`` (maximal
     removed runs) and ``kept`` (the remaining bytes, concatenated; a cut may fall
-    inside a character).  Nulls count as empty texts.
+    inside a character).  With ``as_text``, only ``doc`` and ``kept_text``, which
+    leaves out characters that a cut has broken.  Nulls count as empty texts.
     """
     spans = repeated_spans(docs, id_col, text_col, depth)
     columns = list(columns or docs.columns)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     both = rows.alias("t").join(spans.alias("f"), F.col("t.id").eqNullSafe(F.col("f.id")) & (F.col("t.key") == F.col("f.key")), "left").select("doc", "text", "spans")
     out = T.StructType([rows.schema["doc"], *T._parse_datatype_string("n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").fields])
+    if as_text:
+        return both.mapInArrow(_texts, T.StructType([rows.schema["doc"], T.StructField("kept_text", T.StringType())]))
     return both.mapInArrow(_cut, out)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _cut(batches):
+        texts = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string())], names=["doc", "kept_text"])
