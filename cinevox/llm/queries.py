@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from . import language_id
 from .byte_bpe import encode_digests
+from .licenses import scan
 from .minhash import near_duplicates
-from .mixing import mix, taken_by_document
+from .mixing import WORD, mix, taken_by_document
 from .quality import quality
+from .scratch import Scratch
 from .suffix_dedup import remove_repeats
+from .token_rollup import TokenRollup, changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +104,49 @@ SELECT doc_id, size, source_size, target,
        CAST(sum(greatest(0, least(wanted, (SELECT CAST(floor(sum(source_size) * 150 / 100) AS BIGINT) FROM shares) - position))) AS BIGINT) AS taken
 FROM placed GROUP BY doc_id, rank, size, source_size, target
 """
+
+
+@_query
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents inserted under two tokenizers, exact copies deleted, one count revised, one batch sent twice."""
+    scratch = Scratch(spark, "rollup")
+    docs = _documents(spark, sf_dir)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    counted = scratch.save(
+        docs.select(
+            "doc_id", "source", "lang", F.md5("text").alias("digest"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("words"),
+            F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]*[0-9A-Za-z][^\x20\x09-\x0D]*")).cast("bigint").alias("plain"), F.octet_length(text).cast("bigint").alias("bytes"),
+        ),
+        "counted",
+    )
+    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    marked = scratch.save(counted.join(first, "digest", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))), "marked")
+    each = lambda rows, name, n, **more: rows.select("source", "lang", F.lit(name).alias("tokenizer"), F.col(n).alias("n_tokens"), *[F.col(v).alias(k) for k, v in more.items()])
+
+    rollup = TokenRollup(spark, scratch.path("store"))
+    rollup.commit(1, changes(each(marked, "words-1", "words").union(each(marked, "bytes-1", "bytes")), "insert"))
+    copies = marked.where("copy")
+    gone = changes(each(copies, "words-1", "words").union(each(copies, "bytes-1", "bytes")), "delete")
+    rollup.commit(2, gone)
+    rollup.commit(3, changes(each(marked.where("not copy"), "words-1", "plain", was="words"), "revise"))
+    rollup.commit(2, gone)
+    return rollup.totals()
+
+
+ORACLES["op2_token_rollup"] = r"""
+WITH docs AS (
+  SELECT source, lang, text IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY text) AS copy,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]*[0-9A-Za-z][^\x20\x09-\x0D]*')) AS BIGINT) AS plain,
+         CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes
+  FROM documents)
+SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
+FROM (SELECT source, lang, 'words-1' AS tokenizer, plain AS n FROM docs WHERE NOT copy
+      UNION ALL SELECT source, lang, 'bytes-1', bytes FROM docs WHERE NOT copy)
+GROUP BY source, lang, tokenizer
+"""
+
+
+@_query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(_documents(spark, sf_dir), columns=["doc_id"])
+    return found.select("doc.doc_id", "n_paragraphs", "n_licensed", "families", F.round("score", 6).alias("score"))
