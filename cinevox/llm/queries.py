@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id
+from . import language_id, masked_lm
 from .byte_bpe import encode_digests
 from .licenses import scan
 from .minhash import near_duplicates
@@ -150,3 +150,10 @@ GROUP BY source, lang, tokenizer
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(_documents(spark, sf_dir), columns=["doc_id"])
     return found.select("doc.doc_id", "n_paragraphs", "n_licensed", "families", F.round("score", 6).alias("score"))
+
+
+@_query
+def op8_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    scored = masked_lm.score(docs, masked_lm.train(docs), columns=["doc_id"])
+    return scored.select("doc.doc_id", "n_tokens", F.round("log_prob", 3).alias("log_prob"), F.round("mean_log_prob", 5).alias("mean_log_prob"))
