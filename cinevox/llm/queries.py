@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, masked_lm
+from . import audio, language_id, masked_lm
 from .byte_bpe import encode_digests
 from .licenses import scan
 from .minhash import near_duplicates
@@ -157,3 +157,12 @@ def op8_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     scored = masked_lm.score(docs, masked_lm.train(docs), columns=["doc_id"])
     return scored.select("doc.doc_id", "n_tokens", F.round("log_prob", 3).alias("log_prob"), F.round("mean_log_prob", 5).alias("mean_log_prob"))
+
+
+@_query
+def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector played as a melody; queries are the recordings whose id is divisible by 20."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    prints = Scratch(spark, "audio").save(audio.fingerprints(audio.melodies(vectors, "vec_id", "embedding"), "id", "wav"), "prints")
+    found = audio.align(prints, F.col("id") % 20 == 0)
+    return found.select(F.col("id").alias("vec_id"), F.col("match").alias("match_id"), "n_members", "shift", F.round("bit_errors", 6).alias("bit_errors"))
