@@ -9,7 +9,8 @@ sets have been compared.
 Documents with the same set are one node.  In a bucket (documents that agree in
 a band) every node is first compared with one leader only, the node with most
 company, which joins most of a large group of copies in a number of comparisons
-in proportion to its size.  What is left is compared with the nodes of its
+in proportion to its size.  What that leaves open is compared with a second
+leader, the node with the fewest rare shingles.  What is left is compared with the nodes of its
 buckets that are still in another component, so no link between different texts
 is lost to the size of a bucket, but for pairs that counts rule out: two nodes
 either share a rare shingle (these pairs are listed by shingle), or all they
@@ -181,11 +182,21 @@ def near_duplicates(
         left, right = sides(rare, "shingle", "node", "n", "component")
         by_rare = left.join(right, "shingle").where(apart).select("a_node", "b_node")
         wide = now.join(rare.groupBy("node").agg(F.count("*").alias("rare")), "node", "left").withColumn("wide", F.col("n") - F.coalesce("rare", F.lit(0))).where(100 * F.col("wide") >= percent * F.col("n"))
-        left, right = sides(scratch.save(_open(wide.drop("rare")), "wide"), "band", "node", "n", "component", "wide")
         # common / union >= p / 100 means common * (100 + p) >= p * (both sizes), and common is within both counts
         enough = (100 + percent) * F.least("a_wide", "b_wide") >= percent * (F.col("a_n") + F.col("b_n"))
-        by_band = left.join(right, "band").where(apart & enough).select("a_node", "b_node")
-        rest = _pair("a_node", "b_node", by_rare.union(by_band)).join(tested, ["a", "b"], "left_anti")
+        wide = scratch.save(_open(wide.drop("rare")), "wide")
+        plainest = scratch.save(wide.groupBy("band").agg(F.max(F.struct((F.col("wide") / F.col("n")).alias("share"), *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "component", "wide")))).alias("leader")).select("band", "leader.*"), "plainest")
+        star = wide.select("band", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "component", "wide")]).join(plainest, "band").where((F.col("a_component") != F.col("b_component")) & near(F.col("a_n"), F.col("b_n")) & enough)
+        star = scratch.save(_pair("a_node", "b_node", star.select("a_node", "b_node").union(by_rare)).join(tested, ["a", "b"], "left_anti"), "second-star")
+        tested = tested.union(star)
+        edges = scratch.save(edges.union(_linked(star, sets, percent)), "more-edges")
+        comps = connected_components(edges, scratch, "rejoined")
+        wide = scratch.save(_open(wide.drop("component").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))), "rewide")
+        wide = wide.join(wide.groupBy("node").agg(F.collect_list("band").alias("bands")), "node")
+        left, right = sides(wide, "band", "node", "n", "component", "wide", "bands")
+        once = F.array_min(F.array_intersect("a_bands", "b_bands")) == F.col("band")
+        by_band = left.join(right, "band").where(apart & enough & once).select("a_node", "b_node")
+        rest = _pair("a_node", "b_node", by_band).join(tested, ["a", "b"], "left_anti")
         edges = scratch.save(edges.union(_linked(scratch.save(rest, "rest"), sets, percent)), "all-edges")
         comps = connected_components(edges, scratch, "all")
 
