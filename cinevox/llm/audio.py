@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import in_arrow
+
 FRAME = 1024
 HOP = 512
 SPAN = 16
@@ -122,7 +124,7 @@ def fingerprints(media: DataFrame, id_col: str, wav_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes, pa.list_(pa.int64()))], names=["id", "codes"])
 
     rows = media.select(F.col(id_col).alias("id"), F.col(wav_col).alias("wav"))
-    return rows.mapInArrow(task, f"id {rows.schema['id'].dataType.simpleString()}, codes array<bigint>")
+    return in_arrow(rows, task, f"id {rows.schema['id'].dataType.simpleString()}, codes array<bigint>")
 
 
 def align(prints: DataFrame, is_query: Column, most_errors: float = 0.2, least_overlap: int = 16, least_shared: int = 2) -> DataFrame:
@@ -177,4 +179,4 @@ def melodies(vectors: DataFrame, id_col: str, vector_col: str, rate: int = 4000,
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "wav"])
 
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
-    return rows.mapInArrow(task, f"id {rows.schema['id'].dataType.simpleString()}, wav binary")
+    return in_arrow(rows, task, f"id {rows.schema['id'].dataType.simpleString()}, wav binary")

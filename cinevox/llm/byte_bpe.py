@@ -13,7 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import chain
 
 import numpy as np
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import in_arrow
 from .textkit import blocks, utf8
 
 CACHE = 1 << 18
@@ -105,6 +106,7 @@ class ByteBPE:
 
     def _forget(self) -> None:
         self._code: dict[str, int] = {}
+        self._text: list[str] = []
         self._ids = np.zeros(0, np.int32)
         self._ends = np.zeros(1, np.int64)
         self._size = self._used = 0
@@ -119,23 +121,29 @@ class ByteBPE:
             self._ends = np.concatenate([self._ends[: self._size + 1], np.empty(self._size + len(tokens), np.int64)])
         self._ids[self._used : self._used + len(flat)] = flat
         self._ends[self._size + 1 : self._size + len(tokens) + 1] = self._used + np.cumsum([len(x) for x in ids])
+        self._text += [" ".join(map(str, x)) for x in ids]
         self._code.update(zip(tokens, range(self._size, self._size + len(tokens)), strict=True))
         self._size, self._used = self._size + len(tokens), self._used + len(flat)
 
-    def encode(self, text: str) -> np.ndarray:
-        tokens = self.split(text)
-        if not tokens:
-            return np.zeros(0, np.int32)
-        new = list(set(tokens).difference(self._code))
+    def encode_many(self, texts: Sequence[str]) -> Iterator[tuple[np.ndarray, str]]:
+        """Ids of each text, and the same in decimal, joined by one space; new pre-tokens of all texts are encoded together."""
+        split = [self.split(t) for t in texts]
+        new = set().union(*split).difference(self._code)
         if new:
             if self._size + len(new) > CACHE or self._used > 16 * CACHE:
                 self._forget()
-                new = list(set(tokens))
-            self._learn(new)
-        code = np.fromiter(map(self._code.__getitem__, tokens), np.int64, len(tokens))
-        start, length = self._ends[code], self._ends[code + 1] - self._ends[code]
-        ends = np.cumsum(length)
-        return self._ids[np.arange(ends[-1]) + np.repeat(start - (ends - length), length)]
+                new = set().union(*split)
+            self._learn(list(new))
+        for tokens in split:
+            codes = list(map(self._code.__getitem__, tokens))
+            code = np.array(codes, np.int64)
+            start, length = self._ends[code], self._ends[code + 1] - self._ends[code]
+            ends = np.cumsum(length)
+            total = int(ends[-1]) if len(ends) else 0
+            yield self._ids[np.arange(total) + np.repeat(start - (ends - length), length)], " ".join(map(self._text.__getitem__, codes))
+
+    def encode(self, text: str) -> np.ndarray:
+        return next(self.encode_many([text]))[0]
 
     def decode(self, ids: Sequence[int]) -> bytes:
         ids = np.asarray(ids, np.int64)
@@ -151,53 +159,60 @@ def tokenizer(path: str, pattern: str = public_tokenizers.PATTERN) -> ByteBPE:
     return ByteBPE(path, pattern)
 
 
-def _encode(path: str, pattern: str):
+def _encode(path: str, pattern: str, decoded: bool = True):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for a, b in blocks(offsets, 1 << 20):
-                lists, decoded = [], []
-                for i in range(a, b):
-                    ids = bpe.encode(data[offsets[i] : offsets[i + 1]].tobytes().decode())
-                    lists.append(ids)
-                    decoded.append(bpe.decode(ids))
+            for a, texts in _texts(batch):
+                lists = [ids for ids, _ in bpe.encode_many(texts)]
                 ends = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
+                back = [bpe.decode(x) for x in lists]
+                last = pa.array(back, pa.binary()) if decoded else pa.array([x == t.encode() for x, t in zip(back, texts, strict=True)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists))), pa.array(decoded, pa.binary())],
-                    names=["doc", "ids", "decoded"],
+                    [batch.column("doc").slice(a, len(texts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists))), last],
+                    names=["doc", "ids", "decoded" if decoded else "exact"],
                 )
 
     return task
 
 
 def _digest(path: str, pattern: str):
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _encode(path, pattern)(batches):
-            lists = batch.column("ids")
-            flat = lists.flatten().to_pylist()
-            ends = lists.offsets.to_pylist()
-            ids = [hashlib.sha256(" ".join(map(str, flat[x:y])).encode()).hexdigest() for x, y in zip(ends, ends[1:])]
-            back = [hashlib.sha256(x).hexdigest() for x in batch.column("decoded").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), lists.value_lengths().cast(pa.int64()), pa.array(ids), pa.array(back)], names=["doc", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe = tokenizer(path, pattern)
+        for batch in batches:
+            for a, texts in _texts(batch):
+                rows = [(len(ids), digest(line.encode()), digest(bpe.decode(ids))) for ids, line in bpe.encode_many(texts)]
+                n, ids, decoded = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, len(texts)), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return task
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
+    """Texts in blocks, each with the number of its first row."""
+    data, offsets = utf8(batch.column("text"))
+    for a, b in blocks(offsets, 1 << 20):
+        yield a, [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in range(a, b)]
+
+
 def _run(docs: DataFrame, make, fields: str, text_col: str, path: str | None, pattern: str, columns: Sequence[str] | None) -> DataFrame:
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     columns = list(columns or docs.columns)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(make(path, pattern), T.StructType([rows.schema["doc"], *T._parse_datatype_string(fields).fields]))
+    return in_arrow(rows, make(path, pattern), T.StructType([rows.schema["doc"], *T._parse_datatype_string(fields).fields]))
 
 
-def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, columns: Sequence[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, columns: Sequence[str] | None = None, decoded: bool = True) -> DataFrame:
     """``doc`` (a struct of ``columns``, by default all), ``ids`` and ``decoded``, the bytes that the ids stand for.
 
+    Without ``decoded`` there is ``exact`` instead: whether they are the text's.
     One row per input row, without special tokens.  A null text counts as an
     empty one and has no ids.
     """
-    return _run(docs, _encode, "ids array<int>, decoded binary", text_col, path, pattern, columns)
+    fields = "ids array<int>, decoded binary" if decoded else "ids array<int>, exact boolean"
+    return _run(docs, partial(_encode, decoded=decoded), fields, text_col, path, pattern, columns)
 
 
 def encode_digests(docs: DataFrame, text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, columns: Sequence[str] | None = None) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import in_arrow
 from .textkit import blocks, utf8
 
 BUCKETS = 4096
@@ -114,7 +115,7 @@ class Model:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from all rows with a language.  What reaches the driver is ``BUCKETS`` counts for each language."""
     source = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    rows = source.mapInArrow(_count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = in_arrow(source, _count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = tuple(sorted(rows["lang"].unique()))
     counts = np.zeros((len(langs), BUCKETS))
     counts[np.searchsorted(np.array(langs, object), rows["lang"].to_numpy(object)), rows["bucket"].to_numpy(int)] = rows["n"]
@@ -154,7 +155,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", columns: Sequ
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.col(text_col).alias("text"), lettered.alias("lettered"))
     fields = T._parse_datatype_string("lang_pred string, score double, ambiguous boolean").fields
-    return rows.mapInArrow(_predict(model), T.StructType([rows.schema["doc"], *fields]))
+    return in_arrow(rows, _predict(model), T.StructType([rows.schema["doc"], *fields]))
 
 
 def fold(id_column: Column, folds: int = 3) -> Column:

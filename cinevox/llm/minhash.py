@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .scratch import Scratch
+from .scratch import Scratch, in_arrow
 from .textkit import Words, blocks, mix, utf8, words
 
 RARE = 16
@@ -120,7 +120,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: in
     """``id, key`` (the text's hash), ``n_shingles``, ``node`` (fingerprint of the set; null if empty), ``bands``."""
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(_sign(size, bands, rows), f"id {kind}, key bigint, n_shingles bigint, node binary, bands array<bigint>")
+    return in_arrow(source, _sign(size, bands, rows), f"id {kind}, key bigint, n_shingles bigint, node binary, bands array<bigint>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -161,7 +161,7 @@ def near_duplicates(
     wanted = members.select("node").distinct().join(nodes.select("node", "at"), "node")
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     texts = source.alias("t").join(wanted.alias("w"), F.col("t.id").eqNullSafe(F.col("w.at.id")) & (F.col("t.key") == F.col("w.at.key"))).select("node", "text")
-    sets = scratch.save(texts.mapInArrow(_node_sets(shingle), "node binary, set array<bigint>").dropDuplicates(["node"]), "sets")
+    sets = scratch.save(in_arrow(texts, _node_sets(shingle), "node binary, set array<bigint>").dropDuplicates(["node"]), "sets")
 
     near = lambda n, m: (100 * F.least(n, m) >= percent * F.greatest(n, m))
     company = members.groupBy("node").agg(F.sum("c").alias("company"))

@@ -39,3 +39,15 @@ class Scratch:
             jvm = self.spark.sparkContext._jvm
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+BATCH_ROWS = 500
+"""Rows of an Arrow batch of texts at most: it bounds what a task holds beside its longest text."""
+
+
+def in_arrow(df: DataFrame, task, schema) -> DataFrame:
+    """``mapInArrow`` with small batches: lowers the session's batch size to ``BATCH_ROWS`` if it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df.mapInArrow(task, schema)

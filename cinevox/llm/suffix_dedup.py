@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch
+from .scratch import Scratch, in_arrow
 from .textkit import RangeHash, blocks, mix, utf8
 
 GRAM = 50
@@ -261,7 +261,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "suffix")
     rows = _identified(docs, id_col, text_col).where(F.octet_length("text") >= depth)
     head = f"id {rows.schema['id'].dataType.simpleString()}, key bigint"
-    filed = scratch.save(rows.mapInArrow(_file(depth), f"{head}, digit bigint, whole bigint, lo int, n int, anchor int"), "filed")
+    filed = scratch.save(in_arrow(rows, _file(depth), f"{head}, digit bigint, whole bigint, lo int, n int, anchor int"), "filed")
     twice = filed.groupBy("digit").agg(F.count("*").alias("c"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("c > 1").select("digit", (F.col("a") == F.col("b")).alias("alike"))
     twice = scratch.save(twice, "twice")
     shared = scratch.save(filed.join(twice, "digit").select(*filed.columns, "alike"), "shared")
@@ -273,10 +273,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mixed = scratch.save(mixed.join(runs, ["digit", "whole"]).select("id", "key", "lo", "n", "anchor", (F.col("c") > 1).alias("whole_run"), (F.struct("id", "key", "lo").eqNullSafe(F.col("least"))).alias("one")), "mixed")
     further = mixed.where("one").groupBy("id", "key").agg(F.collect_set(F.struct("lo", "n", "anchor")).alias("runs"))
     texts = rows.alias("t").join(further.alias("f"), F.col("t.id").eqNullSafe(F.col("f.id")) & (F.col("t.key") == F.col("f.key"))).select("t.id", "t.key", "text", "runs")
-    sub = scratch.save(texts.mapInArrow(_refine(depth), f"digit bigint, {head}, lo int, offset int, bytes binary"), "sub")
+    sub = scratch.save(in_arrow(texts, _refine(depth), f"digit bigint, {head}, lo int, offset int, bytes binary"), "sub")
     groups = sub.groupBy("digit").agg(F.count("*").alias("c")).where("c > 1").select("digit", F.least(F.lit(CLASS), F.ceil(F.col("c") / GROUP)).cast("int").alias("salts"))
     dealt = sub.join(groups, "digit").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    ordered = dealt.repartition("digit", "salt").sortWithinPartitions("digit", "salt").mapInArrow(_order(depth), f"{head}, lo int, hi int")
+    ordered = in_arrow(dealt.repartition("digit", "salt").sortWithinPartitions("digit", "salt"), _order(depth), f"{head}, lo int, hi int")
 
     found = span(shared.where("alike")).unionByName(span(mixed.where("whole_run"))).unionByName(ordered)
     return found.groupBy("id", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
@@ -297,8 +297,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     both = rows.alias("t").join(spans.alias("f"), F.col("t.id").eqNullSafe(F.col("f.id")) & (F.col("t.key") == F.col("f.key")), "left").select("doc", "text", "spans")
     out = T.StructType([rows.schema["doc"], *T._parse_datatype_string("n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").fields])
     if as_text:
-        return both.mapInArrow(_texts, T.StructType([rows.schema["doc"], T.StructField("kept_text", T.StringType())]))
-    return both.mapInArrow(_cut, out)
+        return in_arrow(both, _texts, T.StructType([rows.schema["doc"], T.StructField("kept_text", T.StringType())]))
+    return in_arrow(both, _cut, out)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

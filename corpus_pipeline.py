@@ -17,12 +17,10 @@ from cinevox.llm.scratch import Scratch
 from cinevox.llm.suffix_dedup import remove_repeats
 
 
-def _with_text(docs: DataFrame, text) -> DataFrame:
-    """``doc`` unpacked, with another text."""
-    columns = {"text": text}
-    if "n_chars" in docs.select("doc.*").columns:
-        columns["n_chars"] = F.char_length(text).cast("bigint")
-    return docs.select(*[columns.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.select("doc.*").columns])
+def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
+    """The columns, from ``doc``, with another text."""
+    new = {"text": text, "n_chars": F.char_length(text).cast("bigint")}
+    return docs.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,21 +35,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the bytes under 200-byte strings that start anywhere else too; a document may end up empty."""
-    return _with_text(cut := remove_repeats(docs, depth=200, as_text=True), cut["kept_text"])
+    cut = remove_repeats(docs, depth=200, columns=[c for c in docs.columns if c != "text"], as_text=True)
+    return _with_text(cut, docs.columns, F.col("kept_text"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in its order: repeated documents are repeated rows, one cut short has its first words only."""
     entries = in_order(mix(docs))
     text = F.when(F.col("taken") < F.col("size"), first_words(F.col("doc.text"), F.col("taken"))).otherwise(F.col("doc.text"))
-    return _with_text(entries, text)
+    return _with_text(entries, docs.columns, text)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row of the mix, and whether they decode to its text."""
-    return encode(docs).select(
-        "doc.doc_id", "doc.lang", "doc.source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("doc.text", F.lit("")).cast("binary")).alias("round_trip")
-    )
+    encoded = encode(docs, columns=["doc_id", "lang", "source"], decoded=False)
+    return encoded.select("doc.*", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.col("exact").alias("round_trip"))
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("mixing", mixing), ("byte_bpe", byte_bpe)]
