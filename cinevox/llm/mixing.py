@@ -106,9 +106,22 @@ def taken_by_document(entries: DataFrame) -> DataFrame:
     return entries.groupBy("entry").agg(F.first("doc").alias("doc"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken")).drop("entry")
 
 
-def in_order(entries: DataFrame) -> DataFrame:
-    """Entries with words taken, range-sorted by virtual finish time."""
-    return entries.where("taken > 0").orderBy("finish", "rank", "round")
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself, range-sorted by virtual finish time: ``doc`` (a struct of the input row), ``size``, ``taken``, ``finish``.
+
+    A row for every entry with words taken.  The queue works on ids and hashes;
+    rows join their entries once, by id and the hash of all columns, and equal
+    rows share their entries.
+    """
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(*every).alias("key"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    used = mix(narrow, "id", "text", "source", columns=["id", "key"], **options).where("taken > 0")
+    turns = used.groupBy(F.col("doc.id").alias("id"), F.col("doc.key").alias("key")).agg(F.collect_list(F.struct("finish", "rank", "round", "size", "taken")).alias("turns"))
+    rows = docs.select(F.struct(*every).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(*every).alias("key"))
+    both = rows.alias("r").join(turns.alias("t"), F.col("r.id").eqNullSafe(F.col("t.id")) & (F.col("r.key") == F.col("t.key"))).select("doc", "r.id", "r.key", "turns")
+    one = both.withColumn("copy", F.row_number().over(Window.partitionBy("id", "key").orderBy(F.lit(0)))).where("copy = 1")
+    each = one.select("doc", F.explode("turns").alias("turn"))
+    return each.orderBy("turn.finish", "turn.rank", "turn.round").select("doc", "turn.size", "turn.taken", "turn.finish")
 
 
 def first_words(text: Column, n: Column) -> Column:

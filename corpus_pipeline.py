@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cinevox.llm.byte_bpe import encode
 from cinevox.llm.minhash import one_of_each_group
-from cinevox.llm.mixing import first_words, in_order, mix
+from cinevox.llm.mixing import first_words, mixed_documents
 from cinevox.llm.quality import quality
 from cinevox.llm.scratch import Scratch
 from cinevox.llm.suffix_dedup import remove_repeats
@@ -41,7 +41,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in its order: repeated documents are repeated rows, one cut short has its first words only."""
-    entries = in_order(mix(docs))
+    entries = mixed_documents(docs)
     text = F.when(F.col("taken") < F.col("size"), first_words(F.col("doc.text"), F.col("taken"))).otherwise(F.col("doc.text"))
     return _with_text(entries, docs.columns, text)
 
