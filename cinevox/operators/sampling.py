@@ -76,7 +76,7 @@ def sample_points(points: DataFrame, movies: DataFrame, config: Config, naug: in
 def sample_nothing(points: DataFrame, movies: DataFrame, config: Config, naug: int = 1, val_ratio: float = 0.1, seed: int = 0, rep: int = 0) -> DataFrame:
     """Windows at random places that contain no point, up to 1.2 times the largest class, in the columns of ``sample_points``.
 
-    Proposals meet points by a join on buckets of time as wide as a window.
+    Proposals meet points by a join on cells of time and place as large as a window.
     """
     (f0, f1), (hy, hx) = config.nframes, config.half_size
     most = points.groupBy("movie_id", "cat").agg(F.count("*").alias("n")).groupBy("movie_id").agg(F.max("n").alias("nmax"))
@@ -84,10 +84,13 @@ def sample_nothing(points: DataFrame, movies: DataFrame, config: Config, naug: i
     tries = wanted.withColumn("k", F.explode(F.sequence(F.lit(1), (F.col("quota") * TRIES).cast("int"))))
     place = lambda c, low, count: (F.floor(uniform(seed, rep, "nothing", F.col("movie_id"), F.col("k"), c) * count) + low).cast("int").alias(c)
     tried = tries.select("movie_id", "k", "quota", "n_frames", "h", "w", place("t", f0, F.col("n_frames") - f1), place("y", hy, F.col("h") - 2 * hy), place("x", hx, F.col("w") - 2 * hx)).where(window_fits(config))
-    width = f0 + f1 + 1
-    left = tried.withColumn("slot", F.floor(F.col("t") / width))
-    right = points.select("movie_id", *[F.col(c).alias(f"r_{c}") for c in "tyx"], F.explode(F.array(*[F.floor(F.col("t") / width) + i for i in (-1, 0, 1)])).alias("slot"))
-    hit = left.join(right, ["movie_id", "slot"]).where(contains(config)).select("movie_id", "k").distinct()
+    widths = {"t": f0 + f1 + 1, "y": 2 * hy + 2, "x": 2 * hx + 2}  # a window reaches into its own cell and those beside it
+    cell = lambda c: F.floor(F.col(c) / widths[c])
+    left = tried.select("*", *[cell(c).alias(f"cell_{c}") for c in "tyx"])
+    right = points.select("movie_id", *[F.col(c).alias(f"r_{c}") for c in "tyx"], *[cell(c).alias(f"cell_{c}") for c in "tyx"])
+    for c in "tyx":
+        right = right.withColumn(f"cell_{c}", F.explode(F.array(*[F.col(f"cell_{c}") + i for i in (-1, 0, 1)])))
+    hit = left.join(right, ["movie_id", "cell_t", "cell_y", "cell_x"]).where(contains(config)).select("movie_id", "k").distinct()
     clear = left.join(hit, ["movie_id", "k"], "left_anti")
     kept = clear.withColumn("turn", F.row_number().over(Window.partitionBy("movie_id").orderBy("k"))).where("turn <= quota")
     chance = lambda what: uniform(seed, rep, what, F.col("movie_id"), F.col("k"))
