@@ -176,6 +176,7 @@ def near_duplicates(
         each = scratch.save(now.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component")).join(sets, "node").select("node", "n", "component", F.explode("set").alias("shingle")), "each")
         few = scratch.save(each.groupBy("shingle").agg(F.count("*").alias("c")).where(F.col("c") < RARE).select("shingle"), "few")
         rare = scratch.save(each.join(few, "shingle"), "rare")
+        scratch.drop("each", "few")
         sides = lambda rows, key, *names: (rows.select(key, *[F.col(c).alias(f"{side}_{c}") for c in names]) for side in "ab")
         apart = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & near(F.col("a_n"), F.col("b_n"))
 
@@ -199,7 +200,9 @@ def near_duplicates(
         rest = _pair("a_node", "b_node", by_band).join(tested, ["a", "b"], "left_anti")
         edges = scratch.save(edges.union(_linked(scratch.save(rest, "rest"), sets, percent)), "all-edges")
         comps = connected_components(edges, scratch, "all")
+        scratch.drop("rare", "wide", "plainest", "second-star", "more-edges", "rewide", "rest", "all-edges")
 
+    scratch.drop("members", "sets", "leaders", "star", "edges", "open")
     groups = comps.join(nodes.select("node", "id"), "node")
     named = groups.join(groups.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("node", "component", "component_id")
     labels = nodes.select("node", "id").join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "id").alias("component_id"))

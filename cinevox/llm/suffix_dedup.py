@@ -279,7 +279,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ordered = in_arrow(dealt.repartition("digit", "salt").sortWithinPartitions("digit", "salt"), _order(depth), f"{head}, lo int, hi int")
 
     found = span(shared.where("alike")).unionByName(span(mixed.where("whole_run"))).unionByName(ordered)
-    return found.groupBy("id", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = scratch.save(found.groupBy("id", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    scratch.drop("twice", "shared", "mixed", "sub")
+    return spans
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 200, columns: Sequence[str] | None = None, as_text: bool = False) -> DataFrame:
