@@ -390,7 +390,13 @@ quotas AS (SELECT *, CAST(ceil((CASE WHEN n < 0.75::DOUBLE * nmax THEN 0.85::DOU
 
 
 def _rois(spark, sf_dir):
-    return views.points(spark, sf_dir).where("y < 150").select("movie_id", F.when(F.col("roi_idx") % 5 == 0, 2).otherwise(1).alias("cat"), "roi_idx", "t", "y", "x")
+    return views.points(spark, sf_dir).select("movie_id", F.when(F.col("roi_idx") % 5 == 0, 2).otherwise(1).alias("cat"), "roi_idx", "t", "y", "x")
+
+
+def _roi_movies(spark, sf_dir):
+    """The movies of the points, as high as their points reach; the SQL leaves out points from 150 on, of which sf0.001 and sf0.01 have none."""
+    high = views.points(spark, sf_dir).groupBy("movie_id").agg(F.greatest(F.lit(150), F.max("y") + 1).alias("h"))
+    return high.select("movie_id", F.lit(30).alias("n_frames"), "h", F.lit(97).alias("w"))
 
 
 @query(f"{_SAMPLING}\nSELECT movie_id, cat, n, nmax, quota FROM quotas")
@@ -420,7 +426,7 @@ samples{rep} AS (SELECT movie_id, {rep} AS rep, seq, t, y, x, cat, noisy, split
 
 @query(f"{_SAMPLING},\n{_samples_sql(0)}\nSELECT * FROM samples0")
 def sample_rois(spark, sf_dir):
-    return sampling.sample_points(_rois(spark, sf_dir), _point_movies(spark, sf_dir), SMALL, 2)
+    return sampling.sample_points(_rois(spark, sf_dir), _roi_movies(spark, sf_dir), SMALL, 2)
 
 
 _Q = lambda *w: md5_uniform("'0'", "'0'", *w)
@@ -434,7 +440,7 @@ clear AS (SELECT * FROM tries w WHERE {_FITS} AND NOT EXISTS (SELECT 1 FROM roi
 SELECT movie_id, 0 AS rep, k + 2000000000 AS seq, t, y, x, 0 AS cat, {_Q("'noise'", "movie_id", "k")} < 0.5 AS noisy, CASE WHEN {_Q("'side'", "movie_id", "k")} < 0.1 THEN 'val' ELSE 'train' END AS split
 FROM (SELECT *, row_number() OVER (PARTITION BY movie_id ORDER BY k) AS turn FROM clear) WHERE turn <= quota""")
 def sample_nothing(spark, sf_dir):
-    return sampling.sample_nothing(_rois(spark, sf_dir), _point_movies(spark, sf_dir), SMALL, 2)
+    return sampling.sample_nothing(_rois(spark, sf_dir), _roi_movies(spark, sf_dir), SMALL, 2)
 
 
 @query(f"""{_SAMPLING}, sides AS (SELECT movie_id, cat, {_SPLIT} AS split FROM roi)
@@ -447,7 +453,7 @@ def split_leakage(spark, sf_dir):
 @query(f"""{_SAMPLING},\n{_samples_sql(0)},\n{_samples_sql(1)}
 SELECT movie_id, rep, seq, t, y, x, cat, noisy, split FROM samples0 UNION ALL SELECT movie_id, rep, seq, t, y, x, cat, noisy, split FROM samples1 WHERE movie_id = 'click' AND split = 'train'""")
 def oversample(spark, sf_dir):
-    rois, movies = _rois(spark, sf_dir), _point_movies(spark, sf_dir)
+    rois, movies = _rois(spark, sf_dir), _roi_movies(spark, sf_dir)
     reps = sampling.repetitions(movies, {"click": 2})
     out = None
     for rep in (0, 1):
