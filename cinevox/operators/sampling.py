@@ -7,16 +7,23 @@ point does not depend on how often it is drawn.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import uniform
+from ..sources.scratch import Scratch
 from .config import Config
 
 NOTHING_FACTOR = 1.2
-TRIES = 40
-"""Proposals for each wanted sample; the quota is filled from those that fit, in order."""
+POINT_TRIES, NOTHING_TRIES, NEGATIVE_TRIES = 2000, 3000, 1000
+"""Proposals for each wanted sample at most; the quota is filled from those that fit, in order."""
+ROUNDS = (4, 40, 120, 400, 1200)
+"""Proposals for each wanted sample after each round; only groups below their quota go on, up to the limit."""
+CHUNK = 4096
+"""Proposals of a group that one row stands for until they are spread over the tasks."""
 
 
 def window_fits(config: Config, t: str = "t", y: str = "y", x: str = "x") -> Column:
@@ -52,7 +59,30 @@ def split(points: DataFrame, val_ratio: float, seed: int) -> DataFrame:
     return points.withColumn("split", F.when(draw < val_ratio, "val").otherwise("train"))
 
 
-def sample_points(points: DataFrame, movies: DataFrame, config: Config, naug: int = 1, val_ratio: float = 0.1, seed: int = 0, rep: int = 0) -> DataFrame:
+def _filled(wanted: DataFrame, keys: Sequence[str], limit: int, fitting: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The first ``quota`` of each group's proposals ``k`` = 1, 2, ... that ``fitting`` keeps, among ``quota * limit``.
+
+    ``wanted`` has the ``keys`` of a group and its ``quota``.  Proposals are made
+    in rounds, each kept in the shared folder, for the groups still below it.
+    """
+    scratch = Scratch(wanted.sparkSession, "sampling")
+    short = scratch.save(wanted.withColumn("have", F.lit(0).cast("bigint")), "short-0")
+    out, low = None, 0
+    for i, high in enumerate([*(r for r in ROUNDS if r < limit), limit]):
+        first, last = F.col("quota") * low, F.col("quota") * high
+        chunks = short.where(last > first).select("*", F.explode(F.sequence(F.floor(first / CHUNK), F.floor((last - 1) / CHUNK))).alias("chunk")).repartition(*keys, "chunk")
+        tries = chunks.select("*", F.explode(F.sequence(F.col("chunk") * CHUNK + 1, (F.col("chunk") + 1) * CHUNK)).alias("k")).where((F.col("k") > first) & (F.col("k") <= last)).drop("chunk")
+        turn = F.col("have") + F.row_number().over(Window.partitionBy(*keys).orderBy("k"))
+        kept = scratch.save(fitting(tries).withColumn("turn", turn).where("turn <= quota").drop("have", "turn"), f"kept-{i}")
+        out = kept if out is None else out.unionByName(kept)
+        made = kept.groupBy(*keys).agg(F.count("*").alias("made"))
+        left = short.join(made, list(keys), "left").withColumn("have", F.col("have") + F.coalesce("made", F.lit(0))).drop("made").where("have < quota")
+        short, low = scratch.save(left, f"short-{i + 1}"), high
+        if high == limit or short.isEmpty():
+            return out
+
+
+def sample_points(points: DataFrame, movies: DataFrame, config: Config, naug: int = 1, val_ratio: float = 0.1, seed: int = 0, rep: int = 0, limit: int = POINT_TRIES) -> DataFrame:
     """``movie_id, rep, seq, t, y, x, cat, noisy, split``: one jittered window for each point, then noisy copies up to the quota.
 
     Points ``movie_id, cat, roi_idx, t, y, x``.  Copies are jittered windows of
@@ -62,13 +92,14 @@ def sample_points(points: DataFrame, movies: DataFrame, config: Config, naug: in
     own = placed.select("movie_id", "cat", "roi_idx", "split", *jitter(config, seed, rep, F.col("movie_id"), F.col("cat"), F.col("roi_idx")), "n_frames", "h", "w").where(window_fits(config))
     own = own.select("movie_id", F.col("roi_idx").cast("bigint").alias("seq"), "t", "y", "x", "cat", F.lit(False).alias("noisy"), "split")
 
-    quota = balance(points, naug)
     ranked = placed.withColumn("place", F.row_number().over(Window.partitionBy("movie_id", "cat").orderBy("roi_idx")) - 1)
-    proposals = quota.select("movie_id", "cat", "n", "quota", F.explode(F.sequence(F.lit(1), (F.col("quota") * TRIES).cast("int"))).alias("k"))
-    pick = F.floor(uniform(seed, rep, "pick", F.col("movie_id"), F.col("cat"), F.col("k")) * F.col("n")).cast("int")
-    tried = proposals.withColumn("place", pick).hint("shuffle_hash").join(ranked, ["movie_id", "cat", "place"])
-    copies = tried.select("movie_id", "cat", "k", "quota", "split", *jitter(config, seed, rep, "copy", F.col("movie_id"), F.col("cat"), F.col("k")), "n_frames", "h", "w").where(window_fits(config))
-    copies = copies.withColumn("turn", F.row_number().over(Window.partitionBy("movie_id", "cat").orderBy("k"))).where("turn <= quota")
+
+    def fitting(tries: DataFrame) -> DataFrame:
+        pick = F.floor(uniform(seed, rep, "pick", F.col("movie_id"), F.col("cat"), F.col("k")) * F.col("n")).cast("int")
+        tried = tries.withColumn("place", pick).join(ranked.hint("shuffle_hash"), ["movie_id", "cat", "place"])
+        return tried.select("movie_id", "cat", "k", "quota", "have", "split", *jitter(config, seed, rep, "copy", F.col("movie_id"), F.col("cat"), F.col("k")), "n_frames", "h", "w").where(window_fits(config))
+
+    copies = _filled(balance(placed, naug), ["movie_id", "cat"], limit, fitting)
     copies = copies.select("movie_id", (F.col("k") + 1000000000).cast("bigint").alias("seq"), "t", "y", "x", "cat", F.lit(True).alias("noisy"), "split")
     return own.unionByName(copies).select("movie_id", F.lit(rep).alias("rep"), "seq", "t", "y", "x", "cat", "noisy", "split")
 
@@ -76,23 +107,26 @@ def sample_points(points: DataFrame, movies: DataFrame, config: Config, naug: in
 def sample_nothing(points: DataFrame, movies: DataFrame, config: Config, naug: int = 1, val_ratio: float = 0.1, seed: int = 0, rep: int = 0) -> DataFrame:
     """Windows at random places that contain no point, up to 1.2 times the largest class, in the columns of ``sample_points``.
 
-    Proposals meet points by a join on cells of time and place as large as a window.
+    Proposals meet points by a join on cells of time and place as large as a window and are dropped at the first one inside.
     """
     (f0, f1), (hy, hx) = config.nframes, config.half_size
     most = points.groupBy("movie_id", "cat").agg(F.count("*").alias("n")).groupBy("movie_id").agg(F.max("n").alias("nmax"))
     wanted = movies.join(most, "movie_id").withColumn("quota", F.ceil(F.col("nmax") * NOTHING_FACTOR * naug).cast("bigint"))
-    tries = wanted.withColumn("k", F.explode(F.sequence(F.lit(1), (F.col("quota") * TRIES).cast("int"))))
     place = lambda c, low, count: (F.floor(uniform(seed, rep, "nothing", F.col("movie_id"), F.col("k"), c) * count) + low).cast("int").alias(c)
-    tried = tries.select("movie_id", "k", "quota", "n_frames", "h", "w", place("t", f0, F.col("n_frames") - f1), place("y", hy, F.col("h") - 2 * hy), place("x", hx, F.col("w") - 2 * hx)).where(window_fits(config))
     widths = {"t": f0 + f1 + 1, "y": 2 * hy + 2, "x": 2 * hx + 2}  # a window reaches into its own cell and those beside it
     cell = lambda c: F.floor(F.col(c) / widths[c])
-    left = tried.select("*", *[cell(c).alias(f"cell_{c}") for c in "tyx"])
     right = points.select("movie_id", *[F.col(c).alias(f"r_{c}") for c in "tyx"], *[cell(c).alias(f"cell_{c}") for c in "tyx"])
     for c in "tyx":
         right = right.withColumn(f"cell_{c}", F.explode(F.array(*[F.col(f"cell_{c}") + i for i in (-1, 0, 1)])))
-    hit = left.join(right, ["movie_id", "cell_t", "cell_y", "cell_x"]).where(contains(config)).select("movie_id", "k").distinct()
-    clear = left.join(hit, ["movie_id", "k"], "left_anti")
-    kept = clear.withColumn("turn", F.row_number().over(Window.partitionBy("movie_id").orderBy("k"))).where("turn <= quota")
+    right = right.select(*[F.col(c).alias(f"r_{c}") if c[0] != "r" else F.col(c) for c in right.columns])
+
+    def fitting(tries: DataFrame) -> DataFrame:
+        tried = tries.select("movie_id", "k", "quota", "have", "n_frames", "h", "w", place("t", f0, F.col("n_frames") - f1), place("y", hy, F.col("h") - 2 * hy), place("x", hx, F.col("w") - 2 * hx)).where(window_fits(config))
+        left = tried.select("*", *[cell(c).alias(f"cell_{c}") for c in "tyx"])
+        same = [F.col(c) == F.col(f"r_{c}") for c in ("movie_id", "cell_t", "cell_y", "cell_x")]
+        return left.join(right, [*same, contains(config)], "left_anti").select("movie_id", "k", "quota", "have", "t", "y", "x")
+
+    kept = _filled(wanted, ["movie_id"], NOTHING_TRIES, fitting)
     chance = lambda what: uniform(seed, rep, what, F.col("movie_id"), F.col("k"))
     return kept.select(
         "movie_id", F.lit(rep).alias("rep"), (F.col("k") + 2000000000).cast("bigint").alias("seq"), "t", "y", "x", F.lit(0).alias("cat"),
@@ -105,7 +139,7 @@ def sample_negatives(points: DataFrame, movies: DataFrame, config: Config, add_n
     chosen = points.select("movie_id", F.lit(0).alias("cat"), "roi_idx", "t", "y", "x")
     if add_nothing <= 1:
         return sample_points(chosen.limit(0), movies, config, 1, val_ratio, seed, rep)
-    both = sample_points(chosen, movies, config, add_nothing, val_ratio, seed, rep)
+    both = sample_points(chosen, movies, config, add_nothing, val_ratio, seed, rep, NEGATIVE_TRIES)
     return both if naug > 1 else both.where(~F.col("noisy"))
 
 

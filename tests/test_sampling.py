@@ -1,10 +1,15 @@
-"""Sampling takes every point."""
+"""Sampling takes every point and fills its quotas."""
 
 import pytest
 from pyspark.sql import functions as F
 
+from cinevox.operators import sampling
+from cinevox.operators.config import Config
 from cinevox.plans.queries import QUERIES
 
+SMALL = Config(half_size=(4, 4), nframes=(5, 5), ncat=3)
+ROI = "movie_id int, cat int, roi_idx bigint, t int, y int, x int"
+
 
 @pytest.fixture(scope="module")
 def high_dir(spark, tmp_path_factory):
@@ -22,3 +27,21 @@ def test_points_of_every_height_are_sampled(spark, high_dir):
         own = QUERIES[name](spark, high_dir).where("not noisy").agg(F.max("y"), F.count("*")).first()
         assert own[0] > 1500 and own[1] > 100
     assert QUERIES["sample_nothing"](spark, high_dir).agg(F.max("y")).first()[0] > 1500
+
+
+def test_rare_clear_places_fill_the_quota_of_nothing(spark):
+    places = [(t, y, x) for t in range(5, 30, 5) for y in range(0, 60, 5) for x in range(0, 60, 5) if y > 10 or x > 10]
+    movie = spark.createDataFrame([(1, 30, 60, 60)], "movie_id int, n_frames int, h int, w int")
+    got = sampling.sample_nothing(spark.createDataFrame([(1, 1, i, *p) for i, p in enumerate(places)], ROI), movie, SMALL).collect()
+    assert len(got) == len({r["seq"] for r in got}) == -(-len(places) * 6 // 5)
+    assert max(r["seq"] for r in got) - 2000000000 > 40 * len(got)
+    for t, y, x in {(r["t"], r["y"], r["x"]) for r in got}:
+        assert not any(t - 5 <= a <= t + 5 and y - 4 <= b <= y + 5 and x - 4 < c < x + 5 for a, b, c in places)
+
+
+def test_rare_fitting_points_fill_the_quota_of_copies(spark):
+    rois = spark.createDataFrame([(1, 1, i, 15, 30 if i == 0 else 0, 30) for i in range(100)], ROI)
+    movie = spark.createDataFrame([(1, 30, 60, 60)], "movie_id int, n_frames int, h int, w int")
+    assert sampling.sample_points(rois, movie, SMALL).where("noisy").count() == 100
+    none = sampling.sample_points(rois.where("y = 0").limit(3), movie, SMALL)
+    assert none.count() == 0
