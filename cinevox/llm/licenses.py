@@ -1,11 +1,13 @@
 """Licence scan: a trained paragraph classifier whose findings are confirmed by templates.
 
-Paragraphs (lines with a word) are bags of hashed word uni- and bigrams.  A
+Paragraphs (lines with a word) are bags of hashed word uni- and bigrams; so are
+runs of words over several lines, up to a blank one, that hold most trigrams of
+a template, which is how wrapped notices look.  A
 multinomial logistic regression, trained with numpy, tells licence families and
 an unknown class apart.  Family examples are made from the templates by rule
 (words dropped, other text around them); unknown examples are paragraphs of a
 bounded sample of the corpus.  The probability from which a family counts is
-calibrated on held-out unknown paragraphs.  A finding also needs a template of
+calibrated on held-out unknown lines.  A finding also needs a template of
 that family most of whose word trigrams it contains.
 """
 
@@ -51,7 +53,12 @@ SAMPLE = 4000
 CONFIRM = 0.6
 """Least share of a template's word trigrams in a paragraph."""
 
+FRAGMENT = 0.5
+"""Share of a line's word trigrams in templates from which it is taken for a piece of a notice, not for an unknown example."""
+
 _U = np.uint64
+_MARK = np.ones(256, np.int64)
+_MARK[[*b"#*/;%!<>|\"'-=+.:{}()[]~_,&$@^`?\\"]] = 0
 
 
 def _features(found: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +83,35 @@ def _matrix(lines: Sequence[str]) -> np.ndarray:
     return out / np.sqrt(np.maximum((out**2).sum(1, keepdims=True), 1))
 
 
+def _pieces(lines: Sequence[str], templates: dict[str, tuple[str, ...]]) -> np.ndarray:
+    """Whether most of a line's word trigrams are those of templates."""
+    if not lines:
+        return np.zeros(0, bool)
+    known = words(*_block([t for own in templates.values() for t in own]), lower=True).ngrams(3)[0]
+    found = words(*_block(lines), lower=True)
+    grams, at = found.ngrams(3)
+    row = found.row()[at]
+    count = lambda rows: np.bincount(rows, minlength=len(lines))
+    return count(row[np.isin(grams, known)]) >= np.maximum(1, FRAGMENT * count(row))
+
+
+def _joined(found: Words, part: np.ndarray, doc: np.ndarray) -> tuple[Words, np.ndarray]:
+    """Words by blocks of lines without a blank one between them, and the line of each word.
+
+    A first word of a line that is only marks, as of a comment, is left out.
+    """
+    row = found.row()
+    text = np.append(0, np.cumsum(_MARK[part]))
+    leads = np.append(True, row[1:] != row[:-1])[: len(row)]
+    keep = np.flatnonzero(~leads | (text[found.end] > text[found.start]))
+    line = row[keep]
+    full = np.bincount(line, minlength=len(doc)) > 0
+    fresh = np.append(True, ~full[:-1] | (doc[1:] != doc[:-1]))
+    block = (np.cumsum(fresh) - 1)[line]
+    first = np.append(0, np.cumsum(np.bincount(block, minlength=int(fresh.sum()))))
+    return Words(found.start[keep], found.end[keep], found.hash[keep], first), line
+
+
 @dataclass(frozen=True)
 class Scanner:
     families: tuple[str, ...]
@@ -105,6 +141,7 @@ def train(docs: DataFrame, text_col: str = "text", templates: dict[str, tuple[st
     sample = [r["line"] for r in drawn.collect()]
     hinted = re.compile("licen[sc]|copyright|redistribut|free of charge|public license", re.I)
     plain = [x for x in sample if not hinted.search(x)]
+    plain = [x for x, piece in zip(plain, _pieces(plain, templates)) if not piece]
     rng = np.random.default_rng(seed)
     filler = sorted({w for x in plain[:200] for w in x.split()})
     families = tuple(sorted(templates))
@@ -133,6 +170,27 @@ def _scan(scanner: Scanner, templates: dict[str, tuple[str, ...]]):
             found = words(*_block([t]), lower=True)
             grams.append((scanner.families.index(family), np.unique(found.ngrams(min(3, int(found.counts[0])))[0]), min(3, int(found.counts[0]))))
 
+    def runs(joined: Words, line: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Family and word range of every template most of whose n-grams lie over two or more lines of a block."""
+        block = joined.row()
+        by_n = {n: joined.ngrams(n) for n in {n for _, _, n in grams}}
+        for n, (value, at) in by_n.items():
+            own = [(f, g) for f, g, m in grams if m == n and len(g)]
+            hit = np.flatnonzero(np.isin(value, np.concatenate([g for _, g in own])))
+            for f, g in own:
+                mine = hit[np.isin(value[hit], g)]
+                reach, seen, begin, last = 2 * (len(g) + n), set(), -1, -1
+                for word, gram in [*zip(at[mine].tolist(), value[mine].tolist()), (-1, 0)]:
+                    enough = len(seen) >= CONFIRM * len(g)
+                    if seen and (word < 0 or block[word] != block[begin] or word - last > reach or enough and gram in seen):
+                        if enough and line[begin] != line[last + n - 1]:
+                            yield f, begin, last + n
+                        seen = set()
+                    if not seen:
+                        begin = word
+                    seen.add(gram)
+                    last = word
+
     def confirmed(found: Words, row: int, family: int) -> bool:
         one = Words(*(v[found.first[row] : found.first[row + 1]] for v in (found.start, found.end, found.hash)), np.array([0, found.counts[row]]))
         return any(len(g) and np.isin(g, one.ngrams(n)[0]).mean() >= CONFIRM for f, g, n in grams if f == family)
@@ -161,11 +219,24 @@ def _scan(scanner: Scanner, templates: dict[str, tuple[str, ...]]):
                 logits = np.add.reduceat(scanner.weights[unique % FEATURES] * count[:, None], start) / norm[:, None] + scanner.bias
                 odds = scanner.probabilities(logits)
                 top = odds[:, :-1].argmax(1)
+                alone = set()
                 for k in np.flatnonzero((odds.argmax(1) < len(scanner.families)) & (odds[:, :-1].max(1) >= scanner.threshold)):
                     at = int(line[start[k]])
                     if confirmed(found, at, int(top[k])):
                         names[a + doc[at]].append(scanner.families[top[k]])
                         best[a + doc[at]] = max(best[a + doc[at]], odds[k, top[k]])
+                        alone.add((int(top[k]), at))
+                joined, of = _joined(found, part, doc)
+                for family, begin, end in runs(joined, of):
+                    spanned = [(family, i) for i in range(of[begin], of[end - 1] + 1)]
+                    one = Words(joined.start[begin:end], joined.end[begin:end], joined.hash[begin:end], np.array([0, end - begin]))
+                    unique, count = np.unique(_features(one)[0], return_counts=True)
+                    odds = scanner.probabilities((count @ scanner.weights[unique] / np.sqrt((count**2).sum()) + scanner.bias)[None])[0]
+                    if alone.isdisjoint(spanned) and odds.argmax() == family and odds[family] >= scanner.threshold:
+                        at = a + doc[of[begin]]
+                        names[at].append(scanner.families[family])
+                        best[at] = max(best[at], odds[family])
+                        alone.update(spanned)
             found_lists = pa.array([sorted(set(x)) for x in names], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(total), pa.array([len(x) for x in names], pa.int64()), found_lists, pa.array(best)], names=["doc", "n_paragraphs", "n_licensed", "families", "score"])
 
@@ -175,7 +246,8 @@ def _scan(scanner: Scanner, templates: dict[str, tuple[str, ...]]):
 def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, columns: Sequence[str] | None = None) -> DataFrame:
     """``doc`` (a struct of ``columns``, by default all), ``n_paragraphs``, ``n_licensed``, ``families`` (sorted, distinct) and the best ``score``.
 
-    A null text has no paragraph.  Paragraphs of no family are unknown and not listed.
+    A null text has no paragraph.  Paragraphs of no family are unknown and not listed.  ``n_licensed`` counts
+    paragraphs (lines) and notices wrapped over several lines, each of which counts once.
     """
     scanner = train(docs, text_col, templates)
     columns = list(columns or docs.columns)

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -186,6 +187,19 @@ def test_licences_are_found_and_other_texts_left_alone(make):
     assert scan(make([])).count() == 0
 
 
+def test_wrapped_licences_are_found(make):
+    rng = random.Random(6)
+    plain = [sentence(rng, 40) + "\n" + sentence(rng, 20) for _ in range(40)]
+    long = [(f, t) for f, own in TEMPLATES.items() for t in own if len(t) > 100]
+    notices = [(f, plain[0] + "\n\n" + "\n".join(mark + x for x in textwrap.wrap(t, width)) + "\n\n" + plain[1]) for f, t in long for width in (40, 60, 72, 79) for mark in ("", " * ", "# ")]
+    notices += [("mit", "Released under\nthe MIT License."), ("gpl", sentence(rng, 30) + "\n" + "\n".join(textwrap.wrap(sentence(rng, 4) + " " + TEMPLATES["gpl"][1] + " " + sentence(rng, 9), 60)))]
+    apart = "\n\n".join(textwrap.wrap(TEMPLATES["gpl"][1], 60))
+    got = {r["doc"]["doc_id"]: r for r in scan(make(rows_of([apart, *plain, *(t for _, t in notices)]))).collect()}
+    assert not any(got[i]["families"] for i in range(1, 42))
+    for i, (family, text) in enumerate(notices, 42):
+        assert (got[i]["families"], got[i]["n_licensed"]) == ([family], 1), text
+
+
 def test_words_of_a_slice():
     import pyarrow as pa
 
