@@ -66,11 +66,12 @@ def _filled(wanted: DataFrame, keys: Sequence[str], limit: int, fitting: Callabl
     in rounds, each kept in the shared folder, for the groups still below it.
     """
     scratch = Scratch(wanted.sparkSession, "sampling")
+    tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given by number, or the few chunks are put into one task
     short = scratch.save(wanted.withColumn("have", F.lit(0).cast("bigint")), "short-0")
     out, low = None, 0
     for i, high in enumerate([*(r for r in ROUNDS if r < limit), limit]):
         first, last = F.col("quota") * low, F.col("quota") * high
-        chunks = short.where(last > first).select("*", F.explode(F.sequence(F.floor(first / CHUNK), F.floor((last - 1) / CHUNK))).alias("chunk")).repartition(*keys, "chunk")
+        chunks = short.where(last > first).select("*", F.explode(F.sequence(F.floor(first / CHUNK), F.floor((last - 1) / CHUNK))).alias("chunk")).repartition(tasks, *keys, "chunk")
         tries = chunks.select("*", F.explode(F.sequence(F.col("chunk") * CHUNK + 1, (F.col("chunk") + 1) * CHUNK)).alias("k")).where((F.col("k") > first) & (F.col("k") <= last)).drop("chunk")
         turn = F.col("have") + F.row_number().over(Window.partitionBy(*keys).orderBy("k"))
         kept = scratch.save(fitting(tries).withColumn("turn", turn).where("turn <= quota").drop("have", "turn"), f"kept-{i}")
