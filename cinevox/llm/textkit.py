@@ -19,26 +19,38 @@ BLOCK = 1 << 18
 """Bytes handled at once, so that the 8-byte work arrays stay in cache; a longer row is a block of its own."""
 
 _U = np.uint64
-_RNG = np.random.default_rng(20240229)
-_BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = _U(0x9E3779B97F4A7C15)
-_BASE_INV = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_PRIME = (1 << 31) - 1
+_BASES = (1_103_515_245, 747_796_405)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, at least ``n`` of each."""
-    if len(_POWERS[0]) < n:
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo the prime, at least ``n`` of each."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
         size = max(n, BLOCK + 1)
-        for i, base in enumerate((_BASE, _BASE_INV)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[i] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS
+        tables = []
+        for step in (base, pow(base, -1, _PRIME)):
+            table = np.ones(size, np.uint64)
+            done = 1
+            while done < size:
+                more = min(done, size - done)
+                table[done : done + more] = table[:more] * _U(pow(step, done, _PRIME)) % _U(_PRIME)
+                done += more
+            tables.append(table)
+        _POWERS[base] = tables[0], tables[1]
+    return _POWERS[base]
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A smaller number with the same remainder by the prime; below 2^32 for any below 2^62."""
+    high = x >> _U(31)
+    x &= _U(_PRIME)
+    x += high
+    return x
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,9 +63,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and its ``len + 1`` row offsets."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+def utf8(column: pa.Array, kind: pa.DataType = pa.large_string()) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string (or, by ``kind``, binary) column and its ``len + 1`` row offsets."""
+    column = pc.fill_null(column.cast(kind), "" if pa.types.is_large_string(kind) else b"")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
@@ -72,20 +84,48 @@ def blocks(offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
 
 
 class RangeHash:
-    """64-bit hashes of arbitrary byte ranges of one buffer, from a prefix sum."""
+    """Hashes of arbitrary byte ranges of one buffer, from prefix sums.
+
+    A range is a polynomial with its bytes as coefficients, at two points modulo
+    the prime 2^31 - 1.  Modulo a prime, unlike a power of two, no family of texts
+    agrees at every point: two ranges of ``n`` bytes agree at no more than ``n``.
+    """
 
     def __init__(self, data: np.ndarray):
-        power, self._inverse = _powers(len(data) + 1)
-        self._sum = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[data] * power[: len(data)], dtype=np.uint64, out=self._sum[1:])
+        self._sums, self._inverses = [], []
+        digits = data.astype(np.uint64)
+        digits += _U(1)
+        for base in _BASES:
+            power, inverse = _powers(base, len(data) + 1)
+            terms = digits * power[: len(data)]
+            if len(data) > 1 << 22:
+                terms = _fold(terms)  # or the sums would not stay below 2^62
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(terms, out=sums[1:])
+            self._sums.append(sums)
+            self._inverses.append(inverse)
+
+    @staticmethod
+    def _value(parts: list[np.ndarray]) -> np.ndarray:
+        left, right = (_fold(_fold(x)) for x in parts)
+        for x in (left, right):
+            x[x >= _U(_PRIME)] -= _U(_PRIME)
+        left <<= _U(31)
+        left |= right
+        return mix(left)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self._sum[end] - self._sum[start]) * self._inverse[start])
+        return self._value([_fold(s[end] - s[start]) * inverse[start] for s, inverse in zip(self._sums, self._inverses, strict=True)])
 
     def grams(self, k: int) -> np.ndarray:
         """Of the ``k`` bytes from each position."""
-        n = max(0, len(self._sum) - k)
-        return mix((self._sum[k:] - self._sum[:n]) * self._inverse[:n])
+        n = max(0, len(self._sums[0]) - k)
+        return self._value([_fold(s[k:] - s[:n]) * inverse[:n] for s, inverse in zip(self._sums, self._inverses, strict=True)])
+
+
+def joined(value: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """Hash of a sequence that goes on with another item."""
+    return (value ^ (value >> _U(29))) * _U(0xD1342543DE82EF95) + following
 
 
 @dataclass
@@ -110,7 +150,7 @@ class Words:
         at = np.flatnonzero(row[n - 1 :] == row[: len(row) - n + 1]) if len(row) >= n else np.zeros(0, np.int64)
         value = np.zeros(len(at), np.uint64)
         for i in range(n):
-            value = value * _U(0xD1342543DE82EF95) + self.hash[at + i]
+            value = joined(value, self.hash[at + i])
         return mix(value), at
 
 
