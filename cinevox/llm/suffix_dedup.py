@@ -1,25 +1,25 @@
 """Removal of repeated byte strings by a depth-limited radix sort of suffixes.
 
-A suffix matters only through its first ``depth`` bytes (its window), so suffixes
+A suffix matters only through its first ``depth`` bytes (its window), so windows
 are ordered by most-significant-digit passes that stop there, and a group that
-still has two members after the last digit is a repeated window.
-
-* Pass 1 (a 50-byte digit).  Each window is filed under the smallest-hashed gram
-  of ``GRAM`` bytes inside it, its anchor.  Equal windows have equal anchors at
-  equal offsets.  Neighbouring windows mostly share an anchor, so one row stands
-  for a run of up to ``depth - GRAM + 1`` windows.  Digits seen once are dropped.
-* Whole runs that occur twice are repeated as they are.  Of other runs, one of
-  each content goes on to be ordered further.
-* Pass 2 (a digit of 150 bytes or more).  A run is cut by the window's offset to
-  the anchor into classes; the bytes that all windows of a class share are the
-  next digit.  Digits seen once are dropped.
-* Pass 3 (the rest of the depth).  Windows of equal digits are ordered through
-  all ``depth`` bytes; groups of two and more are the repeated windows.  A large
-  group is dealt out by window offset, since windows of different offset differ.
-
-Digits are compared as 64-bit fingerprints; a reported window has agreed in two
-(whole runs) or three (single windows) of them.  No step takes all rows of a
-digit into one task except pass 3, after salting.
+still has two members after the last digit is a repeated window.  A window is
+read from its anchor on, the smallest-hashed gram of ``GRAM`` bytes inside it:
+equal windows have equal anchors at equal offsets, and neighbouring windows
+mostly share theirs, so one row stands for a run of them.
+
+* Pass 1: the digit is the anchor.  A row is a run of up to ``depth - GRAM + 1``
+  windows.
+* Pass 2: a run is cut by the window's offset to the anchor into classes of
+  ``CLASS``; the bytes that all windows of a class share are the next digit.
+* Pass 3: the digit is the rest of the window, and a row is one window.
+
+After each pass, groups of one are dropped.  Where all rows of a group have the
+same bytes, or some do, these are repeated as they are; of the other contents
+one row each goes on to the next pass.  Groups are only counted, with partial
+sums, and rows meet their counts in joins that deal out large groups
+(``skew.spread_join``), so no group is ever gathered in one place.
+
+Digits are compared as hashes; a reported window has agreed in two of them.
 """
 
 from __future__ import annotations
@@ -33,14 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import Scratch, in_arrow
+from .skew import spread_join
 from .textkit import RangeHash, blocks, mix, utf8
 
 GRAM = 50
 CLASS = 51
 CHUNK = 1 << 22
 """Windows of a very long text that are filed at once."""
-GROUP = 4096
-"""Sub-runs with one digit that pass 3 orders in one piece before it deals them out by offset."""
 
 _U = np.uint64
 _AT = _U((1 << 28) - 1)
@@ -112,7 +111,7 @@ def _file(depth: int):
 
 
 def _refine(depth: int):
-    """Pass 2: sub-runs by class, each with its digit and its bytes."""
+    """Pass 2: runs by class, each with its digit and its bytes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,75 +140,30 @@ def _refine(depth: int):
                     ends = np.cumsum(size)
                     take = np.arange(ends[-1]) + np.repeat(s + base - (ends - size), size)
                     text = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data[take])])
+                    whole = hashes.of(s, e + depth) ^ mix((q - s).astype(np.uint64))
                     yield pa.RecordBatch.from_arrays(
-                        [_signed(shared), batch.column("id").take(pa.array(k)), batch.column("key").take(pa.array(k)), pa.array((s + base - offsets[k]).astype(np.int32)), pa.array((q - s).astype(np.int32)), text],
-                        names=["digit", "id", "key", "lo", "offset", "bytes"],
+                        [batch.column("id").take(pa.array(k)), batch.column("key").take(pa.array(k)), _signed(shared), _signed(whole), pa.array((s + base - offsets[k]).astype(np.int32)), pa.array((e - s + 1).astype(np.int32)), text],
+                        names=["id", "key", "digit", "whole", "lo", "n", "bytes"],
                     )
 
     return task
 
 
-def _order(depth: int):
-    """Pass 3: rows come sorted by digit and salt; yields runs of windows that occur twice in their group."""
-
-    def ordered(table: pa.Table) -> pa.RecordBatch | None:
-        digit, salt, salts = (table.column(k).to_numpy() for k in ("digit", "salt", "salts"))
-        new = np.append(True, (digit[1:] != digit[:-1]) | (salt[1:] != salt[:-1]))
-        group = np.cumsum(new) - 1
-        column = table.column("bytes").combine_chunks().cast(pa.large_binary())
-        _, offsets, data = column.buffers()
-        offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-        data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
-        count = np.diff(offsets) - depth + 1
-        row = np.repeat(np.arange(len(count)), count)
-        i = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        offset = table.column("offset").to_numpy()[row] - i
-        mine = offset % salts[row] == salt[row]
-        row, i, offset = row[mine], i[mine], offset[mine]
-        value = np.zeros(len(row), np.uint64)
-        for a, b in blocks(offsets):
-            which = slice(*np.searchsorted(row, (a, b)))
-            start = offsets[row[which]] - offsets[a] + i[which]
-            value[which] = RangeHash(data[offsets[a] : offsets[b]]).of(start, start + depth)
-        value ^= mix(offset.astype(np.uint64))
-        by = np.lexsort((value, group[row]))
-        same = (value[by][1:] == value[by][:-1]) & (group[row][by][1:] == group[row][by][:-1])
-        repeated = np.zeros(len(row), bool)
-        repeated[by[1:][same]] = True
-        repeated[by[:-1][same]] = True
-        row, i = row[repeated], i[repeated]
-        if not len(row):
-            return None
-        first = np.append(True, (row[1:] != row[:-1]) | (i[1:] != i[:-1] + 1))
-        start = np.flatnonzero(first)
-        last = np.append(start[1:], len(row)) - 1
-        lo = table.column("lo").to_numpy()[row[start]] + i[start]
-        k = pa.array(row[start])
-        return pa.RecordBatch.from_arrays(
-            [table.column("id").combine_chunks().take(k), table.column("key").combine_chunks().take(k), pa.array(lo.astype(np.int32)), pa.array((lo + i[last] - i[start] + depth).astype(np.int32))],
-            names=["id", "key", "lo", "hi"],
-        )
+def _single(depth: int):
+    """Pass 3: every window of the runs."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not len(batch):
-                continue
-            digit, salt = batch.column("digit").to_numpy(), batch.column("salt").to_numpy()
-            other = np.flatnonzero((digit != digit[-1]) | (salt != salt[-1]))
-            cut = int(other[-1]) + 1 if len(other) else 0
-            if cut == 0 and held:
-                before = held[-1]
-                if before.column("digit")[-1].as_py() == digit[-1] and before.column("salt")[-1].as_py() == salt[-1]:
-                    held.append(batch)
-                    continue
-            done = pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = [batch.slice(cut)]
-            if len(done) and (out := ordered(done)) is not None:
-                yield out
-        if held and (out := ordered(pa.Table.from_batches(held))) is not None:
-            yield out
+            data, offsets = utf8(batch.column("bytes"), pa.large_binary())
+            lo = batch.column("lo").to_numpy()
+            for a, b in blocks(offsets):
+                count = np.maximum(0, np.diff(offsets[a : b + 1]) - depth + 1)
+                row = np.repeat(np.arange(a, b), count)
+                i = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                start = offsets[row] - offsets[a] + i
+                value = RangeHash(data[offsets[a] : offsets[b]]).of(start, start + depth)
+                k = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(k) for c in ("id", "key", "digit")), _signed(value), pa.array((lo[row] + i).astype(np.int32))], names=["id", "key", "digit", "value", "lo"])
 
     return task
 
@@ -247,6 +201,20 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
 
 
+def _settle(rows: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of the rows ``id, key, digit, whole, lo, n, ...``: those whose bytes occur twice, and one of each content that must be ordered further."""
+    counts = rows.groupBy("digit").agg(F.count("*").alias("c"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("c > 1")
+    twice = scratch.save(counts.select("digit", "c", (F.col("a") == F.col("b")).alias("alike")), f"{name}-twice")
+    shared = scratch.save(spread_join(rows, twice, ["digit"], "c", ["id", "key", "lo"]), f"{name}-shared")
+    mixed = shared.where("not alike").drop("alike").withColumn("place", F.xxhash64("id", "key", "lo"))
+    contents = mixed.groupBy("digit", "whole").agg(F.count("*").alias("c"), F.min("place").alias("least")).where("c > 1")
+    contents = scratch.save(contents, f"{name}-contents")
+    marked = scratch.save(spread_join(mixed, contents, ["digit", "whole"], "c", ["place"], "left"), f"{name}-marked")
+    scratch.drop(f"{name}-twice", f"{name}-contents")
+    repeated = shared.where("alike").drop("alike").unionByName(marked.where("least is not null").drop("place", "least"))
+    return repeated, marked.where("least is null or place = least").drop("place", "least")
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 200) -> DataFrame:
     """Byte ranges under windows of ``depth`` bytes that start at two places or more.
 
@@ -261,26 +229,31 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "suffix")
     rows = _identified(docs, id_col, text_col).where(F.octet_length("text") >= depth)
     head = f"id {rows.schema['id'].dataType.simpleString()}, key bigint"
+    span = lambda df: df.select("id", "key", "lo", (F.col("lo") + F.col("n") - 1 + depth).alias("hi"))
+
     filed = scratch.save(in_arrow(rows, _file(depth), f"{head}, digit bigint, whole bigint, lo int, n int, anchor int"), "filed")
-    twice = filed.groupBy("digit").agg(F.count("*").alias("c"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("c > 1").select("digit", (F.col("a") == F.col("b")).alias("alike"))
-    twice = scratch.save(twice, "twice")
-    shared = scratch.save(filed.join(twice, "digit").select(*filed.columns, "alike"), "shared")
+    runs, open_runs = _settle(filed, scratch, "run")
     scratch.drop("filed")
-    span = lambda df: df.select("id", "key", "lo", (F.col("lo") + F.col("n") - 1 + depth).alias("hi"))
 
-    mixed = shared.where("not alike")
-    runs = mixed.groupBy("digit", "whole").agg(F.count("*").alias("c"), F.min(F.struct("id", "key", "lo")).alias("least"))
-    mixed = scratch.save(mixed.join(runs, ["digit", "whole"]).select("id", "key", "lo", "n", "anchor", (F.col("c") > 1).alias("whole_run"), (F.struct("id", "key", "lo").eqNullSafe(F.col("least"))).alias("one")), "mixed")
-    further = mixed.where("one").groupBy("id", "key").agg(F.collect_set(F.struct("lo", "n", "anchor")).alias("runs"))
+    further = open_runs.groupBy("id", "key").agg(F.collect_set(F.struct("lo", "n", "anchor")).alias("runs"))
     texts = rows.alias("t").join(further.alias("f"), F.col("t.id").eqNullSafe(F.col("f.id")) & (F.col("t.key") == F.col("f.key"))).select("t.id", "t.key", "text", "runs")
-    sub = scratch.save(in_arrow(texts, _refine(depth), f"digit bigint, {head}, lo int, offset int, bytes binary"), "sub")
-    groups = sub.groupBy("digit").agg(F.count("*").alias("c")).where("c > 1").select("digit", F.least(F.lit(CLASS), F.ceil(F.col("c") / GROUP)).cast("int").alias("salts"))
-    dealt = sub.join(groups, "digit").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    ordered = in_arrow(dealt.repartition("digit", "salt").sortWithinPartitions("digit", "salt"), _order(depth), f"{head}, lo int, hi int")
-
-    found = span(shared.where("alike")).unionByName(span(mixed.where("whole_run"))).unionByName(ordered)
+    classed = scratch.save(in_arrow(texts, _refine(depth), f"{head}, digit bigint, whole bigint, lo int, n int, bytes binary"), "classed")
+    runs = scratch.save(span(runs), "run-spans")
+    scratch.drop("run-shared", "run-marked")
+    classes, open_classes = _settle(classed.drop("bytes"), scratch, "class")
+
+    some = open_classes.select("id", "key", "lo", "n")
+    same = F.col("c.id").eqNullSafe(F.col("o.id")) & (F.col("c.key") == F.col("o.key")) & (F.col("c.lo") == F.col("o.lo")) & (F.col("c.n") == F.col("o.n"))
+    still = classed.alias("c").join(some.alias("o"), same, "left_semi").select("id", "key", "digit", "lo", "bytes")
+    windows = scratch.save(in_arrow(still, _single(depth), f"{head}, digit bigint, value bigint, lo int"), "windows")
+    classes = scratch.save(span(classes), "class-spans")
+    scratch.drop("class-shared", "class-marked", "classed")
+    twice = scratch.save(windows.groupBy("digit", "value").agg(F.count("*").alias("c")).where("c > 1"), "twice")
+    windows = spread_join(windows, twice, ["digit", "value"], "c", ["id", "key", "lo"]).withColumn("n", F.lit(1))
+
+    found = runs.unionByName(classes).unionByName(span(windows))
     spans = scratch.save(found.groupBy("id", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
-    scratch.drop("twice", "shared", "mixed", "sub")
+    scratch.drop("run-spans", "class-spans", "windows", "twice")
     return spans
 
 
