@@ -32,7 +32,8 @@ from pyspark.sql.window import Window
 
 from .components import connected_components
 from .scratch import Scratch, in_arrow
-from .textkit import Words, blocks, mix, utf8, words
+from .skew import spread_join, without_common
+from .textkit import Words, blocks, joined, mix, utf8, words
 
 RARE = 16
 """A shingle of fewer nodes is rare."""
@@ -59,7 +60,7 @@ def _shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         whole = np.zeros(len(short), np.uint64)
         for i in range(size - 1):
             more = found.counts[short] > i
-            whole[more] = whole[more] * _U(0xD1342543DE82EF95) + found.hash[found.first[short[more]] + i]
+            whole[more] = joined(whole[more], found.hash[found.first[short[more]] + i])
         value = np.append(value, mix(whole ^ _U(size)))
         row = np.append(row, short)
     by = np.lexsort((value, row))
@@ -123,11 +124,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: in
     return in_arrow(source, _sign(size, bands, rows), f"id {kind}, key bigint, n_shingles bigint, node binary, bands array<bigint>")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``a, b`` whose full sets have ``100 * common >= percent * union``."""
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """Those of the pairs ``a, b`` whose full sets have ``100 * common >= percent * union``; a node of many pairs has its set sent to several tasks."""
+    both = pairs
+    for side, column in (("a", "x"), ("b", "y")):
+        degree = scratch.save(pairs.groupBy(side).agg(F.count("*").alias("c")), f"{name}-degree-{side}")
+        both = spread_join(both, sets.select(F.col("node").alias(side), F.col("set").alias(column)), [side], "c", ["a", "b"], counts=degree)
     common = F.size(F.array_intersect("x", "y")).cast("bigint")
     union = F.size("x") + F.size("y") - common
     return both.where(100 * common >= percent * union).select("a", "b")
@@ -147,16 +149,13 @@ def near_duplicates(
     only if it has no other, and then all its rows are kept.  Equal rows get
     equal results.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+    scratch = Scratch(docs.sparkSession, "minhash")
     signed = scratch.save(signatures(docs, id_col, text_col, shingle, bands, rows), "signed")
-    nodes = scratch.save(
-        signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("id", "key")).alias("at"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
-        "nodes",
-    )
+    nodes = signed.where("node is not null").groupBy("node")
+    nodes = scratch.save(nodes.agg(F.min("id").alias("id"), F.min(F.struct("id", "key")).alias("at"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("c")), "nodes")
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
-    members = scratch.save(banded.join(shared, "band"), "members")
+    shared = scratch.save(banded.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    members = scratch.save(spread_join(banded, shared, ["band"], "c", ["node"], keep=["band", "node", "n", "c"]), "members")
 
     wanted = members.select("node").distinct().join(nodes.select("node", "at"), "node")
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
@@ -166,17 +165,18 @@ def near_duplicates(
     near = lambda n, m: (100 * F.least(n, m) >= percent * F.greatest(n, m))
     company = members.groupBy("node").agg(F.sum("c").alias("company"))
     leaders = scratch.save(members.join(company, "node").groupBy("band").agg(F.max(F.struct("company", "node", "n")).alias("leader")), "leaders")
-    star = members.join(leaders, "band").where((F.col("node") != F.col("leader.node")) & near(F.col("n"), F.col("leader.n"))).select("node", F.col("leader.node").alias("leader"))
-    tested = scratch.save(_pair("node", "leader", star), "star")
-    edges = scratch.save(_linked(tested, sets, percent), "edges")
+    star = spread_join(members, leaders, ["band"], "c", ["node"], counts=shared).where((F.col("node") != F.col("leader.node")) & near(F.col("n"), F.col("leader.n")))
+    tested = scratch.save(_pair("node", "leader", star.select("node", F.col("leader.node").alias("leader"))), "star")
+    edges = scratch.save(_linked(tested, sets, percent, scratch, "star"), "edges")
     comps = connected_components(edges, scratch, "joined")
 
-    now = scratch.save(_open(members.where("c > 2").select("band", "node", "n").join(comps, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))), "open")
+    now = members.where("c > 2").select("band", "node", "n").join(comps, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
+    now = scratch.save(_open(now, scratch, "open"), "open")
     if not now.isEmpty():
         each = scratch.save(now.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component")).join(sets, "node").select("node", "n", "component", F.explode("set").alias("shingle")), "each")
-        few = scratch.save(each.groupBy("shingle").agg(F.count("*").alias("c")).where(F.col("c") < RARE).select("shingle"), "few")
-        rare = scratch.save(each.join(few, "shingle"), "rare")
-        scratch.drop("each", "few")
+        tally = scratch.save(each.groupBy("shingle").agg(F.count("*").alias("c")), "tally")
+        rare = scratch.save(without_common(each, tally, "shingle", "c", RARE), "rare")
+        scratch.drop("each", "tally")
         sides = lambda rows, key, *names: (rows.select(key, *[F.col(c).alias(f"{side}_{c}") for c in names]) for side in "ab")
         apart = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & near(F.col("a_n"), F.col("b_n"))
 
@@ -185,30 +185,35 @@ def near_duplicates(
         wide = now.join(rare.groupBy("node").agg(F.count("*").alias("rare")), "node", "left").withColumn("wide", F.col("n") - F.coalesce("rare", F.lit(0))).where(100 * F.col("wide") >= percent * F.col("n"))
         # common / union >= p / 100 means common * (100 + p) >= p * (both sizes), and common is within both counts
         enough = (100 + percent) * F.least("a_wide", "b_wide") >= percent * (F.col("a_n") + F.col("b_n"))
-        wide = scratch.save(_open(wide.drop("rare")), "wide")
-        plainest = scratch.save(wide.groupBy("band").agg(F.max(F.struct((F.col("wide") / F.col("n")).alias("share"), *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "component", "wide")))).alias("leader")).select("band", "leader.*"), "plainest")
-        star = wide.select("band", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "component", "wide")]).join(plainest, "band").where((F.col("a_component") != F.col("b_component")) & near(F.col("a_n"), F.col("b_n")) & enough)
-        star = scratch.save(_pair("a_node", "b_node", star.select("a_node", "b_node").union(by_rare)).join(tested, ["a", "b"], "left_anti"), "second-star")
+        wide = scratch.save(_open(wide.drop("rare"), scratch, "wide"), "wide")
+        best = F.max(F.struct((F.col("wide") / F.col("n")).alias("share"), *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "component", "wide"))))
+        plainest = scratch.save(wide.groupBy("band").agg(best.alias("leader"), F.count("*").alias("c")).select("band", "leader.*", "c"), "plainest")
+        star = spread_join(wide.select("band", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "component", "wide")]), plainest, ["band"], "c", ["a_node"])
+        star = star.where((F.col("a_component") != F.col("b_component")) & near(F.col("a_n"), F.col("b_n")) & enough).select("a_node", "b_node")
+        star = scratch.save(_pair("a_node", "b_node", star.union(by_rare)).join(tested, ["a", "b"], "left_anti"), "second-star")
         tested = tested.union(star)
-        edges = scratch.save(edges.union(_linked(star, sets, percent)), "more-edges")
+        edges = scratch.save(edges.union(_linked(star, sets, percent, scratch, "second")), "more-edges")
         comps = connected_components(edges, scratch, "rejoined")
-        wide = scratch.save(_open(wide.drop("component").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))), "rewide")
-        wide = wide.join(wide.groupBy("node").agg(F.collect_list("band").alias("bands")), "node")
+        wide = scratch.save(_open(wide.drop("component").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")), scratch, "rewide"), "rewide")
+        wide = scratch.save(wide.join(wide.groupBy("node").agg(F.collect_list("band").alias("bands")), "node"), "pairable")
         left, right = sides(wide, "band", "node", "n", "component", "wide", "bands")
         once = F.array_min(F.array_intersect("a_bands", "b_bands")) == F.col("band")
-        by_band = left.join(right, "band").where(apart & enough & once).select("a_node", "b_node")
-        rest = _pair("a_node", "b_node", by_band).join(tested, ["a", "b"], "left_anti")
-        edges = scratch.save(edges.union(_linked(scratch.save(rest, "rest"), sets, percent)), "all-edges")
+        per_band = scratch.save(wide.groupBy("band").agg(F.count("*").alias("c")), "per-band")
+        by_band = spread_join(left, right, ["band"], "c", ["a_node"], counts=per_band).where(apart & enough & once).select("a_node", "b_node")
+        rest = scratch.save(_pair("a_node", "b_node", by_band).join(tested, ["a", "b"], "left_anti"), "rest")
+        edges = scratch.save(edges.union(_linked(rest, sets, percent, scratch, "rest")), "all-edges")
         comps = connected_components(edges, scratch, "all")
-        scratch.drop("rare", "wide", "plainest", "second-star", "more-edges", "rewide", "rest", "all-edges")
+        scratch.drop("rare", "wide", "plainest", "second-star", "more-edges", "rewide", "pairable", "per-band", "rest", "all-edges")
 
-    scratch.drop("members", "sets", "leaders", "star", "edges", "open")
+    scratch.drop("members", "shared", "sets", "leaders", "star", "edges", "open")
     groups = comps.join(nodes.select("node", "id"), "node")
-    named = groups.join(groups.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("node", "component", "component_id")
-    labels = nodes.select("node", "id").join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "id").alias("component_id"))
-    done = signed.select("id", "key", "n_shingles", "node").join(labels, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return done.select("id", "key", "n_shingles", F.col("component").alias("group"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    least = scratch.save(groups.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("c")), "components")
+    named = spread_join(groups, least, ["component"], "c", ["node"], keep=["node", "component", "component_id"])
+    labels = nodes.select("node", "id").join(named, "node", "left").select("node", F.coalesce("component", "node").alias("group"), F.coalesce("component_id", "id").alias("component_id"))
+    own = signed.select("id", "key", "n_shingles", "node")
+    linked = spread_join(own.where("node is not null"), labels, ["node"], "c", ["id", "key"], keep=["id", "key", "n_shingles", "group", "component_id"], counts=nodes.select("node", "c"))
+    empty = own.where("node is null").select("id", "key", "n_shingles", F.col("node").alias("group"), F.col("id").alias("component_id"))
+    return linked.unionByName(empty).select("*", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -227,7 +232,8 @@ def _pair(one: str, other: str, rows: DataFrame) -> DataFrame:
     return rows.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
 
 
-def _open(rows: DataFrame) -> DataFrame:
+def _open(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The rows of buckets that span components."""
-    mixed = rows.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band")
-    return rows.join(mixed, "band", "left_semi")
+    buckets = rows.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("c"))
+    mixed = scratch.save(buckets.where("c0 <> c1").select("band", "c"), f"{name}-buckets")
+    return spread_join(rows, mixed, ["band"], "c", ["node"], keep=rows.columns)

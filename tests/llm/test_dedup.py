@@ -1,5 +1,6 @@
 """Suffix dedup and near duplicates against brute force."""
 
+import random
 import re
 from collections import Counter
 
@@ -7,10 +8,24 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from cinevox.llm import skew
 from cinevox.llm.minhash import near_duplicates, one_of_each_group
 from cinevox.llm.suffix_dedup import remove_repeats
 
-from .conftest import rows_of
+from .conftest import rows_of, sentence
+
+
+@pytest.fixture
+def dealt(monkeypatch):
+    """Keys of more than three rows count as large, so that small tables take the way of large ones."""
+    monkeypatch.setattr(skew, "LEAST", 3)
+    monkeypatch.setattr(skew, "PIECES", 10**6)
+
+
+def thue_morse(n):
+    """Two texts of ``n`` letters that agree under every hash which is a polynomial modulo a power of two, if ``n`` is large."""
+    ones = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[i] for i in ones), "".join("ba"[i] for i in ones)
 
 
 def cut(texts, depth):
@@ -68,6 +83,24 @@ def test_suffix_dedup_of_few_letters(make, texts, copies):
     assert [got[i + 1] for i in range(len(texts))] == cut(texts, 100)
 
 
+@pytest.mark.parametrize("n", [200, 256, 1024, 4096])
+def test_suffix_dedup_of_texts_with_equal_polynomials(make, n):
+    """The two texts share windows, as all their short factors are alike, but not at every place."""
+    one, other = thue_morse(n)
+    texts = [one + "x" * 7, "y" * 9 + other]
+    got = {r["doc"]["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in remove_repeats(make(rows_of(texts)), depth=200).collect()}
+    assert [got[i + 1] for i in range(2)] == cut(texts, 200)
+
+
+def test_suffix_dedup_of_a_passage_in_many_surroundings(make, dealt):
+    """Passages a little shorter and longer than a window, each in other surroundings; all digits of them are large groups."""
+    rng = random.Random(5)
+    passages = [sentence(rng, 40)[:n] for n in (180, 199, 200, 230)]
+    texts = [sentence(rng, 9) + p + sentence(rng, 40) for p in passages for _ in range(60)] + [passages[3] + " same end " * 8] * 20
+    got = {r["doc"]["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in remove_repeats(make(rows_of(texts)), depth=200).collect()}
+    assert [got[i + 1] for i in range(len(texts))] == cut(texts, 200)
+
+
 def test_suffix_dedup_of_nothing(make):
     assert remove_repeats(make([])).count() == 0
 
@@ -90,6 +123,24 @@ def test_chains_and_buckets_with_many_nodes(make):
     assert got == {i: c for (i, _), (_, c) in zip(rows, groups(rows, 4, 80), strict=True)}
 
 
+def test_words_with_equal_polynomials_are_not_linked(make):
+    texts = [t for n in (256, 1024, 4096) for t in thue_morse(n)]
+    assert [r["component_id"] for r in near_duplicates(make(rows_of(texts))).orderBy("id").collect()] == list(range(1, 7))
+
+
+def test_large_groups_are_dealt_out(make, dealt):
+    """Many exact copies, a hub of near copies, and one template with many fills: all pairs decide."""
+    rng = random.Random(8)
+    base = sentence(rng, 60).split()
+    hub = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(60)]
+    template = sentence(rng, 80)
+    fills = [f"{template} {sentence(rng, n)}" for n in (4, 8, 10, 16, 22) for _ in range(12)]
+    texts = [None, "", *[" ".join(base)] * 30, *hub, *fills]
+    rows = list(enumerate(texts, 1))
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(make(rows_of(texts)), shingle=4).collect()}
+    assert got == {i: (n, c if n else i) for (i, _), (n, c) in zip(rows, groups(rows, 4, 80), strict=True)}
+
+
 def test_one_of_each_group_stays(hard):
     rows = [(r["doc_id"], r["text"]) for r in hard.collect()]
     found = groups(rows, 5, 80)
