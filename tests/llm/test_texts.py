@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import math
 import random
+import re
 import textwrap
 from collections import Counter
 
@@ -14,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cinevox.llm import language_id, masked_lm
+from cinevox.llm import language_id, licenses, masked_lm
 from cinevox.llm.byte_bpe import encode, encode_digests, tokenizer
 from cinevox.llm.licenses import TEMPLATES, scan
 from cinevox.llm.quality import quality
@@ -200,6 +202,68 @@ def test_wrapped_licences_are_found(make):
         assert (got[i]["families"], got[i]["n_licensed"]) == ([family], 1), text
 
 
+def lines_plainly(scanner, text):
+    """Families of the lines of a text: features counted in a dict, templates compared as sets of word triples."""
+    plain = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", t.encode().lower())
+    triples = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} or {tuple(w)}
+    owners = Counter(x for ts in TEMPLATES.values() for x in set().union(*(triples(plain(t)) for t in ts)))
+    telling = lambda t: {x for x in triples(plain(t)) if owners[x] < licenses.COMMON}
+    out = set()
+    for line in text.split("\n"):
+        own = plain(line)
+        if not own:
+            continue
+        _, feature, _ = licenses._bags(licenses._words([b" ".join(own).decode("utf-8", "ignore")]))
+        text_of = lambda *w: " ".join(x.decode("utf-8", "ignore") for x in w)
+        value = Counter(licenses._bags(licenses._words([text_of(w)]))[1][0] for w in own)
+        value.update(int(licenses._words([text_of(*pair)]).ngrams(2)[0][0] % np.uint64(licenses.FEATURES)) for pair in zip(own, own[1:]))
+        assert set(value) == set(feature.tolist())
+        norm = math.sqrt(sum(v * v for v in value.values()))
+        logits = sum(scanner.weights[f].astype(float) * v / norm for f, v in value.items()) + scanner.bias
+        odds = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+        family = int(odds[:-1].argmax())
+        if 1 - odds[-1] >= scanner.threshold:
+            name = scanner.families[family]
+            if any(telling(t) and len(telling(t) & triples(own)) >= 0.6 * len(telling(t)) for t in TEMPLATES[name]):
+                out.add(name)
+    return sorted(out)
+
+
+def test_licence_lines_equal_a_plain_scan(make):
+    rng = random.Random(12)
+    texts = [sentence(rng, 40) for _ in range(40)]
+    texts += [rng.choice(own) + "\n" + rng.choice(licenses.MENTIONS).format(rng.choice(licenses.NAMES[f])) + "\n" + sentence(rng, 5) for f, own in TEMPLATES.items() for _ in range(3)]
+    docs = make(rows_of(texts))
+    scanner = licenses.train(docs)
+    got = {r["doc"]["doc_id"]: r["families"] for r in scan(docs, columns=["doc_id"]).collect()}
+    assert got == {i: lines_plainly(scanner, t) for i, t in enumerate(texts, 1)}
+
+
+def test_held_out_notices_and_mentions(make):
+    """Wordings that the templates do not have, edited bodies, and mentions that grant nothing."""
+    rng = random.Random(13)
+    plain = [sentence(rng, 40) for _ in range(60)]
+    grants = ("All files here are released under {} unless noted.", "Our code is licensed under {}, like the rest.", "(c) 2019 the authors. This work is licensed under {}", "The library is distributed under the terms of {} since May.")
+    notices = [(f, g.format(n)) for g in grants for f, own in licenses.NAMES.items() for n in own if len(n.split()) > 2]
+    for f, own in licenses.BODIES.items():
+        for t in own:
+            kept = [w for w in t.split() if rng.random() > 0.04]
+            notices.append((f, "\n".join("// " + x for x in textwrap.wrap(sentence(rng, 3) + " " + " ".join(kept) + " " + sentence(rng, 3), 66))))
+    mentions = [m.format(n) for m in ("We discussed {} at length during the meeting.", "The plugin is not available under {}.", "Somebody wrote a book about {} and its history.") for own in licenses.NAMES.values() for n in own]
+    got = {r["doc"]["doc_id"]: r["families"] for r in scan(make(rows_of([*plain, *(t for _, t in notices), *mentions])), scanner=licenses.train(make(rows_of(plain)))).collect()}
+    found = [got[i] for i in range(61, 61 + len(notices))]
+    right = sum(f in own for (f, _), own in zip(notices, found, strict=True))
+    listed = sum(map(len, got.values()))
+    assert right >= 0.9 * len(notices), [n for n, own in zip(notices, found, strict=True) if n[0] not in own]
+    assert right >= 0.9 * listed
+
+
+def test_licences_of_hard_rows(hard):
+    rows = scan(hard, columns=["doc_id"]).collect()
+    assert len(rows) == hard.count() and not any(r["families"] for r in rows)
+    assert sum(r["n_paragraphs"] for r in rows) == sum(bool(SEPARATED.search(line)) for r in hard.collect() for line in (r["text"] or "").split("\n"))
+
+
 def test_words_of_a_slice():
     import pyarrow as pa
 
