@@ -2,10 +2,11 @@
 
 The references are learnt from the corpus itself: for every non-null language,
 the share of each character class over all its documents, and the shares of its
-``COMMON`` most frequent short words.  A document is compared with every
+``COMMON`` most frequent words.  A document is compared with every
 reference by the Jensen-Shannon distance (square root of the divergence in
 bits); the nearest language counts, so a wrong or missing language tag does not
-condemn a text.  Short documents vary by chance and are not judged by distance.
+condemn a text; of equally near languages the first by name counts.  Short
+documents vary by chance and are not judged by distance.
 """
 
 from __future__ import annotations
@@ -20,13 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .scratch import in_arrow
+from .scratch import Scratch, in_arrow
 from .textkit import RangeHash, Words, blocks, utf8, words
 
 COMMON = 100
-SHORT = 7
-"""Longest word, in bytes, that can be a common word; it is counted as an integer of its bytes."""
-
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -71,22 +69,8 @@ def _histogram(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.bincount(row[ok] * N_CLASSES + kind[ok], minlength=(len(offsets) - 1) * N_CLASSES).reshape(-1, N_CLASSES)
 
 
-def _short(data: np.ndarray, found: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Short words, lower-cased, as integers, and their rows."""
-    size = found.end - found.start
-    which = np.flatnonzero(size <= SHORT)
-    start, size = found.start[which], size[which]
-    value = np.zeros(len(which), np.int64)
-    for i in range(SHORT):
-        more = size > i
-        byte = data[start[more] + i].astype(np.int64)
-        byte += 32 * ((byte >= 65) & (byte <= 90))
-        value[more] = (value[more] << 8) | byte
-    return value, found.row()[which]
-
-
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by language: of classes (negative numbers: -1 - class) and of short words."""
+    """Counts by language: of classes (``word`` false) and of lower-cased words, by hash (``word`` true)."""
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         lang = batch.column("lang").dictionary_encode()
@@ -96,18 +80,15 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in blocks(offsets):
             part, cuts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             np.add.at(total, code[a:b], _histogram(part, cuts))
-            value, row = _short(part, words(part, cuts))
-            by = np.lexsort((value, code[a:b][row]))
-            pair = np.stack([code[a:b][row][by], value[by]])
-            new = np.append(True, (pair[:, 1:] != pair[:, :-1]).any(0)) if pair.shape[1] else np.zeros(0, bool)
-            start = np.flatnonzero(new)
+            found = words(part, cuts, lower=True)
+            pair = np.stack([code[a:b][found.row()], found.hash.view(np.int64)])
+            pair = pair[:, np.lexsort(pair[::-1])]
+            start = np.flatnonzero(np.append(True, (pair[:, 1:] != pair[:, :-1]).any(0))[: pair.shape[1]])
             keys.append(pair[:, start])
             counts.append(np.diff(np.append(start, pair.shape[1])))
         c, k = np.nonzero(total)
-        keys.append(np.stack([c, -1 - k]))
-        counts.append(total[c, k])
-        every, count = np.concatenate(keys, axis=1), np.concatenate(counts)
-        yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(every[0])), pa.array(every[1]), pa.array(count)], names=["lang", "item", "n"])
+        for word, key, count in ((True, np.concatenate([np.zeros((2, 0), np.int64), *keys], axis=1), np.concatenate([np.zeros(0, np.int64), *counts])), (False, np.stack([c, k]), total[c, k])):
+            yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(key[0])), pa.array(np.full(len(count), word)), pa.array(key[1]), pa.array(count.astype(np.int64))], names=["lang", "word", "item", "n"])
 
 
 @dataclass(frozen=True)
@@ -123,23 +104,22 @@ class Reference:
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[Reference]:
     """Of every non-null language, from all its documents.  The result's size depends on the number of languages only."""
     source = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counts = in_arrow(source, _survey, "lang string, item bigint, n bigint").groupBy("lang", "item").agg(F.sum("n").alias("n"))
-    first = Window.partitionBy("lang", F.col("item") < 0).orderBy(F.desc("n"), "item")
-    ranked = counts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= max(COMMON, N_CLASSES))
-    total = source.select("lang", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n")).groupBy("lang").agg(F.sum("n").alias("n_words"))
+    scratch = Scratch(docs.sparkSession, "quality")
+    counts = scratch.save(in_arrow(source, _survey, "lang string, word boolean, item bigint, n bigint").groupBy("lang", "word", "item").agg(F.sum("n").alias("n")), "counts")
+    first = Window.partitionBy("lang", "word").orderBy(F.desc("n"), "item")
+    ranked = counts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= F.when(F.col("word"), COMMON).otherwise(N_CLASSES)).collect()
+    sizes = {r["lang"]: r["n"] for r in counts.where("word").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    scratch.drop("counts")
     out = []
-    rows: dict[str, list] = {}
-    for r in ranked.collect():
-        rows.setdefault(r["lang"], []).append(r)
-    sizes = {r["lang"]: r["n_words"] or 0 for r in total.collect()}
-    for lang in sorted(rows):
+    for lang in sorted({r["lang"] for r in ranked}):
+        own = [r for r in ranked if r["lang"] == lang]
         classes = np.zeros(N_CLASSES)
-        for r in rows[lang]:
-            if r["item"] < 0:
-                classes[-1 - r["item"]] = r["n"]
-        common = sorted((r["item"], r["n"]) for r in rows[lang] if r["item"] >= 0 and r["place"] <= COMMON)
-        shares = np.array([n for _, n in common] + [max(0, sizes[lang] - sum(n for _, n in common))], float)
-        out.append(Reference(lang, classes / max(classes.sum(), 1), np.array([w for w, _ in common], np.int64), shares / max(shares.sum(), 1)))
+        for r in own:
+            if not r["word"]:
+                classes[r["item"]] = r["n"]
+        common = sorted((int(np.int64(r["item"]).view(np.uint64)), r["n"]) for r in own if r["word"])
+        shares = np.array([n for _, n in common] + [sizes.get(lang, 0) - sum(n for _, n in common)], float)
+        out.append(Reference(lang, classes / max(classes.sum(), 1), np.array([w for w, _ in common], np.uint64), shares / max(shares.sum(), 1)))
     return out
 
 
@@ -188,7 +168,7 @@ def _line_repeats(data: np.ndarray, offsets: np.ndarray, found: Words) -> np.nda
 
 def _judge(known: Sequence[Reference], rules: Rules, inside: str | None):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = np.unique(np.concatenate([r.words for r in known])) if known else np.zeros(0, np.int64)
+        vocabulary = np.unique(np.concatenate([r.words for r in known])) if known else np.zeros(0, np.uint64)
         for batch in batches:
             data, offsets = utf8(batch.column("doc").field(inside) if inside else batch.column("text"))
             size = len(batch)
@@ -210,7 +190,7 @@ def _judge(known: Sequence[Reference], rules: Rules, inside: str | None):
                 if not known:
                     continue
                 classes = _histogram(part, cuts)
-                value, row = _short(part, found)
+                value, row = words(part, cuts, lower=True).hash, found.row()
                 place = np.minimum(np.searchsorted(vocabulary, value), len(vocabulary) - 1) if len(vocabulary) else np.zeros(len(value), np.int64)
                 hit = vocabulary[place] == value if len(vocabulary) else np.zeros(len(value), bool)
                 common = np.bincount(row[hit] * max(len(vocabulary), 1) + place[hit], minlength=(b - a) * max(len(vocabulary), 1)).reshape(b - a, -1)
