@@ -2,15 +2,18 @@
 
 A small network predicts every token from the two tokens on its left and the two
 on its right: one embedding table for each of the four places, their sum through
-tanh, and a softmax over the vocabulary.  A document's score is the sum of the
-log-probabilities of its tokens, each given both sides.
-
-The vocabulary is counted over the whole corpus: the most frequent short words,
-and hash buckets for all other words.  Training runs where the data is: every
-task descends over its part of the windows (one in ``STRIDE`` of every document,
-so the training set grows with the corpus) from common weights; Spark then
-averages the tasks' weights by their numbers of windows, as integers, so that
-the order of the sum does not matter.  That is repeated ``ROUNDS`` times.
+tanh, and a softmax in two steps, over ``CLASSES`` classes of tokens and over the
+tokens of the class.  A document's score is the sum of the log-probabilities of
+its tokens, each given both sides.
+
+The vocabulary is counted over the whole corpus: the most frequent words, of any
+length, and a class of hash buckets for all other words.  Training runs where the
+data is, on every window of every document.  Documents are dealt by hash into
+groups of about ``GROUP`` words and into ``ROUNDS`` rounds; a group's windows are
+descended over in the order of the hash, from the weights of the round before;
+Spark then averages the groups' weights by their numbers of windows, as integers.
+So neither the layout of the table nor the order of the sums changes a score, and
+the windows and groups grow with the corpus.
 """
 
 from __future__ import annotations
@@ -25,66 +28,55 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import in_arrow
-from .textkit import blocks, mix, utf8, words
+from .textkit import blocks, utf8, words
 
-COMMON = 192
-BUCKETS = 64
-SIZE = COMMON + BUCKETS
+CLASSES = 64
+MEMBERS = 64
+SIZE = CLASSES * MEMBERS
+COMMON = SIZE - MEMBERS
+"""Words with a token of their own; the last class has the buckets of all others."""
 PAD = SIZE
 WIDTH = 16
 AROUND = (-2, -1, 1, 2)
-STRIDE = 16
-ROUNDS = 2
-BATCH = 256
-RATE = 0.2
-_SHORT = 7
+ROUNDS = 3
+GROUP = 1_000_000
+"""Words of a group, on average."""
+LEAST = 200_000
+"""Windows that a group descends over at least, if need be in several passes over its own."""
+BATCH = 4096
+RATE = 0.15
 _FIX = 1 << 20
 _U = np.uint64
 
 
-def _packed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Words of up to 7 bytes, lower-cased, as integers; -1 for longer ones."""
-    size = end - start
-    value = np.zeros(len(start), np.int64)
-    for i in range(_SHORT):
-        more = np.flatnonzero((size > i) & (size <= _SHORT))
-        byte = data[start[more] + i].astype(np.int64)
-        value[more] = (value[more] << 8) | (byte + 32 * ((byte >= 65) & (byte <= 90)))
-    value[size > _SHORT] = -1
-    return value
-
-
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
-        found = []
-        for a, b in blocks(offsets):
-            part = data[offsets[a] : offsets[b]]
-            w = words(part, offsets[a : b + 1] - offsets[a])
-            value = _packed(part, w.start, w.end)
-            found.append(value[value >= 0])
-        word, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n.astype(np.int64))], names=["word", "n"])
+        found = [words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower=True).hash for a, b in blocks(offsets)]
+        word, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, _U), np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
 
 @dataclass(frozen=True)
 class Model:
-    """``common`` words as sorted integers; ``place`` (4, size + 1, width), ``out`` (width, size) and ``bias``."""
+    """Hashes of the common words, sorted, and their tokens; the four ``place`` tables, the classes' and the tokens' outputs and biases."""
 
     common: np.ndarray
+    token: np.ndarray
     place: np.ndarray
+    top: np.ndarray
+    top_bias: np.ndarray
     out: np.ndarray
     bias: np.ndarray
 
     def tokens(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token of every word, and the rows' ranges."""
         w = words(data, offsets, lower=True)
-        value = _packed(data, w.start, w.end)
-        token = COMMON + (w.hash % _U(BUCKETS)).astype(np.int64)
+        token = COMMON + (w.hash % _U(MEMBERS)).astype(np.int64)
         if len(self.common):
-            at = np.minimum(np.searchsorted(self.common, value), len(self.common) - 1)
-            hit = self.common[at] == value
-            token[hit] = at[hit]
+            at = np.minimum(np.searchsorted(self.common, w.hash), len(self.common) - 1)
+            hit = self.common[at] == w.hash
+            token[hit] = self.token[at[hit]]
         return token, w.first
 
     @staticmethod
@@ -101,80 +93,165 @@ class Model:
     def hidden(self, context: np.ndarray) -> np.ndarray:
         return np.tanh(sum(self.place[k][context[k]] for k in range(len(AROUND))))
 
+    def by_class(self, token: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        """Positions of the tokens of each class that occurs."""
+        kind = token // MEMBERS
+        by = np.argsort(kind, kind="stable")
+        cut = np.searchsorted(kind[by], np.arange(CLASSES + 1))
+        for c in range(CLASSES):
+            if cut[c] < cut[c + 1]:
+                yield by[cut[c] : cut[c + 1]], c
+
     def log_probs(self, token: np.ndarray, context: np.ndarray) -> np.ndarray:
         out = np.zeros(len(token))
         for a in range(0, len(token), 8192):
-            some = slice(a, a + 8192)
-            logits = self.hidden(context[:, some]) @ self.out + self.bias
-            own = logits[np.arange(len(logits)), token[some]]
-            out[some] = own - np.log(np.exp(logits).sum(1))
+            own, hidden = token[a : a + 8192], self.hidden(context[:, a : a + 8192])
+            logits = hidden @ self.top + self.top_bias
+            part = logits[np.arange(len(own)), own // MEMBERS] - np.log(np.exp(logits).sum(1))
+            for at, c in self.by_class(own):
+                inside = slice(c * MEMBERS, (c + 1) * MEMBERS)
+                logits = hidden[at] @ self.out[inside].T + self.bias[inside]
+                part[at] += logits[np.arange(len(at)), own[at] % MEMBERS] - np.log(np.exp(logits).sum(1))
+            out[a : a + 8192] = part
         return out
 
+    def parts(self) -> list[np.ndarray]:
+        return [self.place, self.top, self.top_bias, self.out, self.bias]
+
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.place.ravel(), self.out.ravel(), self.bias])
-
-    @classmethod
-    def unflat(cls, common: np.ndarray, values: np.ndarray) -> Model:
-        values = values.astype(np.float32)
-        a, b = len(AROUND) * (SIZE + 1) * WIDTH, WIDTH * SIZE
-        return cls(common, values[:a].reshape(len(AROUND), SIZE + 1, WIDTH).copy(), values[a : a + b].reshape(WIDTH, SIZE).copy(), values[a + b :].copy())
-
-
-def _descend(model: Model, token: np.ndarray, context: np.ndarray, rate: float) -> None:
-    """One step on a batch of windows."""
-    hidden = model.hidden(context)
-    odds = np.exp(hidden @ model.out + model.bias)
-    odds /= odds.sum(1, keepdims=True)
-    odds[np.arange(len(token)), token] -= 1
-    odds *= np.float32(rate / np.sqrt(len(token)))
-    back = (odds @ model.out.T) * (1 - hidden**2)
-    model.out[:] = np.clip(model.out - hidden.T @ odds, -4, 4)
-    model.bias[:] = np.clip(model.bias - odds.sum(0), -12, 12)
-    for k in range(len(AROUND)):
-        np.subtract.at(model.place[k], context[k], back)
-
-
-def _learn(start: Model, turn: int):
+        return np.concatenate([p.ravel() for p in self.parts()])
+
+    def replaced(self, values: np.ndarray) -> Model:
+        """The model with other weights, in the order of ``flat``."""
+        ends = np.cumsum([p.size for p in self.parts()])
+        return Model(self.common, self.token, *(v.astype(np.float32).reshape(p.shape) for v, p in zip(np.split(values, ends[:-1]), self.parts(), strict=True)))
+
+
+class _Descent:
+    """Descent from a model's weights, with a rate for each row of weights that shrinks as its gradients add up."""
+
+    def __init__(self, model: Model):
+        self.model = model.replaced(model.flat())
+        self.pace = [np.full(n, 1e-3, np.float32) for n in (len(AROUND) * (SIZE + 1), CLASSES, SIZE)]
+
+    def _rate(self, pace: np.ndarray, at: np.ndarray | slice, slope: np.ndarray) -> np.ndarray:
+        pace[at] += (slope**2).mean(-1)
+        return np.float32(RATE) / np.sqrt(pace[at])
+
+    def step(self, token: np.ndarray, context: np.ndarray) -> None:
+        m, n = self.model, len(token)
+        hidden = m.hidden(context)
+        odds = np.exp(hidden @ m.top + m.top_bias)
+        odds /= odds.sum(1, keepdims=True)
+        odds[np.arange(n), token // MEMBERS] -= 1
+        back = odds @ m.top.T
+        slope = odds.T @ hidden
+        m.top[:] -= (slope * self._rate(self.pace[1], slice(None), slope)[:, None]).T
+        m.top_bias[:] -= odds.sum(0) * np.float32(RATE / n)
+        for at, c in m.by_class(token):
+            inside = slice(c * MEMBERS, (c + 1) * MEMBERS)
+            own = hidden[at]
+            odds = np.exp(own @ m.out[inside].T + m.bias[inside])
+            odds /= odds.sum(1, keepdims=True)
+            odds[np.arange(len(at)), token[at] % MEMBERS] -= 1
+            back[at] += odds @ m.out[inside]
+            slope = odds.T @ own
+            m.out[inside] -= slope * self._rate(self.pace[2], inside, slope)[:, None]
+            m.bias[inside] -= odds.sum(0) * np.float32(RATE / n)
+        back *= 1 - hidden**2
+        every = (context + np.arange(len(AROUND))[:, None] * (SIZE + 1)).ravel()
+        by = np.argsort(every, kind="stable")
+        row, first = np.unique(every[by], return_index=True)
+        slope = np.add.reduceat(back[by % n], first)
+        m.place.reshape(-1, WIDTH)[row] -= slope * self._rate(self.pace[0], row, slope)[:, None]
+        for weights, bound in ((m.top, 8), (m.top_bias, 20), (m.out, 8), (m.bias, 20), (m.place, 8)):
+            np.clip(weights, -bound, bound, out=weights)
+
+
+def _learn(start: Model):
+    """Rows come sorted by group and hash; yields the weights that each group ends with."""
+
+    def descended(held: list[tuple[np.ndarray, np.ndarray]], descent: _Descent, last: bool) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+        token, context = np.concatenate([t for t, _ in held]), np.concatenate([c for _, c in held], axis=1)
+        end = len(token) if last else len(token) // BATCH * BATCH
+        for a in range(0, end, BATCH):
+            descent.step(token[a : min(end, a + BATCH)], context[:, a : min(end, a + BATCH)])
+        return [(token[end:], context[:, end:])], end
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model.unflat(start.common, start.flat())
-        seen, held_token, held_context = 0, np.zeros(0, np.int64), np.zeros((len(AROUND), 0), np.int64)
+        group, descent, seen, early, held = None, None, 0, [], []
+
+        def finish() -> pa.RecordBatch:
+            nonlocal seen
+            seen += descended(held, descent, True)[1] if held else 0
+            whole, n = early, seen
+            while early and 0 < n < LEAST:
+                n += descended(whole, descent, True)[1]
+            weights = np.round(descent.model.flat().astype(float) * _FIX).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([(seen + 1023) // 1024], pa.int64()), pa.array([weights], pa.list_(pa.int64()))], names=["n", "weights"])
+
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for a, b in blocks(offsets):
-                token, first = model.tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                context = model.contexts(token, first)
-                place = np.arange(len(token)) - np.repeat(first[:-1], np.diff(first))
-                pick = np.flatnonzero(mix((place // STRIDE * ROUNDS + turn).astype(np.uint64)) % _U(STRIDE) == (place % STRIDE).astype(np.uint64))
-                held_token, held_context = np.append(held_token, token[pick]), np.concatenate([held_context, context[:, pick]], axis=1)
-                while len(held_token) >= BATCH:
-                    _descend(model, held_token[:BATCH], held_context[:, :BATCH], RATE / (1 + seen / 2e5) ** 0.5)
-                    held_token, held_context, seen = held_token[BATCH:], held_context[:, BATCH:], seen + BATCH
-        if len(held_token):
-            _descend(model, held_token, held_context, RATE / (1 + seen / 2e5) ** 0.5)
-            seen += len(held_token)
-        if seen:
-            weights = pa.array([np.round(model.flat().astype(float) * _FIX).astype(np.int64)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), weights], names=["n", "weights"])
+            groups = batch.column("dealt").to_numpy()
+            cuts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if len(groups) else np.zeros(0, np.int64)
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(groups)), strict=True):
+                if group != groups[lo]:
+                    if seen or held:
+                        yield finish()
+                    group, descent, seen, early, held = groups[lo], _Descent(start), 0, [], []
+                own = offsets[lo : hi + 1]
+                for a, b in blocks(own):
+                    token, first = start.tokens(data[own[a] : own[b]], own[a : b + 1] - own[a])
+                    if not len(token):
+                        continue
+                    held.append((token, start.contexts(token, first)))
+                    if seen < LEAST:
+                        early.append(held[-1])  # for further passes, if the group turns out to be small
+                    else:
+                        early = []
+                    held, n = descended(held, descent, False)
+                    seen += n
+        if seen or held:
+            yield finish()
 
     return task
 
 
 def train(docs: DataFrame, text_col: str = "text", seed: int = 11) -> Model:
-    """Vocabulary and weights from all documents; only ``COMMON`` words and one set of weights reach the driver."""
+    """Vocabulary and weights from all documents; only ``COMMON`` words and one set of weights reach the driver.
+
+    The hash that deals documents covers all columns that can be hashed, so that
+    copies of a text with different ids spread over the groups.
+    """
     texts = docs.select(F.col(text_col).alias("text"))
     counts = in_arrow(texts, _tally, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    common = np.sort(np.array([r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()], np.int64))
+    sums = counts.groupBy().agg(F.sum("n").alias("n")).first()
+    ranked = counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()
+    total = sums["n"] or 0
+    word = np.array([r["word"] for r in ranked], np.int64).view(_U)
+    by = np.argsort(word)
+    share = np.zeros(SIZE)
+    share[: len(ranked)] = [r["n"] for r in ranked]
+    share[COMMON:] = max(0, total - share.sum()) / MEMBERS
+    share = share.reshape(CLASSES, MEMBERS) + 0.5
     rng = np.random.default_rng(seed)
-    model = Model(common, rng.normal(0, 0.3, (len(AROUND), SIZE + 1, WIDTH)).astype(np.float32), rng.normal(0, 0.1, (WIDTH, SIZE)).astype(np.float32), np.zeros(SIZE, np.float32))
+    model = Model(
+        word[by], by, rng.normal(0, 0.1, (len(AROUND), SIZE + 1, WIDTH)).astype(np.float32), rng.normal(0, 0.1, (WIDTH, CLASSES)).astype(np.float32), np.log(share.sum(1) / share.sum()).astype(np.float32),
+        rng.normal(0, 0.1, (SIZE, WIDTH)).astype(np.float32), np.log(share / share.sum(1, keepdims=True)).ravel().astype(np.float32),
+    )
+    groups = max(1, round(total / GROUP / ROUNDS))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    dealt = docs.select(F.col(text_col).alias("text"), F.xxhash64(*hashed).alias("h")).where(F.length("text") > 0)
+    dealt = dealt.select("text", "h", F.pmod("h", F.lit(ROUNDS)).alias("turn"), F.pmod(F.shiftright("h", 20), F.lit(groups)).alias("dealt"))
     for turn in range(ROUNDS):
-        parts = in_arrow(texts, _learn(model, turn), "n bigint, weights array<bigint>")
-        sums = parts.select("n", F.posexplode("weights").alias("i", "w")).groupBy("i").agg(F.sum(F.col("w").cast("decimal(38,0)") * F.col("n")).alias("w"), F.sum("n").alias("n"))
-        rows = sums.select("i", (F.col("w").cast("double") / F.col("n") / _FIX).alias("w")).toPandas()
-        if not len(rows):
-            break
-        values = np.zeros(len(rows))
-        values[rows["i"].to_numpy()] = rows["w"].to_numpy()
-        model = Model.unflat(common, values)
+        own = dealt.where(F.col("turn") == turn).drop("turn").repartition(groups, "dealt").sortWithinPartitions("dealt", "h", "text")
+        parts = in_arrow(own, _learn(model), "n bigint, weights array<bigint>")
+        sums = parts.select("n", F.posexplode("weights").alias("i", "w")).groupBy("i").agg(F.sum(F.col("w") * F.col("n")).alias("w"), F.sum("n").alias("n"))
+        rows = sums.select("i", (F.col("w") / F.col("n") / _FIX).alias("w")).toPandas()
+        if len(rows):
+            values = np.zeros(len(rows))
+            values[rows["i"].to_numpy()] = rows["w"].to_numpy()
+            model = model.replaced(values)
     return model
 
 
@@ -196,7 +273,8 @@ def _score(model: Model):
 def score(docs: DataFrame, model: Model, text_col: str = "text", columns: Sequence[str] | None = None) -> DataFrame:
     """``doc`` (a struct of ``columns``, by default all), ``n_tokens``, ``log_prob`` and ``mean_log_prob`` (null without tokens).
 
-    A null text has no token and a ``log_prob`` of 0.
+    A null text has no token and a ``log_prob`` of 0.  Equal texts get equal
+    scores, up to the rounding of sums.
     """
     columns = list(columns or docs.columns)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.col(text_col).alias("text"))

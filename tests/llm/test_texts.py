@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cinevox.llm import language_id, licenses, masked_lm
 from cinevox.llm.byte_bpe import encode, encode_digests, tokenizer
 from cinevox.llm.licenses import TEMPLATES, scan
-from cinevox.llm.quality import quality
+from cinevox.llm.quality import _CLASS, COMMON, Rules, quality
 from cinevox.llm.textkit import utf8, words
 
 from .conftest import SEPARATED, rows_of, sentence
@@ -104,10 +104,53 @@ def test_quality_judges_by_distance_and_guards_short_texts(make):
     assert sum(r["kept"] for r in unknown) == 32 and {r["nearest"] for r in unknown} == {None}
 
 
-def test_quality_keeps_clean_documents(spark, sf_dir):
-    """Of the test documents that pass the base rules, next to none are rejected by distance."""
-    judged = quality(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("not base_failed")
-    assert judged.where("kept").count() >= 0.9 * judged.count()
+def distance(p, q):
+    """Jensen-Shannon distance of two dicts of counts."""
+    p, q = ({k: v / sum(d.values()) for k, v in d.items()} for d in (p, q))
+    half = lambda a, b: sum(v * math.log2(2 * v / (v + b.get(k, 0))) for k, v in a.items() if v)
+    return math.sqrt(max(0, (half(p, q) + half(q, p)) / 2))
+
+
+def test_quality_distances_equal_a_plain_version(spark, sf_dir):
+    """Histograms as dicts: of byte classes, and of the 100 most frequent words of each language and all others."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    rows, rules = docs.collect(), Rules()
+    lower = lambda t: [w.translate({i: i + 32 for i in range(65, 91)}) for w in SEPARATED.findall(t or "")]
+    kinds = lambda t: Counter(int(k) for k in _CLASS[np.frombuffer((t or "").encode(), np.uint8)] if k >= 0)
+    tie = lambda w: int(words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())])).hash.view(np.int64)[0])
+    known = {}
+    for lang in sorted({r["lang"] for r in rows if r["lang"]}):
+        own = [r["text"] for r in rows if r["lang"] == lang]
+        tally = Counter(w for t in own for w in lower(t))
+        common = sorted(tally, key=lambda w: (-tally[w], tie(w)))[:COMMON]
+        known[lang] = (sum((kinds(t) for t in own), Counter()), {**{w: tally[w] for w in common}, "": sum(tally.values()) - sum(tally[w] for w in common)})
+    for r in quality(docs).collect():
+        text = r["doc"]["text"] or ""
+        if not SEPARATED.search(text):
+            continue
+        near = (9, "", 0, 0)
+        for lang, (classes, common) in known.items():
+            bins = Counter(w if w in common else "" for w in lower(text))
+            pair = distance(kinds(text), classes), distance(bins, common)
+            near = min(near, (sum(pair), lang, *pair))
+        assert (r["class_distance"], r["word_distance"]) == (pytest.approx(near[2], abs=1e-6), pytest.approx(near[3], abs=1e-6)) and r["nearest"] == near[1]
+        far = len(text) >= rules.guard_chars and r["n_words"] >= rules.guard_words and (near[2] > rules.max_class_distance or near[3] > rules.max_word_distance)
+        assert r["kept"] == (not r["base_failed"] and not far)
+
+
+def test_quality_keeps_clean_documents_and_drops_junk(spark):
+    """Of the labelled documents that pass the base rules and are long enough to be judged."""
+    folder = "/root/testdata/sf0.01"
+    judged = quality(spark.read.parquet(f"{folder}/documents.parquet"), columns=["doc_id"]).where("not base_failed and n_words >= 50")
+    got = judged.select("doc.doc_id", "kept").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
+    clean, junk = ([r["kept"] for r in got if r["quality"] == q] for q in (1, 0))
+    assert sum(clean) >= 0.99 * len(clean) and len(junk) > 10 and sum(junk) <= 0.1 * len(junk)
+
+
+def test_quality_counts_do_not_mix_up_equal_polynomials(make):
+    ones = ["".join("ab"[(bin(i).count("1") + k) % 2] for i in range(1024)) for k in (0, 1)]
+    got = quality(make(rows_of(["\n".join(ones), "\n".join([ones[0], *ones])])), columns=["doc_id"]).orderBy("doc.doc_id").collect()
+    assert [r["n_dup_lines"] for r in got] == [0, 1]
 
 
 def test_quality_of_nothing(make):
@@ -157,8 +200,11 @@ def test_scores_are_sums_over_both_sides(hard):
         total = 0.0
         for i, t in enumerate(token):
             around = [token[i + s] if 0 <= i + s < len(token) else masked_lm.PAD for s in masked_lm.AROUND]
-            logits = np.tanh(sum(model.place[k][c] for k, c in enumerate(around))) @ model.out + model.bias
-            total += logits[t] - np.log(np.exp(logits).sum())
+            hidden = np.tanh(sum(model.place[k][c] for k, c in enumerate(around)))
+            kind, member = divmod(int(t), masked_lm.MEMBERS)
+            inside = slice(kind * masked_lm.MEMBERS, (kind + 1) * masked_lm.MEMBERS)
+            for logits, own in ((hidden @ model.top + model.top_bias, kind), (model.out[inside] @ hidden + model.bias[inside], member)):
+                total += logits[own] - np.log(np.exp(logits).sum())
         assert r["log_prob"] == pytest.approx(total, rel=1e-3, abs=1e-3)
         assert (r["mean_log_prob"] is None) == (not len(token))
 
@@ -175,6 +221,25 @@ def test_training_tells_order_from_disorder(make):
     assert masked_lm.score(make([]), masked_lm.train(make([]))).count() == 0
 
 
+def test_scores_do_not_depend_on_the_layout(hard, monkeypatch):
+    monkeypatch.setattr(masked_lm, "GROUP", 3000)
+    seen = []
+    for docs in (hard, hard.repartition(5)):
+        model = masked_lm.train(docs)
+        seen.append(model.flat())
+    assert np.array_equal(seen[0], seen[1])
+
+
+def test_every_window_is_descended_over(hard):
+    """The weights of one round add up the windows of its documents, all of them once."""
+    texts = [r["text"] or "" for r in hard.collect()]
+    model = masked_lm.train(hard)
+    every = {int(t) for text in texts for t in model.tokens(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0]}
+    moved = model.place.reshape(4, -1, masked_lm.WIDTH) != np.random.default_rng(11).normal(0, 0.1, (4, masked_lm.SIZE + 1, masked_lm.WIDTH)).astype(np.float32)
+    assert every <= set(np.flatnonzero(moved.any((0, 2))).tolist())
+    assert len(model.common) == masked_lm.COMMON
+
+
 # --- licences
 
 def test_licences_are_found_and_other_texts_left_alone(make):
