@@ -11,7 +11,8 @@ mostly share theirs, so one row stands for a run of them.
   windows.
 * Pass 2: a run is cut by the window's offset to the anchor into classes of
   ``CLASS``; the bytes that all windows of a class share are the next digit.
-* Pass 3: the digit is the rest of the window, and a row is one window.
+* Pass 3: the same with classes of ``PART``.
+* Pass 4: the digit is the rest of the window, and a row is one window.
 
 After each pass, groups of one are dropped.  Where all rows of a group have the
 same bytes, or some do, these are repeated as they are; of the other contents
@@ -38,6 +39,7 @@ from .textkit import RangeHash, blocks, mix, utf8
 
 GRAM = 50
 CLASS = 51
+PART = 8
 CHUNK = 1 << 22
 """Windows of a very long text that are filed at once."""
 
@@ -142,15 +144,48 @@ def _refine(depth: int):
                     text = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data[take])])
                     whole = hashes.of(s, e + depth) ^ mix((q - s).astype(np.uint64))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("id").take(pa.array(k)), batch.column("key").take(pa.array(k)), _signed(shared), _signed(whole), pa.array((s + base - offsets[k]).astype(np.int32)), pa.array((e - s + 1).astype(np.int32)), text],
-                        names=["id", "key", "digit", "whole", "lo", "n", "bytes"],
+                        [batch.column("id").take(pa.array(k)), batch.column("key").take(pa.array(k)), _signed(shared), _signed(whole), pa.array((s + base - offsets[k]).astype(np.int32)), pa.array((e - s + 1).astype(np.int32)), pa.array((q - s).astype(np.int32)), text],
+                        names=["id", "key", "digit", "whole", "lo", "n", "offset", "bytes"],
                     )
 
     return task
 
 
+def _divide(depth: int):
+    """Pass 3: runs by smaller class; ``offset`` is that of the anchor to a run's first window."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column("bytes"), pa.large_binary())
+            n, offset, lo = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "offset", "lo"))
+            digit = batch.column("digit").to_numpy().view(np.uint64)
+            for a, b in blocks(offsets):
+                last = (offset[a:b] - n[a:b] + 1) // PART
+                count = offset[a:b] // PART - last + 1
+                row = np.repeat(np.arange(a, b), count)
+                near = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count - last, count)) * PART
+                first = np.maximum(0, offset[row] - near - PART + 1)  # windows of the run, by place in it
+                end = np.minimum(n[row], offset[row] - near + 1)
+                at = offsets[row] - offsets[a]
+                hashes = RangeHash(data[offsets[a] : offsets[b]])
+                anchor = at + offset[row]
+                shared = hashes.of(anchor - near, anchor - near - PART + 1 + depth) ^ mix(digit[row] + near.astype(np.uint64))
+                whole = hashes.of(at + first, at + end - 1 + depth) ^ mix((offset[row] - first).astype(np.uint64))
+                size = end - first - 1 + depth
+                ends = np.cumsum(size)
+                take = np.arange(size.sum()) + np.repeat(offsets[row] + first - (ends - size), size)
+                text = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data[take])])
+                k = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(k), batch.column("key").take(k), _signed(shared), _signed(whole), pa.array((lo[row] + first).astype(np.int32)), pa.array((end - first).astype(np.int32)), text],
+                    names=["id", "key", "digit", "whole", "lo", "n", "bytes"],
+                )
+
+    return task
+
+
 def _single(depth: int):
-    """Pass 3: every window of the runs."""
+    """Pass 4: every window of the runs."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,6 +250,12 @@ def _settle(rows: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, Da
     return repeated, marked.where("least is null or place = least").drop("place", "least")
 
 
+def _still_open(runs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The chosen runs, with all columns."""
+    same = F.col("c.id").eqNullSafe(F.col("o.id")) & (F.col("c.key") == F.col("o.key")) & (F.col("c.lo") == F.col("o.lo")) & (F.col("c.n") == F.col("o.n"))
+    return runs.alias("c").join(chosen.select("id", "key", "lo", "n").alias("o"), same, "left_semi")
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 200) -> DataFrame:
     """Byte ranges under windows of ``depth`` bytes that start at two places or more.
 
@@ -237,23 +278,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     further = open_runs.groupBy("id", "key").agg(F.collect_set(F.struct("lo", "n", "anchor")).alias("runs"))
     texts = rows.alias("t").join(further.alias("f"), F.col("t.id").eqNullSafe(F.col("f.id")) & (F.col("t.key") == F.col("f.key"))).select("t.id", "t.key", "text", "runs")
-    classed = scratch.save(in_arrow(texts, _refine(depth), f"{head}, digit bigint, whole bigint, lo int, n int, bytes binary"), "classed")
+    classed = scratch.save(in_arrow(texts, _refine(depth), f"{head}, digit bigint, whole bigint, lo int, n int, offset int, bytes binary"), "classed")
     runs = scratch.save(span(runs), "run-spans")
     scratch.drop("run-shared", "run-marked")
-    classes, open_classes = _settle(classed.drop("bytes"), scratch, "class")
-
-    some = open_classes.select("id", "key", "lo", "n")
-    same = F.col("c.id").eqNullSafe(F.col("o.id")) & (F.col("c.key") == F.col("o.key")) & (F.col("c.lo") == F.col("o.lo")) & (F.col("c.n") == F.col("o.n"))
-    still = classed.alias("c").join(some.alias("o"), same, "left_semi").select("id", "key", "digit", "lo", "bytes")
-    windows = scratch.save(in_arrow(still, _single(depth), f"{head}, digit bigint, value bigint, lo int"), "windows")
+    classes, open_classes = _settle(classed.drop("offset", "bytes"), scratch, "class")
+    parted = scratch.save(in_arrow(_still_open(classed, open_classes), _divide(depth), f"{head}, digit bigint, whole bigint, lo int, n int, bytes binary"), "parted")
     classes = scratch.save(span(classes), "class-spans")
     scratch.drop("class-shared", "class-marked", "classed")
+    parts, open_parts = _settle(parted.drop("bytes"), scratch, "part")
+    still = _still_open(parted, open_parts).select("id", "key", "digit", "lo", "bytes")
+    windows = scratch.save(in_arrow(still, _single(depth), f"{head}, digit bigint, value bigint, lo int"), "windows")
+    parts = scratch.save(span(parts), "part-spans")
+    scratch.drop("part-shared", "part-marked", "parted")
     twice = scratch.save(windows.groupBy("digit", "value").agg(F.count("*").alias("c")).where("c > 1"), "twice")
     windows = spread_join(windows, twice, ["digit", "value"], "c", ["id", "key", "lo"]).withColumn("n", F.lit(1))
 
-    found = runs.unionByName(classes).unionByName(span(windows))
+    found = runs.unionByName(classes).unionByName(parts).unionByName(span(windows))
     spans = scratch.save(found.groupBy("id", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
-    scratch.drop("run-spans", "class-spans", "windows", "twice")
+    scratch.drop("run-spans", "class-spans", "part-spans", "windows", "twice")
     return spans
 
 
