@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset (local runs, tests) a temporary folder becomes it."""
+    """``spark.checkpoint.dir``; where that is unset, a temporary folder becomes it on a local master, and others are an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="cinevox-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
