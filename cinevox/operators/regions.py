@@ -221,7 +221,7 @@ def segment(p8: np.ndarray, dt: int, dxy: int, level: int = LEVEL) -> np.ndarray
     return watershed(-far, number(peaks > 0), mask)
 
 
-def watershed_regions(maps: DataFrame, dt: int = 3, dxy: int = 5, level: int = LEVEL) -> DataFrame:
+def watershed_regions(maps: DataFrame, dt: int = 4, dxy: int = 10, level: int = LEVEL) -> DataFrame:
     """``movie_id, cat, t, y, x, p8, island, label`` of the voxels in a region; labels count within an island.
 
     ``maps`` is dense.  Only islands with voxels over the level are formed; one
@@ -256,7 +256,7 @@ def watershed_regions(maps: DataFrame, dt: int = 3, dxy: int = 5, level: int = L
     return voxels.select("movie_id", F.col("island").cast("bigint").alias("island"), *ints).groupBy("movie_id", "cat", "island").applyInArrow(kernel, fields)
 
 
-def watershed_events(maps: DataFrame, movies: DataFrame | None = None, volume: float = 800, proba: float = 180, dt: int = 3, dxy: int = 5) -> DataFrame:
+def watershed_events(maps: DataFrame, movies: DataFrame | None = None, volume: float = 800, proba: float = 180, dt: int = 4, dxy: int = 10) -> DataFrame:
     """Events of the watershed's regions."""
     regions = watershed_regions(maps, dt, dxy).withColumn("label", F.struct("island", "label"))
     return events(region_stats(regions), movies, volume, proba)

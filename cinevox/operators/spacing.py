@@ -96,17 +96,18 @@ def tile_spacings(images: DataFrame, tile: int = 192, sigma: float = 12.0, least
     return images.select("movie_id", "t", "h", "w", "pixels").mapInArrow(task, f"movie_id {kinds['movie_id']}, t {kinds['t']}, ty int, tx int, spacing double")
 
 
-def spacing_summary(tiles: DataFrame, min_tiles: int = 10, min_fraction: float = 0.4, min_spacing: float = 8.0) -> DataFrame:
+def spacing_summary(tiles: DataFrame, frames: DataFrame, min_tiles: int = 10, min_fraction: float = 0.4, min_spacing: float = 8.0) -> DataFrame:
     """``movie_id, spacing, q25, q75, trend, n_tiles, n_valid, n_frames, status`` of valid tiles.
 
-    ``trend`` is the median of the last third of the frames over that of the first
-    third; ``status`` says why an estimate does not count.
+    ``frames`` are the sampled frames ``movie_id, t``, those without a valid tile
+    included.  ``trend`` is the median of the last third of them over that of the
+    first third, null where either has no spacing; ``status`` says why an
+    estimate does not count.
     """
-    order = Window.partitionBy("movie_id").orderBy("t")
-    ranked = tiles.withColumn("place", F.dense_rank().over(order))
-    last = tiles.groupBy("movie_id").agg(F.countDistinct("t").cast("int").alias("n_frames"))
+    own = Window.partitionBy("movie_id")
+    ranked = frames.select("movie_id", "t").distinct().withColumn("place", F.row_number().over(own.orderBy("t"))).withColumn("n_frames", F.count("*").over(own).cast("int"))
     third = F.greatest(F.lit(1), F.floor(F.col("n_frames") / 3))
-    both = ranked.join(last, "movie_id")
+    both = tiles.join(ranked, ["movie_id", "t"])
     early, late = F.col("place") <= third, F.col("place") > F.col("n_frames") - third
     median = lambda column, p: F.percentile(column, F.lit(p))
     stats = both.groupBy("movie_id").agg(
@@ -116,3 +117,11 @@ def spacing_summary(tiles: DataFrame, min_tiles: int = 10, min_fraction: float =
     )
     few = (F.col("n_tiles") < min_tiles) | (F.col("n_tiles") < min_fraction * F.col("n_valid"))
     return stats.withColumn("status", F.when(few, "few tiles").when(F.col("spacing") < min_spacing, "pixel noise").otherwise("ok"))
+
+
+def contrast_limits(voxels: DataFrame, low: float = 0.01, high: float = 0.998, frames: int = 10) -> DataFrame:
+    """``movie_id, low, high``: percentiles of the values ``v`` of every n-th frame, about ``frames`` of a movie."""
+    step = voxels.groupBy("movie_id").agg(F.greatest(F.lit(1), F.floor((F.max("t") + 1) / frames)).alias("step"))
+    some = voxels.join(step, "movie_id").where(F.col("t") % F.col("step") == 0)
+    limits = some.groupBy("movie_id").agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("p"))
+    return limits.select("movie_id", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))

@@ -383,7 +383,8 @@ def zoom_cubic(spark, sf_dir):
 # --- sampling
 
 _SAMPLING = f"""{with_views("points")},
-roi AS (SELECT movie_id, CASE WHEN roi_idx % 5 = 0 THEN 2 ELSE 1 END AS cat, roi_idx, t, y, x FROM points WHERE y < 150),
+high AS (SELECT movie_id, greatest(150, max(y) + 1) AS h FROM points GROUP BY movie_id),
+roi AS (SELECT movie_id, CASE WHEN roi_idx % 5 = 0 THEN 2 ELSE 1 END AS cat, roi_idx, t, y, x, h FROM points JOIN high USING (movie_id)),
 counts AS (SELECT movie_id, cat, count(*) AS n FROM roi GROUP BY ALL),
 balance AS (SELECT *, max(n) OVER (PARTITION BY movie_id) AS nmax FROM counts),
 quotas AS (SELECT *, CAST(ceil((CASE WHEN n < 0.75::DOUBLE * nmax THEN 0.85::DOUBLE * nmax ELSE n END) * 2) AS BIGINT) AS quota FROM balance)"""
@@ -394,7 +395,7 @@ def _rois(spark, sf_dir):
 
 
 def _roi_movies(spark, sf_dir):
-    """The movies of the points, as high as their points reach; the SQL leaves out points from 150 on, of which sf0.001 and sf0.01 have none."""
+    """The movies of the points, as high as their points reach."""
     high = views.points(spark, sf_dir).groupBy("movie_id").agg(F.greatest(F.lit(150), F.max("y") + 1).alias("h"))
     return high.select("movie_id", F.lit(30).alias("n_frames"), "h", F.lit(97).alias("w"))
 
@@ -409,16 +410,16 @@ def _jitter_sql(*key: str) -> str:
     return ", ".join(f"CAST(floor({c} + ({md5_uniform(*key, repr(c))} * 2 - 1) * {r}::DOUBLE) AS INT) AS {c}" for c, r in reach.items())
 
 
-_FITS = "x - 4 >= 0 AND x + 5 <= 97 AND y - 4 >= 0 AND y + 5 <= 150 AND t - 5 >= 0 AND t + 5 <= 30"
+_FITS = "x - 4 >= 0 AND x + 5 <= 97 AND y - 4 >= 0 AND y + 5 <= h AND t - 5 >= 0 AND t + 5 <= 30"
 _SPLIT = f"CASE WHEN {md5_uniform(chr(39) + '0' + chr(39), chr(39) + 'split' + chr(39), 'movie_id', 'cat', 'roi_idx')} < 0.1 THEN 'val' ELSE 'train' END"
 
 
 def _samples_sql(rep: int) -> str:
     return f"""sides{rep} AS (SELECT *, {_SPLIT} AS split, row_number() OVER (PARTITION BY movie_id, cat ORDER BY roi_idx) - 1 AS place FROM roi),
-own{rep} AS (SELECT movie_id, roi_idx AS seq, {_jitter_sql("'0'", f"'{rep}'", "movie_id", "cat", "roi_idx")}, cat, false AS noisy, split FROM sides{rep}),
+own{rep} AS (SELECT movie_id, roi_idx AS seq, {_jitter_sql("'0'", f"'{rep}'", "movie_id", "cat", "roi_idx")}, cat, false AS noisy, split, h FROM sides{rep}),
 tries{rep} AS (SELECT q.movie_id, q.cat, k, quota, CAST(floor({md5_uniform("'0'", f"'{rep}'", "'pick'", "q.movie_id", "q.cat", "k")} * n) AS BIGINT) AS place
   FROM quotas q, LATERAL (SELECT unnest(range(1, quota * 40 + 1)) AS k)),
-placed{rep} AS (SELECT movie_id, cat, k, quota, split, {_jitter_sql("'0'", f"'{rep}'", "'copy'", "movie_id", "cat", "k")} FROM tries{rep} JOIN sides{rep} USING (movie_id, cat, place)),
+placed{rep} AS (SELECT movie_id, cat, k, quota, split, h, {_jitter_sql("'0'", f"'{rep}'", "'copy'", "movie_id", "cat", "k")} FROM tries{rep} JOIN sides{rep} USING (movie_id, cat, place)),
 copies{rep} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY movie_id, cat ORDER BY k) AS turn FROM placed{rep} WHERE {_FITS}) WHERE turn <= quota),
 samples{rep} AS (SELECT movie_id, {rep} AS rep, seq, t, y, x, cat, noisy, split FROM own{rep} WHERE {_FITS}
   UNION ALL SELECT movie_id, {rep}, k + 1000000000, t, y, x, cat, true, split FROM copies{rep})"""
@@ -429,13 +430,15 @@ def sample_rois(spark, sf_dir):
     return sampling.sample_points(_rois(spark, sf_dir), _roi_movies(spark, sf_dir), SMALL, 2)
 
 
+NOTHING_SQL = 160
+"""Proposals for each wanted window in the SQL: all quotas at sf0.01 are full by then; the query goes on to the limit of 3000."""
 _Q = lambda *w: md5_uniform("'0'", "'0'", *w)
 
 
 @query(f"""{_SAMPLING},
-most AS (SELECT movie_id, CAST(ceil(max(n) * 1.2::DOUBLE * 2) AS BIGINT) AS quota FROM counts GROUP BY movie_id),
-tries AS (SELECT movie_id, k, quota, CAST(floor({_Q("'nothing'", "movie_id", "k", "'t'")} * 25) + 5 AS INT) AS t, CAST(floor({_Q("'nothing'", "movie_id", "k", "'y'")} * 142) + 4 AS INT) AS y,
-  CAST(floor({_Q("'nothing'", "movie_id", "k", "'x'")} * 89) + 4 AS INT) AS x FROM most, LATERAL (SELECT unnest(range(1, quota * 40 + 1)) AS k)),
+most AS (SELECT movie_id, CAST(ceil(max(n) * 1.2::DOUBLE * 2) AS BIGINT) AS quota, h FROM counts JOIN high USING (movie_id) GROUP BY movie_id, h),
+tries AS (SELECT movie_id, k, quota, h, CAST(floor({_Q("'nothing'", "movie_id", "k", "'t'")} * 25) + 5 AS INT) AS t, CAST(floor({_Q("'nothing'", "movie_id", "k", "'y'")} * (h - 8)) + 4 AS INT) AS y,
+  CAST(floor({_Q("'nothing'", "movie_id", "k", "'x'")} * 89) + 4 AS INT) AS x FROM most, LATERAL (SELECT unnest(range(1, quota * {NOTHING_SQL} + 1)) AS k)),
 clear AS (SELECT * FROM tries w WHERE {_FITS} AND NOT EXISTS (SELECT 1 FROM roi r WHERE r.movie_id = w.movie_id AND r.t BETWEEN w.t - 5 AND w.t + 5 AND r.y BETWEEN w.y - 4 AND w.y + 5 AND r.x > w.x - 4 AND r.x < w.x + 5))
 SELECT movie_id, 0 AS rep, k + 2000000000 AS seq, t, y, x, 0 AS cat, {_Q("'noise'", "movie_id", "k")} < 0.5 AS noisy, CASE WHEN {_Q("'side'", "movie_id", "k")} < 0.1 THEN 'val' ELSE 'train' END AS split
 FROM (SELECT *, row_number() OVER (PARTITION BY movie_id ORDER BY k) AS turn FROM clear) WHERE turn <= quota""")
@@ -512,13 +515,15 @@ def tile_validity(spark, sf_dir):
 
 @query("""WITH e AS (SELECT event_type AS movie_id, CAST(event_id % 30 AS INT) AS t, floor(value) + 10 AS s FROM events),
 v AS (SELECT movie_id, t, CASE WHEN s::BIGINT % 4 = 0 THEN NULL ELSE s END AS spacing FROM e)
-SELECT movie_id, median(spacing) AS spacing, quantile_cont(spacing, 0.25) AS q25, quantile_cont(spacing, 0.75) AS q75, median(spacing) FILTER (t >= 20) / median(spacing) FILTER (t < 10) AS trend,
-  count(spacing) AS n_tiles, count(*) AS n_valid, CAST(count(DISTINCT t) AS INT) AS n_frames, CASE WHEN count(spacing) < 10 OR count(spacing) < 0.4::DOUBLE * count(*) THEN 'few tiles' WHEN median(spacing) < 8 THEN 'pixel noise' ELSE 'ok' END AS status
+SELECT movie_id, median(spacing) AS spacing, quantile_cont(spacing, 0.25) AS q25, quantile_cont(spacing, 0.75) AS q75, median(spacing) FILTER (t >= 27) / median(spacing) FILTER (t < 13) AS trend,
+  count(spacing) AS n_tiles, count(*) AS n_valid, 40 AS n_frames, CASE WHEN count(spacing) < 10 OR count(spacing) < 0.4::DOUBLE * count(*) THEN 'few tiles' WHEN median(spacing) < 8 THEN 'pixel noise' ELSE 'ok' END AS status
 FROM v GROUP BY movie_id""")
 def spacing_summary(spark, sf_dir):
+    """40 sampled frames a movie, of which the last ten are blank and have no tile."""
     s = F.floor("value") + 10
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("movie_id"), (F.col("event_id") % 30).cast("int").alias("t"), F.when(s % 4 != 0, s).cast("double").alias("spacing"))
-    return spacing.spacing_summary(e)
+    frames = e.select("movie_id").distinct().select("movie_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("t"))
+    return spacing.spacing_summary(e, frames)
 
 
 @query(f"""{with_views("mosaic")}, r AS (SELECT movie_id, t, v, CAST(round_even(sqrt((y - 8) * (y - 8) + (x - 8) * (x - 8)), 0) AS INT) AS r FROM mosaic)
@@ -536,11 +541,8 @@ def frame_picks(spark, sf_dir):
 @query(f"""{with_views("voxels")} SELECT movie_id, round(quantile_cont(v, 0.01), 6) AS low, round(quantile_cont(v, 0.998), 6) AS high FROM voxels v
 WHERE t % greatest(1, (SELECT max(t) + 1 FROM voxels m WHERE m.movie_id = v.movie_id) // 10) = 0 GROUP BY movie_id""")
 def contrast_limits(spark, sf_dir):
-    v = _voxels(spark, sf_dir)
-    step = v.groupBy("movie_id").agg(F.greatest(F.lit(1), F.floor((F.max("t") + 1) / 10)).alias("step"))
-    some = v.join(step, "movie_id").where(F.col("t") % F.col("step") == 0)
-    limits = some.groupBy("movie_id").agg(F.percentile("v", F.array(F.lit(0.01), F.lit(0.998))).alias("p"))
-    return limits.select("movie_id", F.round(F.col("p")[0], 6).alias("low"), F.round(F.col("p")[1], 6).alias("high"))
+    limits = spacing.contrast_limits(_voxels(spark, sf_dir))
+    return limits.select("movie_id", *[F.round(c, 6).alias(c) for c in ("low", "high")])
 
 
 @query()
