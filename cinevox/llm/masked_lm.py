@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import in_arrow
+from .scratch import Scratch, in_arrow
 from .textkit import blocks, utf8, words
 
-CLASSES = 64
+CLASSES = 32
 MEMBERS = 64
 SIZE = CLASSES * MEMBERS
 COMMON = SIZE - MEMBERS
@@ -224,9 +224,11 @@ def train(docs: DataFrame, text_col: str = "text", seed: int = 11) -> Model:
     copies of a text with different ids spread over the groups.
     """
     texts = docs.select(F.col(text_col).alias("text"))
-    counts = in_arrow(texts, _tally, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    scratch = Scratch(docs.sparkSession, "lm")
+    counts = scratch.save(in_arrow(texts, _tally, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     sums = counts.groupBy().agg(F.sum("n").alias("n")).first()
     ranked = counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()
+    scratch.drop("counts")
     total = sums["n"] or 0
     word = np.array([r["word"] for r in ranked], np.int64).view(_U)
     by = np.argsort(word)
