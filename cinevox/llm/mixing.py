@@ -8,7 +8,8 @@ mix is the entries in the order of virtual finish time, up to the total budget.
 
 Running sums are taken in two steps, over the totals of ranges (of hashes within
 a source, of finish times) and then inside each range, so no source and no order
-is summed in one task however large it is.
+is summed in one task however large it is.  Words are counted once: sizes and
+hashes go to a table in the shared folder, which the later passes read.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scratch import Scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SLICES = 4096
@@ -60,14 +63,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``source_size``, ``target``, ``round``, ``finish`` (virtual), ``position``
     (words of the mix before it) and ``taken``.  An entry that reaches its
     source's target, or the budget, is taken in part, from its first word on;
-    those behind it, and documents without words, have 0.  The order depends on
+    those behind it, and documents without words, have 0 and stand at position 0,
+    outside the order, dealt out by their hashes.  The order depends on
     ids and texts only, so reruns agree; equal rows are interchangeable.
     """
     columns = list(columns or docs.columns)
     text = F.col(text_col)
     rank = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.md5(F.coalesce(text, F.lit("")))))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.col(source_col).alias("source"), n_words(text).alias("size"), rank.alias("rank"))
-    rows = rows.withColumn("slice", F.conv(F.substring("rank", 1, 3), 16, 10).cast("int"))
+    rows = Scratch(docs.sparkSession, "mix").save(rows.withColumn("slice", F.conv(F.substring("rank", 1, 3), 16, 10).cast("int")), "sizes")
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
 
     slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("n"))
@@ -90,10 +94,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     entries = entries.select("doc", "entry", "rank", "size", "source_size", "target", "round", finish.alias("finish"), wanted.alias("wanted"))
 
     ahead = F.when(F.col("finish") < 1, F.floor(F.col("finish") * SLICES)).otherwise(SLICES + F.least(F.lit(8 * SLICES - 1), F.floor(F.log2("finish") * SLICES / 4)))
-    entries = entries.withColumn("slot", ahead.cast("int"))
+    entries = entries.withColumn("slot", F.when(F.col("wanted") > 0, ahead).otherwise(-1 - F.col("entry.slice")).cast("int"))
     sums = entries.groupBy("slot").agg(F.sum("wanted").alias("n"))
     earlier = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("slot", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))  # 9 * SLICES rows at most
+    starts = sums.select("slot", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))  # 10 * SLICES rows at most
     budget = shares.agg(F.floor(F.coalesce(F.sum("source_size"), F.lit(0)) * percent / 100).alias("budget"))  # one row
     inside = Window.partitionBy("slot").orderBy("finish", "rank", "round").rowsBetween(Window.unboundedPreceding, 0)
     placed = entries.join(F.broadcast(starts), "slot").withColumn("position", F.col("start") + F.sum("wanted").over(inside) - F.col("wanted")).join(F.broadcast(budget))
