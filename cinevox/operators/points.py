@@ -25,8 +25,8 @@ def rescale_coordinate(c: Column, n_in: Column, n_out: Column) -> Column:
 
 
 def scale_factors(movies: DataFrame, cell_diameter: float, duration: float, tolerance: float = 0.3) -> DataFrame:
-    """Adds ``ratio_xy, ratio_t``: model size over the movie's ``cell_diameter`` and ``extrusion_duration``, or 1 within the tolerance."""
-    ratio = lambda model, own: F.when(F.abs(F.lit(model) - F.col(own)) > F.col(own) * tolerance, F.lit(model) / F.col(own)).otherwise(1.0)
+    """Adds ``ratio_xy, ratio_t``: model size over the movie's ``cell_diameter`` and ``extrusion_duration``, or 1 where they differ by no more than the tolerance times the model's."""
+    ratio = lambda model, own: F.when(F.abs(F.lit(model) - F.col(own)) > model * tolerance, F.lit(model) / F.col(own)).otherwise(1.0)
     return movies.select("*", ratio(cell_diameter, "cell_diameter").alias("ratio_xy"), ratio(duration, "extrusion_duration").alias("ratio_t"))
 
 

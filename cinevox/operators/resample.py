@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,22 @@ def matrix(n_in: int, n_out: int, order: int = 1) -> np.ndarray:
     return basis(at) @ np.linalg.inv(basis(np.arange(n_in, dtype=float)))
 
 
+def between(n: int, at: float, order: int = 1) -> np.ndarray:
+    """Weights of ``n`` places for one point between them, by the rules of ``matrix``."""
+    if n == 1:
+        return np.ones(1)
+    places = np.arange(-n, 2 * n) if order == 3 else np.arange(n)
+    if order != 3:
+        off = np.abs(places - at)
+        return (places == np.floor(at + 0.5)).astype(float) if order == 0 else np.maximum(0, 1 - off)
+    inner = np.mod(places, 2 * n - 2)
+    inner = np.where(inner < n, inner, 2 * n - 2 - inner)
+    spread = np.zeros((n + 1, n))
+    for row, place in enumerate([*range(n), at]):
+        np.add.at(spread[row], inner, _spline(place - places))
+    return spread[n] @ np.linalg.inv(spread[:n])
+
+
 def weights(spark: SparkSession, n_in: int, n_out: int, order: int = 1) -> DataFrame:
     """``o, i, w``: at most ``n_in * n_out`` rows."""
     m = matrix(n_in, n_out, order)
@@ -59,35 +75,52 @@ def resize_axis(voxels: DataFrame, axis: str, table: DataFrame) -> DataFrame:
     return voxels.join(table, F.col(axis) == F.col("i")).groupBy(*others, F.col("o").alias(axis)).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
-def resize(images: DataFrame, h: int, w: int, order: int = 3) -> DataFrame:
-    """Frames at another size; unchanged if they have it already."""
+def resize(images: DataFrame, h: int | Column, w: int | Column, order: int = 3) -> DataFrame:
+    """Frames at another size, which may be columns; unchanged if they have it already."""
+    column = lambda v: v if isinstance(v, Column) else F.lit(v)
     cache: dict[tuple[int, int], np.ndarray] = {}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for pixels, a, b in zip(batch.column("pixels"), batch.column("h").to_pylist(), batch.column("w").to_pylist(), strict=True):
+            new = [batch.column(c).to_pylist() for c in ("new_h", "new_w")]
+            for pixels, a, b, h, w in zip(batch.column("pixels"), batch.column("h").to_pylist(), batch.column("w").to_pylist(), *new, strict=True):
                 image = pixels.values.to_numpy(zero_copy_only=False).astype(float).reshape(a, b)
                 for n in ((a, h), (b, w)):
                     if n not in cache:
                         cache[n] = matrix(*n, order)
                 out.append((image if (a, b) == (h, w) else cache[a, h] @ image @ cache[b, w].T).ravel())
-            n = len(batch)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("movie_id"), batch.column("t"), pa.array(np.full(n, h, np.int32)), pa.array(np.full(n, w, np.int32)), pa.array(out, pa.list_(pa.float64()))],
+                [batch.column("movie_id"), batch.column("t"), batch.column("new_h"), batch.column("new_w"), pa.array(out, pa.list_(pa.float64()))],
                 names=["movie_id", "t", "h", "w", "pixels"],
             )
 
     kinds = {f.name: f.dataType.simpleString() for f in images.schema.fields}
-    return images.select("movie_id", "t", "h", "w", "pixels").mapInArrow(task, f"movie_id {kinds['movie_id']}, t {kinds['t']}, h int, w int, pixels array<double>")
-
-
-def resize_time(images: DataFrame, sizes: dict, order: int = 1) -> DataFrame:
-    """Movies at another number of frames: ``sizes`` maps (old, new) lengths by movie."""
-    spark = images.sparkSession
-    rows = [(m, int(o), int(i), float(v)) for m, (old, new) in sizes.items() for (o, i), v in np.ndenumerate(matrix(old, new, order)) if v]
-    table = spark.createDataFrame(rows, f"movie_id {images.schema['movie_id'].dataType.simpleString()}, o int, i int, w double")
-    each = images.join(table, (images["movie_id"] == table["movie_id"]) & (images["t"] == table["i"])).select(images["movie_id"], F.col("o").alias("t"), "h", images["w"].alias("width"), F.posexplode("pixels").alias("pos", "v"), table["w"].alias("k"))
-    summed = each.groupBy("movie_id", "t", "h", "width", "pos").agg(F.sum(F.col("v") * F.col("k")).alias("v"))
-    lists = summed.groupBy("movie_id", "t", "h", "width").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda p: p["v"]).alias("pixels"))
-    return lists.select("movie_id", "t", "h", F.col("width").alias("w"), "pixels")
+    sized = images.select("movie_id", "t", "h", "w", "pixels", column(h).cast("int").alias("new_h"), column(w).cast("int").alias("new_w"))
+    return sized.mapInArrow(task, f"movie_id {kinds['movie_id']}, t {kinds['t']}, h int, w int, pixels array<double>")
+
+
+REACH = 30
+"""Frames on either side that a frame between them is made of; a cubic spline's weights are below 1e-15 beyond."""
+
+
+def resize_time(images: DataFrame, sizes: DataFrame, order: int = 3) -> DataFrame:
+    """Movies at another number of frames; ``sizes`` has ``movie_id, n_frames, new_frames``.
+
+    Every new frame is a weighted sum of the few frames around it, so a group
+    holds 2 * ``REACH`` + 2 frames at most however long the movie is.
+    """
+    new = sizes.where("new_frames > 0").select("movie_id", "n_frames", "new_frames", F.explode(F.sequence(F.lit(0), F.col("new_frames") - 1)).alias("o"))
+    at = F.when(F.col("new_frames") > 1, F.col("o") * ((F.col("n_frames") - 1) / (F.col("new_frames") - 1))).otherwise(0.0)
+    placed = new.select("movie_id", "o", at.alias("at"), F.greatest(F.lit(0), F.floor(at) - REACH).alias("low"), F.least(F.col("n_frames") - 1, F.floor(at) + REACH + 1).alias("high"))
+    near = placed.withColumn("t", F.explode(F.sequence("low", "high"))).join(images.select("movie_id", "t", "h", "w", "pixels"), ["movie_id", "t"])
+
+    def combine(table: pa.Table) -> pa.Table:
+        table = table.sort_by("t")
+        first = {c: table.column(c)[0].as_py() for c in ("o", "at", "low", "h", "w")}
+        weight = between(table.num_rows, first["at"] - first["low"], order)
+        pixels = sum(k * v.values.to_numpy(zero_copy_only=False).astype(float) for k, v in zip(weight, table.column("pixels"), strict=True) if k)
+        return pa.table({"movie_id": table.column("movie_id").slice(0, 1), "t": pa.array([first["o"]], pa.int32()), "h": pa.array([first["h"]], pa.int32()), "w": pa.array([first["w"]], pa.int32()), "pixels": pa.array([pixels], pa.list_(pa.float64()))})
+
+    kind = images.schema["movie_id"].dataType.simpleString()
+    return near.groupBy("movie_id", "o").applyInArrow(combine, f"movie_id {kind}, t int, h int, w int, pixels array<double>")

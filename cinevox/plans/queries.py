@@ -319,8 +319,8 @@ def roi_names(spark, sf_dir):
 
 
 @query("""WITH m AS (SELECT n_nationkey AS movie_id, 10 + n_nationkey * 1.5::DOUBLE AS cell_diameter, 2.0::DOUBLE + n_nationkey % 7 AS extrusion_duration FROM nation)
-SELECT *, CASE WHEN abs(25.0::DOUBLE - cell_diameter) > cell_diameter * 0.3::DOUBLE THEN 25.0::DOUBLE / cell_diameter ELSE 1 END AS ratio_xy,
-       CASE WHEN abs(4.5::DOUBLE - extrusion_duration) > extrusion_duration * 0.3::DOUBLE THEN 4.5::DOUBLE / extrusion_duration ELSE 1 END AS ratio_t FROM m""")
+SELECT *, CASE WHEN abs(25.0::DOUBLE - cell_diameter) > 25.0::DOUBLE * 0.3::DOUBLE THEN 25.0::DOUBLE / cell_diameter ELSE 1 END AS ratio_xy,
+       CASE WHEN abs(4.5::DOUBLE - extrusion_duration) > 4.5::DOUBLE * 0.3::DOUBLE THEN 4.5::DOUBLE / extrusion_duration ELSE 1 END AS ratio_t FROM m""")
 def scale_factors(spark, sf_dir):
     m = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("movie_id"), (10 + F.col("n_nationkey") * 1.5).cast("double").alias("cell_diameter"), (F.lit(2.0) + F.col("n_nationkey") % 7).cast("double").alias("extrusion_duration"))
     return points.scale_factors(m, 25.0, 4.5)
