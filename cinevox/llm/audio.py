@@ -3,9 +3,9 @@
 A recording (WAV, 16-bit PCM) becomes frames of twelve pitch classes.  Filters
 over an integral image of the frames, each the difference of two rectangles'
 sums, are quantised to two bits; sixteen of them make the 32-bit integer of a
-position.  Two recordings are aligned by the integers they share: the histogram
-of their position differences has its peak at the offset, and the bits that
-differ along the overlap at that offset tell whether they are the same sound.
+position.  Two recordings are aligned by integers that are equal or differ in one
+bit: the histogram of their position differences gives the offsets, and the bits
+that differ along the overlap at an offset tell whether they are the same sound.
 
 Recordings with equal fingerprints are one class, compared once; an integer that
 many classes share costs pairs only with the queries.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import in_arrow
+from .scratch import Scratch, in_arrow
 
 FRAME = 1024
 HOP = 512
@@ -133,28 +133,41 @@ def align(prints: DataFrame, is_query: Column, most_errors: float = 0.2, least_o
     Returns ``id`` (of the query), ``match`` (least id of a class of equal
     fingerprints), ``n_members`` of that class, ``shift`` (position of the query
     less that of the match) and ``bit_errors`` (share of the bits that differ
-    along the overlap): pairs that share ``least_shared`` integers or more at
-    their best shift, overlap by ``least_overlap`` positions and differ by
-    ``most_errors`` at most.  Ties go to the least shift.  A query's own class is
-    listed too; recordings without integers are not.
+    along the overlap).  A position of the query votes for those whose integer
+    is its own or differs in one bit; the integer of silence does not vote.  All
+    shifts with ``least_shared`` votes or more are compared bit by bit, and count
+    if they overlap by ``least_overlap`` positions and differ by ``most_errors``
+    at most.  A pair has the one with the most equal bits less differing ones,
+    ties go to the least shift.  A query's own class is listed too.  Recordings
+    without integers, null ids among the queries and columns other than ``id`` and
+    ``codes`` are left out; rows with equal ids and equal codes count as members
+    of their class and, as queries, give equal rows.
     """
-    full = prints.where(F.size("codes") > 0)
-    classes = full.groupBy("codes").agg(F.min("id").alias("match"), F.count("*").alias("n_members"), F.max(is_query).alias("asked"))
-    queries = full.where(is_query).select("id", "codes")
-    listed = classes.select("match", F.posexplode("codes").alias("at", "code"))
-    asked = classes.where("asked").select(F.col("match").alias("query"), F.posexplode("codes").alias("from", "code"))
-    votes = asked.join(listed, "code").groupBy("query", "match", (F.col("from") - F.col("at")).alias("shift")).agg(F.count("*").alias("shared"))
-    best = votes.groupBy("query", "match").agg(F.max(F.struct("shared", -F.col("shift"))).alias("best")).where(F.col("best.shared") >= least_shared).select("query", "match", (-F.col("best.col2")).alias("shift"))
+    scratch = Scratch(prints.sparkSession, "align")
+    full = prints.where(F.size("codes") > 0).select("id", "codes", F.coalesce(is_query, F.lit(False)).alias("asked"))
+    classes = scratch.save(full.groupBy("codes").agg(F.min("id").alias("match"), F.count("*").alias("n_members"), F.max("asked").alias("asked")).where("match is not null"), "classes")
+    heard = F.col("code") != int(fingerprint(np.zeros((SPAN, 12)))[0])
+    listed = classes.select("match", F.posexplode("codes").alias("at", "code")).where(heard)
+    asked = classes.where("asked").select(F.col("match").alias("query"), F.posexplode("codes").alias("from", "code")).where(heard)
+    near = F.array(F.col("code"), *[F.col("code").bitwiseXOR(F.lit(1 << k)) for k in range(32)])
+    probes = asked.select("query", "from", F.explode(near).alias("code"))
+    votes = probes.join(listed, "code").groupBy("query", "match", (F.col("from") - F.col("at")).alias("shift")).agg(F.count("*").alias("shared"))
+    pairs = votes.where(F.col("shared") >= least_shared).groupBy("query", "match").agg(F.collect_list("shift").alias("shifts"))
     one = classes.select(F.col("match").alias("query"), F.col("codes").alias("x"))
     other = classes.select("match", "n_members", F.col("codes").alias("y"))
-    both = best.join(one, "query").join(other, "match")
-    start, end = F.greatest(F.lit(0), "shift"), F.least(F.size("x"), F.size("y") + F.col("shift"))
-    overlap = both.withColumn("n", end - start).where(F.col("n") >= least_overlap)
-    pairs = F.zip_with(F.slice("x", start + 1, F.col("n")), F.slice("y", start - F.col("shift") + 1, F.col("n")), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
-    errors = F.aggregate(pairs, F.lit(0), lambda s, v: s + v)
-    found = overlap.select("query", "match", "n_members", "shift", (errors / (32 * F.col("n"))).alias("bit_errors")).where(F.col("bit_errors") <= most_errors)
+    both = pairs.join(one, "query").join(other, "match")
+
+    def compared(shift: Column) -> Column:
+        start, end = F.greatest(F.lit(0), shift), F.least(F.size("x"), F.size("y") + shift)
+        n = F.greatest(F.lit(0), end - start)
+        bits = F.zip_with(F.slice("x", start + 1, n), F.slice("y", start - shift + 1, n), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+        errors = F.when(n >= least_overlap, F.aggregate(bits, F.lit(0), lambda total, v: total + v))
+        return F.struct((2 * errors - 32 * n).alias("cost"), shift.alias("shift"), (errors / (32 * n)).alias("bit_errors"))
+
+    fitting = F.filter(F.transform("shifts", compared), lambda c: c["bit_errors"] <= most_errors)
+    found = both.select("query", "match", "n_members", F.array_min(fitting).alias("best")).where("best is not null").select("query", "match", "n_members", "best.shift", "best.bit_errors")
     names = classes.select("codes", F.col("match").alias("query"))
-    return queries.join(names, "codes").select("id", "query").join(found, "query").select("id", "match", "n_members", "shift", "bit_errors")
+    return full.where("asked").select("id", "codes").join(names, "codes").select("id", "query").join(found, "query").select("id", "match", "n_members", "shift", "bit_errors")
 
 
 def melodies(vectors: DataFrame, id_col: str, vector_col: str, rate: int = 4000, note: float = 0.1) -> DataFrame:

@@ -102,6 +102,39 @@ def tune(rng, n):
     return np.concatenate([0.4 * np.sin(2 * np.pi * 220 * 2 ** (rng.integers(0, 36) / 12) * time) for _ in range(n)])
 
 
+def test_alignment_finds_what_brute_force_finds(spark):
+    """Codes with planted bit errors and shifts, against every shift of every pair."""
+    rng = np.random.default_rng(7)
+    rows = {}
+    for k in range(30):
+        song = rng.integers(0, 2**32, 60)
+        rows[k] = song
+        copy = song[rng.integers(0, 8) :]
+        flips = rng.random((len(copy), 32)) < (0.02, 0.05, 0.08, 0.1)[k % 4]
+        rows[100 + k] = copy ^ (flips * (1 << np.arange(32, dtype=np.int64))).sum(1)
+    silence = int(audio.fingerprint(np.zeros((audio.SPAN, 12)))[0])
+    rows[500], rows[501] = np.full(40, silence), np.full(50, silence)
+    rows[600] = np.concatenate([rows[0][:20], rows[0][:20], rows[0][:20]])
+    data = [(k, [int(v) for v in codes], "x") for k, codes in rows.items()] + [(700, [], "x"), (701, None, "x"), (None, [int(v) for v in rows[1]], "x"), (0, [int(v) for v in rows[0]], "x")]
+    prints = spark.createDataFrame(data, "id bigint, codes array<bigint>, match string")
+    found = {(r["id"], r["match"]): r for r in audio.align(prints, F.col("id") < 100).collect()}
+
+    def errors(x, y, shift):
+        start, end = max(0, shift), min(len(x), len(y) + shift)
+        return (sum(int(a ^ b).bit_count() for a, b in zip(x[start:end], y[start - shift : end - shift])), end - start)
+
+    wanted = {}
+    for q in range(30):
+        for m, y in rows.items():
+            best = min(((2 * e - 32 * n, shift, e / (32 * n)) for shift in range(-len(y) + 16, len(rows[q]) - 15) for e, n in [errors(rows[q], y, shift)] if n >= 16 and e <= 0.2 * 32 * n), default=None)
+            if best:
+                wanted[q, m] = best
+    assert set(found) <= set(wanted) and len(found) >= 0.95 * len(wanted) and (0, 600) in found
+    assert all(found[k]["shift"] == wanted[k][1] and abs(found[k]["bit_errors"] - wanted[k][2]) < 1e-12 for k in found)
+    assert found[0, 0]["n_members"] == 2 and found[1, 1]["n_members"] == 2
+    assert audio.align(prints.limit(0), F.col("id") < 100).count() == 0
+
+
 def test_recordings_align(spark):
     rng = np.random.default_rng(1)
     song, other = tune(rng, 60), tune(rng, 60)
