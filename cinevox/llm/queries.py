@@ -14,6 +14,7 @@ from .minhash import near_duplicates
 from .mixing import WORD, mix, taken_by_document
 from .quality import quality
 from .scratch import Scratch
+from .skew import spread_join
 from .suffix_dedup import remove_repeats
 from .token_rollup import TokenRollup, changes
 
@@ -108,7 +109,7 @@ FROM placed GROUP BY doc_id, rank, size, source_size, target
 
 @_query
 def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents inserted under two tokenizers, exact copies deleted, one count revised, one batch sent twice."""
+    """All documents inserted under two tokenizers, exact copies deleted, one count revised, then compacted, one batch sent twice."""
     scratch = Scratch(spark, "rollup")
     docs = _documents(spark, sf_dir)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -119,8 +120,9 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "counted",
     )
-    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    marked = scratch.save(counted.join(first, "digest", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))), "marked")
+    first = scratch.save(counted.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "first")
+    paired = spread_join(counted, first, ["digest"], "n", ["doc_id"], "left")
+    marked = scratch.save(paired.withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))), "marked")
     each = lambda rows, name, n, **more: rows.select("source", "lang", F.lit(name).alias("tokenizer"), F.col(n).alias("n_tokens"), *[F.col(v).alias(k) for k, v in more.items()])
 
     rollup = TokenRollup(spark, scratch.path("store"))
@@ -129,6 +131,7 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = changes(each(copies, "words-1", "words").union(each(copies, "bytes-1", "bytes")), "delete")
     rollup.commit(2, gone)
     rollup.commit(3, changes(each(marked.where("not copy"), "words-1", "plain", was="words"), "revise"))
+    rollup.compact()
     rollup.commit(2, gone)
     return rollup.totals()
 

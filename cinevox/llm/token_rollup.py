@@ -5,6 +5,11 @@ written below ``deltas/batch=<id>``; a one-row file below ``commits/batch=<id>``
 then makes it count.  Totals are the sum of the committed deltas, so their order
 does not matter.  A batch whose id is committed is skipped, and one that failed
 half-way is overwritten by its next attempt, so every batch counts once.
+
+``compact`` adds the committed deltas to a base, a table of totals below
+``bases/base=<n>`` with the batches it holds.  Readers take the latest whole base
+and the committed deltas that it does not hold, so what they read does not grow
+with all batches there ever were.
 """
 
 from __future__ import annotations
@@ -55,11 +60,56 @@ class TokenRollup:
         self.spark.range(1).select(F.lit(int(batch)).alias("id")).write.mode("overwrite").parquet(f"{self.path}/commits/batch={int(batch)}")
         return True
 
+    def _bases(self) -> list[int]:
+        """Numbers of the whole bases, the latest last."""
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/bases")
+        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+        return sorted(int(n.partition("=")[2]) for n in names if self._exists(f"{self.path}/bases/{n}/batches/_SUCCESS"))
+
+    def _signed(self) -> tuple[DataFrame, DataFrame]:
+        """Rows that add up to the totals, and the batches in them: the latest base, and committed deltas outside it."""
+        commits = self.spark.read.schema("id bigint, batch bigint").parquet(f"{self.path}/commits").select("batch")
+        deltas = self.spark.read.schema(f"{_DELTA}, batch bigint").parquet(f"{self.path}/deltas").join(commits, "batch", "left_semi")
+        if not (bases := self._bases()):
+            return deltas.drop("batch"), commits
+        base = f"{self.path}/bases/base={bases[-1]}"
+        held = self.spark.read.schema("batch bigint").parquet(f"{base}/batches")
+        totals = self.spark.read.schema(_DELTA).parquet(f"{base}/totals")
+        return totals.unionByName(deltas.join(held, "batch", "left_anti").drop("batch")), commits.union(held).distinct()
+
+    def compact(self) -> int | None:
+        """Writes a new base of everything committed; its number, or None without commits.
+
+        The list of its batches is written last and makes it count; a compaction
+        that failed before is overwritten.  Deltas and older bases stay until
+        ``forget`` removes them, for readers that still use them.
+        """
+        if not self._exists(f"{self.path}/commits"):
+            return None
+        number = max(self._bases(), default=0) + 1
+        base = f"{self.path}/bases/base={number}"
+        rows, batches = self._signed()
+        held = sorted(r["batch"] for r in batches.collect())  # one number for each batch
+        sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
+        sums.write.mode("overwrite").parquet(f"{base}/totals")
+        self.spark.createDataFrame([(b,) for b in held], "batch bigint").coalesce(1).write.mode("overwrite").parquet(f"{base}/batches")
+        return number
+
+    def forget(self) -> None:
+        """Removes deltas that the latest base holds, and older bases; ids of their batches stay committed."""
+        if not (bases := self._bases()):
+            return
+        held = self.spark.read.schema("batch bigint").parquet(f"{self.path}/bases/base={bases[-1]}/batches").collect()
+        for name in [*(f"deltas/batch={r['batch']}" for r in held), *(f"bases/base={b}" for b in bases[:-1])]:
+            jvm = self.spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, n_docs, n_tokens`` of keys that still have documents or tokens."""
         if not self._exists(f"{self.path}/commits"):
             return self.spark.createDataFrame([], _DELTA)
-        deltas = self.spark.read.schema(f"{_DELTA}, batch bigint").parquet(f"{self.path}/deltas")
-        commits = self.spark.read.schema("id bigint, batch bigint").parquet(f"{self.path}/commits").select("batch")
-        sums = deltas.join(commits, "batch", "left_semi").groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        sums = self._signed()[0].groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")

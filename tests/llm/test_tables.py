@@ -95,6 +95,29 @@ def test_unfinished_batch_does_not_count(spark):
         rollup.commit(4, changes(row, "upsert"))
 
 
+def test_compaction_keeps_totals_and_batches(spark, tmp_path):
+    rows = lambda *r: changes(spark.createDataFrame(list(r), "source string, lang string, tokenizer string, n_tokens bigint, op string"), "insert")
+    state = lambda rollup: {tuple(r) for r in rollup.totals().collect()}
+    rollup = TokenRollup(spark, str(tmp_path / "store"))
+    assert rollup.compact() is None
+    rollup.commit(1, rows(("a", "x", "t", 5, "noise"), ("a", "x", "t", 5, "noise"), (None, None, None, None, None)))
+    rollup.commit(2, rows(("b", "x", "t", 7, None)))
+    rollup.commit(3, rows(("a", "x", "t", 1, None)).limit(0))
+    before = state(rollup)
+    assert before == {("a", "x", "t", 2, 10), ("b", "x", "t", 1, 7), (None, None, None, 1, 0)}
+    assert rollup.compact() == 1 and state(rollup) == before
+    assert not rollup.commit(2, rows(("b", "x", "t", 7, None))) and state(rollup) == before
+    rollup.commit(4, rows(("b", "x", "t", 3, None)))
+    after = (before - {("b", "x", "t", 1, 7)}) | {("b", "x", "t", 2, 10)}
+    assert state(rollup) == after
+    (tmp_path / "store/bases/base=9/totals").mkdir(parents=True)  # a compaction that failed
+    assert state(rollup) == after and rollup.compact() == 2
+    rollup.forget()
+    assert state(rollup) == after and not rollup.commit(1, rows(("a", "x", "t", 5, None))) and state(rollup) == after
+    rollup.commit(5, rows(("a", "x", "t", 4, None)))
+    assert ("a", "x", "t", 3, 14) in state(rollup)
+
+
 # --- audio
 
 def tune(rng, n):
