@@ -7,50 +7,57 @@ tolerances that no earlier detection has taken.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalar import distance
+from ..sources.scratch import Scratch
+from .components import connected_components
 
 POINT = ("roi_idx", "t", "y", "x")
 
 
 def near_pairs(detected: DataFrame, truth: DataFrame, dxy: float, dt: int) -> DataFrame:
-    """Pairs within both tolerances as ``movie_id, d_*, g_*, mix``: an equi-join on time buckets with the tolerances behind it."""
-    width = max(1, int(dt) + 1)
-    left = detected.select("movie_id", *[F.col(c).alias(f"d_{c}") for c in POINT], F.explode(F.array(*[F.floor(F.col("t") / width) + i for i in (-1, 0, 1)])).alias("slot"))
-    right = truth.select("movie_id", *[F.col(c).alias(f"g_{c}") for c in POINT], F.floor(F.col("t") / width).alias("slot"))
+    """Pairs within both tolerances as ``movie_id, d_*, g_*, mix``: an equi-join on cells of time and place with the tolerances behind it.
+
+    Cells are a little wider than twice a tolerance, so what a detection reaches lies in two of them along an axis at most.
+    """
+    reach = {"t": max(0, int(dt)), "y": max(0, math.ceil(dxy)), "x": max(0, math.ceil(dxy))}
+    cell = lambda c, shift=0: F.floor((F.col(c) + shift) / (2 * reach[c] + 1))
+    cells = [f"cell_{c}" for c in reach]
+    left, right = detected, truth.select("movie_id", *[F.col(c).alias(f"g_{c}") for c in POINT], *[cell(c).alias(f"cell_{c}") for c in reach])
+    for c, r in reach.items():
+        left = left.withColumn(f"cell_{c}", F.explode(F.sequence(cell(c, -r), cell(c, r))))
+    left = left.select("movie_id", *[F.col(c).alias(f"d_{c}") for c in POINT], *cells)
     off = distance(F.col("d_y") - F.col("g_y"), F.col("d_x") - F.col("g_x"))
     late = F.abs(F.col("d_t") - F.col("g_t"))
-    return left.join(right, ["movie_id", "slot"]).where((late <= dt) & (off <= dxy)).drop("slot").withColumn("mix", off + late)
-
-
-def islands(points: DataFrame, dt: int) -> DataFrame:
-    """Adds ``island``: stretches of a movie's points with gaps of ``dt`` frames at most.  Points of different ones cannot match."""
-    order = Window.partitionBy("movie_id").orderBy("t")
-    new = (F.col("t") - F.lag("t").over(order) > dt).cast("int")
-    return points.withColumn("new", F.coalesce(new, F.lit(0))).withColumn("island", F.sum("new").over(order)).drop("new")
+    return left.join(right, ["movie_id", *cells]).where((late <= dt) & (off <= dxy)).drop(*cells).withColumn("mix", off + late)
 
 
 def matches(detected: DataFrame, truth: DataFrame, dxy: float = 15, dt: int = 4) -> DataFrame:
     """``detected`` with ``match``, the ``roi_idx`` of its annotation; null for a false positive.
 
-    Candidates come from a bucketed join; each island then folds its detections
-    in order, carrying the annotations taken so far.
+    Detections compete only through annotations that both could take, so each
+    connected component of the candidate pairs folds its detections in order by
+    itself, carrying the annotations taken so far.  A group is such a
+    component, not a movie.
     """
-    both = islands(detected.select("movie_id", *POINT, F.lit(True).alias("own")).unionByName(truth.select("movie_id", *POINT, F.lit(False).alias("own"))), dt)
+    scratch = Scratch(detected.sparkSession, "matching")
     closer = near_pairs(detected, truth, dxy, dt).where(F.col("mix") < dt + 1.1 * dxy)
-    choice = F.array_sort(F.collect_list(F.struct("mix", F.col("g_roi_idx").alias("id"))))
-    choices = closer.groupBy("movie_id", F.col("d_roi_idx").alias("roi_idx")).agg(F.transform(choice, lambda c: c["id"]).alias("ids"))
-    listed = both.where("own").join(choices, ["movie_id", "roi_idx"], "left")
-    groups = listed.where("ids is not null").groupBy("movie_id", "island").agg(F.array_sort(F.collect_list(F.struct("roi_idx", "ids"))).alias("d"))
-    first_free = lambda taken, ids: F.element_at(F.array_except(ids, taken), 1)
-    empty = F.array().cast("array<bigint>")
-    step = lambda taken, d: F.concat(taken, F.array(F.when(F.size(F.array_except(d["ids"], taken)) > 0, first_free(taken, d["ids"])).otherwise(F.lit(None).cast("bigint"))))
-    folded = groups.select("movie_id", F.explode(F.arrays_zip(F.transform("d", lambda d: d["roi_idx"]).alias("roi_idx"), F.aggregate("d", empty, step).alias("match"))).alias("z")).select("movie_id", "z.*")
-    names = folded.columns
-    folded = folded.select("movie_id", F.col(names[1]).alias("roi_idx"), F.col(names[2]).alias("match"))
+    closer = scratch.save(closer.select("movie_id", F.col("d_roi_idx").cast("bigint").alias("d"), F.col("g_roi_idx").cast("bigint").alias("g"), "mix"), "pairs")
+    node = lambda side, c: F.struct("movie_id", F.lit(side).alias("side"), F.col(c).alias("idx"))
+    group = connected_components(closer.select(node(0, "d").alias("a"), node(1, "g").alias("b")), scratch)
+    group = group.where("node.side = 0").select("node.movie_id", F.col("node.idx").alias("d"), "component")
+    choice = F.array_sort(F.collect_list(F.struct("mix", F.col("g").alias("id"))))
+    choices = closer.groupBy("movie_id", "d").agg(F.transform(choice, lambda c: c["id"]).alias("ids")).join(group, ["movie_id", "d"])
+    groups = choices.groupBy("movie_id", "component").agg(F.array_sort(F.collect_list(F.struct("d", "ids"))).alias("order"))
+    first_free = lambda taken, ids: F.get(F.array_except(ids, taken), 0)
+    step = lambda taken, o: F.concat(taken, F.array(first_free(taken, o["ids"])))
+    taken = F.aggregate("order", F.array().cast("array<bigint>"), step)
+    pairs = F.transform(F.arrays_zip(F.transform("order", lambda o: o["d"]).alias("roi_idx"), taken.alias("match")), lambda z: F.struct(z["roi_idx"].alias("roi_idx"), z["match"].alias("match")))
+    folded = groups.select("movie_id", F.inline(pairs))
     return detected.join(folded, ["movie_id", "roi_idx"], "left")
 
 

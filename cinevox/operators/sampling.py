@@ -108,7 +108,9 @@ def sample_points(points: DataFrame, movies: DataFrame, config: Config, naug: in
 def sample_nothing(points: DataFrame, movies: DataFrame, config: Config, naug: int = 1, val_ratio: float = 0.1, seed: int = 0, rep: int = 0) -> DataFrame:
     """Windows at random places that contain no point, up to 1.2 times the largest class, in the columns of ``sample_points``.
 
-    Proposals meet points by a join on cells of time and place as large as a window and are dropped at the first one inside.
+    Points first mark the small blocks whose every place would have that point in its window; proposals in a marked block
+    are dropped by an equi-join with one row for a block.  The few others meet the points by a join on cells of time and
+    place as large as a window.
     """
     (f0, f1), (hy, hx) = config.nframes, config.half_size
     most = points.groupBy("movie_id", "cat").agg(F.count("*").alias("n")).groupBy("movie_id").agg(F.max("n").alias("nmax"))
@@ -121,8 +123,20 @@ def sample_nothing(points: DataFrame, movies: DataFrame, config: Config, naug: i
         right = right.withColumn(f"cell_{c}", F.explode(F.array(*[F.col(f"cell_{c}") + i for i in (-1, 0, 1)])))
     right = right.select(*[F.col(c).alias(f"r_{c}") if c[0] != "r" else F.col(c) for c in right.columns])
 
+    reach = {  # the places whose window holds a point, as contains() has it, from and to
+        "t": (F.ceil(F.col("t") - f1), F.floor(F.col("t") + f0)), "y": (F.ceil(F.col("y") - hy - 1), F.floor(F.col("y") + hy)),
+        "x": (F.floor(F.col("x") - hx) + (F.col("x") != F.floor("x")).cast("int"), F.ceil(F.col("x") + hx) - 1),
+    }
+    side = {c: max(1, w // 4) for c, w in widths.items()}
+    full = points.select("movie_id", *[F.sequence(F.ceil(reach[c][0] / side[c]), F.floor((reach[c][1] + 1) / side[c])).alias(f"block_{c}") for c in "tyx"])
+    for c in "tyx":  # the last number is the first block that is not whole
+        full = full.withColumn(f"block_{c}", F.explode(F.slice(F.col(f"block_{c}"), 1, F.size(f"block_{c}") - 1)))
+    full = Scratch(points.sparkSession, "blocks").save(full.distinct(), "full")
+
     def fitting(tries: DataFrame) -> DataFrame:
         tried = tries.select("movie_id", "k", "quota", "have", "n_frames", "h", "w", place("t", f0, F.col("n_frames") - f1), place("y", hy, F.col("h") - 2 * hy), place("x", hx, F.col("w") - 2 * hx)).where(window_fits(config))
+        block = [F.floor(F.col(c) / side[c]).alias(f"block_{c}") for c in "tyx"]
+        tried = tried.select("movie_id", "k", "quota", "have", "t", "y", "x", *block).join(full.hint("shuffle_hash"), ["movie_id", "block_t", "block_y", "block_x"], "left_anti")
         left = tried.select("*", *[cell(c).alias(f"cell_{c}") for c in "tyx"])
         same = [F.col(c) == F.col(f"r_{c}") for c in ("movie_id", "cell_t", "cell_y", "cell_x")]
         return left.join(right, [*same, contains(config)], "left_anti").select("movie_id", "k", "quota", "have", "t", "y", "x")
