@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,19 @@ def gaussian(cube: np.ndarray, sigma: float, axes: tuple[int, ...] | None = None
     return out
 
 
+def blur(cube: np.ndarray, sigma: float) -> np.ndarray:
+    """Blur along all axes with a Gaussian integrated over each voxel, out to four sigma, zero beyond the border."""
+    reach = int(max(4 * sigma, 0.5) + 0.5)
+    steps = np.array([math.erf((i - 0.5) / (math.sqrt(2) * sigma)) for i in range(-reach, reach + 2)])
+    kernel = np.diff(steps) / 2
+    out = cube.astype(float)
+    for axis in range(cube.ndim):
+        n = out.shape[axis]
+        wide = np.pad(out, [(reach, reach) if a == axis else (0, 0) for a in range(cube.ndim)])
+        out = sum(k * np.take(wide, np.arange(i, i + n), axis) for i, k in enumerate(kernel))
+    return out
+
+
 def gamma(cube: np.ndarray, power: float) -> np.ndarray:
     low, high = cube.min(), cube.max()
     return cube.astype(float) if high <= low else ((cube - low) / (high - low)) ** power * (high - low) + low
@@ -37,9 +51,9 @@ def augment(cube: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         frame = rng.integers(len(out))
         out[frame] = gamma(out[frame], max(1e-3, 1.5 * rng.random()))
     if rng.random() < 0.25:
-        out = gaussian(out, max(1e-3, 1.5 * rng.random()))
+        out = blur(out, max(1e-3, 1.5 * rng.random()))
     if rng.random() < 0.4:
-        out = out + gaussian(rng.normal(0, 1, out.shape), max(1e-3, 1.5 * rng.random()))
+        out = out + blur(rng.normal(0, 1, out.shape), max(1e-3, 1.5 * rng.random()))
     for mode in ("zero", "add"):
         if rng.random() < 0.15:
             side = int(rng.integers(1, max(2, min(12, out.shape[1] - 1, out.shape[2] - 1))))

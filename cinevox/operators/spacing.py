@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +36,19 @@ def radial_mean(voxels: DataFrame, cy: int, cx: int, radius: int) -> DataFrame:
 
 def first_peak(profile: np.ndarray, prominence: float) -> float:
     """Place of the first peak behind the first valley of the smoothed profile that rises so much above it; NaN if none."""
-    p = (np.pad(profile, 1)[:-2] + profile + np.pad(profile, 1)[2:]) / 3
-    n = len(p)
-    valleys = [i for i in range(2, n - 1) if p[i] < p[i - 1] and p[i] <= p[i + 1]]
-    if not valleys:
+    p = np.convolve(profile, np.full(3, 1 / 3), "same")
+    inner = np.arange(1, len(p) - 1)
+    left, here, right = p[:-2], p[1:-1], p[2:]
+    valleys = inner[(here < left) & (here <= right) & (inner > 1)]
+    if not len(valleys):
         return float("nan")
-    floor = np.minimum.accumulate(p[valleys[0] :])
-    for j in range(valleys[0] + 1, n - 1):
-        if p[j] > p[j - 1] and p[j] >= p[j + 1] and p[j] - floor[j - valleys[0]] >= prominence:
-            bend = p[j - 1] - 2 * p[j] + p[j + 1]
-            return j + (float(np.clip((p[j - 1] - p[j + 1]) / (2 * bend), -0.5, 0.5)) if bend else 0.0)
-    return float("nan")
+    floor = np.minimum.accumulate(np.where(np.arange(len(p)) < valleys[0], np.inf, p))
+    peaks = inner[(here > left) & (here >= right) & (inner > valleys[0]) & (here - floor[1:-1] >= prominence)]
+    if not len(peaks):
+        return float("nan")
+    low, top, high = p[peaks[0] - 1 : peaks[0] + 2]
+    bend = low - 2 * top + high
+    return peaks[0] + (float(np.clip((low - high) / (2 * bend), -0.5, 0.5)) if bend else 0.0)
 
 
 def _autocorrelation(image: np.ndarray, size: int) -> np.ndarray:
@@ -53,14 +56,21 @@ def _autocorrelation(image: np.ndarray, size: int) -> np.ndarray:
     return np.fft.fftshift(np.fft.irfft2(power, s=(size, size)))
 
 
+@lru_cache(maxsize=4)
+def _taper(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The taper of a tile and what its autocorrelation is divided by."""
+    taper = np.outer(np.hanning(n), np.hanning(n))
+    own = _autocorrelation(taper, 2 * n)
+    return taper, np.maximum(own / own.max(), 0.25)
+
+
 def tile_spacing(tile: np.ndarray, sigma: float = 12.0, prominence: float = 0.1) -> float:
     """Spacing of one square tile in pixels: high-pass, taper, autocorrelation corrected for the taper, rings."""
     n = len(tile)
     valid = (tile != 0).astype(float)
     background = gaussian(tile * valid, sigma) / np.maximum(gaussian(valid, sigma), 1e-3)
-    taper = np.outer(np.hanning(n), np.hanning(n))
-    own = _autocorrelation(taper, 2 * n)
-    ac = _autocorrelation((tile - background) * valid * taper, 2 * n) / np.maximum(own / own.max(), 0.25)
+    taper, share = _taper(n)
+    ac = _autocorrelation((tile - background) * valid * taper, 2 * n) / share
     y, x = np.indices(ac.shape) - n
     ring = np.rint(np.hypot(y, x)).astype(int)
     keep = ring <= n // 2

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalar import argmax, softmax, uniform
-from ..operators import augment, detect, matching, network, points, regions, resample, sampling, spacing
+from ..functions.scalar import argmax, softmax, stem, uniform
+from ..operators import augment, detect, jobs, matching, network, points, regions, resample, sampling, spacing
 from ..operators.config import Config
 from ..sources import views
 from ..sources.views import VIEWS, table
@@ -430,6 +430,21 @@ def sample_rois(spark, sf_dir):
     return sampling.sample_points(_rois(spark, sf_dir), _roi_movies(spark, sf_dir), SMALL, 2)
 
 
+_PICKED = _SAMPLING.replace("CASE WHEN roi_idx % 5 = 0 THEN 2 ELSE 1 END", "0")
+
+
+@query(f"{_PICKED},\n{_samples_sql(0)}\nSELECT * FROM samples0")
+def sample_negatives(spark, sf_dir):
+    """Every point taken as a hand-picked place with nothing."""
+    return sampling.sample_negatives(_rois(spark, sf_dir), _roi_movies(spark, sf_dir), SMALL, 2, 2)
+
+
+@query(f"""{_SAMPLING},\n{_samples_sql(0)}
+SELECT movie_id, cat, t, y, x FROM samples0 WHERE split = 'train' INTERSECT SELECT movie_id, cat, t, y, x FROM samples0 WHERE split = 'val'""")
+def split_overlap(spark, sf_dir):
+    return jobs.split_overlap(sampling.sample_points(_rois(spark, sf_dir), _roi_movies(spark, sf_dir), SMALL, 2))
+
+
 NOTHING_SQL = 160
 """Proposals for each wanted window in the SQL: all quotas at sf0.01 are full by then; the query goes on to the limit of 3000."""
 _Q = lambda *w: md5_uniform("'0'", "'0'", *w)
@@ -487,16 +502,23 @@ def flip_augment(spark, sf_dir):
     return sampling.flips(_windows(spark, sf_dir), 8, 8)
 
 
-_D = lambda w: md5_uniform("'0'", "'zero'", repr(w), "win_id")
+def _square_sql(mode: str, value: str) -> str:
+    draw = lambda what: md5_uniform("'0'", repr(mode), repr(what), "win_id")
+    return f"""{_WIN}, s AS (SELECT *, CAST(floor({draw("side")} * 6) + 1 AS INT) AS side FROM win),
+p AS (SELECT *, floor({draw("y")} * (7 - side)) AS y0, floor({draw("x")} * (7 - side)) AS x0 FROM s)
+SELECT win_id, t, y, x, CASE WHEN {draw("gate")} < 0.15 AND y BETWEEN y0 AND y0 + side - 1 AND x BETWEEN x0 AND x0 + side - 1 THEN {value} ELSE v END AS v FROM p"""
 
 
-@query(f"""{_WIN}, s AS (SELECT *, CAST(floor({_D("side")} * 6) + 1 AS INT) AS side FROM win),
-p AS (SELECT *, floor({_D("y")} * (7 - side)) AS y0, floor({_D("x")} * (7 - side)) AS x0 FROM s)
-SELECT win_id, t, y, x, CASE WHEN {_D("gate")} < 0.15 AND y BETWEEN y0 AND y0 + side - 1 AND x BETWEEN x0 AND x0 + side - 1 THEN 0 ELSE v END AS v FROM p""")
+@query(_square_sql("zero", "0"))
 def square_augment(spark, sf_dir):
     return sampling.squares(_windows(spark, sf_dir), 8, 8)
 
 
+@query(_square_sql("add", "v + 1"))
+def square_raised(spark, sf_dir):
+    return sampling.squares(_windows(spark, sf_dir), 8, 8, mode="add")
+
+
 @query()
 def noise_augment(spark, sf_dir):
     f = views.frames(spark, sf_dir)
@@ -538,6 +560,34 @@ def frame_picks(spark, sf_dir):
     return spacing.frame_picks(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("movie_id"), (F.col("p_partkey") % 40 + 1).cast("int").alias("n_frames")))
 
 
+_FILES = """WITH files AS (SELECT DISTINCT p_type || '_' || p_brand || CASE p_partkey % 3 WHEN 0 THEN '.zip' WHEN 1 THEN '.bak.zip' ELSE '.tif' END AS name FROM part),
+movie AS (SELECT min(p_type) AS stem FROM part)"""
+
+
+@query(f"""{_FILES} SELECT name, regexp_replace(name, '\\.[^.]*$', '') AS stem FROM files, movie
+WHERE starts_with(name, movie.stem || '_') AND ends_with(name, '.zip') AND NOT ends_with(name, '.bak.zip')""")
+def roi_files(spark, sf_dir):
+    """Point archives of one movie among files named by the parts."""
+    part = table(spark, sf_dir, "part")
+    kind = F.when(F.col("p_partkey") % 3 == 0, ".zip").when(F.col("p_partkey") % 3 == 1, ".bak.zip").otherwise(".tif")
+    movie = part.agg(F.min("p_type").alias("movie"))
+    named = part.select(F.concat("p_type", F.lit("_"), "p_brand", kind).alias("name")).distinct().join(F.broadcast(movie))  # one row
+    return points.point_files(named, F.col("movie")).select("name", stem(F.col("name")).alias("stem"))
+
+
+@query("""WITH e AS (SELECT s_suppkey AS movie_id, CASE WHEN s_suppkey % 3 > 0 THEN s_acctbal END AS spacing, CASE WHEN s_suppkey % 7 > 0 THEN (s_suppkey % 20)::DOUBLE / 10 END AS trend,
+  CASE WHEN s_suppkey % 3 > 0 THEN 'ok' ELSE 'few tiles' END AS status FROM supplier WHERE s_suppkey % 11 > 0),
+m AS (SELECT s_suppkey AS movie_id, CASE WHEN s_suppkey % 5 = 0 THEN s_nationkey::DOUBLE END AS cell_diameter FROM supplier)
+SELECT movie_id, coalesce(cell_diameter, spacing) AS cell_diameter, coalesce(cell_diameter IS NULL AND (trend < 0.7::DOUBLE OR trend > 1 / 0.7::DOUBLE), false) AS warn,
+  CASE WHEN cell_diameter IS NULL THEN coalesce(status, 'no estimate') ELSE 'given' END AS status FROM m LEFT JOIN e USING (movie_id)""")
+def diameters(spark, sf_dir):
+    """Suppliers as movies: some with a diameter given, some without an estimate."""
+    key, s = F.col("s_suppkey"), table(spark, sf_dir, "supplier")
+    estimates = s.where(key % 11 > 0).select(
+        key.alias("movie_id"), F.when(key % 3 > 0, F.col("s_acctbal")).alias("spacing"), F.when(key % 7 > 0, (key % 20).cast("double") / 10).alias("trend"), F.when(key % 3 > 0, "ok").otherwise("few tiles").alias("status"))
+    return points.resolve_diameter(s.select(key.alias("movie_id"), F.when(key % 5 == 0, F.col("s_nationkey").cast("double")).alias("cell_diameter")), estimates)
+
+
 @query(f"""{with_views("voxels")} SELECT movie_id, round(quantile_cont(v, 0.01), 6) AS low, round(quantile_cont(v, 0.998), 6) AS high FROM voxels v
 WHERE t % greatest(1, (SELECT max(t) + 1 FROM voxels m WHERE m.movie_id = v.movie_id) // 10) = 0 GROUP BY movie_id""")
 def contrast_limits(spark, sf_dir):
