@@ -47,12 +47,27 @@ def dilate(maps: DataFrame, dt: int, dxy: int, value: str = "b", keys: list[str]
     return out
 
 
-def edt_small(mask: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Euclidean distance of every set voxel to the nearest unset one of its movie, as ``d2`` (squared), by a join; for small grids."""
-    zeros = mask.where("b = 0").select(*keys, F.col("t").alias("zt"), F.col("y").alias("zy"), F.col("x").alias("zx"))
-    square = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
-    both = mask.where("b = 1").join(zeros, keys)
-    return both.groupBy(*keys, "t", "y", "x").agg(F.min(square("t", "zt") + square("y", "zy") + square("x", "zx")).alias("d2"))
+def edt(mask: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Squared Euclidean distance ``d2`` of every set voxel of a dense grid to the nearest unset one of its movie; movies without one are left out.
+
+    One pass an axis: the least of ``f(q) + (p - q)^2`` over a line of voxels, within
+    the reach that the distance found so far leaves.  A group is one line, a row
+    or column of a frame or one pixel through time, never a frame or movie.
+    """
+    out = mask.select(*keys, "t", "y", "x", F.when(F.col("b") == 0, 0).cast("bigint").alias("d2"))
+    for axis in ("x", "y", "t"):
+        others = [*keys, *(c for c in ("t", "y", "x") if c != axis)]
+        lines = out.groupBy(*others).agg(F.array_sort(F.collect_list(F.struct(axis, "d2"))).alias("line"))
+
+        def nearest(p: Column, i: Column) -> Column:
+            reach = F.coalesce(F.ceil(F.sqrt(p["d2"])), F.size("line")).cast("int")
+            start = F.greatest(F.lit(1), i + 1 - reach)
+            around = F.slice("line", start, i + 2 + reach - start)
+            off = lambda q: (p[axis] - q[axis]).cast("bigint")  # noqa: B023, E731
+            return F.struct(p[axis].alias(axis), F.array_min(F.transform(around, lambda q: q["d2"] + off(q) * off(q))).alias("d2"))
+
+        out = lines.select(*others, F.inline(F.transform("line", nearest)))
+    return out.where("d2 > 0").select(*keys, "t", "y", "x", "d2")
 
 
 def strict_maxima(maps: DataFrame, value: str = "p8", keys: list[str] = KEYS) -> DataFrame:

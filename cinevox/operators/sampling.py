@@ -173,15 +173,17 @@ def oversampled(samples: DataFrame) -> DataFrame:
     return samples.where((F.col("split") == "train") | (F.col("rep") == 0))
 
 
-def minibatches(samples: DataFrame, size: int, epoch: int, seed: int = 0, keys: tuple[str, ...] = ("movie_id", "rep", "seq"), buckets: int = 64) -> DataFrame:
+def minibatches(samples: DataFrame, size: int, epoch: int, seed: int = 0, keys: tuple[str, ...] = ("movie_id", "rep", "seq"), rows: int = 100000) -> DataFrame:
     """Adds ``batch``: shuffled by hash, cut into batches of ``size``, the incomplete last one left out.
 
-    Places are counted over ranges of the hash first, then inside each range.
+    Places are counted over ranges of the hash first, then inside each range; there is a range for about ``rows`` samples,
+    so a task's share stays the same as the samples grow.
     """
+    buckets = samples.count() // rows + 64
     drawn = samples.withColumn("u", uniform(seed, epoch, *[F.col(k) for k in keys])).withColumn("slot", F.floor(F.col("u") * buckets).cast("int"))
     sums = drawn.groupBy("slot").agg(F.count("*").alias("n"))
     before = sums.select("slot", F.coalesce(F.sum("n").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    placed = drawn.join(F.broadcast(before), "slot").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("slot").orderBy("u", *keys)) - 1)
+    placed = drawn.join(before, "slot").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("slot").orderBy("u", *keys)) - 1)
     full = F.floor(F.col("total") / size)
     return placed.withColumn("batch", F.floor(F.col("place") / size)).where(F.col("batch") < full).drop("u", "slot", "before", "total", "place")
 

@@ -158,7 +158,7 @@ def dilate_box(spark, sf_dir):
 SELECT a.movie_id, a.t, a.y, a.x, min((a.t - z.t) * (a.t - z.t) + (a.y - z.y) * (a.y - z.y) + (a.x - z.x) * (a.x - z.x)) AS d2
 FROM lit a JOIN lit z ON a.movie_id = z.movie_id AND a.b = 1 AND z.b = 0 GROUP BY a.movie_id, a.t, a.y, a.x""")
 def edt_distance(spark, sf_dir):
-    return regions.edt_small(_lit(spark, sf_dir), ONE)
+    return regions.edt(_lit(spark, sf_dir), ONE)
 
 
 @query(f"""{with_views("voxels")}

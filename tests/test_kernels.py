@@ -74,6 +74,16 @@ def test_noise_is_for_noisy_windows_and_not_of_the_layout(spark):
     assert any(one[r[0]] != r[5] for r in rows if r[4])
 
 
+def test_distance_equals_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    blocks = {1: rng.random((5, 6, 7)) < 0.95, 2: np.ones((4, 3, 3), bool), 3: np.ones((9, 2, 2), bool), 4: np.zeros((2, 2, 2), bool), 5: rng.random((2, 3, 12)) < 0.6}
+    blocks[3][8, 1, 1] = False
+    rows = [(m, *(int(v) for v in p), int(b[p])) for m, b in blocks.items() for p in np.ndindex(b.shape)]
+    got = {tuple(r)[:4]: r["d2"] for r in regions.edt(spark.createDataFrame(rows, "movie_id int, t int, y int, x int, b int"), ["movie_id"]).collect()}
+    want = {(m, *p): min(sum((a - c) ** 2 for a, c in zip(p, q, strict=True)) for q in map(tuple, np.argwhere(~b))) for m, b in blocks.items() if not b.all() for p in map(tuple, np.argwhere(b))}
+    assert got == want
+
+
 def mirrored(i, n):
     i %= 2 * n
     return i if i < n else 2 * n - 1 - i
