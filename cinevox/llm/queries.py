@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, language_id, masked_lm
+from . import audio, centroids, language_id, masked_lm, secrets
 from .byte_bpe import encode_digests
 from .licenses import scan
 from .minhash import near_duplicates
 from .mixing import WORD, mix, taken_by_document
+from .phrases import collocations
 from .quality import quality
 from .scratch import Scratch
 from .skew import spread_join
@@ -169,3 +170,137 @@ def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = Scratch(spark, "audio").save(audio.fingerprints(audio.melodies(vectors, "vec_id", "embedding"), "id", "wav"), "prints")
     found = audio.align(prints, F.col("id") % 20 == 0)
     return found.select(F.col("id").alias("vec_id"), F.col("match").alias("match_id"), "n_members", "shift", F.round("bit_errors", 6).alias("bit_errors"))
+
+
+@_query
+def op13_drake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of 64 finite components in one of 16 clusters after three rounds."""
+    found = centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), columns=["vec_id"])
+    names = [(i, ",".join(map(str, c))) for i, c in enumerate(found.centroids)]
+    named = spark.createDataFrame(names, "cluster int, name string").select("cluster", F.sha2("name", 256).alias("centroid_sha256"))
+    total = lambda column: F.sum(F.col(column).cast("decimal(38,0)"))
+    sums = found.assigned.groupBy("cluster").agg(total("distance").alias("own"))
+    each = sums.join(sums.agg(total("own").alias("every"))).join(named, "cluster")  # a row for each cluster
+    joined = found.assigned.join(F.broadcast(each), "cluster")
+    return joined.select("doc.vec_id", "cluster", "distance", F.col("own").cast("bigint").alias("cluster_inertia"), F.col("every").cast("bigint").alias("inertia"), "centroid_sha256")
+
+
+def _drake_oracle(rounds: int = 3, k: int = 16) -> str:
+    """Rounds of comparing every vector with every centroid."""
+    steps = [f"""
+kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS p
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64),
+c0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), p) - 1 AS INT) AS cluster, p AS c
+  FROM kept QUALIFY cluster < {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS (
+  SELECT row, vec_id, p, cluster, d FROM (
+    SELECT row, vec_id, p, cluster, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(p, c)]) AS d FROM kept, c{i})
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, cluster) = 1)""")
+        if i < rounds:
+            steps.append(f"""
+m{i} AS (
+  SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c
+  FROM (SELECT cluster, i, sum(v) AS s, count(*) AS n
+        FROM (SELECT cluster, unnest(p) AS v, unnest(range(64)) AS i FROM a{i}) GROUP BY cluster, i)
+  GROUP BY cluster),
+c{i + 1} AS (SELECT cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))""")
+    return "WITH" + ",".join(steps) + f"""
+SELECT vec_id, cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string([CAST(x AS BIGINT) FOR x IN c], ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)
+"""
+
+
+ORACLES["op13_drake"] = _drake_oracle()
+
+
+@_query
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(_documents(spark, sf_dir), columns=["doc_id"])
+    of = lambda kind: F.filter("base", lambda s: s["kind"] == kind)
+    counts = [F.size(of(kind.name)).cast("bigint").alias(f"n_{kind.name}") for kind in secrets.BASE]
+    return found.select("doc.doc_id", *counts, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+def _secrets_oracle() -> str:
+    """Every kind's matches and the pieces between them, their lengths summed up; weak parts meet all others of their document."""
+    quoted = lambda pattern: pattern.replace("'", "''")
+    spans = " UNION ALL ".join(
+        f"SELECT row, {i} AS kind, '{k.role}' AS role, {k.least} AS least, regexp_extract_all(text, '{quoted(k.pattern)}') AS m, "
+        f"regexp_extract_all(text, '{quoted(k.pattern)}', {k.group}) AS v, string_split_regex(text, '{quoted(k.pattern)}') AS g FROM docs"
+        for i, k in enumerate(secrets.KINDS)
+    )
+    n = len(secrets.BASE)
+    names = ", ".join(f"'{k.name}'" for k in secrets.KINDS)
+    text = lambda rows: f"string_agg([{names}][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) FILTER ({rows})"
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+cut AS ({spans}
+  UNION ALL SELECT row, -1, NULL, 0, regexp_extract_all(text, '{secrets.BLANK_LINES}'), regexp_extract_all(text, '{secrets.BLANK_LINES}'), string_split_regex(text, '{secrets.BLANK_LINES}') FROM docs),
+placed AS (
+  SELECT row, kind, role, v, least, sum(gap + size) OVER (PARTITION BY row, kind ORDER BY i) - size AS start, size
+  FROM (SELECT row, kind, role, least, unnest(v) AS v, unnest([len(x) FOR x IN m]) AS size, unnest([len(x) FOR x IN g[:len(m)]]) AS gap, unnest(range(len(m))) AS i FROM cut)),
+found AS (
+  SELECT row, kind, CAST(start AS BIGINT) AS start, CAST(start + size AS BIGINT) AS stop,
+         CASE WHEN kind <> 2 OR regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-f]') THEN role END AS role
+  FROM placed WHERE len(v) >= least),
+parts AS (
+  SELECT *, (SELECT count(*) FROM found b WHERE b.row = p.row AND b.kind < 0 AND b.start <= p.start) AS scope FROM found p
+  WHERE role IS NOT NULL AND (kind < {n} OR NOT EXISTS (
+    SELECT 1 FROM found b WHERE b.row = p.row AND b.kind BETWEEN 0 AND {n - 1} AND b.role IS NOT NULL AND b.start < p.stop AND p.start < b.stop))),
+met AS (
+  SELECT p.row, p.kind, p.start, p.stop, p.role, bool_or(o.role = 'identifier') AS identifier, bool_or(o.role = 'secret') AS secret
+  FROM parts p JOIN parts o ON p.row = o.row AND p.scope = o.scope AND p.role <> o.role
+   AND (o.start - p.stop BETWEEN 0 AND {secrets.REACH} OR p.start - o.stop BETWEEN 0 AND {secrets.REACH})
+  WHERE p.kind >= {n} GROUP BY ALL),
+every AS (
+  SELECT row, kind, start, stop FROM found WHERE kind BETWEEN 0 AND {n - 1}
+  UNION ALL
+  SELECT row, kind, start, stop FROM met WHERE CASE role WHEN 'identifier' THEN secret WHEN 'secret' THEN identifier ELSE identifier AND secret END)
+SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+       sha256(coalesce({text(f"kind < {n}")}, '')) AS base_sha256, coalesce({text("kind >= 0")}, '') AS spans
+FROM docs LEFT JOIN every USING (row) GROUP BY row, doc_id
+"""
+
+
+ORACLES["op12_secrets"] = _secrets_oracle()
+
+
+@_query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_documents(spark, sf_dir))
+
+
+ORACLES["op11_phrases"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+cut AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM cut GROUP BY lang),
+runs AS (
+  SELECT lang, size, unnest([array_to_string(words[i:i + size - 1], ' ') FOR i IN range(1, len(words) - size + 2)]) AS phrase
+  FROM cut, (VALUES (1), (2), (3), (4)) sizes(size)),
+known AS (SELECT lang, size, phrase, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 30),
+candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM known WHERE size > 1),
+inside AS (
+  SELECT lang, a, unnest(flatten([[array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, size - k + 2)] FOR k IN range(2, size)])) AS phrase
+  FROM candidates WHERE size > 2),
+longer AS (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY ALL),
+cuts AS (
+  SELECT lang, phrase, a, w, size, unnest(range(1, size)) AS k
+  FROM candidates LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, CAST((2000000 * CAST(a AS HUGEINT)) // (l.f + r.f) AS BIGINT) AS score
+  FROM cuts c
+  JOIN known l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ')
+  JOIN known r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:c.size], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM best JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
