@@ -59,7 +59,7 @@ BASE = (
 WEAK = (
     Kind("user", _named("user_?name|user|login|account|client_?id|app_?id|key_?id", "[A-Za-z0-9@._+-]+"), 2, 3, "identifier"),
     Kind("key", _named("pass_?phrase|pass|pwd|private_?key|access_?key|credential|auth", r"[A-Za-z0-9+/_.=!@#$%^&*-]+"), 2, 6, "secret"),
-    Kind("host", rf"""({_either("https?|ftp|ssh|sftp|postgres|postgresql|mysql|mongodb|redis|amqp|ldap")}://|{_either("hostname|host|server|endpoint|url")}["']?\x20*[:=]\x20*["']?)([A-Za-z0-9._~:/?#@%&+=-]+)""", 2, 4, "endpoint"),
+    Kind("host", rf"""((?:{_either("https?|ftp|ssh|sftp|postgres|postgresql|mysql|mongodb|redis|amqp|ldap")})://|(?:{_either("hostname|host|server|endpoint|url")})["']?\x20*[:=]\x20*["']?)([A-Za-z0-9._~:/?#@%&+=-]+)""", 2, 4, "endpoint"),
 )
 KINDS = (*BASE, *WEAK)
 BLANK_LINES = r"\x0A[\x20\x09\x0D]*\x0A[\x20\x09\x0D\x0A]*"
