@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import detect, matching, points as point_ops, resample, sampling, spacing
@@ -93,12 +93,26 @@ def estimate_size(frames: DataFrame, given: DataFrame | None = None, n: int = 12
     """
     counted = sizes(frames)
     picked = spacing.frame_picks(counted.select("movie_id", "n_frames"), n)
-    some = frames.join(picked, ["movie_id", "t"], "left_semi")
+    return _estimated(frames.join(picked, ["movie_id", "t"], "left_semi"), counted, picked, given, tile, **options)
+
+
+def _estimated(some: DataFrame, counted: DataFrame, picked: DataFrame, given: DataFrame | None, tile: int = 192, **options) -> DataFrame:
     found = spacing.spacing_summary(spacing.tile_spacings(some, tile), picked, **options)
     asked = given if given is not None else counted.select("movie_id", F.lit(None).cast("double").alias("cell_diameter"))
     return point_ops.resolve_diameter(asked, found).join(found.drop("status"), "movie_id", "left")
 
 
+def estimate_size_of_files(spark: SparkSession, path: str | list[str], given: DataFrame | None = None, n: int = 12, **options) -> DataFrame:
+    """``estimate_size`` of TIFF files, of which directories and the ``n`` pages that are picked are read, and nothing else."""
+    from ..sources import stacks
+
+    index = stacks.page_index(spark, path)
+    counted = sizes(index)
+    picked = spacing.frame_picks(counted.select("movie_id", "n_frames"), n)
+    some = stacks.read_pages(index.join(picked, ["movie_id", "t"], "left_semi"))
+    return _estimated(some, counted, picked, given, **options)
+
+
 def sample_all(points: DataFrame, negatives: DataFrame | None, movies: DataFrame, config: Config, add_nothing: int = 10, naug: int = 1, val_ratio: float = 0.2, seed: int = 0, factors: Mapping[str, int] | None = None) -> DataFrame:
     """Every training window of a set of movies: those of points, those with nothing and those of hand-picked ``negatives``.
 

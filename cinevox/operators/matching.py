@@ -9,14 +9,21 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.scalar import distance
 from ..sources.scratch import Scratch
-from .components import connected_components
 
 POINT = ("roi_idx", "t", "y", "x")
+AXES = ("t", "y", "x")
+PAIR = ["movie_id", "d", "g", "mix", *AXES]
+SHARE = 1 << 17
+"""Candidate pairs that one task settles at once."""
 
 
 def near_pairs(detected: DataFrame, truth: DataFrame, dxy: float, dt: int) -> DataFrame:
@@ -36,29 +43,81 @@ def near_pairs(detected: DataFrame, truth: DataFrame, dxy: float, dt: int) -> Da
     return left.join(right, ["movie_id", *cells]).where((late <= dt) & (off <= dxy)).drop(*cells).withColumn("mix", off + late)
 
 
-def matches(detected: DataFrame, truth: DataFrame, dxy: float = 15, dt: int = 4) -> DataFrame:
+def _fold(table: pa.Table) -> pa.Table:
+    """Pairs of one share: those of settled detections that matched (``settled``), and those that stay open.
+
+    Detections go in order.  One takes its nearest free annotation unless an
+    earlier detection, open here or in another share (``other``), may still take
+    it; then it stays open with all its free annotations, which later ones leave
+    alone.
+    """
+    movie = table.column("movie_id").combine_chunks().dictionary_encode()
+    movie = np.asarray(movie.indices)
+    d, g, mix = (table.column(c).to_numpy() for c in ("d", "g", "mix"))
+    other = table.column("other").fill_null(1 << 62).to_numpy()
+    order = np.lexsort((g, mix, d, movie))
+    _, annotation = np.unique(np.stack([movie, g]), axis=1, return_inverse=True)
+    first = np.flatnonzero(np.append(True, (d[order][1:] != d[order][:-1]) | (movie[order][1:] != movie[order][:-1]))[: len(order)])
+    taken, wanted, matched, left = set(), set(), [], []
+    row, which = order.tolist(), annotation.ravel()[order].tolist()
+    for start, end in zip(first.tolist(), [*first[1:].tolist(), len(row)], strict=True):
+        free = [i for i in range(start, end) if which[i] not in taken]
+        if not free:
+            continue
+        best = free[0]
+        if which[best] in wanted or other[row[best]] < d[row[best]]:
+            wanted.update(which[i] for i in free)
+            left += [row[i] for i in free]
+        else:
+            taken.add(which[best])
+            matched.append(row[best])
+    out = table.select(PAIR).take(pa.array(matched + left, pa.int64()))
+    return out.append_column("settled", pa.array([True] * len(matched) + [False] * len(left)))
+
+
+def matches(detected: DataFrame, truth: DataFrame, dxy: float = 15, dt: int = 4, share: int = SHARE) -> DataFrame:
     """``detected`` with ``match``, the ``roi_idx`` of its annotation; null for a false positive.
 
-    Detections compete only through annotations that both could take, so each
-    connected component of the candidate pairs folds its detections in order by
-    itself, carrying the annotations taken so far.  A group is such a
-    component, not a movie.
+    Greedy matching in rounds.  A round deals the open pairs into shares of about
+    ``share`` by place, all pairs of a detection in one, and each share settles
+    what no earlier detection of another share can change.  The earliest open
+    detection always settles, so rounds end; shares are cut along another axis in
+    each, so what a border held open lies inside a share in the next.  No movie
+    and no connected group of points is gathered.
     """
     scratch = Scratch(detected.sparkSession, "matching")
-    closer = near_pairs(detected, truth, dxy, dt).where(F.col("mix") < dt + 1.1 * dxy)
-    closer = scratch.save(closer.select("movie_id", F.col("d_roi_idx").cast("bigint").alias("d"), F.col("g_roi_idx").cast("bigint").alias("g"), "mix"), "pairs")
-    node = lambda side, c: F.struct("movie_id", F.lit(side).alias("side"), F.col(c).alias("idx"))
-    group = connected_components(closer.select(node(0, "d").alias("a"), node(1, "g").alias("b")), scratch)
-    group = group.where("node.side = 0").select("node.movie_id", F.col("node.idx").alias("d"), "component")
-    choice = F.array_sort(F.collect_list(F.struct("mix", F.col("g").alias("id"))))
-    choices = closer.groupBy("movie_id", "d").agg(F.transform(choice, lambda c: c["id"]).alias("ids")).join(group, ["movie_id", "d"])
-    groups = choices.groupBy("movie_id", "component").agg(F.array_sort(F.collect_list(F.struct("d", "ids"))).alias("order"))
-    first_free = lambda taken, ids: F.get(F.array_except(ids, taken), 0)
-    step = lambda taken, o: F.concat(taken, F.array(first_free(taken, o["ids"])))
-    taken = F.aggregate("order", F.array().cast("array<bigint>"), step)
-    pairs = F.transform(F.arrays_zip(F.transform("order", lambda o: o["d"]).alias("roi_idx"), taken.alias("match")), lambda z: F.struct(z["roi_idx"].alias("roi_idx"), z["match"].alias("match")))
-    folded = groups.select("movie_id", F.inline(pairs))
-    return detected.join(folded, ["movie_id", "roi_idx"], "left")
+    near = near_pairs(detected, truth, dxy, dt).where(F.col("mix") < dt + 1.1 * dxy)
+    pairs = near.select("movie_id", F.col("d_roi_idx").cast("bigint").alias("d"), F.col("g_roi_idx").cast("bigint").alias("g"), "mix", *[F.col(f"d_{c}").alias(c) for c in AXES])
+    pairs, settled, turn = scratch.save(pairs, "pairs-0"), None, 0
+    while n := pairs.count():
+        shares = -(-n // share)
+        axes = AXES[turn % 3 :] + AXES[: turn % 3]
+        if shares > 1:
+            dealt = scratch.save(pairs.repartitionByRange(shares, "movie_id", *axes, "d").withColumn("share", F.spark_partition_id()), f"shares-{turn}")
+            dealt = dealt.join(_elsewhere(dealt), ["movie_id", "g", "share"], "left")
+        else:
+            dealt = pairs.select("*", F.lit(0).alias("share"), F.lit(None).cast("bigint").alias("other"))
+        kind = T.StructType([*pairs.select(*PAIR).schema.fields, T.StructField("settled", T.BooleanType())])
+        folded = scratch.save(dealt.groupBy("share").applyInArrow(_fold, kind), f"folded-{turn}")
+        done = folded.where("settled").select("movie_id", "d", "g")
+        settled = done if settled is None else settled.union(done)
+        if shares == 1:
+            break
+        turn += 1
+        pairs = scratch.save(folded.where("not settled").drop("settled").join(done, ["movie_id", "g"], "left_anti").select(*PAIR), f"pairs-{turn}")
+        scratch.drop(f"pairs-{turn - 1}", f"shares-{turn - 1}")
+    if settled is None:
+        return detected.withColumn("match", F.lit(None).cast("bigint"))
+    return detected.join(settled.select("movie_id", F.col("d").alias("roi_idx"), F.col("g").alias("match")), ["movie_id", "roi_idx"], "left")
+
+
+def _elsewhere(dealt: DataFrame) -> DataFrame:
+    """``movie_id, g, share, other``: for annotations wanted in several shares, the earliest detection of another share that wants them."""
+    own = dealt.groupBy("movie_id", "g", "share").agg(F.min("d").alias("d"))
+    each = Window.partitionBy("movie_id", "g")
+    least = own.withColumn("least", F.min(F.struct("d", "share")).over(each))
+    second = least.withColumn("second", F.min(F.when(F.col("share") != F.col("least.share"), F.col("d"))).over(each)).where("second is not null")
+    return second.select("movie_id", "g", "share", F.when(F.col("share") == F.col("least.share"), F.col("second")).otherwise(F.col("least.d")).alias("other"))
 
 
 def false_positives(detected: DataFrame, truth: DataFrame, dxy: float = 15, dt: int = 4) -> DataFrame:

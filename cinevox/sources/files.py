@@ -1,9 +1,9 @@
 """Movies as TIFF stacks and points as archives of ImageJ regions, read as tables and written from them.
 
-Files are read by Spark's ``binaryFile`` source, one row for each file, so a file
-of more than 2 GB cannot be read.  They are written in tasks, each file by one of
-them, page by page, under a name of its own that becomes the final one when the
-file is complete, so a task that is repeated leaves one whole file.
+Stacks are read and written page by page (``stacks``).  Archives and texts are
+small: they are read by Spark's ``binaryFile`` source and written each by one
+task, under a name of its own that becomes the final one when the file is
+complete, so a task that is repeated leaves one whole file.
 """
 
 from __future__ import annotations
@@ -22,13 +22,9 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import stacks, tiff
 from .scratch import Scratch
 
-# Fixed values of the TIFF format: bytes and struct codes of its field types, its sample types, its tags.
-SIZES = {1: "B", 2: "s", 3: "H", 4: "I", 13: "I", 16: "Q", 18: "Q"}
-SAMPLES = {(8, 1): "u1", (16, 1): "u2", (8, 2): "i1", (16, 2): "i2", (32, 3): "f4"}
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, DESCRIPTION, OFFSETS, PER_PIXEL, STRIP_ROWS, LENGTHS, PREDICTOR, TILED, FORMAT = 256, 257, 258, 259, 262, 270, 273, 277, 278, 279, 317, 322, 339
-
 # Fixed values of the region format: places of fields in the header and its second part, stroke colours by class.
 COLOURS = {1: 0xFFFF0000, 2: 0xFF0000FF, 3: 0xFF00FF00}
 REGION_VERSION, POINT = 227, 10
@@ -39,83 +35,40 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
-def _directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
-    """Byte order and tags of each page."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    version = struct.unpack_from(f"{order}H", data, 2)[0] if order and len(data) >= 8 else 0
-    if version not in (42, 43):
-        raise ValueError("not a TIFF file")
-    big = version == 43
-    word, count, entry = ("Q", "Q", 20) if big else ("I", "H", 12)
-    wide = struct.calcsize(word)
-    at, seen = struct.unpack_from(order + word, data, 8 if big else 4)[0], set()
-    while at and at not in seen:
-        seen.add(at)
-        n = struct.unpack_from(order + count, data, at)[0]
-        at += struct.calcsize(count)
-        tags = {}
-        for k in range(n):
-            tag, kind, items = struct.unpack_from(f"{order}HH{word}", data, at + k * entry)
-            if kind not in SIZES:
-                continue
-            form, where = f"{order}{items}{SIZES[kind]}", at + k * entry + 4 + wide
-            if struct.calcsize(form) > wide:
-                where = struct.unpack_from(order + word, data, where)[0]
-            tags[tag] = struct.unpack_from(form, data, where)
-        at = struct.unpack_from(order + word, data, at + n * entry)[0]
-        yield order, tags
-
-
 def pages(data: bytes) -> Iterator[np.ndarray]:
-    """The grey pages of a TIFF file, 8 or 16 bits or 32-bit floats, plain or deflated; others are an error.
-
-    A stack with one directory for all its pages, as ImageJ writes large ones, gives all of them.
-    """
-    every = list(_directories(data))
-    for order, tags in every:
-        one = lambda tag, default=None: tags.get(tag, (default,))[0]  # noqa: B023, E731
-        if one(PER_PIXEL, 1) != 1 or one(PHOTOMETRIC, 1) > 1:
-            raise ValueError("expected a grey movie (t, y, x), got several samples a pixel")
-        note = (one(DESCRIPTION) or b"").decode("latin-1")
-        axes = {name: int(n) for name, n in re.findall(r"^(images|channels|slices|frames)=(\d+)", note, re.M)}
-        if axes.get("channels", 1) > 1 or (axes.get("slices", 1) > 1 and axes.get("frames", 1) > 1):
-            raise ValueError("expected a grey movie (t, y, x), got more axes")
-        kind = SAMPLES.get((one(BITS, 1), one(FORMAT, 1)))
-        packing, h, w = one(COMPRESSION, 1), one(HEIGHT), one(WIDTH)
-        if kind is None or packing not in (1, 8, 32946) or one(PREDICTOR, 1) != 1 or TILED in tags or OFFSETS not in tags:
-            raise ValueError("this TIFF file's pixels, packing or tiles are not supported")
-        size = h * w * np.dtype(kind).itemsize
-        if len(every) == 1 and axes.get("images", 1) > 1 and packing == 1:
-            start = one(OFFSETS)
-            for k in range(axes["images"]):
-                yield np.frombuffer(data, order + kind, h * w, start + k * size).reshape(h, w)
-            return
-        strips = [data[a : a + n] for a, n in zip(tags[OFFSETS], tags[LENGTHS], strict=True)]
-        raw = b"".join(strips if packing == 1 else map(zlib.decompress, strips))
-        yield np.frombuffer(raw[:size], order + kind).reshape(h, w)
+    """The grey pages of a TIFF file; others are an error."""
+    file = io.BytesIO(data)
+    for page in tiff.layout(file):
+        yield tiff.read_page(file, page)
 
 
 def read_movies(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Frames ``movie_id`` (name without suffix), ``path, t, h, w, pixels, kind`` (sample type) of TIFF files.
+    """Frames ``movie_id, path, t, h, w, pixels, kind`` of TIFF files (``stacks.read_stacks``).
 
-    ``path`` is a folder, whose ``.tif`` files are taken, a file, a pattern or a
-    list of them.  Files that are not grey movies are an error that names the file.
+    Where only Spark's own readers reach the files, each is read whole by one
+    task and must be under 2 GB.
     """
+    try:
+        for one in [path] if isinstance(path, str) else path:
+            pafs.FileSystem.from_uri(one)
+    except pa.ArrowException:
+        return _whole_files(spark, path)
+    return stacks.read_stacks(spark, path)
+
 
+def _whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                file = io.BytesIO(content.as_py())
                 try:
-                    for t, page in enumerate(pages(content.as_py())):
-                        row = [[name], [t], [page.shape[0]], [page.shape[1]], [page.ravel().astype(np.float32)], [page.dtype.str[1:]]]
-                        types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float32()), pa.string()]
-                        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, types, strict=True)], names=["path", "t", "h", "w", "pixels", "kind"])
-                except (ValueError, struct.error, zlib.error) as error:
+                    for page in tiff.layout(file):
+                        yield stacks._frame(page, name, file)
+                except (ValueError, struct.error, zlib.error, IndexError) as error:
                     raise ValueError(f"{name}: {error}") from error
 
     found = spark.read.format("binaryFile").load(path)
-    found = found.where(F.lower("path").rlike(r"\.tiff?$")).select("path", "content")
-    return found.mapInArrow(task, "path string, t int, h int, w int, pixels array<float>, kind string").select(stem(F.col("path")).alias("movie_id"), "*")
+    return found.where(F.lower("path").rlike(r"\.tiff?$")).select("path", "content").mapInArrow(task, stacks.FRAME)
 
 
 def check_movies(frames: DataFrame) -> DataFrame:
@@ -126,21 +79,6 @@ def check_movies(frames: DataFrame) -> DataFrame:
     return stats.select("movie_id", "n_frames", "h", "w", error.alias("error"))
 
 
-def _page(page: np.ndarray, start: int, last: bool, note: bytes, big: bool) -> bytes:
-    """One page's directory, description and pixels, which stand at byte ``start``."""
-    word, kind = ("Q", 16) if big else ("I", 4)
-    entries = [(WIDTH, 4, 1, page.shape[1]), (HEIGHT, 4, 1, page.shape[0]), (BITS, 3, 1, page.dtype.itemsize * 8), (COMPRESSION, 3, 1, 1), (PHOTOMETRIC, 3, 1, 1)]
-    entries += [(DESCRIPTION, 2, len(note), None)] if note else []
-    entries += [(OFFSETS, kind, 1, None), (PER_PIXEL, 3, 1, 1), (STRIP_ROWS, 4, 1, page.shape[0]), (LENGTHS, kind, 1, page.nbytes), (FORMAT, 3, 1, {"u": 1, "i": 2, "f": 3}[page.dtype.kind])]
-    head = struct.calcsize("<Q" if big else "<H") + len(entries) * (20 if big else 12) + struct.calcsize("<" + word)
-    places = {DESCRIPTION: start + head, OFFSETS: start + head + len(note)}
-    out = struct.pack("<Q" if big else "<H", len(entries))
-    for tag, form, n, value in entries:
-        out += struct.pack(f"<HH{word}{word}", tag, form, n, places.get(tag, value))
-    following = 0 if last else start + head + len(note) + page.nbytes
-    return out + struct.pack("<" + word, following) + note + page.tobytes()
-
-
 class _Target:
     """A file below a folder, visible under its name when closed."""
 
@@ -194,33 +132,7 @@ def _written(rows: DataFrame, order: list[str], folder: str, encode) -> DataFram
     return Scratch(rows.sparkSession, "files").save(sorted_rows.mapInArrow(task, "file string, n bigint"), "written")
 
 
-def write_movies(frames: DataFrame, folder: str, file: Column | None = None, kind: str | None = None, astime: bool = True) -> DataFrame:
-    """Writes frames ``movie_id, t, h, w, pixels`` as one stack for each ``file`` (by default ``<movie_id>.tif``).
-
-    ``folder`` is a path or URI that every executor reaches.  Samples are of type
-    ``kind``, or of the frames' column ``kind``, or 32-bit floats; whole-number types
-    are rounded half up and clipped.  Returns ``file, n`` (pages).
-    """
-    name = F.concat(F.col("movie_id").cast("string"), F.lit(".tif")) if file is None else file
-    own = F.lit(kind) if kind else F.col("kind") if "kind" in frames.columns else F.lit("f4")
-    rows = frames.select(name.alias("file"), "t", "h", "w", F.col("pixels").cast("array<float>").alias("pixels"), own.alias("kind"))
-    counts = rows.groupBy("file").agg(F.count("*").alias("pages"))
-    axis = "frames" if astime else "slices"
-
-    def encode(target: _Target, own_rows: Iterator[dict]) -> None:
-        big = False
-        for k, row in enumerate(own_rows):
-            values, form, total = np.array(row["pixels"][0], np.float32), np.dtype("<" + row["kind"][0]), row["pages"][0]
-            if form.kind != "f":
-                values = np.clip(np.floor(values + 0.5), np.iinfo(form).min, np.iinfo(form).max)
-            page, note = values.astype(form).reshape(row["h"][0], row["w"][0]), b""
-            if not k:
-                big = total * (page.nbytes + 512) >= 2**32 - 2**16
-                target.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16) if big else struct.pack("<2sHI", b"II", 42, 8))
-                note = f"ImageJ=1.11a\nimages={total}\n{axis}={total}\n".encode().ljust(24) + b"\0"
-            target.write(_page(page, target.size, k == total - 1, note, big))
-
-    return _written(rows.join(counts, "file"), ["t"], folder, encode)
+write_movies = stacks.write_stacks
 
 
 def region(data: bytes) -> tuple[int, int, int] | None:

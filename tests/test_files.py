@@ -1,3 +1,4 @@
+import io
 import json
 import struct
 import zlib
@@ -6,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cinevox.operators import jobs, network, resample
+from cinevox.operators import jobs, network, resample, spacing
 from cinevox.operators.config import Config
-from cinevox.sources import files, models
+from cinevox.sources import files, models, stacks
+from cinevox.sources import tiff as form
 
 SMALL = Config(half_size=(2, 2), nframes=(1, 2), ncat=3)
 FRAMES = "movie_id string, t int, h int, w int, pixels array<float>"
@@ -71,6 +73,147 @@ def test_movie_round_trip(spark, tmp_path, kind):
     assert files.check_movies(back).where("error is null").count() == 2
 
 
+def lzw(data):
+    """A plain encoder: codes of 9 to 12 bits, the table begun anew before it is full."""
+    codes, bits = [], ""
+    table, width = {bytes([i]): i for i in range(256)}, 9
+    put = lambda code: format(code, f"0{width}b")
+    bits, word, following = put(256), b"", 258
+    for k in range(len(data)):
+        byte = data[k : k + 1]
+        if word + byte in table:
+            word += byte
+            continue
+        bits += put(table[word])
+        table[word + byte] = following
+        following += 1
+        width = {512: 10, 1024: 11, 2048: 12}.get(following, width)
+        if following == 4094:
+            bits += put(256)
+            table, width, following = {bytes([i]): i for i in range(256)}, 9, 258
+        word = byte
+    bits += put(table[word]) if word else ""
+    following += 1
+    width = {512: 10, 1024: 11, 2048: 12}.get(following, width)
+    bits += put(257)
+    bits += "0" * (-len(bits) % 8)
+    del codes
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+@pytest.mark.parametrize("packing", [1, 5, 8])
+@pytest.mark.parametrize("kind", ["u1", "u2", "i4", "f4", "f8"])
+@pytest.mark.parametrize("tile", [None, (16, 32)])
+def test_strips_tiles_and_packings(kind, packing, tile):
+    """Pieces of every form, with and without differences, put together by hand."""
+    rng = np.random.default_rng(2)
+    page = np.cumsum(rng.integers(-3, 4, (37, 70)), axis=1).astype(kind)
+    for predictor in (1, 2) if kind[0] in "ui" else (1,):
+        h, w = tile or (10, 70)
+        pieces = []
+        for y in range(0, 37, h):
+            for x in range(0, 70, w):
+                piece = page[y : y + h, x : x + w]
+                if tile:
+                    piece = np.pad(piece, ((0, h - piece.shape[0]), (0, w - piece.shape[1])))
+                if predictor == 2:
+                    piece = np.diff(piece, axis=1, prepend=piece.dtype.type(0))
+                raw = np.ascontiguousarray(piece).tobytes()
+                pieces.append(raw if packing == 1 else lzw(raw) if packing == 5 else zlib.compress(raw))
+        data = bytearray(struct.pack("<2sHI", b"II", 42, 0))
+        offsets = []
+        for raw in pieces:
+            offsets.append(len(data))
+            data += raw
+        at = {}
+        for name, values in (("offsets", offsets), ("lengths", [len(p) for p in pieces])):
+            at[name] = len(data)
+            data += struct.pack(f"<{len(values)}I", *values)
+        n = len(pieces)
+        tags = [(256, 1, 70), (257, 1, 37), (258, 1, page.dtype.itemsize * 8), (259, 1, packing), (317, 1, predictor), (339, 1, {"u": 1, "i": 2, "f": 3}[kind[0]])]
+        tags += [(322, 1, w), (323, 1, h), (324, n, at["offsets"]), (325, n, at["lengths"])] if tile else [(278, 1, h), (273, n, at["offsets"]), (279, n, at["lengths"])]
+        struct.pack_into("<I", data, 4, len(data))
+        data += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", tag, 4, items, value) for tag, items, value in tags) + bytes(4)
+        (got,) = files.pages(bytes(data))
+        assert got.dtype == page.dtype and np.array_equal(got, page)
+
+
+def test_ranges_conditions_and_picked_pages(spark, tmp_path):
+    """Pages dealt out by bytes come once each; conditions and the index spare pixels, as pages that cannot be read show."""
+    stack = np.random.default_rng(5).integers(0, 65535, (30, 24, 24))
+    files.write_movies(movie(spark, "a", stack).unionByName(movie(spark, "b", stack[:9])), str(tmp_path), kind="u2")
+    frames = stacks.read_stacks(spark, str(tmp_path), split=3000)
+    assert frames.rdd.getNumPartitions() > 12
+    got = {(r["movie_id"], r["t"]): r["pixels"] for r in frames.collect()}
+    assert sorted(got) == [("a", t) for t in range(30)] + [("b", t) for t in range(9)]
+    assert all(np.array_equal(got["a", t], stack[t].ravel()) for t in range(30))
+    data = bytearray((tmp_path / "a.tif").read_bytes())
+    for page in form.layout(io.BytesIO(bytes(data))):
+        if page.t not in (2, 7, 8):  # these lose their pixels: lengths that the file does not have
+            where = data.index(struct.pack("<HHII", 279, 4, 1, page.lengths[0]), max(0, page.offsets[0] - 400))
+            struct.pack_into("<I", data, where + 8, 1 << 30)
+    (tmp_path / "a.tif").write_bytes(data)
+    some = frames.where("movie_id = 'a' and t in (2, 7, 8)")
+    assert "PushedFilters: []" not in some._jdf.queryExecution().toString()
+    assert sorted(r["t"] for r in some.collect()) == [2, 7, 8]
+    assert sorted(r["t"] for r in frames.where("movie_id = 'a' and t > 6 and t <= 8").collect()) == [7, 8]
+    assert sorted((r["movie_id"], r["t"]) for r in frames.where("movie_id in ('b', 'c') and t >= 4 and t < 6 and h = 24").collect()) == [("b", 4), ("b", 5)]
+    index = stacks.page_index(spark, str(tmp_path))
+    assert index.count() == 39 and [(r["movie_id"], r["index"], r["n_frames"]) for r in stacks.movie_index(index).orderBy("index").collect()] == [("a", 0, 30), ("b", 1, 9)]
+    picked = stacks.read_pages(index.where("t in (2, 8)")).collect()
+    assert sorted((r["movie_id"], r["t"]) for r in picked) == [("a", 2), ("a", 8), ("b", 2), ("b", 8)]
+    assert all(np.array_equal(r["pixels"], stack[r["t"]].ravel()) for r in picked)
+    with pytest.raises(Exception, match="a.tif"):
+        frames.collect()
+
+
+def test_size_estimate_reads_the_picked_pages_only(spark, tmp_path):
+    """Of 40 pages the 12 that are picked have pixels."""
+    y, x = np.mgrid[:96, :96]
+    stack = np.stack([100 + 50 * np.cos(x / 2.5) * np.cos(y / 2.5) + t % 3 for t in range(40)])
+    files.write_movies(movie(spark, "m", stack), str(tmp_path), kind="f4")
+    want = jobs.estimate_size(files.read_movies(spark, str(tmp_path)), tile=48).collect()
+    picks = {r["t"] for r in spacing.frame_picks(spark.createDataFrame([("m", 40)], "movie_id string, n_frames int"), 12).collect()}
+    data = bytearray((tmp_path / "m.tif").read_bytes())
+    for page in form.layout(io.BytesIO(bytes(data))):
+        if page.t not in picks:
+            struct.pack_into("<I", data, data.index(struct.pack("<HHII", 279, 4, 1, page.lengths[0]), max(0, page.offsets[0] - 400)) + 8, 1 << 30)
+    (tmp_path / "m.tif").write_bytes(data)
+    assert len(picks) == 12 and jobs.estimate_size_of_files(spark, str(tmp_path), tile=48).collect() == want
+
+
+def test_stack_of_several_parts(spark, tmp_path):
+    """Parts written by several tasks make the file that one task makes; a write that fails leaves nothing."""
+    stack = np.random.default_rng(6).integers(0, 255, (23, 8, 9))
+    both = movie(spark, "a", stack).repartition(5)
+    files.write_movies(both, str(tmp_path / "one"), kind="u1")
+    done = stacks.write_stacks(both, str(tmp_path / "many"), kind="u1", part=2000)
+    assert [tuple(r) for r in done.collect()] == [("a.tif", 23)]
+    assert (tmp_path / "one" / "a.tif").read_bytes() == (tmp_path / "many" / "a.tif").read_bytes()
+    assert [p.name for p in (tmp_path / "many").iterdir()] == ["a.tif"]
+    assert np.array_equal(np.array(list(files.pages((tmp_path / "many" / "a.tif").read_bytes()))), stack)
+    broken = both.withColumn("pixels", F.when(F.col("t") == 11, F.expr("slice(pixels, 1, 3)")).otherwise(F.col("pixels")))
+    (tmp_path / "bad").mkdir()
+    with pytest.raises(Exception, match="pixels"):
+        stacks.write_stacks(broken, str(tmp_path / "bad"), kind="u1", part=2000)
+    assert list((tmp_path / "bad").iterdir()) == []
+    mixed = both.unionByName(movie(spark, "a", stack[:1, :2, :2]).withColumn("t", F.lit(99)))
+    with pytest.raises(ValueError, match="several sizes"):
+        stacks.write_stacks(mixed, str(tmp_path / "bad"))
+    assert stacks.write_stacks(both.limit(0), str(tmp_path / "bad")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        files.read_movies(spark, str(tmp_path / "bad"))
+
+
+def test_large_stacks_are_big():
+    """Places of pages that stand behind 4 GB."""
+    kind, first = np.dtype("<u2"), form.note(3000)
+    assert form.is_big(3000, 1024, 1024, kind) and not form.is_big(1000, 1024, 1024, kind)
+    start = [form.place(k, 3000, 1024, 1024, kind, first, True) for k in (0, 1, 2, 2999)]
+    one = len(form.page_head(1024, 1024, kind, start[1], False, b"", True)) + 2 * 1024 * 1024
+    assert start[0] == 16 and start[2] - start[1] == one and start[3] == start[1] + 2998 * one > 2**32
+
+
 def test_rounding_and_checks(spark, tmp_path):
     files.write_movies(movie(spark, "m", np.array([[[-3.0, 1.5]], [[300.0, 2.4]]])), str(tmp_path), kind="u1")
     assert [r["pixels"] for r in files.read_movies(spark, str(tmp_path)).orderBy("t").collect()] == [[0.0, 2.0], [255.0, 2.0]]

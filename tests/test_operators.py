@@ -60,6 +60,42 @@ def test_matching_equals_a_plain_loop(spark):
         assert [r["match"] for r in sorted(got, key=lambda r: r["roi_idx"])] == want
 
 
+def _plain_matches(detected, truth, dxy=15, dt=4):
+    """Detections in order against a grid of annotations: the nearest that is free."""
+    cells = {}
+    for g, q in enumerate(truth):
+        cells.setdefault((q[0] // 20, q[1] // 20, q[2] // 20), []).append(g)
+    taken, out = set(), []
+    for p in detected:
+        around = [g for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) for g in cells.get((p[0] // 20 + a, p[1] // 20 + b, p[2] // 20 + c), [])]
+        off = {g: np.hypot(p[1] - truth[g][1], p[2] - truth[g][2]) for g in around if g not in taken}
+        near = [(o + abs(p[0] - truth[g][0]), g) for g, o in off.items() if o <= dxy and abs(p[0] - truth[g][0]) <= dt]
+        out.append(min(near)[1] if near else None)
+        taken.add(out[-1])
+    return out
+
+
+@pytest.mark.parametrize("shape, share", [("cloud", 500), ("cloud", 40), ("one place", 60), ("chain", 20_000), ("dense", 1 << 17)])
+def test_matching_in_shares(spark, shape, share):
+    """Shares of every size give the sequential result: borders, points on one spot, a chain in which each match decides the next, one component of 100,000 pairs."""
+    rng = np.random.default_rng(4)
+    if shape == "cloud":
+        d, g = (np.stack([rng.integers(0, k, 400) for k in (30, 120, 120)], 1).tolist() for _ in "dg")
+    elif shape == "one place":
+        d, g = [[3, 9, 9]] * 40, [[3, 9, 9 + i % 2] for i in range(30)]
+    elif shape == "chain":
+        d, g = [[0, 0, 10 * i] for i in range(25_000)], [[0, 0, 10 * i + 4] for i in range(-1, 25_000)]
+    else:
+        d, g = (np.stack([rng.integers(0, 30, 5600), rng.integers(0, 180, 5600), rng.integers(0, 180, 5600)], 1).tolist() for _ in "dg")
+    rows = [(0, i, *p) for i, p in enumerate(d)], [(0, i, *p) for i, p in enumerate(g)]
+    kind = "movie_id int, roi_idx int, t int, y int, x int"
+    sides = [spark.createDataFrame(r, kind) for r in rows]
+    if shape == "dense":
+        assert matching.near_pairs(*sides, 15, 4).count() > 100_000
+    got = {r["roi_idx"]: r["match"] for r in matching.matches(*sides, share=share).collect()}
+    assert [got[i] for i in range(len(d))] == _plain_matches(d, g)
+
+
 def test_points(spark):
     raw = spark.createDataFrame([(1, 5.4, 10.6, 20.2), (1, 5.4, 10.6, 20.2), (1, 0.0, 3.0, 4.0), (1, 999.0, -3.2, 130.7)], "movie_id int, t double, y double, x double")
     movie = spark.createDataFrame([(1, 36, 128, 128)], "movie_id int, n_frames int, h int, w int")
