@@ -42,24 +42,36 @@ def _named(names: str, value: str) -> str:
 
 @dataclass(frozen=True)
 class Kind:
-    """A pattern whose group has at least ``least`` characters; ``role`` is its part in a credential."""
+    """A pattern whose group has at least ``least`` characters; ``role`` is its part in a credential.
+
+    What has no match of ``quick``, which a single character begins, has none of the pattern that counts.
+    """
 
     name: str
     pattern: str
     group: int
     least: int
     role: str
+    quick: str
+
+
+def _assigned(name: str, names: str, value: str, least: int, role: str) -> Kind:
+    return Kind(name, _named(names, value + "+"), 2, least, role, rf"""[:=]\x20*["']?{value}{{{least},}}""")
 
 
+_ADDRESS = "[A-Za-z0-9._~:/?#@%&+=-]"
 BASE = (
-    Kind("assign", _named("password|passwd|secret|token|api_?key", "[A-Za-z0-9+/_.=-]+"), 2, 12, "secret"),
-    Kind("access", "AKIA[A-Z0-9]+", 0, 18, "identifier"),
-    Kind("hex", "[0-9a-f]{16,}", 0, 16, "secret"),  # whole runs, as [0-9a-f]+ gives those of 16 or more
+    _assigned("assign", "password|passwd|secret|token|api_?key", "[A-Za-z0-9+/_.=-]", 12, "secret"),
+    Kind("access", "AKIA[A-Z0-9]+", 0, 18, "identifier", "AKIA[A-Z0-9]{14,}"),
+    Kind("hex", "[0-9a-f]{16,}", 0, 16, "secret", "[0-9a-f]{16,}"),  # whole runs, as [0-9a-f]+ gives those of 16 or more
 )
 WEAK = (
-    Kind("user", _named("user_?name|user|login|account|client_?id|app_?id|key_?id", "[A-Za-z0-9@._+-]+"), 2, 3, "identifier"),
-    Kind("key", _named("pass_?phrase|pass|pwd|private_?key|access_?key|credential|auth", r"[A-Za-z0-9+/_.=!@#$%^&*-]+"), 2, 6, "secret"),
-    Kind("host", rf"""((?:{_either("https?|ftp|ssh|sftp|postgres|postgresql|mysql|mongodb|redis|amqp|ldap")})://|(?:{_either("hostname|host|server|endpoint|url")})["']?\x20*[:=]\x20*["']?)([A-Za-z0-9._~:/?#@%&+=-]+)""", 2, 4, "endpoint"),
+    _assigned("user", "user_?name|user|login|account|client_?id|app_?id|key_?id", "[A-Za-z0-9@._+-]", 3, "identifier"),
+    _assigned("key", "pass_?phrase|pass|pwd|private_?key|access_?key|credential|auth", r"[A-Za-z0-9+/_.=!@#$%^&*-]", 6, "secret"),
+    Kind(
+        "host", rf"""((?:{_either("https?|ftp|ssh|sftp|postgres|postgresql|mysql|mongodb|redis|amqp|ldap")})://|(?:{_either("hostname|host|server|endpoint|url")})["']?\x20*[:=]\x20*["']?)({_ADDRESS}+)""",
+        2, 4, "endpoint", rf"""[:=]\x20*["']?{_ADDRESS}{{4,}}""",
+    ),
 )
 KINDS = (*BASE, *WEAK)
 BLANK_LINES = r"\x0A[\x20\x09\x0D]*\x0A[\x20\x09\x0D\x0A]*"
@@ -86,7 +98,6 @@ def places(text: Column, pattern: str) -> Column:
 def _spans(kind: Kind, number: int) -> Column:
     """``start, kind, end, role`` of the kind's matches in ``text`` whose group is long enough; the text is cut up only if it has one."""
     text = F.col("text")
-    long_enough = kind.pattern[: kind.pattern.rindex("+")] + f"{{{kind.least},}}" + kind.pattern[kind.pattern.rindex("+") + 1 :] if kind.group else kind.pattern
     values = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group))
     with_value = F.zip_with(places(text, kind.pattern), values, lambda p, v: F.struct(p["start"].alias("start"), F.lit(number).alias("kind"), p["end"].alias("end"), v.alias("value")))
     kept = F.filter(with_value, lambda s: F.char_length(s["value"]) >= kind.least)
@@ -96,7 +107,7 @@ def _spans(kind: Kind, number: int) -> Column:
         role = lambda s: F.lit(kind.role)
     spans = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), role(s).alias("role")))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,role:string>>")
-    return F.when(text.rlike(long_enough), spans).otherwise(none)
+    return F.when(text.rlike(kind.quick) & text.rlike(kind.pattern), spans).otherwise(none)
 
 
 def _candidates(docs: DataFrame, text_col: str, columns: Sequence[str]) -> DataFrame:
