@@ -187,7 +187,7 @@ def map_frames(maps: DataFrame, value: str = "p8") -> DataFrame:
 def write_detections(folder: str, config: Config, maps: DataFrame, events: DataFrame | None = None, cleaned: DataFrame | None = None) -> DataFrame:
     """Writes a movie's results by class: ``<movie><class>_rawproba.tif``, ``_cleaned_proba.tif`` and the events' archive ``<movie><class>.zip``.
 
-    ``maps`` are voxels of ``detect``, ``cleaned`` those of ``regions.cleaned``,
+    ``maps`` are blocks of ``detect_blocks`` or voxels of ``detect``, ``cleaned`` voxels of ``regions.cleaned``,
     ``events`` points with ``movie_id, cat, t, y, x``.  Classes without a name in
     ``config`` are left out.  Returns ``file, n`` of all files.
     """
@@ -198,7 +198,7 @@ def write_detections(folder: str, config: Config, maps: DataFrame, events: DataF
     out = None
     for table, ending in ((maps, "_rawproba.tif"), (cleaned, "_cleaned_proba.tif")):
         if table is not None:
-            images = map_frames(table).withColumn("cat", F.col("cat").cast("int")).join(F.broadcast(names), "cat")
+            images = (detect.block_frames(table) if "levels" in table.columns else map_frames(table)).withColumn("cat", F.col("cat").cast("int")).join(F.broadcast(names), "cat")
             done = files.write_movies(images, folder, F.concat(F.col("movie_id").cast("string"), title, F.lit(ending)), "u1")
             out = done if out is None else out.unionByName(done)
     if events is not None:

@@ -85,11 +85,9 @@ scaled AS (SELECT *, CAST(floor((v - low)::DOUBLE / CASE WHEN high > low THEN hi
 @query(f"""{_WINDOWS}
 SELECT movie_id, model_id, win_id, CAST(min(low) AS INT) AS low, CAST(max(high) AS INT) AS high, CAST(sum(s) AS BIGINT) AS total, count(*) AS n FROM scaled GROUP BY movie_id, model_id, win_id""")
 def window_minmax(spark, sf_dir):
-    images = views.mosaic(spark, sf_dir)
-    grid = detect.centres(views.movies(images), SMALL, n_models=2, dxy=2, dz=2)
-    cubes = detect.window_voxels(grid, detect.pad_time(views.voxels(images), 5, 5), SMALL)
-    keys = ["movie_id", "model_id", "win_id"]
-    return detect.minmax(cubes, keys).groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("s").cast("bigint").alias("total"), F.count("*").alias("n"))
+    found = detect.window_ranges(views.mosaic(spark, sf_dir), SMALL, n_models=2, dxy=2, dz=2)
+    shape = SMALL.window_shape
+    return found.select("movie_id", "model_id", "win_id", F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high"), "total", F.lit(shape[0] * shape[1] * shape[2]).cast("bigint").alias("n"))
 
 
 @query(f"""{with_views("voxels")},
