@@ -166,6 +166,17 @@ def local_maxima_strict(spark, sf_dir):
     return regions.strict_maxima(_voxels(spark, sf_dir), "v", ONE)
 
 
+@query(f"""WITH RECURSIVE {VIEWS["voxels"]},
+steps AS MATERIALIZED (SELECT movie_id, t, y, x, v // 40 AS v FROM voxels),
+near AS MATERIALIZED (SELECT a.movie_id, a.t, a.y, a.x, a.v, b.t AS t1, b.y AS y1, b.x AS x1, b.v AS v1
+  FROM steps a JOIN (SELECT *, unnest([-1, 0, 1]) AS d FROM steps) b ON a.movie_id = b.movie_id AND a.t = b.t + b.d AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+equal AS MATERIALIZED (SELECT movie_id, t, y, x, t1, y1, x1 FROM near WHERE v = v1),
+lower AS (SELECT DISTINCT movie_id, t, y, x FROM near WHERE v1 > v UNION SELECT e.movie_id, t1, y1, x1 FROM lower l JOIN equal e USING (movie_id, t, y, x))
+SELECT movie_id, t, y, x, CAST(v AS INT) AS v FROM steps ANTI JOIN lower USING (movie_id, t, y, x)""")
+def plateau_maxima(spark, sf_dir):
+    return regions.maxima(_voxels(spark, sf_dir).withColumn("v", F.floor(F.col("v") / 40).cast("int")), "v", ONE)
+
+
 _LABELS = f"""WITH RECURSIVE {VIEWS["voxels"]},
 fg AS MATERIALIZED (SELECT movie_id, t, y, x, v, t * 64 + y * 8 + x AS id FROM voxels WHERE v > 1100),
 e AS MATERIALIZED (SELECT a.movie_id, a.id AS a, b.id AS b FROM fg a JOIN fg b ON a.movie_id = b.movie_id AND abs(a.t - b.t) + abs(a.y - b.y) + abs(a.x - b.x) = 1),

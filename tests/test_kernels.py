@@ -226,7 +226,7 @@ def test_watershed_regions_equal_sets_of_voxels(spark, dt, dxy):
     maps = spark.createDataFrame(rows, "movie_id int, cat int, t int, y int, x int, p8 int")
     found = {}
     for r in regions.watershed_regions(maps, dt, dxy).collect():
-        found.setdefault((r["movie_id"], r["island"], r["label"]), set()).add((r["t"], r["y"], r["x"]))
+        found.setdefault((r["movie_id"], r["label"]), set()).add((r["t"], r["y"], r["x"]))
     want = {}
     for m, b in enumerate(blocks):
         for p, n in plain_regions(b, dt, dxy, regions.LEVEL).items():
@@ -237,6 +237,52 @@ def test_watershed_regions_equal_sets_of_voxels(spark, dt, dxy):
         (m, len(v), round(float(np.mean([blocks[m][p] for p in v])), 6)) for (m, _), v in want.items() if len(v) > 5)
 
 
+def components_of(values, steps):
+    """Sets of equal neighbours, by first place in raster order."""
+    seen, out = set(), []
+    for p in sorted(values):
+        if p not in seen:
+            own, todo = {p}, [p]
+            while todo:
+                at = todo.pop()
+                for s in steps:
+                    q = tuple(a + b for a, b in zip(at, s, strict=True))
+                    if q not in own and values.get(q) == values[p]:
+                        own.add(q)
+                        todo.append(q)
+            seen |= own
+            out.append(own)
+    return out
+
+
+@pytest.mark.parametrize("block", [{"t": 16, "y": 64, "x": 64}, {"t": 2, "y": 3, "x": 4}, {"t": 1, "y": 1, "x": 1}])
+def test_components_and_plateaus_over_blocks(spark, monkeypatch, block):
+    """A component that spans the movie, single voxels, plateaus that touch higher voxels in another block, a movie of one value."""
+    monkeypatch.setattr(regions, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    cube = [s for s in product((-1, 0, 1), repeat=3) if any(s)]
+    faces = [s for s in cube if sum(map(abs, s)) == 1]
+    movies = {0: {p: 1 for p in np.ndindex(5, 8, 9) if rng.random() < 0.55}, 1: {p: int(rng.integers(0, 3)) for p in np.ndindex(4, 7, 6)}, 2: {p: 4 for p in np.ndindex(3, 4, 5)}, 3: {(0, 0, 0): 1, (2, 2, 2): 1, (7, 7, 7): 2}}
+    rows = [(m, *map(int, p), v) for m, voxels in movies.items() for p, v in voxels.items()]
+    maps = spark.createDataFrame(rows, "movie_id int, t int, y int, x int, v int").repartition(3)
+    keys = ["movie_id"]
+    got = {}
+    for r in regions.label(maps.where("movie_id <> 1"), keys).collect():
+        got.setdefault((r["movie_id"], r["label"]), set()).add((r["t"], r["y"], r["x"]))
+    want = {(m, n): own for m in (0, 2, 3) for n, own in enumerate(components_of(dict.fromkeys(movies[m], 1), faces), 1)}
+    assert got == want and max(len(own) for own in want.values()) > 100
+    for flat in (False, True):
+        tops = set()
+        for m, voxels in movies.items():
+            if flat or len(set(voxels.values())) > 1:
+                for own in components_of(voxels, cube):
+                    near = {tuple(a + b for a, b in zip(p, s, strict=True)) for p in own for s in cube}
+                    if all(voxels[q] <= voxels[min(own)] for q in near & voxels.keys()):
+                        tops |= {(m, *p) for p in own}
+        assert {tuple(r)[:4] for r in regions.maxima(maps, "v", keys, flat).collect()} == tops
+    assert regions.label(maps.limit(0), keys).count() == regions.maxima(maps.limit(0), "v", keys).count() == 0
+
+
 def test_files_names_and_diameters(spark):
     names = ["b_x.zip", "a_x.zip", "a_x.bak.zip", "a.tif", "ab_x.zip", "a_y.tif", "a_.zip"]
     files = spark.createDataFrame([(n,) for n in names], "name string")
