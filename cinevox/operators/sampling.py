@@ -7,8 +7,10 @@ point does not depend on how often it is drawn.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,12 +20,16 @@ from ..sources.scratch import Scratch
 from .config import Config
 
 NOTHING_FACTOR = 1.2
-POINT_TRIES, NOTHING_TRIES, NEGATIVE_TRIES = 2000, 3000, 1000
+POINT_TRIES, NEGATIVE_TRIES = 2000, 1000
 """Proposals for each wanted sample at most; the quota is filled from those that fit, in order."""
 ROUNDS = (4, 40, 120, 400, 1200)
 """Proposals for each wanted sample after each round; only groups below their quota go on, up to the limit."""
 CHUNK = 4096
 """Proposals of a group that one row stands for until they are spread over the tasks."""
+BLOCK = {"t": 4, "y": 16, "x": 16}
+"""Sizes of the blocks of places in which free ones are counted."""
+DRAWS = 1 << 17
+"""Draws of a movie that meet its blocks at once."""
 
 
 def window_fits(config: Config, t: str = "t", y: str = "y", x: str = "x") -> Column:
@@ -59,6 +65,20 @@ def split(points: DataFrame, val_ratio: float, seed: int) -> DataFrame:
     return points.withColumn("split", F.when(draw < val_ratio, "val").otherwise("train"))
 
 
+def numbered(rows: DataFrame, keys: Sequence[str], slot: Column, order: Sequence[str], name: str) -> DataFrame:
+    """Adds ``name``: 1, 2, ... by group of ``keys`` in the order of ``slot`` and then of ``order``.
+
+    Slots are ranges of the order: they are counted first, so a task numbers one
+    slot and a group's slots, never a group's rows.
+    """
+    dealt = rows.withColumn("_slot", slot)
+    sums = dealt.groupBy(*keys, "_slot").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*keys, "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy(*order))
+    return dealt.join(before, [*keys, "_slot"]).withColumn(name, F.col("_before") + inside).drop("_slot", "_before")
+
+
 def _filled(wanted: DataFrame, keys: Sequence[str], limit: int, fitting: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The first ``quota`` of each group's proposals ``k`` = 1, 2, ... that ``fitting`` keeps, among ``quota * limit``.
 
@@ -73,12 +93,14 @@ def _filled(wanted: DataFrame, keys: Sequence[str], limit: int, fitting: Callabl
         first, last = F.col("quota") * low, F.col("quota") * high
         chunks = short.where(last > first).select("*", F.explode(F.sequence(F.floor(first / CHUNK), F.floor((last - 1) / CHUNK))).alias("chunk")).repartition(tasks, *keys, "chunk")
         tries = chunks.select("*", F.explode(F.sequence(F.col("chunk") * CHUNK + 1, (F.col("chunk") + 1) * CHUNK)).alias("k")).where((F.col("k") > first) & (F.col("k") <= last)).drop("chunk")
-        turn = F.col("have") + F.row_number().over(Window.partitionBy(*keys).orderBy("k"))
-        kept = scratch.save(fitting(tries).withColumn("turn", turn).where("turn <= quota").drop("have", "turn"), f"kept-{i}")
+        fit = scratch.save(fitting(tries), f"fit-{i}")
+        turned = numbered(fit, keys, F.floor((F.col("k") - 1) / CHUNK), ["k"], "turn").withColumn("turn", F.col("have") + F.col("turn"))
+        kept = scratch.save(turned.where("turn <= quota").drop("have", "turn"), f"kept-{i}")
         out = kept if out is None else out.unionByName(kept)
         made = kept.groupBy(*keys).agg(F.count("*").alias("made"))
         left = short.join(made, list(keys), "left").withColumn("have", F.col("have") + F.coalesce("made", F.lit(0))).drop("made").where("have < quota")
         short, low = scratch.save(left, f"short-{i + 1}"), high
+        scratch.drop(f"fit-{i}")
         if high == limit or short.isEmpty():
             return out
 
@@ -93,7 +115,7 @@ def sample_points(points: DataFrame, movies: DataFrame, config: Config, naug: in
     own = placed.select("movie_id", "cat", "roi_idx", "split", *jitter(config, seed, rep, F.col("movie_id"), F.col("cat"), F.col("roi_idx")), "n_frames", "h", "w").where(window_fits(config))
     own = own.select("movie_id", F.col("roi_idx").cast("bigint").alias("seq"), "t", "y", "x", "cat", F.lit(False).alias("noisy"), "split")
 
-    ranked = placed.withColumn("place", F.row_number().over(Window.partitionBy("movie_id", "cat").orderBy("roi_idx")) - 1)
+    ranked = numbered(placed, ["movie_id", "cat"], F.floor(F.col("roi_idx") / CHUNK), ["roi_idx"], "place").withColumn("place", F.col("place") - 1)
 
     def fitting(tries: DataFrame) -> DataFrame:
         pick = F.floor(uniform(seed, rep, "pick", F.col("movie_id"), F.col("cat"), F.col("k")) * F.col("n")).cast("int")
@@ -105,44 +127,105 @@ def sample_points(points: DataFrame, movies: DataFrame, config: Config, naug: in
     return own.unionByName(copies).select("movie_id", F.lit(rep).alias("rep"), "seq", "t", "y", "x", "cat", "noisy", "split")
 
 
-def sample_nothing(points: DataFrame, movies: DataFrame, config: Config, naug: int = 1, val_ratio: float = 0.1, seed: int = 0, rep: int = 0) -> DataFrame:
-    """Windows at random places that contain no point, up to 1.2 times the largest class, in the columns of ``sample_points``.
+def free_blocks(points: DataFrame, movies: DataFrame, config: Config) -> DataFrame:
+    """Blocks of places with windows that fit and contain no point: ``movie_id, block, t, y, x`` (the first place), ``dt, dy, dx`` (sizes), ``n`` and ``bits``.
 
-    Points first mark the small blocks whose every place would have that point in its window; proposals in a marked block
-    are dropped by an equi-join with one row for a block.  The few others meet the points by a join on cells of time and
-    place as large as a window.
+    ``movies`` has ``movie_id, n_frames, h, w``.  ``n`` are the free places; a block
+    that points reach has a bit for each of its places in raster order, others
+    have no ``bits`` and are free throughout.  Blocks without a free place are left
+    out.  Equal points count once, so a block has no more of them than places
+    around it.
     """
     (f0, f1), (hy, hx) = config.nframes, config.half_size
-    most = points.groupBy("movie_id", "cat").agg(F.count("*").alias("n")).groupBy("movie_id").agg(F.max("n").alias("nmax"))
-    wanted = movies.join(most, "movie_id").withColumn("quota", F.ceil(F.col("nmax") * NOTHING_FACTOR * naug).cast("bigint"))
-    place = lambda c, low, count: (F.floor(uniform(seed, rep, "nothing", F.col("movie_id"), F.col("k"), c) * count) + low).cast("int").alias(c)
-    widths = {"t": f0 + f1 + 1, "y": 2 * hy + 2, "x": 2 * hx + 2}  # a window reaches into its own cell and those beside it
-    cell = lambda c: F.floor(F.col(c) / widths[c])
-    right = points.select("movie_id", *[F.col(c).alias(f"r_{c}") for c in "tyx"], *[cell(c).alias(f"cell_{c}") for c in "tyx"])
-    for c in "tyx":
-        right = right.withColumn(f"cell_{c}", F.explode(F.array(*[F.col(f"cell_{c}") + i for i in (-1, 0, 1)])))
-    right = right.select(*[F.col(c).alias(f"r_{c}") if c[0] != "r" else F.col(c) for c in right.columns])
+    low = {"t": F.lit(f0), "y": F.lit(hy), "x": F.lit(hx)}
+    high = {"t": F.col("n_frames") - f1, "y": F.col("h") - hy - 1, "x": F.col("w") - hx - 1}
+    counts = {c: F.greatest(F.lit(0), F.ceil((high[c] - low[c] + 1) / BLOCK[c])).cast("bigint") for c in BLOCK}
+    sized = movies.select("movie_id", *[high[c].cast("int").alias(f"high_{c}") for c in BLOCK], *[counts[c].alias(f"n_{c}") for c in BLOCK])
+    number = F.expr("(_bt * n_y + _by) * n_x + _bx")
 
     reach = {  # the places whose window holds a point, as contains() has it, from and to
         "t": (F.ceil(F.col("t") - f1), F.floor(F.col("t") + f0)), "y": (F.ceil(F.col("y") - hy - 1), F.floor(F.col("y") + hy)),
         "x": (F.floor(F.col("x") - hx) + (F.col("x") != F.floor("x")).cast("int"), F.ceil(F.col("x") + hx) - 1),
     }
-    side = {c: max(1, w // 4) for c, w in widths.items()}
-    full = points.select("movie_id", *[F.sequence(F.ceil(reach[c][0] / side[c]), F.floor((reach[c][1] + 1) / side[c])).alias(f"block_{c}") for c in "tyx"])
-    for c in "tyx":  # the last number is the first block that is not whole
-        full = full.withColumn(f"block_{c}", F.explode(F.slice(F.col(f"block_{c}"), 1, F.size(f"block_{c}") - 1)))
-    full = Scratch(points.sparkSession, "blocks").save(full.distinct(), "full")
+    boxes = points.select("movie_id", "t", "y", "x").distinct().join(sized, "movie_id")
+    for c in BLOCK:
+        boxes = boxes.withColumn(f"a_{c}", F.greatest(low[c], reach[c][0]).cast("int")).withColumn(f"b_{c}", F.least(F.col(f"high_{c}"), reach[c][1]).cast("int"))
+    boxes = boxes.where("a_t <= b_t and a_y <= b_y and a_x <= b_x")
+    for c, size in BLOCK.items():
+        block = lambda end: F.floor((F.col(f"{end}_{c}") - low[c]) / size).cast("bigint")  # noqa: B023, E731
+        boxes = boxes.withColumn(f"_b{c}", F.explode(F.sequence(block("a"), block("b"))))
+    boxes = boxes.select("movie_id", number.alias("block"), *[(F.col(f"_b{c}") * size + low[c]).cast("int").alias(c) for c, size in BLOCK.items()], *[F.col(n) for c in BLOCK for n in (f"high_{c}", f"a_{c}", f"b_{c}")])
+    kind = points.schema["movie_id"].dataType.simpleString()
+    marked = boxes.groupBy("movie_id", "block").applyInArrow(lambda table: _marked(table), f"movie_id {kind}, block bigint, free int, bits binary")
+
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = sized.where("n_t > 0 and n_y > 0 and n_x > 0").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_t") * F.col("n_y") * F.col("n_x") - 1) / CHUNK))).alias("_chunk")).repartition(tasks, "movie_id", "_chunk")
+    every = every.select("*", F.explode(F.sequence(F.col("_chunk") * CHUNK, F.least(F.col("n_t") * F.col("n_y") * F.col("n_x"), (F.col("_chunk") + 1) * CHUNK) - 1)).alias("block"))
+    at = {"t": F.expr("block div (n_y * n_x)"), "y": F.expr("block div n_x % n_y"), "x": F.expr("block % n_x")}
+    for c, size in BLOCK.items():
+        every = every.withColumn(c, (at[c] * size + low[c]).cast("int")).withColumn(f"d{c}", F.least(F.lit(size), F.col(f"high_{c}") - F.col(c) + 1).cast("int"))
+    both = every.join(marked, ["movie_id", "block"], "left").withColumn("n", F.coalesce("free", F.col("dt") * F.col("dy") * F.col("dx")))
+    return both.where("n > 0").select("movie_id", "block", *BLOCK, *[f"d{c}" for c in BLOCK], "n", "bits")
+
+
+def _marked(table: pa.Table) -> pa.Table:
+    """The free places of one block: boxes of taken places are marked at their corners and summed up along each axis."""
+    first = [table.column(c)[0].as_py() for c in BLOCK]
+    size = [min(BLOCK[c], table.column(f"high_{c}")[0].as_py() - a + 1) for c, a in zip(BLOCK, first, strict=True)]
+    ends = []
+    for c, a, n in zip(BLOCK, first, size, strict=True):
+        ends.append((np.maximum(table.column(f"a_{c}").to_numpy() - a, 0), np.minimum(table.column(f"b_{c}").to_numpy() - a, n - 1) + 1))
+    marks = np.zeros([n + 1 for n in size], np.int32)
+    for corner in np.ndindex(2, 2, 2):
+        np.add.at(marks, tuple(ends[i][side] for i, side in enumerate(corner)), (-1) ** sum(corner))
+    free = marks.cumsum(0).cumsum(1).cumsum(2)[:-1, :-1, :-1] == 0
+    bits = np.packbits(free).tobytes()
+    return pa.table({"movie_id": table.column("movie_id").slice(0, 1), "block": table.column("block").slice(0, 1), "free": pa.array([int(free.sum())], pa.int32()), "bits": pa.array([bits], pa.binary())})
+
+
+def _nth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of the ``nth`` free places of blocks."""
+    for batch in batches:
+        nth, bits = batch.column("nth").to_numpy().astype(np.int64), batch.column("bits").to_pylist()
+        first, size = ([batch.column(f"{prefix}{c}").to_numpy().astype(np.int64) for c in BLOCK] for prefix in ("", "d"))
+        place = np.array([n if b is None else np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8)))[n] for n, b in zip(nth.tolist(), bits, strict=True)], np.int64)
+        found = first[0] + place // (size[1] * size[2]), first[1] + place // size[2] % size[1], first[2] + place % size[2]
+        yield pa.RecordBatch.from_arrays([batch.column("movie_id"), batch.column("k"), *(pa.array(f.astype(np.int32)) for f in found)], names=["movie_id", "k", *BLOCK])
 
-    def fitting(tries: DataFrame) -> DataFrame:
-        tried = tries.select("movie_id", "k", "quota", "have", "n_frames", "h", "w", place("t", f0, F.col("n_frames") - f1), place("y", hy, F.col("h") - 2 * hy), place("x", hx, F.col("w") - 2 * hx)).where(window_fits(config))
-        block = [F.floor(F.col(c) / side[c]).alias(f"block_{c}") for c in "tyx"]
-        tried = tried.select("movie_id", "k", "quota", "have", "t", "y", "x", *block).join(full.hint("shuffle_hash"), ["movie_id", "block_t", "block_y", "block_x"], "left_anti")
-        left = tried.select("*", *[cell(c).alias(f"cell_{c}") for c in "tyx"])
-        same = [F.col(c) == F.col(f"r_{c}") for c in ("movie_id", "cell_t", "cell_y", "cell_x")]
-        return left.join(right, [*same, contains(config)], "left_anti").select("movie_id", "k", "quota", "have", "t", "y", "x")
-
-    kept = _filled(wanted, ["movie_id"], NOTHING_TRIES, fitting)
+
+def sample_nothing(points: DataFrame, movies: DataFrame, config: Config, naug: int = 1, val_ratio: float = 0.1, seed: int = 0, rep: int = 0) -> DataFrame:
+    """Windows at random places that contain no point, 1.2 times the largest class, in the columns of ``sample_points``.
+
+    Free places are counted by block and numbered by running sums over blocks; a
+    draw is the number of a free place, each as likely as any other, so nothing is
+    proposed in vain and a quota is full wherever a movie has one free place.  A
+    draw meets its block by ranges of numbers as wide as a block; of very many
+    draws of a movie, each ``DRAWS`` meet the blocks by themselves.
+    """
+    scratch = Scratch(points.sparkSession, "nothing")
+    most = points.groupBy("movie_id", "cat").agg(F.count("*").alias("c")).groupBy("movie_id").agg(F.max("c").alias("nmax"))
+    wanted = movies.join(most, "movie_id").withColumn("quota", F.ceil(F.col("nmax") * NOTHING_FACTOR * naug).cast("bigint"))
+    blocks = scratch.save(free_blocks(points, wanted, config), "blocks")
+    sums = blocks.groupBy("movie_id", F.floor(F.col("block") / CHUNK).alias("slot")).agg(F.sum("n").alias("own"))
+    earlier = Window.partitionBy("movie_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("movie_id", "slot", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("before"), F.sum("own").over(Window.partitionBy("movie_id")).alias("free"))
+    inside = Window.partitionBy("movie_id", "slot").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.withColumn("slot", F.floor(F.col("block") / CHUNK)).join(starts.drop("free"), ["movie_id", "slot"])
+    placed = placed.withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).drop("slot", "before")
+    width = BLOCK["t"] * BLOCK["y"] * BLOCK["x"]
+    turns = wanted.select("movie_id", F.ceil(F.col("quota") / DRAWS).cast("int").alias("turns"))
+    ranged = placed.join(turns, "movie_id").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).withColumn("range", F.explode(F.expr(f"sequence(start div {width}, (start + n - 1) div {width})")))
+
+    open_ = wanted.join(starts.groupBy("movie_id").agg(F.max("free").alias("free")), "movie_id").where("quota > 0")
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = open_.select("movie_id", "quota", "free", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("quota") - 1) / CHUNK))).alias("chunk")).repartition(tasks, "movie_id", "chunk")
+    draws = chunks.select("movie_id", "free", F.explode(F.sequence(F.col("chunk") * CHUNK + 1, F.least(F.col("quota"), (F.col("chunk") + 1) * CHUNK))).alias("k"))
     chance = lambda what: uniform(seed, rep, what, F.col("movie_id"), F.col("k"))
+    share = chance("nothing") + chance("finer") / 4294967296.0
+    drawn = draws.withColumn("number", F.least(F.floor(share * F.col("free")), F.col("free") - 1)).withColumn("range", F.expr(f"number div {width}")).withColumn("turn", F.floor((F.col("k") - 1) / DRAWS).cast("int"))
+    met = drawn.join(ranged, ["movie_id", "turn", "range"]).where("number between start and start + n - 1").select("movie_id", "k", (F.col("number") - F.col("start")).alias("nth"), *BLOCK, *[f"d{c}" for c in BLOCK], "bits")
+    kind = points.schema["movie_id"].dataType.simpleString()
+    kept = met.mapInArrow(_nth, f"movie_id {kind}, k bigint, t int, y int, x int")
     return kept.select(
         "movie_id", F.lit(rep).alias("rep"), (F.col("k") + 2000000000).cast("bigint").alias("seq"), "t", "y", "x", F.lit(0).alias("cat"),
         (chance("noise") < 0.5).alias("noisy"), F.when(chance("side") < val_ratio, "val").otherwise("train").alias("split"),

@@ -454,18 +454,20 @@ def split_overlap(spark, sf_dir):
     return jobs.split_overlap(sampling.sample_points(_rois(spark, sf_dir), _roi_movies(spark, sf_dir), SMALL, 2))
 
 
-NOTHING_SQL = 160
-"""Proposals for each wanted window in the SQL: all quotas at sf0.01 are full by then; the query goes on to the limit of 3000."""
 _Q = lambda *w: md5_uniform("'0'", "'0'", *w)
 
 
 @query(f"""{_SAMPLING},
 most AS (SELECT movie_id, CAST(ceil(max(n) * 1.2::DOUBLE * 2) AS BIGINT) AS quota, h FROM counts JOIN high USING (movie_id) GROUP BY movie_id, h),
-tries AS (SELECT movie_id, k, quota, h, CAST(floor({_Q("'nothing'", "movie_id", "k", "'t'")} * 25) + 5 AS INT) AS t, CAST(floor({_Q("'nothing'", "movie_id", "k", "'y'")} * (h - 8)) + 4 AS INT) AS y,
-  CAST(floor({_Q("'nothing'", "movie_id", "k", "'x'")} * 89) + 4 AS INT) AS x FROM most, LATERAL (SELECT unnest(range(1, quota * {NOTHING_SQL} + 1)) AS k)),
-clear AS (SELECT * FROM tries w WHERE {_FITS} AND NOT EXISTS (SELECT 1 FROM roi r WHERE r.movie_id = w.movie_id AND r.t BETWEEN w.t - 5 AND w.t + 5 AND r.y BETWEEN w.y - 4 AND w.y + 5 AND r.x > w.x - 4 AND r.x < w.x + 5))
-SELECT movie_id, 0 AS rep, k + 2000000000 AS seq, t, y, x, 0 AS cat, {_Q("'noise'", "movie_id", "k")} < 0.5 AS noisy, CASE WHEN {_Q("'side'", "movie_id", "k")} < 0.1 THEN 'val' ELSE 'train' END AS split
-FROM (SELECT *, row_number() OVER (PARTITION BY movie_id ORDER BY k) AS turn FROM clear) WHERE turn <= quota""")
+taken AS (SELECT DISTINCT movie_id, CAST(t + dt AS BIGINT) AS t, CAST(y + dy AS BIGINT) AS y, CAST(x + dx AS BIGINT) AS x FROM (SELECT DISTINCT movie_id, t, y, x FROM roi), range(-5, 6) a(dt), range(-5, 5) b(dy), range(-4, 4) c(dx)),
+places AS (SELECT movie_id, t, y, x FROM most, range(5, 26) a(t), LATERAL (SELECT unnest(range(4, h - 4)) AS y), range(4, 93) c(x)),
+free AS (SELECT movie_id, t, y, x, row_number() OVER (PARTITION BY movie_id ORDER BY (t - 5) // 4, (y - 4) // 16, (x - 4) // 16, t, y, x) - 1 AS number, count(*) OVER (PARTITION BY movie_id) AS free
+  FROM places ANTI JOIN taken USING (movie_id, t, y, x)),
+draws AS (SELECT movie_id, k, CAST(least(floor(({_Q("'nothing'", "movie_id", "k")} + {_Q("'finer'", "movie_id", "k")} / 4294967296.0::DOUBLE) * free), free - 1) AS BIGINT) AS number
+  FROM most JOIN (SELECT movie_id, max(free) AS free FROM free GROUP BY movie_id) USING (movie_id), LATERAL (SELECT unnest(range(1, quota + 1)) AS k))
+SELECT movie_id, 0 AS rep, k + 2000000000 AS seq, CAST(t AS INT) AS t, CAST(y AS INT) AS y, CAST(x AS INT) AS x, 0 AS cat, {_Q("'noise'", "movie_id", "k")} < 0.5 AS noisy,
+  CASE WHEN {_Q("'side'", "movie_id", "k")} < 0.1 THEN 'val' ELSE 'train' END AS split
+FROM draws JOIN free USING (movie_id, number)""")
 def sample_nothing(spark, sf_dir):
     return sampling.sample_nothing(_rois(spark, sf_dir), _roi_movies(spark, sf_dir), SMALL, 2)
 

@@ -1,5 +1,6 @@
 """Sampling takes every point and fills its quotas."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,11 +35,36 @@ def test_rare_clear_places_fill_the_quota_of_nothing(spark):
     movie = spark.createDataFrame([(1, 30, 60, 60)], "movie_id int, n_frames int, h int, w int")
     got = sampling.sample_nothing(spark.createDataFrame([(1, 1, i, *p) for i, p in enumerate(places)], ROI), movie, SMALL).collect()
     assert len(got) == len({r["seq"] for r in got}) == -(-len(places) * 6 // 5)
-    assert max(r["seq"] for r in got) - 2000000000 > 40 * len(got)
     for t, y, x in {(r["t"], r["y"], r["x"]) for r in got}:
         assert not any(t - 5 <= a <= t + 5 and y - 4 <= b <= y + 5 and x - 4 < c < x + 5 for a, b, c in places)
 
 
+def test_free_places_are_those_of_a_plain_list(spark, monkeypatch):
+    """Blocks of every kind, a movie without a free place, one too small, equal points, many draws; every free place can be drawn."""
+    monkeypatch.setattr(sampling, "DRAWS", 50)
+    rng = np.random.default_rng(7)
+    config = Config(half_size=(2, 3), nframes=(2, 1), ncat=3)
+    movies = {1: (9, 40, 50), 2: (4, 8, 60), 3: (9, 5, 5), 4: (2, 30, 30)}
+    places = {m: [tuple(int(v) for v in rng.integers(0, size)) for _ in range(n)] for (m, size), n in zip(movies.items(), (60, 3000, 4, 4), strict=True)}
+    places[1] += places[1][:20]
+    rois = spark.createDataFrame([(m, 1, i, *p) for m, own in places.items() for i, p in enumerate(own)], ROI)
+    sizes = spark.createDataFrame([(m, *size) for m, size in movies.items()], "movie_id int, n_frames int, h int, w int")
+    free = {m: set() for m in movies}
+    for m, (n, h, w) in movies.items():
+        for t, y, x in np.ndindex(n, h, w):
+            fits = t >= 2 and t + 1 <= n and y >= 2 and y + 3 <= h and x >= 3 and x + 4 <= w
+            if fits and not any(t - 2 <= a <= t + 1 and y - 2 <= b <= y + 3 and x - 3 < c < x + 4 for a, b, c in places[m]):
+                free[m].add((t, y, x))
+    found = {m: 0 for m in movies}
+    for r in sampling.free_blocks(rois, sizes, config).collect():
+        found[r["movie_id"]] += r["n"]
+    assert found == {m: len(own) for m, own in free.items()} and 0 < found[1] < 9 * 40 * 50
+    got = sampling.sample_nothing(rois, sizes, config, naug=40).collect()
+    drawn = {m: [(r["t"], r["y"], r["x"]) for r in got if r["movie_id"] == m] for m in movies}
+    assert all(len(drawn[m]) == (-(-len(places[m]) * 48 * 1) if free[m] else 0) for m in movies)
+    assert all(set(drawn[m]) <= free[m] for m in movies) and len(set(drawn[1])) > 0.9 * min(len(free[1]), len(drawn[1])) * (1 - np.exp(-1))
+
+
 def test_rare_fitting_points_fill_the_quota_of_copies(spark):
     rois = spark.createDataFrame([(1, 1, i, 15, 30 if i == 0 else 0, 30) for i in range(100)], ROI)
     movie = spark.createDataFrame([(1, 30, 60, 60)], "movie_id int, n_frames int, h int, w int")
