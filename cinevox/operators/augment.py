@@ -8,6 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .config import Config
+
+FLIP = 0.3
 
 
 def gaussian(cube: np.ndarray, sigma: float, axes: tuple[int, ...] | None = None) -> np.ndarray:
@@ -76,3 +82,35 @@ def noise(windows: DataFrame, seed: int = 0) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("win_id", "n", "h", "w", "noisy")), pa.array(cubes, pa.list_(pa.float64()))], names=["win_id", "n", "h", "w", "noisy", "cube"])
 
     return windows.select("win_id", "n", "h", "w", "noisy", "cube").mapInArrow(task, "win_id bigint, n int, h int, w int, noisy boolean, cube array<double>")
+
+
+def transformed(cube: np.ndarray, noisy: bool, rng: np.random.Generator) -> np.ndarray:
+    """A training window as an epoch sees it: turned over along rows, along columns, each by chance, then, if noisy, with the noise chain."""
+    for axis in (1, 2):
+        if rng.random() < FLIP:
+            cube = np.flip(cube, axis)
+    return augment(cube, rng) if noisy else cube.astype(float)
+
+
+def train_transforms(windows: DataFrame, config: Config, seed: int = 0, epoch: int = 0, noise: bool = True, keys: tuple[str, ...] = ("movie_id", "rep", "seq", "cat")) -> DataFrame:
+    """``windows`` of ``jobs.sample_windows`` as one epoch trains on them: flips for all of ``split`` train, noise for those marked ``noisy`` unless ``noise`` is off.
+
+    Windows of the validation side stay as they are.  A window's chance comes
+    from its ``keys``, the seed and the epoch, whatever the partitioning.
+    """
+    shape = config.window_shape
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            values = batch.column("cube").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), *shape)
+            marks = zip(values, *(batch.column(c).to_pylist() for c in ("_train", "noisy", "_chance")), strict=True)
+            cubes = [transformed(cube, bool(noisy) and noise, np.random.default_rng([seed, epoch, chance % (1 << 64)])).ravel() if train else cube.ravel() for cube, train, noisy, chance in marks]
+            offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * math.prod(shape))
+            done = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(cubes)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), done], names=[*others, "cube"])
+
+    others = [c for c in windows.columns if c != "cube"]
+    marked = windows.select(*others, "cube", F.coalesce(F.col("split") == "train", F.lit(False)).alias("_train"), F.xxhash64(*keys).alias("_chance"))
+    return marked.mapInArrow(task, T.StructType([*(windows.schema[c] for c in others), T.StructField("cube", T.ArrayType(T.DoubleType()))]))

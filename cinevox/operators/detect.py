@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
 from .config import Config
+from .skew import spread_join
 
 Scorer = Callable[[np.ndarray, Config], np.ndarray]
 """From normalised windows (n, frames, rows, columns), 0 to 255, to the classes' probabilities (n, classes but 0)."""
@@ -206,8 +208,9 @@ class _Block:
 def _blocks(images: DataFrame, config: Config, chunk: int, tile: int, bounds: tuple[int, int, int, int]) -> tuple[DataFrame, DataFrame]:
     """Frames dealt to the blocks whose windows need them, cut to what those need, and the movies' sizes."""
     (f0, f1), (hy, hx), (back, ahead, by, bx) = config.nframes, config.half_size, bounds
-    sized = images.groupBy("movie_id").agg(F.count("*").cast("int").alias("n_frames"), F.first("h").cast("int").alias("h"), F.first("w").cast("int").alias("w"))
-    near = images.select("movie_id", "t", "pixels").join(sized, "movie_id")
+    sized = images.groupBy("movie_id").agg(F.count("*").cast("int").alias("n_frames"), F.first("h").cast("int").alias("h"), F.first("w").cast("int").alias("w"), F.count("*").alias("frames"))
+    sized = Scratch(images.sparkSession, "detect").save(sized, "sizes")
+    near = spread_join(images.select("movie_id", "t", "pixels"), sized, ["movie_id"], "frames", ["t"])
     whole = lambda c, d: F.floor(c / F.lit(d)).cast("int")
     earliest, latest = F.greatest(F.lit(0), whole(F.col("t") - back - f1 + 1, chunk)), F.least(whole(F.col("n_frames") - 1, chunk), whole(F.col("t") + ahead - 1 + f0, chunk))
     dealt = near.withColumn("chunk", F.explode(F.sequence(earliest, latest)))

@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+from .skew import spread_join
+
 
 def _spline(x: np.ndarray) -> np.ndarray:
     """The cubic B-spline."""
@@ -47,20 +50,42 @@ def matrix(n_in: int, n_out: int, order: int = 1) -> np.ndarray:
     return basis(at) @ np.linalg.inv(basis(np.arange(n_in, dtype=float)))
 
 
-def between(n: int, at: float, order: int = 1) -> np.ndarray:
-    """Weights of ``n`` places for one point between them, by the rules of ``matrix``."""
+POLE = 3**0.5 - 2
+"""Of the recursive filter that turns values into coefficients of a cubic spline through them."""
+
+
+def coefficients(values: np.ndarray) -> np.ndarray:
+    """Spline coefficients along the first axis, mirrored at its ends: a running sum forward, one back."""
+    n = len(values)
     if n == 1:
-        return np.ones(1)
-    places = np.arange(-n, 2 * n) if order == 3 else np.arange(n)
-    if order != 3:
-        off = np.abs(places - at)
-        return (places == np.floor(at + 0.5)).astype(float) if order == 0 else np.maximum(0, 1 - off)
-    inner = np.mod(places, 2 * n - 2)
-    inner = np.where(inner < n, inner, 2 * n - 2 - inner)
-    spread = np.zeros((n + 1, n))
-    for row, place in enumerate([*range(n), at]):
-        np.add.at(spread[row], inner, _spline(place - places))
-    return spread[n] @ np.linalg.inv(spread[:n])
+        return values.astype(float)
+    out = 6 * values.astype(float)
+    powers = POLE ** np.arange(2 * n - 2)
+    start = np.tensordot(powers[:n], out, 1) + np.tensordot(powers[n:][::-1], out[1:-1], 1)  # the mirrored line is a ring of 2 n - 2
+    out[0] = start / (1 - POLE ** (2 * n - 2))
+    for k in range(1, n):
+        out[k] += POLE * out[k - 1]
+    out[-1] = POLE / (POLE**2 - 1) * (out[-1] + POLE * out[-2])
+    for k in range(n - 2, -1, -1):
+        out[k] = POLE * (out[k + 1] - out[k])
+    return out
+
+
+def taken(values: np.ndarray, at: np.ndarray, order: int = 1) -> np.ndarray:
+    """Values at places between those along the first axis, by the rules of ``matrix``."""
+    n = len(values)
+    if order == 0:
+        return values[np.floor(at + 0.5).astype(int)].astype(float)
+    low = np.floor(at).astype(int)
+    wide = lambda w: w.reshape(-1, *[1] * (values.ndim - 1))
+    if order == 1 or n == 1:
+        return wide(1 - (at - low)) * values[low] + wide(at - low) * values[np.minimum(low + 1, n - 1)]
+    own, ring = coefficients(values), 2 * n - 2
+    out = 0.0
+    for step in (-1, 0, 1, 2):
+        inner = np.mod(low + step, ring)
+        out = out + wide(_spline(at - (low + step))) * own[np.where(inner < n, inner, ring - inner)]
+    return out
 
 
 def weights(spark: SparkSession, n_in: int, n_out: int, order: int = 1) -> DataFrame:
@@ -102,25 +127,47 @@ def resize(images: DataFrame, h: int | Column, w: int | Column, order: int = 3)
 
 REACH = 30
 """Frames on either side that a frame between them is made of; a cubic spline's weights are below 1e-15 beyond."""
+FRAMES = 128
+"""New frames that are made together."""
+PIXELS = 1 << 16
+"""Pixels of a frame that are resized together."""
 
 
 def resize_time(images: DataFrame, sizes: DataFrame, order: int = 3) -> DataFrame:
     """Movies at another number of frames; ``sizes`` has ``movie_id, n_frames, new_frames``.
 
-    Every new frame is a weighted sum of the few frames around it, so a group
-    holds 2 * ``REACH`` + 2 frames at most however long the movie is.
+    New frames are made in runs of ``FRAMES``, from the frames between them and
+    ``REACH`` more on either side, by strips of ``PIXELS`` pixels: a frame goes to a
+    run and a half on average, and a task holds a strip of a run however long the
+    movie is and however large its frames are.
     """
-    new = sizes.where("new_frames > 0").select("movie_id", "n_frames", "new_frames", F.explode(F.sequence(F.lit(0), F.col("new_frames") - 1)).alias("o"))
-    at = F.when(F.col("new_frames") > 1, F.col("o") * ((F.col("n_frames") - 1) / (F.col("new_frames") - 1))).otherwise(0.0)
-    placed = new.select("movie_id", "o", at.alias("at"), F.greatest(F.lit(0), F.floor(at) - REACH).alias("low"), F.least(F.col("n_frames") - 1, F.floor(at) + REACH + 1).alias("high"))
-    near = placed.withColumn("t", F.explode(F.sequence("low", "high"))).join(images.select("movie_id", "t", "h", "w", "pixels"), ["movie_id", "t"])
+    spark = images.sparkSession
+    scratch = Scratch(spark, "time")
+    plan = sizes.where("new_frames > 0").select("movie_id", "n_frames", "new_frames", F.col("n_frames").cast("bigint").alias("frames"))
+    near = spread_join(images.select("movie_id", "t", "h", "w", "pixels"), scratch.save(plan, "plan"), ["movie_id"], "frames", ["t"])
+    step = (F.col("n_frames") - 1) / (F.col("new_frames") - 1)
+    last = F.floor((F.col("new_frames") - 1) / FRAMES)
+    run = lambda at: F.least(last, F.greatest(F.lit(0), F.floor(at / FRAMES)))
+    runs = F.when((F.col("n_frames") == 1) | (F.col("new_frames") == 1), F.sequence(F.lit(0).cast("bigint"), last)).otherwise(F.sequence(run((F.col("t") - REACH - 1) / step - 1), run((F.col("t") + REACH + 1) / step + 1)))
+    dealt = near.withColumn("run", F.explode(runs)).withColumn("strip", F.explode(F.sequence(F.lit(0), F.floor((F.col("h") * F.col("w") - 1) / PIXELS).cast("int"))))
+    dealt = dealt.withColumn("pixels", F.when(F.col("h") * F.col("w") <= PIXELS, F.col("pixels")).otherwise(F.slice("pixels", F.col("strip") * PIXELS + 1, F.lit(PIXELS))))
 
     def combine(table: pa.Table) -> pa.Table:
         table = table.sort_by("t")
-        first = {c: table.column(c)[0].as_py() for c in ("o", "at", "low", "h", "w")}
-        weight = between(table.num_rows, first["at"] - first["low"], order)
-        pixels = sum(k * v.values.to_numpy(zero_copy_only=False).astype(float) for k, v in zip(weight, table.column("pixels"), strict=True) if k)
-        return pa.table({"movie_id": table.column("movie_id").slice(0, 1), "t": pa.array([first["o"]], pa.int32()), "h": pa.array([first["h"]], pa.int32()), "w": pa.array([first["w"]], pa.int32()), "pixels": pa.array([pixels], pa.list_(pa.float64()))})
+        one = {c: table.column(c)[0].as_py() for c in ("n_frames", "new_frames", "run", "h", "w")}
+        first = table.column("t")[0].as_py()
+        values = table.column("pixels").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(table.num_rows, -1)
+        new = np.arange(one["run"] * FRAMES, min(one["new_frames"], (one["run"] + 1) * FRAMES))
+        at = new * ((one["n_frames"] - 1) / (one["new_frames"] - 1) if one["new_frames"] > 1 else 0.0)
+        out = taken(values, at - first, order)
+        n = len(new)
+        same = lambda c: table.column(c).slice(0, 1).take(pa.array(np.zeros(n, np.int64)))
+        pixels = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
+        return pa.table({"movie_id": same("movie_id"), "t": pa.array(new.astype(np.int32)), "h": same("h"), "w": same("w"), "strip": same("strip"), "pixels": pixels})
 
-    kind = images.schema["movie_id"].dataType.simpleString()
-    return near.groupBy("movie_id", "o").applyInArrow(combine, f"movie_id {kind}, t int, h int, w int, pixels array<double>")
+    kinds = {f.name: f.dataType.simpleString() for f in images.schema.fields}
+    parts = dealt.groupBy("movie_id", "run", "strip").applyInArrow(combine, f"movie_id {kinds['movie_id']}, t int, h {kinds['h']}, w {kinds['w']}, strip int, pixels array<double>")
+    parts = scratch.save(parts, "parts")
+    whole = parts.where(F.col("h") * F.col("w") <= PIXELS).drop("strip")
+    cut = parts.where(F.col("h") * F.col("w") > PIXELS).groupBy("movie_id", "t", "h", "w").agg(F.array_sort(F.collect_list(F.struct("strip", "pixels"))).alias("strips"))
+    return whole.unionByName(cut.select("movie_id", "t", "h", "w", F.flatten(F.transform("strips", lambda s: s["pixels"])).alias("pixels")))

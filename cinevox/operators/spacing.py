@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .augment import gaussian
+from .quantiles import quantiles
 
 
 def frame_picks(movies: DataFrame, n: int = 12) -> DataFrame:
@@ -119,12 +120,12 @@ def spacing_summary(tiles: DataFrame, frames: DataFrame, min_tiles: int = 10, mi
     third = F.greatest(F.lit(1), F.floor(F.col("n_frames") / 3))
     both = tiles.join(ranked, ["movie_id", "t"])
     early, late = F.col("place") <= third, F.col("place") > F.col("n_frames") - third
-    median = lambda column, p: F.percentile(column, F.lit(p))
-    stats = both.groupBy("movie_id").agg(
-        median("spacing", 0.5).alias("spacing"), median("spacing", 0.25).alias("q25"), median("spacing", 0.75).alias("q75"),
-        (median(F.when(late, F.col("spacing")), 0.5) / median(F.when(early, F.col("spacing")), 0.5)).alias("trend"),
-        F.count("spacing").alias("n_tiles"), F.count("*").alias("n_valid"), F.first("n_frames").alias("n_frames"),
-    )
+    part = F.filter(F.array(F.lit("all"), F.when(early, F.lit("early")), F.when(late, F.lit("late"))), lambda p: p.isNotNull())
+    found = quantiles(both.select("movie_id", "spacing", F.explode(part).alias("part")), ["movie_id", "part"], "spacing", {"spacing": 0.5, "q25": 0.25, "q75": 0.75})
+    of = lambda name: found.where(F.col("part") == name)
+    thirds = of("early").select("movie_id", F.col("spacing").alias("early")).join(of("late").select("movie_id", F.col("spacing").alias("late")), "movie_id").select("movie_id", (F.col("late") / F.col("early")).alias("trend"))
+    counts = both.groupBy("movie_id").agg(F.count("spacing").alias("n_tiles"), F.count("*").alias("n_valid"), F.first("n_frames").alias("n_frames"))
+    stats = counts.join(of("all").drop("part"), "movie_id", "left").join(thirds, "movie_id", "left").select("movie_id", "spacing", "q25", "q75", "trend", "n_tiles", "n_valid", "n_frames")
     few = (F.col("n_tiles") < min_tiles) | (F.col("n_tiles") < min_fraction * F.col("n_valid"))
     return stats.withColumn("status", F.when(few, "few tiles").when(F.col("spacing") < min_spacing, "pixel noise").otherwise("ok"))
 
@@ -133,5 +134,4 @@ def contrast_limits(voxels: DataFrame, low: float = 0.01, high: float = 0.998, f
     """``movie_id, low, high``: percentiles of the values ``v`` of every n-th frame, about ``frames`` of a movie."""
     step = voxels.groupBy("movie_id").agg(F.greatest(F.lit(1), F.floor((F.max("t") + 1) / frames)).alias("step"))
     some = voxels.join(step, "movie_id").where(F.col("t") % F.col("step") == 0)
-    limits = some.groupBy("movie_id").agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("p"))
-    return limits.select("movie_id", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    return quantiles(some, ["movie_id"], "v", {"low": low, "high": high})

@@ -361,9 +361,8 @@ def roi_counts(spark, sf_dir):
 # --- resampling
 
 def _zoom_sql(order: int, n_in: int, n_out: int) -> str:
-    m = resample.matrix(n_in, n_out, order)
-    rows = ", ".join(f"({o}, {i}, {float(m[o, i])!r}::DOUBLE)" for o in range(n_out) for i in range(n_in) if m[o, i])
-    return f"""{with_views("voxels")}, wt AS (SELECT * FROM (VALUES {rows}) k(o, i, w)),
+    near = f"SELECT o, i, 1 - abs(spot - i) AS w FROM places, range({n_in}) r(i) WHERE abs(spot - i) < 1" if order else "SELECT o, CAST(floor(spot + 0.5) AS INT) AS i, 1.0::DOUBLE AS w FROM places"
+    return f"""{with_views("voxels")}, places AS (SELECT CAST(o AS INT) AS o, o * {n_in - 1}::DOUBLE / {n_out - 1} AS spot FROM range({n_out}) r(o)), wt AS ({near}),
 a AS (SELECT movie_id, t, o AS y, x, sum(v * w) AS v FROM voxels JOIN wt ON y = i GROUP BY ALL)
 SELECT movie_id, t, y, o AS x, round(sum(v * w), 6) AS v FROM a JOIN wt ON x = i GROUP BY movie_id, t, y, o"""
 

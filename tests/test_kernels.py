@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cinevox.operators import augment, points, regions, resample, sampling, spacing
+from cinevox.operators import augment, points, quantiles, regions, resample, sampling, spacing
 from cinevox.operators.config import Config
 from cinevox.functions.scalar import stem
 
@@ -171,6 +171,74 @@ def test_cubic_zoom_goes_through_its_pixels_and_is_a_spline():
         assert np.allclose((resample.matrix(n, 2 * n - 1, 3) @ line)[::2], line)
 
 
+@pytest.mark.parametrize(("frames", "pixels"), [(128, 1 << 16), (7, 5)])
+def test_time_is_resized_in_runs_and_strips(spark, monkeypatch, frames, pixels):
+    """As by the matrix over the whole movie, at the ends and between runs too."""
+    monkeypatch.setattr(resample, "FRAMES", frames)
+    monkeypatch.setattr(resample, "PIXELS", pixels)
+    plans = [(90, 41), (41, 90), (1, 4), (5, 1), (2, 9), (150, 150), (3, 0)]
+    stacks = [np.random.default_rng(n).random((n, 3, 4)) for n, _ in plans]
+    images = spark.createDataFrame([(m, t, 3, 4, page.ravel().tolist()) for m, stack in enumerate(stacks) for t, page in enumerate(stack)], "movie_id int, t int, h int, w int, pixels array<double>").repartition(2).cache()
+    sizes = spark.createDataFrame([(m, *plan) for m, plan in enumerate(plans)], "movie_id int, n_frames int, new_frames int")
+    for order in (1, 3) if frames == 7 else (0, 3):
+        got = {(r["movie_id"], r["t"]): r for r in resample.resize_time(images, sizes, order).collect()}
+        assert sorted(got) == [(m, t) for m, (_, new) in enumerate(plans) for t in range(new)]
+        for m, (n, new) in enumerate(plans):
+            want = resample.matrix(n, new, order) @ stacks[m].reshape(n, 12) if new else []
+            assert all((r["h"], r["w"]) == (3, 4) and np.allclose(r["pixels"], w, atol=1e-9) for w, r in zip(want, (got[m, t] for t in range(new)), strict=True))
+
+
+@pytest.mark.parametrize("limit", [1 << 16, 200])
+def test_quantiles_equal_sorting(spark, limit):
+    """Ties, one value only, nulls and values that are not finite, wide and narrow ranges, groups above and below the limit."""
+    rng = np.random.default_rng(1)
+    groups = {
+        "normal": rng.normal(0, 1, 700), "ties": rng.integers(0, 3, 500).astype(float), "one": np.full(300, 7.5), "wide": 10.0 ** rng.integers(-300, 300, 400) * rng.choice([-1, 1], 400),
+        "largest": np.array([-1.7e308, 1.7e308] * 60 + [0.0, 1.0]), "short": np.array([3.0, 1.0]), "none": np.zeros(0),
+    }
+    rows = [(k, float(v)) for k, values in groups.items() for v in values] + [("none", None), ("ties", None), ("ties", math.nan), ("short", math.inf)]
+    at = {"low": 0.01, "median": 0.5, "q75": 0.75, "high": 0.998, "last": 1.0}
+    got = {r["g"]: [r[c] for c in at] for r in quantiles.quantiles(spark.createDataFrame(rows, "g string, v double").repartition(3), ["g"], "v", at, limit).collect()}
+    assert set(got) == {k for k, v in groups.items() if len(v)}
+    for k, found in got.items():
+        values = np.sort(groups[k])
+        for p, value in zip(at.values(), found, strict=True):
+            place = p * (len(values) - 1)
+            low, high = values[math.floor(place)], values[math.ceil(place)]
+            assert value == pytest.approx(low if low == high else (math.ceil(place) - place) * low + (place - math.floor(place)) * high, rel=1e-12)
+
+
+def test_training_windows_are_turned_over_and_then_made_noisy(spark, monkeypatch):
+    """Flips come first and for all of the training side, noise for noisy ones, nothing for validation; neither depends on the layout."""
+    config = Config(half_size=(1, 2), nframes=(1, 1), ncat=3)
+    cube = np.arange(30.0).reshape(2, 3, 5)
+    rows = [(1, 0, k, 5, 5, 5, 1, k % 2 == 0, "val" if k % 3 == 0 else "train", cube.ravel().tolist()) for k in range(120)]
+    windows = spark.createDataFrame(rows, "movie_id int, rep int, seq bigint, t int, y int, x int, cat int, noisy boolean, split string, cube array<double>")
+    got = {r["seq"]: np.array(r["cube"]).reshape(cube.shape) for r in augment.train_transforms(windows.repartition(3), config).collect()}
+    turned = [cube, cube[:, ::-1], cube[:, :, ::-1], cube[:, ::-1, ::-1]]
+    kinds = [0] * 4
+    for _, _, k, *_, noisy, side, _ in rows:
+        same = [np.array_equal(got[k], t) for t in turned]
+        if side == "val":
+            assert same[0]
+        elif not noisy:
+            assert sum(same) == 1
+            kinds[same.index(True)] += 1
+    assert min(kinds) > 0 and kinds[0] == max(kinds)
+    changed = [k for _, _, k, *_, noisy, side, _ in rows if noisy and side == "train" and not any(np.array_equal(got[k], t) for t in turned)]
+    assert len(changed) > 10
+    again = {r["seq"]: np.array(r["cube"]).reshape(cube.shape) for r in augment.train_transforms(windows.coalesce(1), config).collect()}
+    assert all(np.array_equal(got[k], again[k]) for k in got)
+    other = {r["seq"]: np.array(r["cube"]).reshape(cube.shape) for r in augment.train_transforms(windows, config, epoch=1).collect()}
+    assert any(not np.array_equal(got[k], other[k]) for k in got)
+    plain = {r["seq"]: np.array(r["cube"]).reshape(cube.shape) for r in augment.train_transforms(windows, config, noise=False).collect()}
+    assert all(any(np.array_equal(v, t) for t in turned) for v in plain.values())
+    script = Script([0.0, 1.0] + [1.0] * 4 + [0.0, 1.0], integers=1)  # one flip, then only the black square
+    want = cube[:, ::-1].copy()
+    want[:, 1:2, 1:2] = 0
+    assert np.array_equal(augment.transformed(cube, True, script), want)
+
+
 def plain_regions(p8, dt, dxy, level):
     """Labels of one dense block, by sets of voxels."""
     inside = lambda p: all(0 <= a < n for a, n in zip(p, p8.shape, strict=True))
