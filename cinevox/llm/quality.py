@@ -106,8 +106,8 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     source = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     scratch = Scratch(docs.sparkSession, "quality")
     counts = scratch.save(in_arrow(source, _survey, "lang string, word boolean, item bigint, n bigint").groupBy("lang", "word", "item").agg(F.sum("n").alias("n")), "counts")
-    first = Window.partitionBy("lang", "word").orderBy(F.desc("n"), "item")
-    ranked = counts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= F.when(F.col("word"), COMMON).otherwise(N_CLASSES)).collect()
+    common = counts.where("word").withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item"))).where(F.col("place") <= COMMON)
+    ranked = common.drop("place").unionByName(counts.where("not word")).collect()  # the limit is a literal, so every task sends COMMON words of a language at most
     sizes = {r["lang"]: r["n"] for r in counts.where("word").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     scratch.drop("counts")
     out = []
