@@ -3,12 +3,15 @@
 A recording (WAV, 16-bit PCM) becomes frames of twelve pitch classes.  Filters
 over an integral image of the frames, each the difference of two rectangles'
 sums, are quantised to two bits; sixteen of them make the 32-bit integer of a
-position.  Two recordings are aligned by integers that are equal or differ in one
-bit: the histogram of their position differences gives the offsets, and the bits
-that differ along the overlap at an offset tell whether they are the same sound.
+position.  Two recordings are aligned by integers that differ in two bits at most:
+the histogram of their position differences gives the offsets, and the bits that
+differ along the overlap at an offset tell whether they are the same sound.  Where
+12 % of the bits differ, an integer in four is that near, so of the least overlap,
+16 positions, two or more are with a probability of 0.9, and of longer ones or
+with fewer errors nearly always.
 
 Recordings with equal fingerprints are one class, compared once; an integer that
-many classes share costs pairs only with the queries.
+many classes share costs pairs only with the queries, and is dealt out.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, in_arrow
+from .skew import spread_join
 
 FRAME = 1024
 HOP = 512
@@ -127,14 +131,18 @@ def fingerprints(media: DataFrame, id_col: str, wav_col: str) -> DataFrame:
     return in_arrow(rows, task, f"id {rows.schema['id'].dataType.simpleString()}, codes array<bigint>")
 
 
-def align(prints: DataFrame, is_query: Column, most_errors: float = 0.2, least_overlap: int = 16, least_shared: int = 2) -> DataFrame:
+NEAR = sorted({a ^ b for a in (0, *(1 << k for k in range(32))) for b in (0, *(1 << k for k in range(32)))})
+"""What two integers may differ by to vote."""
+
+
+def align(prints: DataFrame, is_query: Column, most_errors: float = 0.12, least_overlap: int = 16, least_shared: int = 2) -> DataFrame:
     """Recordings that contain the same sound as a query.
 
     Returns ``id`` (of the query), ``match`` (least id of a class of equal
     fingerprints), ``n_members`` of that class, ``shift`` (position of the query
     less that of the match) and ``bit_errors`` (share of the bits that differ
     along the overlap).  A position of the query votes for those whose integer
-    is its own or differs in one bit; the integer of silence does not vote.  All
+    differs from its own in two bits at most; the integer of silence does not vote.  All
     shifts with ``least_shared`` votes or more are compared bit by bit, and count
     if they overlap by ``least_overlap`` positions and differ by ``most_errors``
     at most.  A pair has the one with the most equal bits less differing ones,
@@ -149,9 +157,11 @@ def align(prints: DataFrame, is_query: Column, most_errors: float = 0.2, least_o
     heard = F.col("code") != int(fingerprint(np.zeros((SPAN, 12)))[0])
     listed = classes.select("match", F.posexplode("codes").alias("at", "code")).where(heard)
     asked = classes.where("asked").select(F.col("match").alias("query"), F.posexplode("codes").alias("from", "code")).where(heard)
-    near = F.array(F.col("code"), *[F.col("code").bitwiseXOR(F.lit(1 << k)) for k in range(32)])
-    probes = asked.select("query", "from", F.explode(near).alias("code"))
-    votes = probes.join(listed, "code").groupBy("query", "match", (F.col("from") - F.col("at")).alias("shift")).agg(F.count("*").alias("shared"))
+    probes = asked.select("query", "from", F.explode(F.transform(F.array(*map(F.lit, NEAR)), lambda bits: F.col("code").bitwiseXOR(bits))).alias("code"))
+    listed = scratch.save(listed, "listed")
+    degree = scratch.save(listed.groupBy("code").agg(F.count("*").alias("c")), "degree")  # of listed integers only: most probes meet none
+    votes = spread_join(listed, scratch.save(probes.join(degree, "code").withColumnRenamed("c", "_c"), "probes"), ["code"], "_c", ["match", "at"], counts=degree.withColumnRenamed("c", "_c"))
+    votes = votes.groupBy("query", "match", (F.col("from") - F.col("at")).alias("shift")).agg(F.count("*").alias("shared"))
     pairs = votes.where(F.col("shared") >= least_shared).groupBy("query", "match").agg(F.collect_list("shift").alias("shifts"))
     one = classes.select(F.col("match").alias("query"), F.col("codes").alias("x"))
     other = classes.select("match", "n_members", F.col("codes").alias("y"))
