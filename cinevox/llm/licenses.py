@@ -43,7 +43,12 @@ NAMES: dict[str, tuple[str, ...]] = {
     "cc-by-nc": ("CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"),
     "cc0": ("CC0 1.0 Universal", "the CC0 1.0 Universal Public Domain Dedication"),
 }
-IDS = {"mit": "MIT", "apache": "Apache-2.0", "gpl": "GPL-3.0-or-later", "lgpl": "LGPL-2.1-only", "agpl": "AGPL-3.0-only", "bsd": "BSD-3-Clause", "isc": "ISC", "mpl": "MPL-2.0", "cc-by": "CC-BY-4.0", "cc-by-sa": "CC-BY-SA-4.0", "cc-by-nc": "CC-BY-NC-4.0", "cc0": "CC0-1.0"}
+IDS: dict[str, tuple[str, ...]] = {
+    "mit": ("MIT",), "apache": ("Apache-2.0",), "gpl": ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"), "lgpl": ("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    "agpl": ("AGPL-3.0-only", "AGPL-3.0-or-later"), "bsd": ("BSD-2-Clause", "BSD-3-Clause"), "isc": ("ISC",), "mpl": ("MPL-2.0",), "cc-by": ("CC-BY-4.0",), "cc-by-sa": ("CC-BY-SA-4.0",), "cc-by-nc": ("CC-BY-NC-4.0",),
+    "cc0": ("CC0-1.0",),
+}
+TAGS = ("SPDX-License-Identifier: {}", "License: {}")
 GRANTS = ("Licensed under {}.", "Released under {}.", "Distributed under the terms of {}.", "This work is licensed under {}.", "This project is licensed under {} - see the LICENSE file.", "This software is made available under the terms of {}.")
 BODIES: dict[str, tuple[str, ...]] = {
     "mit": (
@@ -79,8 +84,8 @@ MENTIONS = (
 
 
 def _templates() -> dict[str, tuple[str, ...]]:
-    """Bodies, and every grant with every name of a family."""
-    return {f: (*BODIES.get(f, ()), *(g.format(n) for g in GRANTS for n in names), f"SPDX-License-Identifier: {IDS[f]}") for f, names in NAMES.items()}
+    """Bodies, every grant with every name of a family, and every tag with every identifier."""
+    return {f: (*BODIES.get(f, ()), *(g.format(n) for g in GRANTS for n in names), *(t.format(i) for t in TAGS for i in IDS[f])) for f, names in NAMES.items()}
 
 
 TEMPLATES = _templates()
@@ -205,15 +210,17 @@ def _sampled(grams: list[tuple[int, np.ndarray, int]]):
 
 
 def train(docs: DataFrame, text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, seed: int = 5) -> Scanner:
-    """Fits the classifier; ``SAMPLE`` lines, those of the least hashes, stand for the unknown class.
+    """Fits the classifier; ``SAMPLE`` different lines, those of the least hashes, stand for the unknown class.
 
-    Lines are counted first, so that little more than the sample leaves the
+    Different lines are counted first, so that little more than the sample leaves the
     tasks, and it leaves them as bags of at most ``FEATURES`` numbers a line.
     """
     lines = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     lines = lines.select("line", F.xxhash64("line").alias("h"))
-    share = min(1.0, 1.5 * SAMPLE / max(1, docs.select(F.sum(F.regexp_count(F.col(text_col), F.lit("\n")) + 1)).first()[0] or 0))
-    drawn = in_arrow(lines.where(F.pmod("h", F.lit(1 << 32)) < int(share * (1 << 32))), _sampled(_grams(templates)), "h bigint, features array<int>, weights array<double>, word string")
+    different = lines.agg(F.approx_count_distinct("h", 0.01)).first()[0]
+    share = min(1.0, 1.5 * SAMPLE / max(1, different))
+    some = lines.where(F.pmod("h", F.lit(1 << 32)) < int(share * (1 << 32))).groupBy("h").agg(F.min("line").alias("line"))  # copies of a line count once
+    drawn = in_arrow(some, _sampled(_grams(templates)), "h bigint, features array<int>, weights array<double>, word string")
     sample = drawn.orderBy(F.pmod("h", F.lit(1 << 32)), "h").limit(SAMPLE).collect()
     rng = np.random.default_rng(seed)
     families = tuple(sorted(templates))

@@ -323,6 +323,20 @@ def test_held_out_notices_and_mentions(make):
     assert right >= 0.9 * listed
 
 
+def test_identifiers_and_copies_of_lines(make):
+    """Every identifier of a family; nine tenths of the lines are five menu lines, which do not crowd out the others in the sample."""
+    rng = random.Random(14)
+    menu = [sentence(rng, 6) for _ in range(5)]
+    plain = [sentence(rng, 12) for _ in range(300)]
+    tagged = [(f, t.format(i)) for f, ids in licenses.IDS.items() for i in ids for t in licenses.TAGS]
+    docs = make(rows_of(["\n".join(menu * 20)] * 30 + plain))
+    scanner = licenses.train(docs)
+    got = {r["doc"]["doc_id"]: r["families"] for r in scan(make(rows_of([t for _, t in tagged] + menu + plain)), scanner=scanner).collect()}
+    right = [[f] == got[i] for i, (f, _) in enumerate(tagged, 1)]
+    assert sum(right) >= 0.9 * len(right), [(t, got[i]) for i, t in enumerate(tagged, 1) if got[i] != [t[0]]]
+    assert not any(got[i] for i in range(len(tagged) + 1, len(got) + 1))
+
+
 def test_licences_of_hard_rows(hard):
     rows = scan(hard, columns=["doc_id"]).collect()
     assert len(rows) == hard.count() and not any(r["families"] for r in rows)
