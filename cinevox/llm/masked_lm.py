@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .scratch import Scratch, in_arrow
 from .textkit import blocks, utf8, words
 
-CLASSES = 32
+CLASSES = 64
 MEMBERS = 64
 SIZE = CLASSES * MEMBERS
 COMMON = SIZE - MEMBERS
@@ -43,12 +43,29 @@ GROUP = 1_000_000
 """Words of a group, on average."""
 LEAST = 200_000
 """Windows that a group descends over at least, if need be in several passes over its own."""
-BATCH = 4096
+BATCH = 1 << 14
+SCORED = 1 << 15
+"""Windows of a step of the descent, and windows scored at once."""
+TASKS = 4096
+"""Partitions of a round at most; each descends over its groups one after another and sends their sum."""
 RATE = 0.15
 _FIX = 1 << 20
 _U = np.uint64
 
 
+def _odds(logits: np.ndarray) -> np.ndarray:
+    """Probabilities of each row, whatever the size of its numbers."""
+    odds = np.exp(logits - logits.max(1, keepdims=True))
+    odds /= odds.sum(1, keepdims=True)
+    return odds
+
+
+def _log_share(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log-probability of one place of each row."""
+    logits = logits - logits.max(1, keepdims=True)
+    return logits[np.arange(len(own)), own] - np.log(np.exp(logits).sum(1))
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
@@ -104,15 +121,13 @@ class Model:
 
     def log_probs(self, token: np.ndarray, context: np.ndarray) -> np.ndarray:
         out = np.zeros(len(token))
-        for a in range(0, len(token), 8192):
-            own, hidden = token[a : a + 8192], self.hidden(context[:, a : a + 8192])
-            logits = hidden @ self.top + self.top_bias
-            part = logits[np.arange(len(own)), own // MEMBERS] - np.log(np.exp(logits).sum(1))
+        for a in range(0, len(token), SCORED):
+            own, hidden = token[a : a + SCORED], self.hidden(context[:, a : a + SCORED])
+            part = _log_share(hidden @ self.top + self.top_bias, own // MEMBERS)
             for at, c in self.by_class(own):
                 inside = slice(c * MEMBERS, (c + 1) * MEMBERS)
-                logits = hidden[at] @ self.out[inside].T + self.bias[inside]
-                part[at] += logits[np.arange(len(at)), own[at] % MEMBERS] - np.log(np.exp(logits).sum(1))
-            out[a : a + 8192] = part
+                part[at] += _log_share(hidden[at] @ self.out[inside].T + self.bias[inside], own[at] % MEMBERS)
+            out[a : a + SCORED] = part
         return out
 
     def parts(self) -> list[np.ndarray]:
@@ -141,8 +156,7 @@ class _Descent:
     def step(self, token: np.ndarray, context: np.ndarray) -> None:
         m, n = self.model, len(token)
         hidden = m.hidden(context)
-        odds = np.exp(hidden @ m.top + m.top_bias)
-        odds /= odds.sum(1, keepdims=True)
+        odds = _odds(hidden @ m.top + m.top_bias)
         odds[np.arange(n), token // MEMBERS] -= 1
         back = odds @ m.top.T
         slope = odds.T @ hidden
@@ -151,8 +165,7 @@ class _Descent:
         for at, c in m.by_class(token):
             inside = slice(c * MEMBERS, (c + 1) * MEMBERS)
             own = hidden[at]
-            odds = np.exp(own @ m.out[inside].T + m.bias[inside])
-            odds /= odds.sum(1, keepdims=True)
+            odds = _odds(own @ m.out[inside].T + m.bias[inside])
             odds[np.arange(len(at)), token[at] % MEMBERS] -= 1
             back[at] += odds @ m.out[inside]
             slope = odds.T @ own
@@ -169,7 +182,7 @@ class _Descent:
 
 
 def _learn(start: Model):
-    """Rows come sorted by group and hash; yields the weights that each group ends with."""
+    """Rows come sorted by group and hash; yields the sum of the weights that the groups end with, each by its number of windows."""
 
     def descended(held: list[tuple[np.ndarray, np.ndarray]], descent: _Descent, last: bool) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
         token, context = np.concatenate([t for t, _ in held]), np.concatenate([c for _, c in held], axis=1)
@@ -180,15 +193,17 @@ def _learn(start: Model):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, descent, seen, early, held = None, None, 0, [], []
+        shares, total = 0, 0
 
-        def finish() -> pa.RecordBatch:
-            nonlocal seen
+        def finish() -> None:
+            nonlocal seen, shares, total
             seen += descended(held, descent, True)[1] if held else 0
             whole, n = early, seen
             while early and 0 < n < LEAST:
                 n += descended(whole, descent, True)[1]
-            weights = np.round(descent.model.flat().astype(float) * _FIX).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([(seen + 1023) // 1024], pa.int64()), pa.array([weights], pa.list_(pa.int64()))], names=["n", "weights"])
+            share = (seen + 1023) // 1024
+            shares += share
+            total = total + np.round(descent.model.flat().astype(float) * _FIX).astype(np.int64) * share
 
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -197,7 +212,7 @@ def _learn(start: Model):
             for lo, hi in zip(cuts, np.append(cuts[1:], len(groups)), strict=True):
                 if group != groups[lo]:
                     if seen or held:
-                        yield finish()
+                        finish()
                     group, descent, seen, early, held = groups[lo], _Descent(start), 0, [], []
                 own = offsets[lo : hi + 1]
                 for a, b in blocks(own):
@@ -212,7 +227,9 @@ def _learn(start: Model):
                     held, n = descended(held, descent, False)
                     seen += n
         if seen or held:
-            yield finish()
+            finish()
+        if shares:
+            yield pa.RecordBatch.from_arrays([pa.array([shares], pa.int64()), pa.array([total], pa.list_(pa.int64()))], names=["n", "weights"])
 
     return task
 
@@ -246,9 +263,9 @@ def train(docs: DataFrame, text_col: str = "text", seed: int = 11) -> Model:
     dealt = docs.select(F.col(text_col).alias("text"), F.xxhash64(*hashed).alias("h")).where(F.length("text") > 0)
     dealt = dealt.select("text", "h", F.pmod("h", F.lit(ROUNDS)).alias("turn"), F.pmod(F.shiftright("h", 20), F.lit(groups)).alias("dealt"))
     for turn in range(ROUNDS):
-        own = dealt.where(F.col("turn") == turn).drop("turn").repartition(groups, "dealt").sortWithinPartitions("dealt", "h", "text")
+        own = dealt.where(F.col("turn") == turn).drop("turn").repartition(min(groups, TASKS), "dealt").sortWithinPartitions("dealt", "h", "text")
         parts = in_arrow(own, _learn(model), "n bigint, weights array<bigint>")
-        sums = parts.select("n", F.posexplode("weights").alias("i", "w")).groupBy("i").agg(F.sum(F.col("w") * F.col("n")).alias("w"), F.sum("n").alias("n"))
+        sums = parts.select("n", F.posexplode("weights").alias("i", "w")).groupBy("i").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
         rows = sums.select("i", (F.col("w") / F.col("n") / _FIX).alias("w")).toPandas()
         if len(rows):
             values = np.zeros(len(rows))
