@@ -456,21 +456,59 @@ def split_overlap(spark, sf_dir):
 _Q = lambda *w: md5_uniform("'0'", "'0'", *w)
 
 
-@query(f"""{_SAMPLING},
-most AS (SELECT movie_id, CAST(ceil(max(n) * 1.2::DOUBLE * 2) AS BIGINT) AS quota, h FROM counts JOIN high USING (movie_id) GROUP BY movie_id, h),
+_NOTHING = f"""most AS (SELECT movie_id, CAST(ceil(max(n) * 1.2::DOUBLE * 2) AS BIGINT) AS quota, h FROM counts JOIN high USING (movie_id) GROUP BY movie_id, h),
 taken AS (SELECT DISTINCT movie_id, CAST(t + dt AS BIGINT) AS t, CAST(y + dy AS BIGINT) AS y, CAST(x + dx AS BIGINT) AS x FROM (SELECT DISTINCT movie_id, t, y, x FROM roi), range(-5, 6) a(dt), range(-5, 5) b(dy), range(-4, 4) c(dx)),
 places AS (SELECT movie_id, t, y, x FROM most, range(5, 26) a(t), LATERAL (SELECT unnest(range(4, h - 4)) AS y), range(4, 93) c(x)),
 free AS (SELECT movie_id, t, y, x, row_number() OVER (PARTITION BY movie_id ORDER BY (t - 5) // 4, (y - 4) // 16, (x - 4) // 16, t, y, x) - 1 AS number, count(*) OVER (PARTITION BY movie_id) AS free
   FROM places ANTI JOIN taken USING (movie_id, t, y, x)),
 draws AS (SELECT movie_id, k, CAST(least(floor(({_Q("'nothing'", "movie_id", "k")} + {_Q("'finer'", "movie_id", "k")} / 4294967296.0::DOUBLE) * free), free - 1) AS BIGINT) AS number
-  FROM most JOIN (SELECT movie_id, max(free) AS free FROM free GROUP BY movie_id) USING (movie_id), LATERAL (SELECT unnest(range(1, quota + 1)) AS k))
-SELECT movie_id, 0 AS rep, k + 2000000000 AS seq, CAST(t AS INT) AS t, CAST(y AS INT) AS y, CAST(x AS INT) AS x, 0 AS cat, {_Q("'noise'", "movie_id", "k")} < 0.5 AS noisy,
+  FROM most JOIN (SELECT movie_id, max(free) AS free FROM free GROUP BY movie_id) USING (movie_id), LATERAL (SELECT unnest(range(1, quota + 1)) AS k)),
+nothing AS (SELECT movie_id, 0 AS rep, k + 2000000000 AS seq, CAST(t AS INT) AS t, CAST(y AS INT) AS y, CAST(x AS INT) AS x, 0 AS cat, {_Q("'noise'", "movie_id", "k")} < 0.5 AS noisy,
   CASE WHEN {_Q("'side'", "movie_id", "k")} < 0.1 THEN 'val' ELSE 'train' END AS split
-FROM draws JOIN free USING (movie_id, number)""")
+FROM draws JOIN free USING (movie_id, number))"""
+
+
+@query(f"{_SAMPLING},\n{_NOTHING}\nSELECT * FROM nothing")
 def sample_nothing(spark, sf_dir):
     return sampling.sample_nothing(_rois(spark, sf_dir), _roi_movies(spark, sf_dir), SMALL, 2)
 
 
+@query(f"{_SAMPLING},\n{_samples_sql(0)},\n{_NOTHING}\nSELECT * FROM samples0 UNION ALL SELECT * FROM nothing")
+def sample_all(spark, sf_dir):
+    return jobs.sample_all(_rois(spark, sf_dir), None, _roi_movies(spark, sf_dir), SMALL, naug=2, val_ratio=0.1)
+
+
+@query(f"""{with_views("mosaic")},
+samples AS (SELECT DISTINCT movie_id, t, CAST(4 + t % 8 AS INT) AS y, CAST(4 + t * 3 % 8 AS INT) AS x FROM mosaic),
+cubes AS (SELECT s.movie_id, s.t, s.y, s.x, v, min(v) OVER w AS low, max(v) OVER w AS high, count(*) OVER w AS n
+  FROM samples s JOIN mosaic m ON m.movie_id = s.movie_id AND m.t BETWEEN s.t - 5 AND s.t + 4 AND m.y BETWEEN s.y - 4 AND s.y + 4 AND m.x BETWEEN s.x - 4 AND s.x + 4
+  WINDOW w AS (PARTITION BY s.movie_id, s.t)),
+whole AS (SELECT *, floor((v - low)::DOUBLE / CASE WHEN high > low THEN high - low ELSE 1 END * 255) AS s FROM cubes WHERE n = 810)
+SELECT movie_id, t, y, x, count(*) AS n, round(sum(s / 255), 4) AS total, round(max(s / 255), 6) AS high FROM whole GROUP BY movie_id, t, y, x""")
+def training_windows(spark, sf_dir):
+    """A window around one place of every frame of the mosaic."""
+    images = views.mosaic(spark, sf_dir)
+    samples = images.select("movie_id", "t", (4 + F.col("t") % 8).cast("int").alias("y"), (4 + F.col("t") * 3 % 8).cast("int").alias("x"))
+    cube = jobs.sample_windows(samples, images, SMALL).withColumn("total", F.aggregate("cube", F.lit(0.0), lambda s, v: s + v))
+    return cube.select("movie_id", "t", "y", "x", F.size("cube").cast("bigint").alias("n"), F.round("total", 4).alias("total"), F.round(F.array_max("cube"), 6).alias("high"))
+
+
+@query(f"""{with_views("voxels")},
+shapes AS (SELECT movie_id, max(t) + 1 AS n, max(y) + 1 AS h, max(x) + 1 AS w, 10.0::DOUBLE + 4 * movie_id AS diameter, 1.5::DOUBLE + movie_id AS duration FROM voxels GROUP BY movie_id),
+ratios AS (SELECT *, CASE WHEN abs(diameter - 25) > 25 * 0.3::DOUBLE THEN 25 / diameter ELSE 1 END AS rxy, CASE WHEN abs(duration - 4.5) > 4.5 * 0.3::DOUBLE THEN 4.5 / duration ELSE 1 END AS rt FROM shapes),
+bright AS (SELECT movie_id, count(*) AS n_points FROM voxels WHERE v > 1350 GROUP BY movie_id)
+SELECT movie_id, round(rxy, 9) AS ratio_xy, round(rt, 9) AS ratio_t, CAST(n AS INT) AS n_in, CAST(round_even(n * rt, 0) AS INT) AS n_out, CAST(round_even(h * rxy, 0) AS INT) AS h_out, CAST(round_even(w * rxy, 0) AS INT) AS w_out, n_points
+FROM ratios LEFT JOIN bright USING (movie_id)""")
+def prepare_summary(spark, sf_dir):
+    """What preparing the movies at the model's scale changes; bright voxels are the points of one class."""
+    frames = views.frames(spark, sf_dir)
+    spots = views.voxels(frames).where("v > 1350").withColumn("file", F.concat(F.col("movie_id").cast("string"), F.lit("_cell_death.zip"))).withColumn("roi_idx", F.monotonically_increasing_id())
+    scales = frames.select("movie_id").distinct().select("movie_id", (10.0 + 4 * F.col("movie_id")).alias("cell_diameter"), (1.5 + F.col("movie_id")).cast("double").alias("extrusion_duration"))
+    _, _, summary = jobs.prepare(frames, spots, scales, Config())
+    own = F.map_values("rois")[0]
+    return summary.select("movie_id", F.round("ratio_xy", 9).alias("ratio_xy"), F.round("ratio_t", 9).alias("ratio_t"), F.col("shape_in")[0].alias("n_in"), *[F.col("shape_out")[i].alias(f"{c}_out") for i, c in enumerate("nhw")], own.alias("n_points"))
+
+
 @query(f"""{_SAMPLING}, sides AS (SELECT movie_id, cat, {_SPLIT} AS split FROM roi)
 SELECT movie_id, cat, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'train') AS train FROM sides GROUP BY movie_id, cat""")
 def split_leakage(spark, sf_dir):
