@@ -8,8 +8,10 @@ half-way is overwritten by its next attempt, so every batch counts once.
 
 ``compact`` adds the committed deltas to a base, a table of totals below
 ``bases/base=<n>`` with the batches it holds.  Readers take the latest whole base
-and the committed deltas that it does not hold, so what they read does not grow
-with all batches there ever were.
+and the committed deltas that it does not hold.  ``forget`` then removes what the
+base holds, its commits too, so what readers read does not grow with all batches
+there ever were; of these only the numbers stay, in the base, for the question
+whether a batch was committed.
 """
 
 from __future__ import annotations
@@ -39,7 +41,19 @@ class TokenRollup:
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
     def committed(self, batch: int) -> bool:
-        return self._exists(f"{self.path}/commits/batch={int(batch)}/_SUCCESS")
+        if self._exists(f"{self.path}/commits/batch={int(batch)}/_SUCCESS"):
+            return True
+        bases = self._bases()
+        return bool(bases) and not self._held(bases[-1]).where(F.col("batch") == int(batch)).isEmpty()
+
+    def _held(self, base: int) -> DataFrame:
+        return self.spark.read.schema("batch bigint").parquet(f"{self.path}/bases/base={base}/batches")
+
+    def _names(self, folder: str) -> list[str]:
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
 
     def commit(self, batch: int, changed: DataFrame) -> bool:
         """Adds a batch; False if it was committed before.
@@ -62,11 +76,7 @@ class TokenRollup:
 
     def _bases(self) -> list[int]:
         """Numbers of the whole bases, the latest last."""
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/bases")
-        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
-        return sorted(int(n.partition("=")[2]) for n in names if self._exists(f"{self.path}/bases/{n}/batches/_SUCCESS"))
+        return sorted(int(n.partition("=")[2]) for n in self._names("bases") if self._exists(f"{self.path}/bases/{n}/batches/_SUCCESS"))
 
     def _signed(self) -> tuple[DataFrame, DataFrame]:
         """Rows that add up to the totals, and the batches in them: the latest base, and committed deltas outside it."""
@@ -75,7 +85,7 @@ class TokenRollup:
         if not (bases := self._bases()):
             return deltas.drop("batch"), commits
         base = f"{self.path}/bases/base={bases[-1]}"
-        held = self.spark.read.schema("batch bigint").parquet(f"{base}/batches")
+        held = self._held(bases[-1])
         totals = self.spark.read.schema(_DELTA).parquet(f"{base}/totals")
         return totals.unionByName(deltas.join(held, "batch", "left_anti").drop("batch")), commits.union(held).distinct()
 
@@ -91,18 +101,18 @@ class TokenRollup:
         number = max(self._bases(), default=0) + 1
         base = f"{self.path}/bases/base={number}"
         rows, batches = self._signed()
-        held = sorted(r["batch"] for r in batches.collect())  # one number for each batch
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
         sums.write.mode("overwrite").parquet(f"{base}/totals")
-        self.spark.createDataFrame([(b,) for b in held], "batch bigint").coalesce(1).write.mode("overwrite").parquet(f"{base}/batches")
+        batches.select(F.col("batch").cast("bigint").alias("batch")).coalesce(8).write.mode("overwrite").parquet(f"{base}/batches")
         return number
 
     def forget(self) -> None:
-        """Removes deltas that the latest base holds, and older bases; ids of their batches stay committed."""
+        """Removes deltas and commits that the latest base holds, and older bases; the batches stay committed."""
         if not (bases := self._bases()):
             return
-        held = self.spark.read.schema("batch bigint").parquet(f"{self.path}/bases/base={bases[-1]}/batches").collect()
-        for name in [*(f"deltas/batch={r['batch']}" for r in held), *(f"bases/base={b}" for b in bases[:-1])]:
+        there = {int(n.partition("=")[2]) for folder in ("deltas", "commits") for n in self._names(folder) if n.startswith("batch=")}  # since the last time
+        held = [r["batch"] for r in self._held(bases[-1]).where(F.col("batch").isin(sorted(there))).collect()]
+        for name in [*(f"{folder}/batch={b}" for folder in ("commits", "deltas") for b in held), *(f"bases/base={b}" for b in bases[:-1])]:
             jvm = self.spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
