@@ -11,6 +11,8 @@ PIECES = 1024
 """A key with more than this share of all rows is dealt out; there are no more such keys than this."""
 LEAST = 256
 """Rows of a key that are never dealt out."""
+MOST = 1 << 22
+"""Rows of a key that always are."""
 
 
 def spread_join(
@@ -20,15 +22,16 @@ def spread_join(
 
     A key of more than one ``PIECES``-th of all rows is cut into pieces by the
     hash of the columns ``by``, and its rows of ``keyed`` are repeated for each of
-    them.  Only the names of these keys are broadcast: their counts add up to no
-    more than all rows, so there are ``PIECES`` of them at most.  The counts are
+    them; so is one of more than ``MOST`` rows.  Only the names of these keys are
+    broadcast: their counts add up to no more than all rows, so there are
+    ``PIECES`` of them, or one for every ``MOST`` rows, at most.  The counts are
     read more than once and should be a written table.  Keys are not null.
     ``keep`` are the columns of the result, by default all but ``count``.
     """
     on = list(on)
     counts = keyed if counts is None else counts
     total, most = counts.agg(F.sum(count), F.max(count)).first()
-    piece = max(LEAST, (total or 0) // PIECES)
+    piece = max(LEAST, min(MOST, (total or 0) // PIECES))
     keep = list(keep or [*rows.columns, *(c for c in keyed.columns if c not in rows.columns and c != count)])
     if (most or 0) <= piece:
         return rows.join(keyed, on, how).select(*keep)

@@ -20,7 +20,7 @@ one row each goes on to the next pass.  Groups are only counted, with partial
 sums, and rows meet their counts in joins that deal out large groups
 (``skew.spread_join``), so no group is ever gathered in one place.
 
-Digits are compared as hashes; a reported window has agreed in two of them.
+Digits are compared as hashes of 62 bits, at the same two points in every pass.
 """
 
 from __future__ import annotations
