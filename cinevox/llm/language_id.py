@@ -149,7 +149,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", columns: Sequ
     """``doc`` (a struct of ``columns``, by default all), ``lang_pred``, ``score`` (0 to 1) and ``ambiguous``, from the text alone.
 
     A text that is null or has no letter is ``und`` with score 0, as is every
-    text if no language was learnt.
+    text if no language was learnt.  Of codewords with equal loss the language
+    that is first by name counts, and its score, 1/2 or less, flags it.
     """
     columns = list(columns or docs.columns)
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))

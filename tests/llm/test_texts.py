@@ -240,6 +240,40 @@ def test_every_window_is_descended_over(hard):
     assert len(model.common) == masked_lm.COMMON
 
 
+def test_languages_equal_a_plain_decoding(hard):
+    """N-grams counted one by one and codewords compared bit by bit, for null, empty, long and repeated texts; ties go to the first name."""
+    def grams(text):
+        folded = [b if b >= 128 else b | 32 if chr(b).isalpha() else 32 for b in text.encode()]
+        out = Counter()
+        for n in language_id.GRAMS:
+            for i in range(len(folded) - n + 1):
+                value = n
+                for b in folded[i : i + n]:
+                    value = value * 0x01000193 % 2**32 ^ b
+                out[(value * 0x9E3779B1 % 2**32) >> 20] += 1
+        return out
+
+    def decoded(model, text):
+        counts = grams(text)
+        total = sum(counts.values())
+        margins = [sum(n * model.weights[g, b] for g, n in counts.items()) / max(total, 1) * min(total, language_id.EVIDENCE) for b in range(model.code.shape[1])]
+        loss = [sum(t * math.log1p(math.exp(-m * c)) for m, c, t in zip(margins, word, model.trust, strict=True)) for word in model.code]
+        return model.langs[loss.index(min(loss))], 1 / sum(math.exp(min(loss) - x) for x in loss)
+
+    named = hard.withColumn("lang", F.when(F.col("doc_id") % 4 == 0, None).otherwise(F.concat(F.lit("l"), F.col("doc_id") % 4)))
+    model = language_id.train(named)
+    assert model.langs == ("l1", "l2", "l3")
+    for r in language_id.predict(named, model).collect():
+        text = r["doc"]["text"]
+        if text is None or not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"], r["ambiguous"]) == ("und", 0, True)
+        elif len(text) < 3000:
+            lang, share = decoded(model, text)
+            assert r["lang_pred"] == lang and r["score"] == pytest.approx(share, rel=1e-6) and r["ambiguous"] == (r["score"] < language_id.AMBIGUOUS)
+    best, share = model.decode(np.zeros((1, model.code.shape[1])))
+    assert best[0] == 0 and share[0] == pytest.approx(1 / 3)
+
+
 # --- licences
 
 def test_licences_are_found_and_other_texts_left_alone(make):
