@@ -118,6 +118,23 @@ def test_compaction_keeps_totals_and_batches(spark, tmp_path):
     assert ("a", "x", "t", 3, 14) in state(rollup)
 
 
+def test_rollup_of_repeated_rows_and_other_columns(spark):
+    """Equal rows count each; columns with the rollup's own names are left out; an empty batch commits; forgotten batches stay committed."""
+    rollup = TokenRollup(spark, Scratch(spark, "test-rollup").path("more"))
+    rows = spark.createDataFrame([("web", "en", "v1", 7, "x", 9, 9)] * 3 + [(None, None, None, None, None, None, None)], "source string, lang string, tokenizer string, n_tokens bigint, op string, n_docs int, batch int")
+    assert rollup.commit(5, changes(rows, "insert")) and rollup.commit(6, changes(rows.limit(0), "delete"))
+    want = [("web", "en", "v1", 3, 21), (None, None, None, 1, 0)]
+    totals = lambda: sorted((tuple(r) for r in rollup.totals().collect()), key=str)
+    assert totals() == want
+    rollup.compact()
+    rollup.forget()
+    assert totals() == want and not rollup.commit(5, changes(rows, "insert")) and not rollup.commit(6, changes(rows, "insert"))
+    assert rollup.commit(7, changes(rows.limit(1), "delete")) and totals() == [("web", "en", "v1", 2, 14), want[1]]
+    rollup.compact()
+    rollup.forget()
+    assert totals() == [("web", "en", "v1", 2, 14), want[1]] and rollup.committed(5) and rollup.committed(7) and not rollup.committed(8)
+
+
 # --- audio
 
 def tune(rng, n):
@@ -162,6 +179,16 @@ def test_alignment_finds_what_brute_force_finds(spark):
     assert audio.align(prints.limit(0), F.col("id") < 100).count() == 0
 
 
+def test_alignment_of_motifs_and_long_recordings(spark):
+    """Of shifts that fit equally well the least counts; a recording of 20,000 positions is found by a piece of it."""
+    rng = np.random.default_rng(3)
+    motif, long = rng.integers(0, 2**32, 20), rng.integers(0, 2**32, 20_000)
+    rows = [(1, motif), (2, np.concatenate([motif, motif, motif])), (3, long), (4, long[12_000:12_050])]
+    prints = spark.createDataFrame([(i, [int(v) for v in codes]) for i, codes in rows], "id bigint, codes array<bigint>")
+    found = {(r["id"], r["match"]): (r["shift"], r["bit_errors"]) for r in audio.align(prints, F.col("id").isin(1, 4)).collect()}
+    assert found == {(1, 1): (0, 0), (1, 2): (-40, 0), (4, 3): (-12_000, 0), (4, 4): (0, 0)}
+
+
 def test_recordings_align(spark):
     rng = np.random.default_rng(1)
     song, other = tune(rng, 60), tune(rng, 60)
