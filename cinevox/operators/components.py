@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..sources.scratch import Scratch
 from .skew import spread_join
 
+FEW = 1 << 18
+"""Edges that may meet in one task."""
+
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """``node, component`` for every node of the edges ``a, b``; the component is its least node.
@@ -17,19 +20,22 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
     shuffle of the remaining edges and is written to the shared folder, which
     bounds the lineage.  A node's least neighbour is found by partial sums, and
     the edges of a hub meet it in a join that deals them out, so no neighbourhood
-    is gathered in one place.
+    is gathered in one place; up to ``FEW`` edges are joined as they are.
     """
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, step = scratch.save(both, f"{name}-0"), 0
     sums = _state(now)
     while sums[0]:
+        few = sums[0] <= FEW
+        keep = (lambda rows, _: rows) if few else scratch.save
+        meet = (lambda rows, keyed: rows.join(keyed, "a")) if few else lambda rows, keyed: spread_join(rows, keyed, ["a"], "c", ["b"])
         around = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = around.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")).select("a", F.least("a", "m").alias("m"), "c")
-        least = scratch.save(least, f"{name}-{step}-least")
-        larger = spread_join(around, least, ["a"], "c", ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = keep(least, f"{name}-{step}-least")
+        larger = meet(around, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         star = scratch.save(larger.where("a <> b").distinct(), f"{name}-{step}-star")
-        lesser = scratch.save(star.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")), f"{name}-{step}-lesser")
-        small = spread_join(star, lesser, ["a"], "c", ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).union(lesser.select("a", F.col("m").alias("b")))
+        lesser = keep(star.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")), f"{name}-{step}-lesser")
+        small = meet(star, lesser).select(F.col("b").alias("a"), F.col("m").alias("b")).union(lesser.select("a", F.col("m").alias("b")))
         step += 1
         after = scratch.save(small.where("a <> b").distinct(), f"{name}-{step}")
         scratch.drop(f"{name}-{step - 1}", *(f"{name}-{step - 1}-{part}" for part in ("least", "star", "lesser")))

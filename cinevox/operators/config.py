@@ -25,6 +25,7 @@ LEGACY_KEYS = {
 }
 
 
+# The names of the fields and their defaults are those of the configuration files.
 @dataclass(frozen=True)
 class Config:
     """Half window, frames before and after the centre, typical object, classes (class 0, nothing, has an empty suffix) and training options."""
