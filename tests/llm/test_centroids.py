@@ -50,8 +50,7 @@ def vectors(kind, dims):
     return [*rows, *rows[:7], *[(900 + i, v) for i, v in enumerate(bad)], *([(None, rows[0][1]), (None, rows[1][1])] if rows else [])]
 
 
-@pytest.mark.parametrize("kind", ["groups", "ties", "large", "few", "empty"])
-@pytest.mark.parametrize("k, dims", [(16, 8), (1, 3), (2, 3), (40, 8)])
+@pytest.mark.parametrize("kind, k, dims", [("groups", 16, 8), ("groups", 1, 3), ("ties", 16, 8), ("ties", 40, 8), ("large", 16, 8), ("few", 16, 8), ("few", 2, 3), ("empty", 16, 8)])
 def test_equals_comparing_everything(spark, kind, k, dims):
     """Repeated rows, null ids, other lengths, null and non-finite components, clashing names."""
     rows = vectors(kind, dims)
