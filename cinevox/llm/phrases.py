@@ -1,18 +1,19 @@
 """Collocations: exact counts of frequent phrases found through merged count-min sketches.
 
-The first pass hashes every run of one to four words into ``DEPTH`` rows of
+The first pass hashes every word and every pair of words into ``DEPTH`` rows of
 counters.  A task sums its own counts, Spark merges them, and only one bit for
-each counter is kept: whether it reached the threshold.  A phrase's counters are
-never below its count, so every phrase that is frequent has all its bits set.
-The second pass reads the texts again and counts exactly, by the phrase itself,
-the runs whose bits, and those of all runs inside them, are set.  Rare runs that
-share counters with others are counted too and drop out by their exact count, so
+each counter is kept: whether it reached the threshold.  A run's counters are
+never below its count, so every frequent one has all its bits set.  The second
+pass does the same for longer runs in which all pairs have their bits set: what
+contains a rare run is rare.  The last pass counts exactly, by the phrase itself,
+the runs whose bits, and those of all runs inside, are set.  Rare runs that share
+counters with others are counted too and drop out by their exact count, so
 nothing frequent is lost and nothing else stays.
 
-The sketch has a counter for every ``SHARE`` bytes of text, up to ``WIDEST``
-in a row: its bits are what tasks hold and what is broadcast, at most
-``DEPTH * WIDEST / 8`` bytes (128 MB).  In a larger corpus than that is
-made for, more rare runs reach the second pass; its result stays the same.
+A sketch has a counter for every ``SHARE`` bytes of text, up to ``WIDEST`` in a
+row.  The bits of both are what tasks hold and what is broadcast, ``2 * DEPTH *
+WIDEST / 8`` bytes (256 MB) at most; a corpus of more than ``SHARE * WIDEST``
+bytes (8 GB) has more rare runs reach the last pass, with the same result.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,15 +34,21 @@ from .skew import spread_join
 from .textkit import RangeHash, blocks, joined, mix, utf8
 
 LONGEST = 4
+LEVELS = ((1, 2), (3, 4))
+"""Lengths of runs that share a sketch; the second one knows the first."""
 DEPTH = 2
 SHARE = 16
 NARROWEST, WIDEST = 1 << 16, 1 << 29
-SLICE = 1 << 20
-"""Counters whose bits make one row of a table."""
-HELD = 1 << 21
-"""Entries a task holds before it hands them on."""
-BYTES = 1 << 21
-"""Bytes of text handled at once; a longer text is a block of its own."""
+SLICE = 1 << 16
+"""Counters that are sent together."""
+HELD = 1 << 20
+"""Counters, and phrases, that a task holds before it hands them on."""
+BYTES = 1 << 19
+"""Bytes of text handled at once; longer texts are cut between pieces."""
+TASK = 27
+"""A task counts ``2 ** TASK`` bytes of text, or less where that leaves cores idle: the more it sums up, the less it sends."""
+FAN_IN = 34
+"""Each ``2 ** FAN_IN`` bytes of text are merged by themselves before all are."""
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -102,99 +110,157 @@ class Runs:
         return pa.chunked_array(out).combine_chunks().take(pa.array(back))
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[Runs]:
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Runs]]:
+    """Blocks of a batch, with the input row of each of their rows."""
     data, offsets = utf8(batch.column("text"))
     seeds = batch.column("seed").to_numpy().view(np.uint64)
+    owner = np.arange(len(offsets) - 1)
+    for row in np.flatnonzero(np.diff(offsets) > BYTES)[::-1]:
+        ends = np.flatnonzero(_CUT[data[offsets[row] : offsets[row + 1]]]) + offsets[row] + 1
+        ends = np.unique(ends[np.searchsorted(ends, np.arange(offsets[row] + BYTES, offsets[row + 1], BYTES), "right") - 1]) if len(ends) else ends
+        ends = ends[(ends > offsets[row]) & (ends < offsets[row + 1])]
+        offsets, owner = np.insert(offsets, row + 1, ends), np.insert(owner, row + 1, np.full(len(ends), row))
     for a, b in blocks(offsets, BYTES):
-        yield a, b, Runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], seeds[a:b])
+        yield owner[a:b], Runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], seeds[owner[a:b]])
 
 
-def _columns(value: np.ndarray, bits: int) -> list[np.ndarray]:
+def _columns(value: np.ndarray, width: int) -> list[np.ndarray]:
     """The counter of each hash in each row of the sketch, numbered through all rows."""
-    return [(mix(value * _U(_ROWS[row])) >> _U(64 - bits)).astype(np.int64) + (row << bits) for row in range(DEPTH)]
+    spread = lambda row: (mix(value * _U(_ROWS[row])) >> _U(32)) * _U(width) >> _U(32)
+    return [spread(row).astype(np.uint32) + np.uint32(row * width) for row in range(DEPTH)]
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, count = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-    return key[first], np.add.reduceat(count[order], first) if len(first) else count
+class Marks:
+    """The bits of a sketch's counters."""
 
+    def __init__(self, packed: np.ndarray, width: int):
+        self.packed, self.width = packed, width
 
-def _sketch(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Counters of this task's runs, summed before they are handed on."""
+    def all_set(self, value: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(value), bool)
+        for column in _columns(value, self.width):
+            ok &= (self.packed[column >> 3] >> (7 - (column & 7)).astype(np.uint8)) & 1 == 1
+        return ok
+
+
+def _alive(runs: Runs, known: list[Marks]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length: places and hashes of the runs whose bits are set, as far as they are known, and those of all runs inside."""
+    inner = np.ones(len(runs.word) + 1, bool)
+    for n, (at, value) in enumerate(runs.hashes(), 1):
+        fit = np.flatnonzero(inner[at] & inner[at + 1]) if n > 1 else np.arange(len(at))
+        for lengths, marks in zip(LEVELS, known):
+            if n in lengths:
+                fit = fit[marks.all_set(value[fit])]
+        at, value = at[fit], value[fit]
+        inner = np.zeros(len(runs.word) + 1, bool)
+        inner[at] = True
+        yield at, value
+
+
+def _count_type(least: int) -> np.dtype:
+    """Of counts that stop at ``least``: where a part reaches it the sum does, and below it all are exact."""
+    return np.dtype(np.uint8 if least < 256 else np.uint64)
+
+
+def _packed(key: np.ndarray, count: np.ndarray, least: int, part: int) -> pa.RecordBatch:
+    """Rows ``slice, part, n, counters`` of sorted counters: the steps from place to place in their slice and the counts, compressed."""
+    number = key // SLICE
+    first = np.flatnonzero(np.append(True, number[1:] != number[:-1])[: len(key)])
+    ends = np.append(first[1:], len(key))
+    steps = np.diff(key % SLICE, prepend=0).astype(np.uint16)
+    steps[first] = key[first] % SLICE
+    counts = np.minimum(count, least).astype(_count_type(least))
+    blobs = [pa.compress(steps[a:b].tobytes() + counts[a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(first, ends, strict=True)]
+    columns = [number[first].astype(np.int32), np.full(len(first), part, np.int32), (ends - first).astype(np.int32)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(blobs, pa.binary())], names=["slice", "part", "n", "counters"])
+
+
+def _unpacked(n: int, counters: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
+    kind = _count_type(least)
+    data = pa.decompress(counters, n * (2 + kind.itemsize), "zstd")
+    return np.cumsum(np.frombuffer(data, np.uint16, n), dtype=np.int64), np.frombuffer(data, kind, n, 2 * n)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], width: int, least: int, known: list) -> Iterator[pa.RecordBatch]:
+    """Counters of this task's runs of the next level, summed before they are handed on."""
+    part, lengths = TaskContext.get().partitionId(), LEVELS[len(known)]
+    marks = [Marks(bits.value, width) for bits in known]
     keys, counts, held = [], [], 0
-    rows = lambda key, n: pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["counter", "n"])
     for batch in batches:
-        for _, _, runs in _blocks(batch):
-            for _, value in runs.hashes():
-                for column in _columns(value, bits):
-                    key, n = np.unique(column, return_counts=True)
-                    keys.append(key)
-                    counts.append(n)
-                    held += len(key)
+        for _, runs in _blocks(batch):
+            for n, (_, value) in enumerate(_alive(runs, marks), 1):
+                if n in lengths:
+                    value, count = np.unique(value, return_counts=True)
+                    for column in _columns(value, width):
+                        keys.append(column)
+                        counts.append(count)
+                        held += len(column)
+                if n == lengths[-1]:
+                    break
             if held > HELD:
-                key, n = _summed(keys, counts)
-                keys, counts, held = [key], [n], len(key)
+                key, count = _summed(keys, counts)
+                keys, counts, held = [key], [count], len(key)
                 if held > HELD // 2:
-                    yield rows(key, n)
+                    yield _packed(key, count, least, part)
                     keys, counts, held = [], [], 0
-    if keys:
-        yield rows(*_summed(keys, counts))
-
-
-def _bits(key: tuple, table: pa.Table) -> pa.Table:
-    marks = np.zeros(SLICE, bool)
-    marks[table.column("counter").to_numpy() % SLICE] = True
-    return pa.table({"slice": [key[0].as_py()], "marks": pa.array([np.packbits(marks).tobytes()], pa.binary())})
+    if held:
+        yield _packed(*_summed(keys, counts), least, part)
 
 
-class _Marks:
-    """The bits of all counters, from a broadcast of bytes."""
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    return key[first], np.add.reduceat(count[order], first) if len(first) else count
 
-    def __init__(self, packed: np.ndarray, bits: int):
-        self.packed, self.bits = packed, bits
 
-    def all_set(self, value: np.ndarray) -> np.ndarray:
-        ok = np.ones(len(value), bool)
-        for column in _columns(value, self.bits):
-            ok &= (self.packed[column >> 3] >> (7 - (column & 7)).astype(np.uint8)) & 1 == 1
-        return ok
+def _merge(batches: Iterator[pa.RecordBatch], least: int, marks: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by slice and part, summed: each slice's sums again as such rows, or the bits of those that reached ``least``."""
+    now, sums = None, np.zeros(SLICE, np.uint64)
 
+    def row() -> pa.RecordBatch:
+        if marks:
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([np.packbits(sums >= least).tobytes()], pa.binary())], names=["slice", "marks"])
+        key = np.flatnonzero(sums)
+        return _packed(key + now[0] * SLICE, sums[key], least, now[1])
 
-def _survivors(batches: Iterator[pa.RecordBatch], bits: int, packed) -> Iterator[pa.RecordBatch]:
-    """``lang, size, phrase, f`` of runs whose counters all reached the threshold, summed over the task as far as it holds them."""
-    marks = _Marks(packed.value, bits)
+    for batch in batches:
+        for number, part, n, counters in zip(*(batch.column(c).to_pylist() for c in ("slice", "part", "n", "counters")), strict=True):
+            if now != (number, part):
+                if now is not None:
+                    yield row()
+                now, sums[:] = (number, part), 0
+            places, counts = _unpacked(n, counters, least)
+            sums[places] += counts  # places are distinct
+    if now is not None:
+        yield row()
+
+
+def _survivors(batches: Iterator[pa.RecordBatch], width: int, known: list) -> Iterator[pa.RecordBatch]:
+    """``lang, size, phrase, f`` of runs that may be frequent, summed over the task as far as it holds them; words of all kinds have size 0."""
+    marks = [Marks(bits.value, width) for bits in known]
     held: list[tuple] = []
     size = 0
     for batch in batches:
         langs = batch.column("lang")
-        for a, _, runs in _blocks(batch):
-            inner = np.ones(len(runs.word) + LONGEST, bool)
-            values, places, sizes = [], [], []
-            for n, (at, value) in enumerate(runs.hashes(), 1):
-                if n > 1:  # a frequent run has frequent runs inside
-                    fit = inner[at] & inner[at + 1]
-                    at, value = at[fit], value[fit]
-                ok = marks.all_set(value)
-                at, value = at[ok], value[ok]
-                inner = np.zeros(len(runs.word) + LONGEST, bool)
-                inner[at] = True
-                values.append(value)
-                places.append(at)
-                sizes.append(np.full(len(at), n))
-            value, at, n = np.concatenate(values), np.concatenate(places), np.concatenate(sizes)
+        words = np.zeros(len(batch), np.int64)
+        for owner, runs in _blocks(batch):
+            np.add.at(words, owner[runs.row], 1)
+            alive = list(_alive(runs, marks))
+            at, value = (np.concatenate([a[i] for a in alive]) for i in (0, 1))
+            n = np.repeat(np.arange(1, LONGEST + 1), [len(a[0]) for a in alive])
             value, first, count = np.unique(value, return_index=True, return_counts=True)
             at, n = at[first], n[first]
-            held.append((value, count, n, langs.take(pa.array(a + runs.row[at])), runs.phrases(at, n)))
+            held.append((value, count, n, langs.take(pa.array(owner[runs.row[at]])), runs.phrases(at, n)))
             size += len(value)
-            if size > HELD // 4:
+            if size > HELD:
                 held = [_merged(held)]
                 size = len(held[0][0])
-                if size > HELD // 8:
+                if size > HELD * 3 // 4:
                     yield _survivor_rows(held[0])
                     held, size = [], 0
+        yield pa.RecordBatch.from_arrays([langs, pa.array(np.zeros(len(batch), np.int32)), pa.array([""] * len(batch), pa.string()), pa.array(words)], names=["lang", "size", "phrase", "f"])
     if held:
         yield _survivor_rows(_merged(held))
 
@@ -213,35 +279,33 @@ def _survivor_rows(entry: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([lang, pa.array(n.astype(np.int32)), phrase.cast(pa.large_string()).cast(pa.string()), pa.array(count)], names=["lang", "size", "phrase", "f"])
 
 
+def _marks(source: DataFrame, size: int, width: int, least: int, known: list) -> np.ndarray:
+    """The bits of the next level's sketch, ``DEPTH * WIDEST / 8`` bytes at most."""
+    counters = in_arrow(source.select("seed", "text"), partial(_sketch, width=width, least=least, known=list(known)), "slice int, part int, n int, counters binary")
+    merged = lambda rows, kind, marks: in_arrow(rows.repartition("slice", "part").sortWithinPartitions("slice", "part"), partial(_merge, least=least, marks=marks), kind)
+    groups = size >> FAN_IN
+    if groups:
+        counters = merged(counters.withColumn("part", F.pmod("part", F.lit(groups + 1)).cast("int")), counters.schema, False)
+    packed = np.zeros(-(-DEPTH * width // SLICE) * (SLICE // 8), np.uint8)
+    for row in merged(counters.withColumn("part", F.lit(0)), "slice int, marks binary", True).toLocalIterator():
+        packed[row["slice"] * (SLICE // 8) :][: SLICE // 8] = np.frombuffer(row["marks"], np.uint8)
+    return packed
+
+
 def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30) -> DataFrame:
-    """``lang, size, phrase, f`` of all runs of one to four words that occur ``least`` times or more in a language."""
+    """``lang, size, phrase, f`` of all runs of one to four words that occur ``least`` times or more in a language, and one row of ``size`` 0 for all words of each."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "phrases")
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und"))
     source = docs.select(lang.alias("lang"), F.xxhash64(lang).alias("seed"), F.col(f"`{text_col}`").alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = (min(WIDEST, max(NARROWEST, size // SHARE)) - 1).bit_length()
-    counters = in_arrow(source.select("seed", "text"), partial(_sketch, bits=bits), "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    marks = counters.select(F.floor(F.col("counter") / SLICE).alias("slice"), "counter").groupBy("slice").applyInArrow(_bits, "slice bigint, marks binary")
-    packed = np.zeros(max(DEPTH << bits, SLICE) // 8, np.uint8)  # WIDEST bounds it
-    for row in marks.toLocalIterator():
-        own = np.frombuffer(row["marks"], np.uint8)
-        part = packed[row["slice"] * (SLICE // 8) :][: len(own)]
-        part[:] = own[: len(part)]
-    shared = spark.sparkContext.broadcast(packed)
-    counted = in_arrow(source, partial(_survivors, bits=bits, packed=shared), "lang string, size int, phrase string, f bigint")
-    return scratch.save(counted.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "frequent")
-
-
-def _word_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = utf8(batch.column("text"))
-        inside = ~_BETWEEN[data]
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
-        begins[offsets[:-1][offsets[:-1] < len(data)]] = inside[offsets[:-1][offsets[:-1] < len(data)]]
-        sums = np.append(0, np.cumsum(begins))
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(np.diff(sums[offsets]))], names=["lang", "n"])
+    width = min(WIDEST, max(NARROWEST, size // SHARE))
+    source = source.coalesce(max(spark.sparkContext.defaultParallelism, size >> TASK))
+    known = []
+    for _ in LEVELS:
+        known.append(spark.sparkContext.broadcast(_marks(source, size, width, least, known)))
+    counted = in_arrow(source, partial(_survivors, width=width, known=known), "lang string, size int, phrase string, f bigint")
+    return scratch.save(counted.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("size") == 0)), "frequent")
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, top: int = 2000, contained: int = 80) -> DataFrame:
@@ -258,9 +322,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
     scratch = Scratch(docs.sparkSession, "collocations")
     known = frequent(docs, text_col, lang_col, least)
-    lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und"))
-    texts = docs.select(lang.alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    totals = in_arrow(texts, _word_totals, "lang string, n bigint").groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = known.where("size = 0").select("lang", F.col("f").alias("n"))
 
     words = F.split("phrase", " ")
     run = lambda first, size: F.array_join(F.slice("words", first, size), " ")
@@ -271,7 +333,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     cuts = open_.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
     cuts = cuts.select("lang", "phrase", "a", "k", run(F.lit(1), F.col("k")).alias("left"), run(F.col("k") + 1, F.col("size") - F.col("k")).alias("right"))
     cuts = scratch.save(cuts, "cuts")
-    parts = known.where(f"size < {LONGEST}").select("lang", "phrase", "f")
+    parts = known.where(f"size between 1 and {LONGEST - 1}").select("lang", "phrase", "f")
     for side, name in (("left", "l"), ("right", "r")):
         degree = scratch.save(cuts.groupBy("lang", side).agg(F.count("*").alias("c")), f"degree-{side}")
         cuts = spread_join(cuts, parts.select("lang", F.col("phrase").alias(side), F.col("f").alias(name)), ["lang", side], "c", ["phrase", "k"], counts=degree)
