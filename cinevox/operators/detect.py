@@ -150,10 +150,11 @@ def sliding(cube: np.ndarray, size: tuple[int, ...], pick: np.ufunc) -> np.ndarr
     return cube
 
 
-def normalise(windows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Windows scaled to 0..255 by their ranges and truncated; flat windows become 0."""
-    low = low.reshape(-1, 1, 1, 1)
-    spread = high.reshape(-1, 1, 1, 1) - low
+def normalise(windows: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+    """Windows scaled to 0..255 by their ranges, if these are not given their own, and truncated; flat windows become 0."""
+    axes = (1, 2, 3)
+    low = (windows.min(axes) if low is None else low).reshape(-1, 1, 1, 1)
+    spread = (windows.max(axes) if high is None else high).reshape(-1, 1, 1, 1) - low
     return np.floor((windows - low) / np.where(spread > 0, spread, 1) * 255).astype(np.uint8)
 
 

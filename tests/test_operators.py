@@ -125,20 +125,22 @@ def test_division_of_sums(spark):
     assert len(got) == 16 and got.pop((2, 0, 0)) == 127 and not any(got.values())
 
 
-def test_image_kernels():
+def test_image_kernels(spark):
     rng = np.random.default_rng(5)
     mask = rng.random((4, 7, 6)) < 0.7
     places = np.argwhere(~mask)
-    far = regions.distance_transform(mask)
-    for p in np.argwhere(mask):
-        assert far[tuple(p)] == pytest.approx(np.sqrt(((places - p) ** 2).sum(1).min()))
-    block = np.zeros((12, 24, 24), np.uint8)
+    voxels = spark.createDataFrame([(1, *map(int, p), int(mask[tuple(p)])) for p in np.ndindex(mask.shape)], "movie_id int, t int, y int, x int, b int")
+    far = {(r["t"], r["y"], r["x"]): r["d2"] for r in regions.edt(voxels, ["movie_id"]).collect()}
+    assert far == {tuple(map(int, p)): ((places - p) ** 2).sum(1).min() for p in np.argwhere(mask)}
+    labelled = {(r["t"], r["y"], r["x"]) for r in regions.label(voxels.where("b = 1"), ["movie_id"]).collect()}
+    assert labelled == far.keys()
+    block = np.zeros((12, 24, 24), int)
     block[3:8, 3:10, 3:10] = 200
     block[3:8, 14:21, 14:21] = 220
-    found = regions.segment(block, 3, 5)
-    assert found.max() == 2 and not found[block == 0].any()
-    assert len({found[5, 6, 6], found[5, 17, 17]} - {0}) == 2
-    assert (regions.number(mask) > 0).tolist() == mask.tolist()
+    maps = spark.createDataFrame([(1, 1, *map(int, p), int(block[p])) for p in np.ndindex(block.shape)], "movie_id int, cat int, t int, y int, x int, p8 int")
+    found = {(r["t"], r["y"], r["x"]): r["label"] for r in regions.watershed_regions(maps, 3, 5).collect()}
+    assert set(found.values()) == {1, 2} and all(block[p] for p in found)
+    assert found[5, 6, 6] != found[5, 17, 17]
 
 
 def test_resampling_and_frame_picks(spark):
