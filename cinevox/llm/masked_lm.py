@@ -46,6 +46,8 @@ LEAST = 200_000
 BATCH = 1 << 14
 SCORED = 1 << 15
 """Windows of a step of the descent, and windows scored at once."""
+PLACES = 18
+"""First bits of a word's hash by which common words are found."""
 TASKS = 4096
 """Partitions of a round at most; each descends over its groups one after another and sends their sum."""
 RATE = 0.15
@@ -54,16 +56,18 @@ _U = np.uint64
 
 
 def _odds(logits: np.ndarray) -> np.ndarray:
-    """Probabilities of each row, whatever the size of its numbers."""
-    odds = np.exp(logits - logits.max(1, keepdims=True))
-    odds /= odds.sum(1, keepdims=True)
-    return odds
+    """Probabilities of each row, whatever the size of its numbers, in their place."""
+    logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(1, keepdims=True)
+    return logits
 
 
 def _log_share(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Log-probability of one place of each row."""
-    logits = logits - logits.max(1, keepdims=True)
-    return logits[np.arange(len(own)), own] - np.log(np.exp(logits).sum(1))
+    """Log-probability of one place of each row; the numbers are used up."""
+    logits -= logits.max(1, keepdims=True)
+    chosen = logits[np.arange(len(own)), own]
+    return chosen - np.log(np.exp(logits, out=logits).sum(1))
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,12 +94,27 @@ class Model:
         """Token of every word, and the rows' ranges."""
         w = words(data, offsets, lower=True)
         token = COMMON + (w.hash % _U(MEMBERS)).astype(np.int64)
-        if len(self.common):
-            at = np.minimum(np.searchsorted(self.common, w.hash), len(self.common) - 1)
-            hit = self.common[at] == w.hash
-            token[hit] = self.token[at[hit]]
+        at = self._places()[w.hash >> _U(64 - PLACES)]
+        several = np.flatnonzero(at == len(self.common) + 1)
+        at[several] = np.searchsorted(self.common, w.hash[several])
+        at = np.minimum(at, len(self.common))
+        hit = np.flatnonzero(at < len(self.common))
+        hit = hit[self.common[at[hit]] == w.hash[hit]]
+        token[hit] = self.token[at[hit]]
         return token, w.first
 
+    def _places(self) -> np.ndarray:
+        """By the first bits of a hash: the common word that has them, if there is one, and where to look if there are several."""
+        if "places" not in self.__dict__:
+            n = len(self.common)
+            first = (self.common >> _U(64 - PLACES)).astype(np.int64)
+            count = np.bincount(first, minlength=1 << PLACES)
+            places = np.full(1 << PLACES, n, np.int32)
+            places[first] = np.arange(n)
+            places[count > 1] = n + 1
+            self.__dict__["places"] = places
+        return self.__dict__["places"]
+
     @staticmethod
     def contexts(token: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Tokens around every token; ``PAD`` beyond the ends of its row."""
@@ -108,11 +127,14 @@ class Model:
         return out
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.place[k][context[k]] for k in range(len(AROUND))))
+        total = self.place[0][context[0]]
+        for k in range(1, len(AROUND)):
+            total += self.place[k][context[k]]
+        return np.tanh(total, out=total)
 
     def by_class(self, token: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
         """Positions of the tokens of each class that occurs."""
-        kind = token // MEMBERS
+        kind = (token // MEMBERS).astype(np.uint16)  # numbers this small are sorted by counting
         by = np.argsort(kind, kind="stable")
         cut = np.searchsorted(kind[by], np.arange(CLASSES + 1))
         for c in range(CLASSES):
@@ -172,9 +194,11 @@ class _Descent:
             m.out[inside] -= slope * self._rate(self.pace[2], inside, slope)[:, None]
             m.bias[inside] -= odds.sum(0) * np.float32(RATE / n)
         back *= 1 - hidden**2
-        every = (context + np.arange(len(AROUND))[:, None] * (SIZE + 1)).ravel()
+        every = (context + np.arange(len(AROUND))[:, None] * (SIZE + 1)).ravel().astype(np.uint16)
         by = np.argsort(every, kind="stable")
-        row, first = np.unique(every[by], return_index=True)
+        every = every[by]
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        row = every[first]
         slope = np.add.reduceat(back[by % n], first)
         m.place.reshape(-1, WIDTH)[row] -= slope * self._rate(self.pace[0], row, slope)[:, None]
         for weights, bound in ((m.top, 8), (m.top_bias, 20), (m.out, 8), (m.bias, 20), (m.place, 8)):
