@@ -28,8 +28,10 @@ CHUNK = 4096
 """Proposals of a group that one row stands for until they are spread over the tasks."""
 BLOCK = {"t": 4, "y": 16, "x": 16}
 """Sizes of the blocks of places in which free ones are counted."""
-DRAWS = 1 << 17
-"""Draws of a movie that meet its blocks at once."""
+TOGETHER = 64
+"""Blocks whose places are marked at once."""
+DRAWS = 1 << 14
+"""Draws of a range of free places that meet its blocks at once."""
 
 
 def window_fits(config: Config, t: str = "t", y: str = "y", x: str = "x") -> Column:
@@ -156,7 +158,8 @@ def free_blocks(points: DataFrame, movies: DataFrame, config: Config) -> DataFra
         boxes = boxes.withColumn(f"_b{c}", F.explode(F.sequence(block("a"), block("b"))))
     boxes = boxes.select("movie_id", number.alias("block"), *[(F.col(f"_b{c}") * size + low[c]).cast("int").alias(c) for c, size in BLOCK.items()], *[F.col(n) for c in BLOCK for n in (f"high_{c}", f"a_{c}", f"b_{c}")])
     kind = points.schema["movie_id"].dataType.simpleString()
-    marked = boxes.groupBy("movie_id", "block").applyInArrow(lambda table: _marked(table), f"movie_id {kind}, block bigint, free int, bits binary")
+    near = boxes.withColumn("_group", F.floor(F.col("block") / TOGETHER))
+    marked = near.groupBy("movie_id", "_group").applyInArrow(lambda table: _marked(table), f"movie_id {kind}, block bigint, free int, bits binary")
 
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = sized.where("n_t > 0 and n_y > 0 and n_x > 0").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_t") * F.col("n_y") * F.col("n_x") - 1) / CHUNK))).alias("_chunk")).repartition(tasks, "movie_id", "_chunk")
@@ -169,18 +172,21 @@ def free_blocks(points: DataFrame, movies: DataFrame, config: Config) -> DataFra
 
 
 def _marked(table: pa.Table) -> pa.Table:
-    """The free places of one block: boxes of taken places are marked at their corners and summed up along each axis."""
-    first = [table.column(c)[0].as_py() for c in BLOCK]
-    size = [min(BLOCK[c], table.column(f"high_{c}")[0].as_py() - a + 1) for c, a in zip(BLOCK, first, strict=True)]
-    ends = []
-    for c, a, n in zip(BLOCK, first, size, strict=True):
-        ends.append((np.maximum(table.column(f"a_{c}").to_numpy() - a, 0), np.minimum(table.column(f"b_{c}").to_numpy() - a, n - 1) + 1))
-    marks = np.zeros([n + 1 for n in size], np.int32)
+    """The free places of blocks: boxes of taken places are marked at their corners and summed up along each axis."""
+    own, at, row = np.unique(table.column("block").to_numpy(), return_index=True, return_inverse=True)
+    marks = np.zeros([len(own), *(n + 1 for n in BLOCK.values())], np.int32)
+    ends, sizes = [], []
+    for c, n in BLOCK.items():
+        first, high, a, b = (table.column(name).to_numpy() for name in (c, f"high_{c}", f"a_{c}", f"b_{c}"))
+        size = np.minimum(n, high - first + 1)
+        ends.append((np.maximum(a - first, 0), np.minimum(b - first, size - 1) + 1))
+        sizes.append(size[at])
     for corner in np.ndindex(2, 2, 2):
-        np.add.at(marks, tuple(ends[i][side] for i, side in enumerate(corner)), (-1) ** sum(corner))
-    free = marks.cumsum(0).cumsum(1).cumsum(2)[:-1, :-1, :-1] == 0
-    bits = np.packbits(free).tobytes()
-    return pa.table({"movie_id": table.column("movie_id").slice(0, 1), "block": table.column("block").slice(0, 1), "free": pa.array([int(free.sum())], pa.int32()), "bits": pa.array([bits], pa.binary())})
+        np.add.at(marks, (row, *(ends[i][side] for i, side in enumerate(corner))), (-1) ** sum(corner))
+    free = marks.cumsum(1).cumsum(2).cumsum(3) == 0
+    found = [free[i, :nt, :ny, :nx] for i, (nt, ny, nx) in enumerate(zip(*sizes, strict=True))]
+    bits = [np.packbits(f).tobytes() for f in found]
+    return pa.table({"movie_id": table.column("movie_id").take(pa.array(at)), "block": pa.array(own), "free": pa.array([int(f.sum()) for f in found], pa.int32()), "bits": pa.array(bits, pa.binary())})
 
 
 def _nth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,12 +205,13 @@ def sample_nothing(points: DataFrame, movies: DataFrame, config: Config, naug: i
     Free places are counted by block and numbered by running sums over blocks; a
     draw is the number of a free place, each as likely as any other, so nothing is
     proposed in vain and a quota is full wherever a movie has one free place.  A
-    draw meets its block by ranges of numbers as wide as a block; of very many
-    draws of a movie, each ``DRAWS`` meet the blocks by themselves.
+    draw meets its block by ranges of numbers as wide as a block; of a range with
+    very many draws, about ``DRAWS`` meet the blocks by themselves.  Neither side
+    of that join may be broadcast: both are as long as the quotas.
     """
     scratch = Scratch(points.sparkSession, "nothing")
     most = points.groupBy("movie_id", "cat").agg(F.count("*").alias("c")).groupBy("movie_id").agg(F.max("c").alias("nmax"))
-    wanted = movies.join(most, "movie_id").withColumn("quota", F.ceil(F.col("nmax") * NOTHING_FACTOR * naug).cast("bigint"))
+    wanted = scratch.save(movies.join(most, "movie_id").withColumn("quota", F.ceil(F.col("nmax") * NOTHING_FACTOR * naug).cast("bigint")), "wanted")
     blocks = scratch.save(free_blocks(points, wanted, config), "blocks")
     sums = blocks.groupBy("movie_id", F.floor(F.col("block") / CHUNK).alias("slot")).agg(F.sum("n").alias("own"))
     earlier = Window.partitionBy("movie_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -213,17 +220,17 @@ def sample_nothing(points: DataFrame, movies: DataFrame, config: Config, naug: i
     placed = blocks.withColumn("slot", F.floor(F.col("block") / CHUNK)).join(starts.drop("free"), ["movie_id", "slot"])
     placed = placed.withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).drop("slot", "before")
     width = BLOCK["t"] * BLOCK["y"] * BLOCK["x"]
-    turns = wanted.select("movie_id", F.ceil(F.col("quota") / DRAWS).cast("int").alias("turns"))
-    ranged = placed.join(turns, "movie_id").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).withColumn("range", F.explode(F.expr(f"sequence(start div {width}, (start + n - 1) div {width})")))
-
     open_ = wanted.join(starts.groupBy("movie_id").agg(F.max("free").alias("free")), "movie_id").where("quota > 0")
+    open_ = scratch.save(open_.withColumn("turns", F.ceil(F.col("quota") / (F.floor(F.col("free") / width) + 1) / DRAWS).cast("int")), "open")
+    ranged = placed.join(open_.select("movie_id", "turns"), "movie_id").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).withColumn("range", F.explode(F.expr(f"sequence(start div {width}, (start + n - 1) div {width})")))
+
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = open_.select("movie_id", "quota", "free", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("quota") - 1) / CHUNK))).alias("chunk")).repartition(tasks, "movie_id", "chunk")
-    draws = chunks.select("movie_id", "free", F.explode(F.sequence(F.col("chunk") * CHUNK + 1, F.least(F.col("quota"), (F.col("chunk") + 1) * CHUNK))).alias("k"))
+    chunks = open_.select("movie_id", "quota", "free", "turns", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("quota") - 1) / CHUNK))).alias("chunk")).repartition(tasks, "movie_id", "chunk")
+    draws = chunks.select("movie_id", "free", "turns", F.explode(F.sequence(F.col("chunk") * CHUNK + 1, F.least(F.col("quota"), (F.col("chunk") + 1) * CHUNK))).alias("k"))
     chance = lambda what: uniform(seed, rep, what, F.col("movie_id"), F.col("k"))
     share = chance("nothing") + chance("finer") / 4294967296.0
-    drawn = draws.withColumn("number", F.least(F.floor(share * F.col("free")), F.col("free") - 1)).withColumn("range", F.expr(f"number div {width}")).withColumn("turn", F.floor((F.col("k") - 1) / DRAWS).cast("int"))
-    met = drawn.join(ranged, ["movie_id", "turn", "range"]).where("number between start and start + n - 1").select("movie_id", "k", (F.col("number") - F.col("start")).alias("nth"), *BLOCK, *[f"d{c}" for c in BLOCK], "bits")
+    drawn = draws.withColumn("number", F.least(F.floor(share * F.col("free")), F.col("free") - 1)).withColumn("range", F.expr(f"number div {width}")).withColumn("turn", (F.col("k") % F.col("turns")).cast("int"))
+    met = drawn.hint("merge").join(ranged, ["movie_id", "turn", "range"]).where("number between start and start + n - 1").select("movie_id", "k", (F.col("number") - F.col("start")).alias("nth"), *BLOCK, *[f"d{c}" for c in BLOCK], "bits")
     kind = points.schema["movie_id"].dataType.simpleString()
     kept = met.mapInArrow(_nth, f"movie_id {kind}, k bigint, t int, y int, x int")
     return kept.select(

@@ -71,3 +71,13 @@ def test_rare_fitting_points_fill_the_quota_of_copies(spark):
     assert sampling.sample_points(rois, movie, SMALL).where("noisy").count() == 100
     none = sampling.sample_points(rois.where("y = 0").limit(3), movie, SMALL)
     assert none.count() == 0
+
+
+def test_draws_of_nothing_are_never_broadcast(spark):
+    """The draws start from one row for each movie, so their size is underrated; they and the ranges they meet are as long as the quotas."""
+    rois = spark.createDataFrame([(1, 1, i, i % 30, i % 10, 30) for i in range(2000)], ROI)
+    movie = spark.createDataFrame([(1, 30, 600, 60)], "movie_id int, n_frames int, h int, w int")
+    got = sampling.sample_nothing(rois, movie, SMALL)
+    assert len(got.collect()) == 2400
+    joins = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "range#" in line]
+    assert joins and not any("Broadcast" in line for line in joins)
