@@ -158,10 +158,15 @@ def sample_windows(samples: DataFrame, frames: DataFrame, config: Config, top: f
     cubes = lists.select("_key", F.flatten(F.transform("parts", lambda p: p["part"])).cast("array<double>").alias("v"))
 
     def scaled(values, largest: float, cut: bool):
+        """The bounds are fields of a row of its own, or they would be sought anew for each value."""
         low, high = F.array_min(values), F.array_max(values)
-        spread = F.when(high > low, high - low).otherwise(1.0)
-        each = lambda v: (v - low) / spread * largest
-        return F.transform(values, (lambda v: F.floor(each(v)).cast("double")) if cut else each)
+        bounds = F.struct(values.alias("values"), low.alias("low"), F.when(high > low, high - low).otherwise(1.0).alias("spread"))
+
+        def one(b):
+            each = lambda v: (v - b["low"]) / b["spread"] * largest
+            return F.transform(b["values"], (lambda v: F.floor(each(v)).cast("double")) if cut else each)
+
+        return F.transform(F.array(bounds), one)[0]
 
     whole = cubes.withColumn("v", scaled(F.col("v"), 255.0, True))
     return whole.select("_key.*", scaled(F.col("v"), top, False).alias("cube"))
