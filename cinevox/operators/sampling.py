@@ -22,7 +22,7 @@ from .config import Config
 NOTHING_FACTOR = 1.2
 POINT_TRIES, NEGATIVE_TRIES = 2000, 1000
 """Proposals for each wanted sample at most; the quota is filled from those that fit, in order."""
-ROUNDS = (4, 40, 120, 400, 1200)
+ROUNDS = (2, 8, 40, 120, 400, 1200)
 """Proposals for each wanted sample after each round; only groups below their quota go on, up to the limit."""
 CHUNK = 4096
 """Proposals of a group that one row stands for until they are spread over the tasks."""
@@ -85,24 +85,30 @@ def _filled(wanted: DataFrame, keys: Sequence[str], limit: int, fitting: Callabl
     """The first ``quota`` of each group's proposals ``k`` = 1, 2, ... that ``fitting`` keeps, among ``quota * limit``.
 
     ``wanted`` has the ``keys`` of a group and its ``quota``.  Proposals are made
-    in rounds, each kept in the shared folder, for the groups still below it.
+    in rounds, for the groups still below it; those that fit are kept in the
+    shared folder.  They are counted by ``CHUNK`` of ``k``, and only the chunk in
+    which a group reaches its quota is numbered, to find the last ``k`` that it keeps.
     """
     scratch = Scratch(wanted.sparkSession, "sampling")
     tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given by number, or the few chunks are put into one task
     short = scratch.save(wanted.withColumn("have", F.lit(0).cast("bigint")), "short-0")
+    slot = F.floor((F.col("k") - 1) / CHUNK).alias("_slot")
     out, low = None, 0
     for i, high in enumerate([*(r for r in ROUNDS if r < limit), limit]):
         first, last = F.col("quota") * low, F.col("quota") * high
         chunks = short.where(last > first).select("*", F.explode(F.sequence(F.floor(first / CHUNK), F.floor((last - 1) / CHUNK))).alias("chunk")).repartition(tasks, *keys, "chunk")
-        tries = chunks.select("*", F.explode(F.sequence(F.col("chunk") * CHUNK + 1, (F.col("chunk") + 1) * CHUNK)).alias("k")).where((F.col("k") > first) & (F.col("k") <= last)).drop("chunk")
+        tries = chunks.select("*", F.explode(F.sequence(F.col("chunk") * CHUNK + 1, (F.col("chunk") + 1) * CHUNK)).alias("k")).where((F.col("k") > first) & (F.col("k") <= last)).drop("chunk", "quota", "have")
         fit = scratch.save(fitting(tries), f"fit-{i}")
-        turned = numbered(fit, keys, F.floor((F.col("k") - 1) / CHUNK), ["k"], "turn").withColumn("turn", F.col("have") + F.col("turn"))
-        kept = scratch.save(turned.where("turn <= quota").drop("have", "turn"), f"kept-{i}")
+        upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_slot"))
+        slots = scratch.save(fit.groupBy(*keys, slot).agg(F.count("*").alias("_n")).withColumn("_upto", upto), f"slots-{i}")
+        turned = slots.join(short.select(*keys, (F.col("quota") - F.col("have")).alias("_open")), list(keys)).where("_upto >= _open and _upto - _n < _open")
+        inside = fit.select(*keys, "k", slot).join(turned, [*keys, "_slot"]).withColumn("_turn", F.col("_upto") - F.col("_n") + F.row_number().over(Window.partitionBy(*keys).orderBy("k")))
+        ends = scratch.save(inside.where("_turn = _open").select(*keys, F.col("k").alias("_last")), f"ends-{i}")
+        kept = fit.join(ends, list(keys), "left").where("_last is null or k <= _last").drop("_last")
         out = kept if out is None else out.unionByName(kept)
-        made = kept.groupBy(*keys).agg(F.count("*").alias("made"))
+        made = slots.groupBy(*keys).agg(F.sum("_n").alias("made"))
         left = short.join(made, list(keys), "left").withColumn("have", F.col("have") + F.coalesce("made", F.lit(0))).drop("made").where("have < quota")
         short, low = scratch.save(left, f"short-{i + 1}"), high
-        scratch.drop(f"fit-{i}")
         if high == limit or short.isEmpty():
             return out
 
@@ -113,16 +119,18 @@ def sample_points(points: DataFrame, movies: DataFrame, config: Config, naug: in
     Points ``movie_id, cat, roi_idx, t, y, x``.  Copies are jittered windows of
     points chosen by hash; windows beyond the movie are skipped.
     """
+    scratch = Scratch(points.sparkSession, "points")
+    movies = scratch.save(movies, "movies")
     placed = split(points, val_ratio, seed).join(movies, "movie_id")
+    ranked = numbered(placed, ["movie_id", "cat"], F.floor(F.col("roi_idx") / CHUNK), ["roi_idx"], "place").withColumn("place", F.col("place") - 1)
+    placed = ranked = scratch.save(ranked, "ranked")
     own = placed.select("movie_id", "cat", "roi_idx", "split", *jitter(config, seed, rep, F.col("movie_id"), F.col("cat"), F.col("roi_idx")), "n_frames", "h", "w").where(window_fits(config))
     own = own.select("movie_id", F.col("roi_idx").cast("bigint").alias("seq"), "t", "y", "x", "cat", F.lit(False).alias("noisy"), "split")
 
-    ranked = numbered(placed, ["movie_id", "cat"], F.floor(F.col("roi_idx") / CHUNK), ["roi_idx"], "place").withColumn("place", F.col("place") - 1)
-
     def fitting(tries: DataFrame) -> DataFrame:
         pick = F.floor(uniform(seed, rep, "pick", F.col("movie_id"), F.col("cat"), F.col("k")) * F.col("n")).cast("int")
-        tried = tries.withColumn("place", pick).join(ranked.hint("shuffle_hash"), ["movie_id", "cat", "place"])
-        return tried.select("movie_id", "cat", "k", "quota", "have", "split", *jitter(config, seed, rep, "copy", F.col("movie_id"), F.col("cat"), F.col("k")), "n_frames", "h", "w").where(window_fits(config))
+        tried = tries.select("movie_id", "cat", "k", pick.alias("place")).join(ranked.drop("roi_idx").hint("shuffle_hash"), ["movie_id", "cat", "place"])
+        return tried.select("movie_id", "cat", "k", "split", *jitter(config, seed, rep, "copy", F.col("movie_id"), F.col("cat"), F.col("k")), "n_frames", "h", "w").where(window_fits(config))
 
     copies = _filled(balance(placed, naug), ["movie_id", "cat"], limit, fitting)
     copies = copies.select("movie_id", (F.col("k") + 1000000000).cast("bigint").alias("seq"), "t", "y", "x", "cat", F.lit(True).alias("noisy"), "split")

@@ -81,3 +81,22 @@ def test_draws_of_nothing_are_never_broadcast(spark):
     assert len(got.collect()) == 2400
     joins = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "range#" in line]
     assert joins and not any("Broadcast" in line for line in joins)
+
+
+@pytest.mark.parametrize("chunk", [4096, 7])
+def test_few_more_copies_are_proposed_than_wanted(spark, monkeypatch, chunk):
+    monkeypatch.setattr(sampling, "CHUNK", chunk)
+    written = {}
+    save = sampling.Scratch.save
+
+    def counting(self, df, name):
+        out = save(self, df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(sampling.Scratch, "save", counting)
+    rois = spark.createDataFrame([(1, 1, i, 15, 30, 30) for i in range(100)], ROI)
+    movie = spark.createDataFrame([(1, 30, 60, 60)], "movie_id int, n_frames int, h int, w int")
+    got = sampling.sample_points(rois, movie, SMALL, 3).where("noisy").collect()
+    assert sorted(r["seq"] - 1000000000 for r in got) == list(range(1, 301))
+    assert sum(n for name, n in written.items() if name.startswith("fit")) <= 600
