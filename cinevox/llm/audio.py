@@ -17,7 +17,7 @@ many classes share costs pairs only with the queries, and is dealt out.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -119,15 +119,19 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(media: DataFrame, id_col: str, wav_col: str) -> DataFrame:
-    """``id`` and ``codes``, one integer for each position; none for null, short or unreadable recordings."""
+def fingerprints(media: DataFrame, id_col: str, media_col: str, wav_of: Callable[[object], bytes | None] | None = None) -> DataFrame:
+    """``id`` and ``codes``, one integer for each position; none for null, short or unreadable recordings.
+
+    ``wav_of`` makes the recording of a value where the column holds none: each is
+    made and forgotten in the task that fingerprints it, so none passes through Spark.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [fingerprint(chroma(*pcm(w))) for w in batch.column("wav").to_pylist()]
+            codes = [fingerprint(chroma(*pcm(wav_of(m.as_py()) if wav_of else m.as_py()))) for m in batch.column("media")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes, pa.list_(pa.int64()))], names=["id", "codes"])
 
-    rows = media.select(F.col(id_col).alias("id"), F.col(wav_col).alias("wav"))
+    rows = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
     return in_arrow(rows, task, f"id {rows.schema['id'].dataType.simpleString()}, codes array<bigint>")
 
 
@@ -180,26 +184,16 @@ def align(prints: DataFrame, is_query: Column, most_errors: float = 0.12, least_
     return full.where("asked").select("id", "codes").join(names, "codes").select("id", "query").join(found, "query").select("id", "match", "n_members", "shift", "bit_errors")
 
 
-def melodies(vectors: DataFrame, id_col: str, vector_col: str, rate: int = 4000, note: float = 0.1) -> DataFrame:
-    """``id`` and ``wav``: every value of a vector as a note, its pitch by the value, for tables without recordings.
+def melody(vector: list[float | None] | None, rate: int = 4000, note: float = 0.1) -> bytes | None:
+    """A recording with every value of a vector as a note, its pitch by the value, for tables without recordings.
 
-    A null vector gives a null recording; null values are rests.
+    A null vector gives none; null values are rests.
     """
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        time = np.arange(int(rate * note)) / rate
-        shape = np.minimum(1, np.minimum(time, time[::-1]) / 0.01)
-        for batch in batches:
-            out = []
-            for vector in batch.column("vector").to_pylist():
-                if vector is None:
-                    out.append(None)
-                    continue
-                values = np.array([np.nan if v is None else v for v in vector], float)
-                tone = np.where(np.isfinite(values), 220 * 2 ** (np.floor(np.clip(np.nan_to_num(values), -1, 1) * 36) / 12), 0)
-                sound = np.sin(2 * np.pi * tone[:, None] * time) * shape * (tone > 0)[:, None] * 0.5
-                out.append(wav(sound.ravel(), rate))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "wav"])
-
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
-    return in_arrow(rows, task, f"id {rows.schema['id'].dataType.simpleString()}, wav binary")
+    if vector is None:
+        return None
+    time = np.arange(int(rate * note)) / rate
+    shape = np.minimum(1, np.minimum(time, time[::-1]) / 0.01)
+    values = np.array([np.nan if v is None else v for v in vector], float)
+    tone = np.where(np.isfinite(values), 220 * 2 ** (np.floor(np.clip(np.nan_to_num(values), -1, 1) * 36) / 12), 0)
+    sound = np.sin(2 * np.pi * tone[:, None] * time) * shape * (tone > 0)[:, None] * 0.5
+    return wav(sound.ravel(), rate)

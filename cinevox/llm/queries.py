@@ -167,7 +167,7 @@ def op8_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector played as a melody; queries are the recordings whose id is divisible by 20."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    prints = Scratch(spark, "audio").save(audio.fingerprints(audio.melodies(vectors, "vec_id", "embedding"), "id", "wav"), "prints")
+    prints = Scratch(spark, "audio").save(audio.fingerprints(vectors, "vec_id", "embedding", audio.melody), "prints")
     found = audio.align(prints, F.col("id") % 20 == 0)
     return found.select(F.col("id").alias("vec_id"), F.col("match").alias("match_id"), "n_members", "shift", F.round("bit_errors", 6).alias("bit_errors"))
 

@@ -203,6 +203,17 @@ def test_recordings_align(spark):
     assert found[3, 3]["shift"] == 0 and found[3, 3]["bit_errors"] == 0
 
 
+def test_recordings_made_where_they_are_fingerprinted(spark):
+    rng = np.random.default_rng(8)
+    vectors = [(i, None if i == 3 else [None if i == 4 and k % 9 == 0 else float(v) for k, v in enumerate(rng.uniform(-1.2, 1.2, 64))]) for i in range(12)]
+    prints = audio.fingerprints(spark.createDataFrame(vectors, "id bigint, v array<float>"), "id", "v", audio.melody)
+    played = [(i, None if v is None else bytearray(audio.melody([None if x is None else float(np.float32(x)) for x in v]))) for i, v in vectors]
+    stored = audio.fingerprints(spark.createDataFrame(played, "id bigint, wav binary"), "id", "wav")
+    assert sorted(map(tuple, prints.collect())) == sorted(map(tuple, stored.collect()))
+    plan = prints._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "binary" not in plan  # no recording passes through Spark
+
+
 def test_integral_filters_equal_plain_sums():
     frames = np.random.default_rng(2).random((40, 12))
     codes = audio.fingerprint(frames)
