@@ -46,6 +46,8 @@ LEAST = 200_000
 BATCH = 1 << 14
 SCORED = 1 << 15
 """Windows of a step of the descent, and windows scored at once."""
+NEAR = 1 << 11
+"""Rows of the classes' wide answers made at once, so that they stay in cache."""
 PLACES = 18
 """First bits of a word's hash by which common words are found."""
 TASKS = 4096
@@ -55,19 +57,37 @@ _FIX = 1 << 20
 _U = np.uint64
 
 
-def _odds(logits: np.ndarray) -> np.ndarray:
-    """Probabilities of each row, whatever the size of its numbers, in their place."""
-    logits -= logits.max(1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
-    return logits
+def _tame(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no answer between -1 and 1 times the weights (a row for each outcome) can leave the range in which exponentials keep their digits."""
+    return float(np.abs(weights).sum(1).max() + np.abs(bias).max()) < 60
 
 
-def _log_share(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
+def _exps(logits: np.ndarray, tame: bool) -> np.ndarray:
+    """Exponentials in the place of the logits, each row up to a factor of its own unless they are ``tame``."""
+    if not tame:
+        logits -= logits.max(1, keepdims=True)
+    return np.exp(logits, out=logits)
+
+
+def _log_share(logits: np.ndarray, own: np.ndarray, tame: bool) -> np.ndarray:
     """Log-probability of one place of each row; the numbers are used up."""
-    logits -= logits.max(1, keepdims=True)
+    if not tame:
+        logits -= logits.max(1, keepdims=True)
     chosen = logits[np.arange(len(own)), own]
-    return chosen - np.log(np.exp(logits, out=logits).sum(1))
+    return chosen - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype))
+
+
+def _slopes(hidden: np.ndarray, weights: np.ndarray, bias: np.ndarray, own: np.ndarray, tame: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of the loss by the hidden rows, by the weights (a row for each outcome) and by the biases."""
+    logits = hidden @ weights.T
+    logits += bias
+    odds = _exps(logits, tame)
+    total = odds @ np.ones(len(weights), odds.dtype)
+    odds[np.arange(len(own)), own] -= total
+    share = 1 / total  # narrow rows are divided instead of wide ones
+    back = odds @ weights
+    back *= share[:, None]
+    return back, odds.T @ (hidden * share[:, None]), share @ odds
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,29 +147,37 @@ class Model:
         return out
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.place[0][context[0]]
+        total = self.place[0].take(context[0], axis=0)
         for k in range(1, len(AROUND)):
-            total += self.place[k][context[k]]
+            total += self.place[k].take(context[k], axis=0)
         return np.tanh(total, out=total)
 
-    def by_class(self, token: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-        """Positions of the tokens of each class that occurs."""
+    @staticmethod
+    def by_class(token: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
+        """An order by class, and of each class that occurs the range in that order and that of its tokens."""
         kind = (token // MEMBERS).astype(np.uint16)  # numbers this small are sorted by counting
         by = np.argsort(kind, kind="stable")
         cut = np.searchsorted(kind[by], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            if cut[c] < cut[c + 1]:
-                yield by[cut[c] : cut[c + 1]], c
+        return by, [(slice(cut[c], cut[c + 1]), slice(c * MEMBERS, (c + 1) * MEMBERS)) for c in range(CLASSES) if cut[c] < cut[c + 1]]
+
+    def tame(self) -> tuple[bool, bool]:
+        return _tame(self.top.T, self.top_bias), _tame(self.out, self.bias)
 
     def log_probs(self, token: np.ndarray, context: np.ndarray) -> np.ndarray:
         out = np.zeros(len(token))
+        tame_top, tame_out = self.tame()
         for a in range(0, len(token), SCORED):
-            own, hidden = token[a : a + SCORED], self.hidden(context[:, a : a + SCORED])
-            part = _log_share(hidden @ self.top + self.top_bias, own // MEMBERS)
-            for at, c in self.by_class(own):
-                inside = slice(c * MEMBERS, (c + 1) * MEMBERS)
-                part[at] += _log_share(hidden[at] @ self.out[inside].T + self.bias[inside], own[at] % MEMBERS)
-            out[a : a + SCORED] = part
+            by, kinds = self.by_class(token[a : a + SCORED])
+            by += a
+            own, hidden = token[by], self.hidden(context.take(by, axis=1))
+            kind, member = own // MEMBERS, own % MEMBERS
+            part = np.empty(len(own), hidden.dtype)
+            for b in range(0, len(own), NEAR):
+                rows = slice(b, b + NEAR)
+                part[rows] = _log_share(hidden[rows] @ self.top + self.top_bias, kind[rows], tame_top)
+            for rows, inside in kinds:
+                part[rows] += _log_share(hidden[rows] @ self.out[inside].T + self.bias[inside], member[rows], tame_out)
+            out[by] = part
         return out
 
     def parts(self) -> list[np.ndarray]:
@@ -172,34 +200,38 @@ class _Descent:
         self.pace = [np.full(n, 1e-3, np.float32) for n in (len(AROUND) * (SIZE + 1), CLASSES, SIZE)]
 
     def _rate(self, pace: np.ndarray, at: np.ndarray | slice, slope: np.ndarray) -> np.ndarray:
-        pace[at] += (slope**2).mean(-1)
+        pace[at] += np.einsum("ij,ij->i", slope, slope) / np.float32(WIDTH)
         return np.float32(RATE) / np.sqrt(pace[at])
 
     def step(self, token: np.ndarray, context: np.ndarray) -> None:
         m, n = self.model, len(token)
+        tame_top, tame_out = m.tame()
+        by, kinds = m.by_class(token)
+        token, context = token[by], context.take(by, axis=1)
         hidden = m.hidden(context)
-        odds = _odds(hidden @ m.top + m.top_bias)
-        odds[np.arange(n), token // MEMBERS] -= 1
-        back = odds @ m.top.T
-        slope = odds.T @ hidden
+        kind, member = token // MEMBERS, token % MEMBERS
+        back, top = np.empty_like(hidden), np.ascontiguousarray(m.top.T)
+        slope, bias = np.zeros_like(top), np.zeros_like(m.top_bias)
+        for a in range(0, n, NEAR):
+            rows = slice(a, a + NEAR)
+            back[rows], own, own_bias = _slopes(hidden[rows], top, m.top_bias, kind[rows], tame_top)
+            slope += own
+            bias += own_bias
         m.top[:] -= (slope * self._rate(self.pace[1], slice(None), slope)[:, None]).T
-        m.top_bias[:] -= odds.sum(0) * np.float32(RATE / n)
-        for at, c in m.by_class(token):
-            inside = slice(c * MEMBERS, (c + 1) * MEMBERS)
-            own = hidden[at]
-            odds = _odds(own @ m.out[inside].T + m.bias[inside])
-            odds[np.arange(len(at)), token[at] % MEMBERS] -= 1
-            back[at] += odds @ m.out[inside]
-            slope = odds.T @ own
-            m.out[inside] -= slope * self._rate(self.pace[2], inside, slope)[:, None]
-            m.bias[inside] -= odds.sum(0) * np.float32(RATE / n)
+        m.top_bias[:] -= bias * np.float32(RATE / n)
+        slope, bias = np.zeros_like(m.out), np.zeros_like(m.bias)
+        for rows, inside in kinds:
+            own, slope[inside], bias[inside] = _slopes(hidden[rows], m.out[inside], m.bias[inside], member[rows], tame_out)
+            back[rows] += own
+        m.out[:] -= slope * self._rate(self.pace[2], slice(None), slope)[:, None]
+        m.bias[:] -= bias * np.float32(RATE / n)
         back *= 1 - hidden**2
         every = (context + np.arange(len(AROUND))[:, None] * (SIZE + 1)).ravel().astype(np.uint16)
         by = np.argsort(every, kind="stable")
         every = every[by]
         first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
         row = every[first]
-        slope = np.add.reduceat(back[by % n], first)
+        slope = np.add.reduceat(back.take(by % n, axis=0), first)
         m.place.reshape(-1, WIDTH)[row] -= slope * self._rate(self.pace[0], row, slope)[:, None]
         for weights, bound in ((m.top, 8), (m.top_bias, 20), (m.out, 8), (m.bias, 20), (m.place, 8)):
             np.clip(weights, -bound, bound, out=weights)

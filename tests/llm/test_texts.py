@@ -209,6 +209,24 @@ def test_scores_are_sums_over_both_sides(hard):
         assert (r["mean_log_prob"] is None) == (not len(token))
 
 
+@pytest.mark.parametrize("size", [0.3, 40])
+def test_slopes_and_shares_equal_plain_softmax(size):
+    """Also where the exponentials of the weights' answers are beyond 32-bit floats."""
+    rng = np.random.default_rng(4)
+    hidden, weights, bias = (rng.normal(0, s, n).astype(np.float32) for s, n in ((0.5, (50, 16)), (size, (64, 16)), (1, 64)))
+    hidden, own = np.tanh(hidden), rng.integers(0, 64, 50)
+    tame = masked_lm._tame(weights, bias)
+    assert tame == (size < 1)
+    logits = hidden.astype(float) @ weights.T + bias
+    odds = np.exp(logits - logits.max(1, keepdims=True))
+    odds /= odds.sum(1, keepdims=True)
+    share = np.log(odds[np.arange(50), own])
+    odds[np.arange(50), own] -= 1
+    for got, want in zip(masked_lm._slopes(hidden, weights, bias, own, tame), (odds @ weights, odds.T @ hidden, odds.sum(0)), strict=True):
+        assert np.allclose(got, want, rtol=1e-3, atol=1e-3)
+    assert np.allclose(masked_lm._log_share(hidden @ weights.T + bias, own, tame), share, rtol=1e-3, atol=1e-3)
+
+
 def test_training_tells_order_from_disorder(make):
     rng = random.Random(2)
     pattern = "red fox runs over the old wall and sees one more dog near by".split()
