@@ -66,10 +66,11 @@ def edt(mask: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     out = mask.select(*keys, "t", "y", "x", F.when(F.col("b") == 0, 0).cast("bigint").alias("d2"))
     for axis in ("x", "y", "t"):
         others = [*keys, *(c for c in ("t", "y", "x") if c != axis)]
-        lines = out.groupBy(*others).agg(F.array_sort(F.collect_list(F.struct(axis, "d2"))).alias("line"))
+        lines = out.groupBy(*others).agg(F.sort_array(F.collect_list(F.struct(axis, "d2"))).alias("line"))
+        lines = lines.withColumn("reach", F.when(F.exists("line", lambda q: q["d2"].isNotNull()), F.size("line")).otherwise(0))
 
         def nearest(p: Column, i: Column) -> Column:
-            reach = F.coalesce(F.ceil(F.sqrt(p["d2"])), F.size("line")).cast("int")
+            reach = F.coalesce(F.ceil(F.sqrt(p["d2"])), "reach").cast("int")
             start = F.greatest(F.lit(1), i + 1 - reach)
             around = F.slice("line", start, i + 2 + reach - start)
             off = lambda q: (p[axis] - q[axis]).cast("bigint")  # noqa: B023, E731
@@ -289,7 +290,7 @@ def watershed_regions(maps: DataFrame, dt: int = 4, dxy: int = 10, level: int =
     """
     scratch = Scratch(maps.sparkSession, "watershed")
     ints = [F.col(c).cast("int").alias(c) for c in ("cat", "t", "y", "x", "p8")]
-    maps = maps.select("movie_id", *ints)
+    maps = scratch.save(maps.select("movie_id", *ints), "maps")  # read twice, and may be long to make
     sizes = scratch.save(maps.groupBy(*KEYS).agg(F.max("t").alias("last"), (F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w")), "sizes")
     mask = scratch.save(erode(threshold(maps, level)), "mask")
     far = edt(mask)
