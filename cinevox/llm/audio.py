@@ -3,19 +3,23 @@
 A recording (WAV, 16-bit PCM) becomes frames of twelve pitch classes.  Filters
 over an integral image of the frames, each the difference of two rectangles'
 sums, are quantised to two bits; sixteen of them make the 32-bit integer of a
-position.  Two recordings are aligned by integers that differ in two bits at most:
-the histogram of their position differences gives the offsets, and the bits that
-differ along the overlap at an offset tell whether they are the same sound.  Where
-12 % of the bits differ, an integer in four is that near, so of the least overlap,
-16 positions, two or more are with a probability of 0.9, and of longer ones or
-with fewer errors nearly always.
-
-Recordings with equal fingerprints are one class, compared once; an integer that
-many classes share costs pairs only with the queries, and is dealt out.
+position.  Two recordings are aligned by keys of two positions near each
+other, some of whose bits agree but for one at most: the histogram of their
+position differences gives the offsets, and the bits that differ along the overlap
+at an offset tell whether they are the same sound.  Keys are longer in larger
+tables, so that chance meetings do not grow with the square of the table; how many
+choices of bits there are follows from that, so that of the least overlap with the
+most errors one in 200 is missed where errors are independent, and of longer ones
+or with fewer errors hardly any.
+
+Recordings with equal fingerprints are one class, compared once; a key that many
+classes share costs pairs only with the queries, and is dealt out.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import struct
 from collections.abc import Callable, Iterator
 
@@ -135,37 +139,66 @@ def fingerprints(media: DataFrame, id_col: str, media_col: str, wav_of: Callable
     return in_arrow(rows, task, f"id {rows.schema['id'].dataType.simpleString()}, codes array<bigint>")
 
 
-NEAR = sorted({a ^ b for a in (0, *(1 << k for k in range(32))) for b in (0, *(1 << k for k in range(32)))})
-"""What two integers may differ by to vote."""
+SILENCE = int(fingerprint(np.zeros((SPAN, 12)))[0])
+GAP = 4
+"""Positions between the two of a window; neighbours are much alike."""
+MISSED = 0.005
+"""Of the least overlaps with the most errors, the share that may have too few common keys."""
+ROUNDS = 64
+"""Choices of bits at most; keys are shortened where it would take more."""
 
 
-def align(prints: DataFrame, is_query: Column, most_errors: float = 0.12, least_overlap: int = 16, least_shared: int = 2) -> DataFrame:
-    """Recordings that contain the same sound as a query.
+def _choices(n_windows: int, width: int, windows: int, wanted: int, most_errors: float) -> list[list[int]]:
+    """The bits of a window's ``width`` that make each of its keys.
 
-    Returns ``id`` (of the query), ``match`` (least id of a class of equal
-    fingerprints), ``n_members`` of that class, ``shift`` (position of the query
-    less that of the match) and ``bit_errors`` (share of the bits that differ
-    along the overlap).  A position of the query votes for those whose integer
-    differs from its own in two bits at most; the integer of silence does not vote.  All
-    shifts with ``least_shared`` votes or more are compared bit by bit, and count
-    if they overlap by ``least_overlap`` positions and differ by ``most_errors``
-    at most.  A pair has the one with the most equal bits less differing ones,
-    ties go to the least shift.  A query's own class is listed too.  Recordings
-    without integers, null ids among the queries and columns other than ``id`` and
-    ``codes`` are left out; rows with equal ids and equal codes count as members
-    of their class and, as queries, give equal rows.
+    A key has twice the bits of the number of all windows.  With a share of
+    ``most_errors`` it meets its like, but for one bit at most, with the probability
+    ``p``; there are as many as give ``windows`` windows ``wanted`` common ones.
     """
+    few = lambda mean: math.exp(-mean) * sum(mean**k / math.factorial(k) for k in range(wanted))
+    mean = next(m / 10 for m in range(1, 10_000) if few(m / 10) <= MISSED)
+    bits = min(width, max(16, round(2 * math.log2(max(n_windows, 2)))))
+    while True:
+        p = (1 - most_errors) ** bits + bits * most_errors * (1 - most_errors) ** (bits - 1)
+        rounds = math.ceil(mean / (windows * p))
+        if rounds <= ROUNDS or bits <= 16:
+            return [sorted(range(width), key=lambda k: hashlib.sha256(f"{r}:{k}".encode()).digest())[:bits] for r in range(rounds)]  # noqa: B023
+        bits -= 1
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def _votes(classes: DataFrame, scratch: Scratch, most_errors: float, least_overlap: int, least_shared: int) -> DataFrame:
+    """``query, match, from, at``: windows of two classes with a common key, as often as they have one; ``from`` and ``at`` are their first positions."""
+    gap = min(GAP, least_overlap // 4)
+    length = F.size("codes") - gap
+    pair = F.zip_with(F.slice("codes", 1, length), F.slice("codes", gap + 1, length), lambda p, q: F.shiftleft(p, 32).bitwiseOR(q))
+    windows = classes.where(length > 0).select("match", "asked", F.posexplode(pair).alias("at", "window")).where(F.col("window") != _signed(SILENCE << 32 | SILENCE))
+    choices = _choices(windows.count(), 64 if gap else 32, max(1, least_overlap - gap), max(1, least_shared - (gap > 0)), most_errors)
+    marks = [int.from_bytes(hashlib.sha256(f"{r}".encode()).digest()[:8]) for r in range(len(choices))]  # keep the keys of different choices apart
+    plain = [(sum(1 << k for k in own), mark) for own, mark in zip(choices, marks, strict=True)]
+    near = [(mask, mark ^ flip) for (mask, mark), own in zip(plain, choices, strict=True) for flip in (0, *(1 << k for k in own))]
+
+    def keys(of: list[tuple[int, int]]) -> Column:
+        table = F.array(*[F.array(F.lit(_signed(mask)), F.lit(_signed(mark))) for mask, mark in of])
+        return F.explode(F.transform(table, lambda x: F.col("window").bitwiseAND(x[0]).bitwiseXOR(x[1]))).alias("key")
+
+    listed = windows.select("match", "at", keys(plain))
+    probes = windows.where("asked").select(F.col("match").alias("query"), F.col("at").alias("from"), keys(near))
+    degree = scratch.save(listed.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1"), "degree")  # a key of one window is never dealt out
+    return spread_join(listed, probes, ["key"], "_c", ["match", "at"], keep=["query", "match", "from", "at"], counts=degree, hint="merge").where("query <> match")
+
+
+def _search(prints: DataFrame, is_query: Column, most_errors: float, least_overlap: int, least_shared: int) -> tuple[DataFrame, DataFrame]:
+    """The classes ``codes, match, n_members, asked`` of ``prints`` and the links ``query, match, n_members, shift, bit_errors`` of those asked for."""
     scratch = Scratch(prints.sparkSession, "align")
     full = prints.where(F.size("codes") > 0).select("id", "codes", F.coalesce(is_query, F.lit(False)).alias("asked"))
     classes = scratch.save(full.groupBy("codes").agg(F.min("id").alias("match"), F.count("*").alias("n_members"), F.max("asked").alias("asked")).where("match is not null"), "classes")
-    heard = F.col("code") != int(fingerprint(np.zeros((SPAN, 12)))[0])
-    listed = classes.select("match", F.posexplode("codes").alias("at", "code")).where(heard)
-    asked = classes.where("asked").select(F.col("match").alias("query"), F.posexplode("codes").alias("from", "code")).where(heard)
-    probes = asked.select("query", "from", F.explode(F.transform(F.array(*map(F.lit, NEAR)), lambda bits: F.col("code").bitwiseXOR(bits))).alias("code"))
-    listed = scratch.save(listed, "listed")
-    degree = scratch.save(listed.groupBy("code").agg(F.count("*").alias("c")), "degree")  # of listed integers only: most probes meet none
-    votes = spread_join(listed, scratch.save(probes.join(degree, "code").withColumnRenamed("c", "_c"), "probes"), ["code"], "_c", ["match", "at"], counts=degree.withColumnRenamed("c", "_c"))
-    votes = votes.groupBy("query", "match", (F.col("from") - F.col("at")).alias("shift")).agg(F.count("*").alias("shared"))
+    votes = _votes(classes, scratch, most_errors, least_overlap, least_shared)
+    covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.array("from", F.col("from") + min(GAP, least_overlap // 4))))))
+    votes = votes.groupBy("query", "match", (F.col("from") - F.col("at")).alias("shift")).agg(covered.alias("shared"))
     pairs = votes.where(F.col("shared") >= least_shared).groupBy("query", "match").agg(F.collect_list("shift").alias("shifts"))
     one = classes.select(F.col("match").alias("query"), F.col("codes").alias("x"))
     other = classes.select("match", "n_members", F.col("codes").alias("y"))
@@ -180,8 +213,57 @@ def align(prints: DataFrame, is_query: Column, most_errors: float = 0.12, least_
 
     fitting = F.filter(F.transform("shifts", compared), lambda c: c["bit_errors"] <= most_errors)
     found = both.select("query", "match", "n_members", F.array_min(fitting).alias("best")).where("best is not null").select("query", "match", "n_members", "best.shift", "best.bit_errors")
+    heard = F.size(F.filter("codes", lambda code: code != SILENCE))
+    own = classes.where(F.col("asked") & (F.size("codes") >= least_overlap) & (heard >= least_shared))
+    return classes, scratch.save(found.union(own.select(F.col("match").alias("query"), "match", "n_members", F.lit(0), F.lit(0.0))), "found")
+
+
+def align(prints: DataFrame, is_query: Column, most_errors: float = 0.12, least_overlap: int = 16, least_shared: int = 2) -> DataFrame:
+    """Recordings that contain the same sound as a query.
+
+    Returns ``id`` (of the query), ``match`` (least id of a class of equal
+    fingerprints), ``n_members`` of that class, ``shift`` (position of the query
+    less that of the match) and ``bit_errors`` (share of the bits that differ
+    along the overlap).  Two positions of the query, ``GAP`` apart, vote for those
+    that have a key with them; windows of silence do not vote.  All shifts where
+    such windows cover ``least_shared`` positions or more are compared bit by bit,
+    and count if they overlap by ``least_overlap`` positions and differ by
+    ``most_errors`` at most.  A pair has the one with the most equal bits less
+    differing ones, ties go to the least shift.  A query's own class is listed too,
+    if it has ``least_overlap`` positions and ``least_shared`` that are not silent.
+    Recordings without integers, null ids among the queries and columns other than
+    ``id`` and ``codes`` are left out; rows with equal ids and equal codes count as
+    members of their class and, as queries, give equal rows.
+    """
+    classes, found = _search(prints, is_query, most_errors, least_overlap, least_shared)
     names = classes.select("codes", F.col("match").alias("query"))
-    return full.where("asked").select("id", "codes").join(names, "codes").select("id", "query").join(found, "query").select("id", "match", "n_members", "shift", "bit_errors")
+    asked = prints.where(F.size("codes") > 0).where(is_query)
+    return asked.select("id", "codes").join(names, "codes").select("id", "query").join(found, "query").select("id", "match", "n_members", "shift", "bit_errors")
+
+
+def linked(prints: DataFrame, is_query: Column, most_errors: float = 0.12, least_overlap: int = 16, least_shared: int = 2) -> DataFrame:
+    """Every row of ``prints`` with its class and its number of links, as ``align`` finds them.
+
+    A link is a pair of different classes, one of them a query's at least.  Returns
+    ``id``, ``class_id``, ``n_members``, ``n_links``, the linked class with the fewest
+    errors, then the least id (``match``, ``shift``, ``bit_errors``; null without links), and
+    ``links_crc``, the sum of the CRC-32 of ``match:shift`` over all links.  Where both are
+    queries and shifts fit equally well, the least shift counts for either.  Rows without integers
+    have no class and no links.
+    """
+    classes, found = _search(prints, is_query, most_errors, least_overlap, least_shared)
+    there = found.where("query <> match").select(F.col("query").alias("class_id"), "match", "bit_errors", "shift")
+    back = there.select(F.col("match").alias("class_id"), F.col("class_id").alias("match"), "bit_errors", -F.col("shift"))
+    links = there.union(back).groupBy("class_id", "match").agg(F.min(F.struct("bit_errors", "shift")).alias("best"))
+    name = F.concat_ws(":", F.col("match").cast("string"), F.col("best.shift").cast("string"))
+    sums = links.groupBy("class_id").agg(
+        F.count("*").alias("n_links"), F.min(F.struct("best.bit_errors", "match", "best.shift")).alias("best"), F.sum(F.crc32(name)).alias("links_crc")
+    )
+    named = classes.select("codes", F.col("match").alias("class_id"), "n_members").join(sums, "class_id", "left")
+    named = Scratch(prints.sparkSession, "linked").save(named, "named")
+    each = spread_join(prints.select("id", "codes"), named, ["codes"], "n_members", ["id"], "left", keep=["id", "class_id", "n_members", "n_links", "best", "links_crc"])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
+    return each.select("id", "class_id", "n_members", zero("n_links"), "best.match", "best.shift", "best.bit_errors", zero("links_crc"))
 
 
 def melody(vector: list[float | None] | None, rate: int = 4000, note: float = 0.1) -> bytes | None:

@@ -1,5 +1,7 @@
 """Mixing, token rollups, audio fingerprints and the whole pipeline."""
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -189,6 +191,60 @@ def test_alignment_of_motifs_and_long_recordings(spark):
     assert found == {(1, 1): (0, 0), (1, 2): (-40, 0), (4, 3): (-12_000, 0), (4, 4): (0, 0)}
 
 
+def test_alignment_finds_errors_spread_over_every_position(spark):
+    """Copies with three wrong bits in every integer, so that none is within two bits, are found."""
+    rng = np.random.default_rng(5)
+    songs = [rng.integers(0, 2**32, 34) for _ in range(40)]
+    wrong = lambda song: song ^ np.array([sum(1 << int(k) for k in rng.choice(32, 3, replace=False)) for _ in song])
+    rows = [(k, [int(v) for v in song]) for k, song in enumerate(songs)] + [(100 + k, [int(v) for v in wrong(song)]) for k, song in enumerate(songs)]
+    found = {(r["id"], r["match"]): r["bit_errors"] for r in audio.align(spark.createDataFrame(rows, "id bigint, codes array<bigint>"), F.col("id") < 100).collect()}
+    assert set(found) == {(k, m) for k in range(40) for m in (k, 100 + k)}
+    assert all(found[k, 100 + k] == 3 / 32 for k in range(40))
+
+
+def test_chance_meetings_do_not_grow_with_the_square(spark):
+    """Integers with twelve random bits, at two sizes; every fifth recording is a query."""
+    rng = np.random.default_rng(6)
+
+    def votes(n):
+        spread = np.array([1 << int(k) for k in np.linspace(0, 31, 12)])
+        codes = (rng.integers(0, 2, (n, 34, 12)) * spread).sum(2)
+        rows = [(i, [int(v) for v in row], 1, i % 5 == 0) for i, row in enumerate(codes)]
+        classes = spark.createDataFrame(rows, "match bigint, codes array<bigint>, n_members bigint, asked boolean")
+        return audio._votes(classes, Scratch(spark, "test-votes"), 0.12, 16, 2).count()
+
+    small, large = votes(100), votes(500)
+    assert 0 < large < 12 * small
+
+
+def test_links_of_each_recording(spark):
+    """Classes, numbers of links and the nearest one, against the list of ``align``; members of a class share them, rows without integers have none."""
+    rng = np.random.default_rng(9)
+    song, other = rng.integers(0, 2**32, 40), rng.integers(0, 2**32, 40)
+    rows = {1: song, 2: song, 3: song[6:] ^ 1, 4: song[:30] ^ 6, 5: other, 6: other[3:], 7: rng.integers(0, 2**32, 40), 8: [], 9: None, None: song}
+    rows |= {20 + k: song ^ (1 << k) for k in range(8)}
+    data = [(i, None if codes is None else [int(v) for v in codes]) for i, codes in rows.items()]
+    prints = spark.createDataFrame(data, "id bigint, codes array<bigint>")
+    query = F.col("id").isin(2, 3, 6)
+    each = {r["id"]: r for r in audio.linked(prints, query).collect()}
+    assert set(each) == set(rows)
+    least = {i: r["class_id"] for i, r in each.items()}
+    assert least[1] == least[2] == least[None] == 1 and each[2]["n_members"] == 3 and least[8] is None and least[9] is None
+    links = {}
+    for r in audio.align(prints, query).collect():
+        a, b = least[r["id"]], r["match"]
+        if a != b:
+            for x, y, shift in ((a, b, r["shift"]), (b, a, -r["shift"])):
+                links.setdefault(x, {})[y] = min(links.get(x, {}).get(y, (9, 0)), (r["bit_errors"], shift))
+    assert set(links[1]) == {3, 4, *range(20, 28)} and set(links[6]) == {5} and 7 not in links
+    for i, r in each.items():
+        own = links.get(least[i], {})
+        assert r["n_links"] == len(own) and r["links_crc"] == sum(zlib.crc32(f"{m}:{shift}".encode()) for m, (_, shift) in own.items())
+        best = min(((e, m, shift) for m, (e, shift) in own.items()), default=(None, None, None))
+        assert (r["bit_errors"], r["match"], r["shift"]) == best
+    assert audio.linked(prints.limit(0), query).count() == 0
+
+
 def test_recordings_align(spark):
     rng = np.random.default_rng(1)
     song, other = tune(rng, 60), tune(rng, 60)
